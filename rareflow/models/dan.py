@@ -44,12 +44,13 @@ class Training:
     metric: str = "auroc"        # or "auroc_micro"
     workers: int | None = None
     seed: int = 0
+    dtype: str = "float32"       # arithmetic inside the tasks
 
 
-def _matrix(batch: pa.RecordBatch, column: str) -> np.ndarray:
+def _matrix(batch: pa.RecordBatch, column: str, dtype: str) -> np.ndarray:
     values = batch.column(column)
     return values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), -1) \
-        .astype("float64")
+        .astype(dtype)
 
 
 def _chunks(kind: int, weight: float, flat: np.ndarray) -> pa.RecordBatch:
@@ -58,7 +59,7 @@ def _chunks(kind: int, weight: float, flat: np.ndarray) -> pa.RecordBatch:
         "kind": pa.array([kind] * len(parts), pa.int32()),
         "chunk": pa.array(range(len(parts)), pa.int32()),
         "weight": pa.array([float(weight)] * len(parts), pa.float64()),
-        "values": pa.array(parts, pa.list_(pa.float64()))})
+        "values": pa.array([p.astype("float64") for p in parts], pa.list_(pa.float64()))})
 
 
 CHUNK_SCHEMA = "kind int, chunk int, weight double, values array<double>"
@@ -94,13 +95,13 @@ def _gradients(shape: Shape, training: Training, w: dict, x: np.ndarray, y: np.n
 def training_round(rows: DataFrame, shape: Shape, training: Training, flat: np.ndarray,
                    state: kernel.Adam, epoch: int) -> tuple[np.ndarray, dict[str, float]]:
     """One pass over (features, label); new weights and the mean step metrics."""
-    sent = rows.sparkSession.sparkContext.broadcast(flat)
+    sent, dtype = rows.sparkSession.sparkContext.broadcast(flat), training.dtype
 
     def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, adam, total = sent.value.copy(), kernel.Adam(training.learning_rate), np.zeros(7)
+        own, adam, total = sent.value.astype(dtype), kernel.Adam(training.learning_rate), np.zeros(7)
         rng = np.random.default_rng([training.seed, epoch])
         for batch in batches:
-            x, y = _matrix(batch, "features"), batch.column("label").to_numpy()
+            x, y = _matrix(batch, "features", dtype), batch.column("label").to_numpy()
             order = rng.permutation(len(y))
             for at in range(0, len(y), training.batch_size):
                 pick = order[at:at + training.batch_size]
@@ -113,10 +114,10 @@ def training_round(rows: DataFrame, shape: Shape, training: Training, flat: np.n
             yield _chunks(SUMS, 1.0, total)
 
     def gradient(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, total = kernel.as_blocks(shape, sent.value), np.zeros(7)
+        w, total = kernel.as_blocks(shape, sent.value.astype(dtype)), np.zeros(7)
         labelled, negative = np.zeros_like(sent.value), np.zeros_like(sent.value)
         for batch in batches:
-            a, b, sums = _gradients(shape, training, w, _matrix(batch, "features"),
+            a, b, sums = _gradients(shape, training, w, _matrix(batch, "features", dtype),
                                     batch.column("label").to_numpy())
             labelled, negative, total = labelled + a, negative + b, total + sums
         if total[1]:
@@ -168,7 +169,7 @@ class DisguiseClassifier(Estimator):
                  label: str = "label", validation: DataFrame | None = None,
                  checkpoint_dir: str | None = None):
         super().__init__()
-        if sum(int(np.prod(d)) for _, d in shape.blocks()) > WEIGHT_LIMIT:
+        if shape.size > WEIGHT_LIMIT:
             raise ValueError(f"more than {WEIGHT_LIMIT} weights")
         self.shape, self.training, self.validation = shape, training, validation
         self.features, self.label, self.checkpoint_dir = features, label, checkpoint_dir

@@ -12,7 +12,7 @@ import numpy as np
 
 # Fixed value: a normalisation layer that never updates its statistics divides by
 # the root of one plus its epsilon.
-NORM = 1.0 / np.sqrt(1.0 + 1e-3)
+NORM = float(1.0 / np.sqrt(1.0 + 1e-3))
 
 ACTIVATIONS = {  # name: (value, derivative given input and value)
     "relu": (lambda z: np.maximum(z, 0.0), lambda z, a: (z > 0).astype(z.dtype)),
@@ -45,6 +45,11 @@ class Shape:
         return (self.num_inputs - len(self.index_map)
                 + sum(self.embedding_dim(c) for c in self.index_map.values()))
 
+    @property
+    def size(self) -> int:
+        """Number of weights."""
+        return sum(int(np.prod(dims)) for _, dims in self.blocks())
+
     def blocks(self) -> list[tuple[str, tuple[int, ...]]]:
         """Name and shape of every weight block, in storage order."""
         out = [(f"e{p}", (c, self.embedding_dim(c))) for p, c in sorted(self.index_map.items())]
@@ -161,7 +166,7 @@ def disguised(shape: Shape, w: dict, x: np.ndarray) -> np.ndarray:
 
 def labelled_terms(shape: Shape, w: dict, x: np.ndarray, y: np.ndarray):
     """(sum of cross entropies, its gradient) over the rows."""
-    flat = np.zeros(sum(int(np.prod(d)) for _, d in shape.blocks()))
+    flat = np.zeros(shape.size, dtype=x.dtype)
     grad = as_blocks(shape, flat)
     logits, tape = _forward(shape, w, "d", embed(shape, w, x))
     logp = _log_softmax(logits)
@@ -180,7 +185,7 @@ def disguise_terms(shape: Shape, w: dict, x: np.ndarray, lambd: float, eta: floa
     disguise loss for the disguise network; each network's loss moves only its
     own weights.
     """
-    flat = np.zeros(sum(int(np.prod(d)) for _, d in shape.blocks()))
+    flat = np.zeros(shape.size, dtype=x.dtype)
     grad = as_blocks(shape, flat)
     h = embed(shape, w, x)
     t, t_tape = _forward(shape, w, "t", h)
@@ -217,5 +222,5 @@ class Adam:
         self.steps += 1
         self.m = self.first * self.m + (1 - self.first) * grad
         self.v = self.second * self.v + (1 - self.second) * grad * grad
-        rate = self.rate * np.sqrt(1 - self.second**self.steps) / (1 - self.first**self.steps)
+        rate = self.rate * (1 - self.second**self.steps) ** 0.5 / (1 - self.first**self.steps)
         weights -= rate * self.m / (np.sqrt(self.v) + self.eps)

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.ml import Estimator, Model
 from pyspark.ml.feature import OneHotEncoder, VectorAssembler
@@ -14,29 +15,39 @@ from rareflow.functions.clean import MISSING_NUMBER
 from rareflow.operators.clean import FeatureSpec, impute, order_columns
 from rareflow.operators.profile import build_vocabulary, numeric_stats
 
-BROADCAST_ROWS = 500_000     # dictionaries up to this many entries are broadcast
+BROADCAST_BYTES = 64 << 20   # dictionaries up to this measured size are broadcast
 LEVEL_LIMIT = 1_000          # levels a one-hot projection may have
 HEAVY_VALUES = 1_000         # most frequent values coded by broadcast in a big lookup
 SALTS = 1_024
 
 
-def dictionary_sizes(vocabulary: DataFrame) -> dict[str, int]:
-    """Entries per column (metadata: one row per column)."""
-    return {r["column"]: r["n"] for r in
-            vocabulary.groupBy("column").agg(F.count("*").alias("n")).collect()}
+@dataclass(frozen=True)
+class Size:
+    """Entries and bytes of one column's dictionary."""
+
+    entries: int = 0
+    bytes: int = 0
+
+
+def dictionary_sizes(vocabulary: DataFrame) -> dict[str, Size]:
+    """Measured size per column (metadata: one row per column)."""
+    rows = vocabulary.groupBy("column").agg(
+        F.count("*").alias("n"), F.sum(F.octet_length("value") + 24).alias("bytes")).collect()
+    return {r["column"]: Size(r["n"], r["bytes"]) for r in rows}
 
 
 def dictionary_join(df: DataFrame, dictionary: DataFrame, column: str, payload: str, out: str,
-                    entries: int, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+                    size: int, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Left lookup of ``column`` in the distinct ``value``s of ``dictionary``; NULL
     where it has no entry.
 
-    A dictionary beyond ``broadcast_rows`` is shuffled, but the most frequent
+    ``size`` is the dictionary's measured size in bytes. Beyond
+    ``broadcast_bytes`` it is shuffled, but the most frequent
     values are looked up by broadcast first, so no task receives all rows of a hot
     value. Frequencies come from the dictionary's ``n``, else from the rows.
     """
     codes = dictionary.select(F.col("value").alias("__value"), F.col(payload).alias(out))
-    if entries <= broadcast_rows:
+    if size <= broadcast_bytes:
         return df.join(F.broadcast(codes), F.col(column) == F.col("__value"), "left") \
             .drop("__value")
     if "n" in dictionary.columns:
@@ -58,8 +69,8 @@ def dictionary_join(df: DataFrame, dictionary: DataFrame, column: str, payload:
 
 
 def encode_codes(df: DataFrame, vocabulary: DataFrame, columns: Sequence[str],
-                 unseen: str = "error", suffix: str = "", sizes: Mapping[str, int] | None = None,
-                 broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+                 unseen: str = "error", suffix: str = "", sizes: Mapping[str, Size] | None = None,
+                 broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Codes of categorical columns, as ``<column><suffix>``.
 
     ``unseen``: ``error`` raises when a row is read, ``oov`` gives the code after
@@ -67,15 +78,16 @@ def encode_codes(df: DataFrame, vocabulary: DataFrame, columns: Sequence[str],
     """
     sizes = sizes or dictionary_sizes(vocabulary)
     for column in columns:
-        entries = sizes.get(column, 0)
+        size = sizes.get(column, Size())
         dictionary = vocabulary.filter(F.col("column") == column).drop("column")
-        df = dictionary_join(df, dictionary, column, "idx", "__code", entries, broadcast_rows)
+        df = dictionary_join(df, dictionary, column, "idx", "__code", size.bytes,
+                             broadcast_bytes)
         if unseen == "error":
             message = F.concat(F.lit(f"unseen value in column {column}: "),
                                F.coalesce(F.col(column), F.lit("NULL")))
             fallback = F.raise_error(message).cast("bigint")
         elif unseen == "oov":
-            fallback = F.lit(entries).cast("bigint")
+            fallback = F.lit(size.entries).cast("bigint")
         else:
             fallback = F.lit(-1).cast("bigint")
         df = df.withColumn(f"{column}{suffix}", F.coalesce("__code", fallback)).drop("__code")
@@ -86,7 +98,7 @@ def column_levels(vocabulary: DataFrame, columns: Sequence[str], limit: int = LE
                   ) -> dict[str, list[str]]:
     """Levels per column in code order; refuses columns with many levels."""
     sizes = dictionary_sizes(vocabulary)
-    wide = {c: sizes[c] for c in columns if sizes.get(c, 0) > limit}
+    wide = {c: sizes[c].entries for c in columns if c in sizes and sizes[c].entries > limit}
     if wide:
         raise ValueError(f"too many levels for one-hot columns: {wide}")
     rows = vocabulary.filter(F.col("column").isin(list(columns))).orderBy("column", "idx").collect()
@@ -159,7 +171,7 @@ def assemble_sparse(df: DataFrame, vocabulary: DataFrame, stats: Mapping[str, tu
     blocks = [f"{c}__hot" for c in categorical]
     coded = encode_codes(df, vocabulary, categorical, "oov", "__idx", sizes)
     for column, code in zip(categorical, codes):
-        coded = as_nominal(coded, code, sizes.get(column, 0) + 1)
+        coded = as_nominal(coded, code, sizes.get(column, Size()).entries + 1)
     coded = default_then_scale(coded, stats, numeric)
     hot = OneHotEncoder(inputCols=codes, outputCols=blocks, dropLast=False).fit(coded) \
         .transform(coded)
@@ -278,18 +290,19 @@ def onehot_width(vocabulary: DataFrame, numeric: int) -> DataFrame:
 
 def embedding_lookup(df: DataFrame, embeddings: DataFrame, numeric: Sequence[str],
                      index: Sequence[str], out: str = "embedded",
-                     broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+                     broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Numeric columns first, then the embedding row of each code, in given order.
 
     ``embeddings`` is (column, code, vector); an absent code is an error.
     """
-    sizes = dictionary_sizes(embeddings)
+    measured = embeddings.groupBy("column").agg(F.sum(F.size("vector") * 8 + 24).alias("bytes"))
+    sizes = {r["column"]: r["bytes"] for r in measured.collect()}  # one row per column
     for column in index:
         rows = embeddings.filter(F.col("column") == column).select(
             F.col("code").alias("value"), "vector")
         found = f"__{column}_vector"
         df = dictionary_join(df, rows, column, "vector", found, sizes.get(column, 0),
-                             broadcast_rows)
+                             broadcast_bytes)
         df = df.withColumn(found, F.coalesce(found, F.raise_error(
             f"no embedding row for a code of {column}").cast("array<double>")))
     numbers = F.array(*[F.col(c).cast("double") for c in numeric]) if numeric \

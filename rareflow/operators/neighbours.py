@@ -16,7 +16,6 @@ from rareflow.session import materialize
 
 BLOCK_CELLS = 4_000_000       # numbers per block: rows x width
 TILE_CELLS = 8_000_000        # distances held at once inside a task
-BROADCAST_CELLS = 4_000_000   # numbers in a broadcast vector table
 
 
 def nearest_in_block(queries: np.ndarray, candidates: np.ndarray, k: int
@@ -91,6 +90,6 @@ def k_nearest(df: DataFrame, key: str, features: str, k: int, block_cells: int =
     merged = materialize(merged, "neighbours")
     found = dictionary_join(rows.select("id", "print"),
                             merged.withColumnRenamed("print", "value"), "print", "near", "near",
-                            size["n"], BROADCAST_CELLS // (2 * (k + 1)))
+                            size["n"] * (k + 1) * 32)
     mine = F.filter("near", lambda x: x["id"] != F.col("id"))
     return found.select(F.col("id").alias(key), F.slice(mine, 1, k).alias("neighbours"))

@@ -43,6 +43,7 @@ class HashOrder:
         self.columns = df.columns
         self.by = by
         self.hot_rows = hot_rows
+        self._stats = None
         self.rows = df.withColumn(TOKEN, hash_token(key, seed) if token is None else token)
         self.rows = self.rows.withColumn(GROUP, F.col(by) if by else F.lit(0))
         self.rows = self.rows.withColumn(BUCKET, F.substring(TOKEN, 1, PREFIX_DIGITS))
@@ -58,6 +59,20 @@ class HashOrder:
     def total(self) -> int:
         return sum(self.counts().values())
 
+    def _hot_limit(self) -> float:
+        """Rows above which a bucket counts as hot: never below a few even shares."""
+        return max(self.hot_rows, 4 * (self._bucket_stats()["mean"] or 0))
+
+    def is_hot(self) -> bool:
+        """Whether some bucket holds far more rows than an even share."""
+        return (self._bucket_stats()["top"] or 0) > self._hot_limit()
+
+    def _bucket_stats(self):
+        if self._stats is None:
+            self._stats = self.histogram.agg(
+                F.avg("n").alias("mean"), F.max("n").alias("top")).first()
+        return self._stats
+
     # -- exact-k selection -------------------------------------------------
 
     def _wanted(self, k: int | Mapping) -> dict:
@@ -143,18 +158,17 @@ class HashOrder:
         copies = (prints.rows.filter(at).select(*self.columns)
                   .groupBy(*self.columns).agg(F.count("*").alias(WEIGHT)))
         # equal fingerprints mean equal rows, so this is one row of weight n
-        kept = _repeat(copies, F.lit(keep)).select(*self.columns)
-        left_out = _repeat(copies, F.lit(n - keep)).select(*self.columns)
+        kept = repeated(copies.withColumn(WEIGHT, F.lit(keep)), WEIGHT)
+        left_out = repeated(copies.withColumn(WEIGHT, F.lit(n - keep)), WEIGHT)
         return below.unionByName(kept), above.unionByName(left_out)
 
     # -- global positions --------------------------------------------------
 
     def positions(self, name: str = "position") -> DataFrame:
         """Every row with its 0-based position in hash order within its group."""
-        stats = self.histogram.agg(F.avg("n").alias("mean"), F.max("n").alias("top")).first()
-        limit = max(self.hot_rows, 4 * (stats["mean"] or 0))
-        if stats["top"] is None or stats["top"] <= limit:
+        if not self.is_hot():
             return self._number(self.rows, self.histogram, name)
+        limit = self._hot_limit()
         # hot prefixes: one key holds many rows. Collapse exact copies, then cut
         # the prefix by token and content.
         hot = [r[BUCKET] for r in
@@ -205,11 +219,11 @@ def _lookup(col: Column, values: Mapping) -> Column:
     return out
 
 
-def _repeat(df: DataFrame, times: Column) -> DataFrame:
-    """Each row ``times`` times (0 drops it)."""
-    return (df.withColumn("__times", times.cast("int")).filter("__times > 0")
-            .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
-            .drop("__times", "__copy"))
+def repeated(df: DataFrame, times: str) -> DataFrame:
+    """Each row as often as its column ``times`` says (0 drops it)."""
+    return (df.filter(F.col(times) > 0)
+            .withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col(times).cast("int"))))
+            .drop(times, "__copy"))
 
 
 # -- value order -------------------------------------------------------------

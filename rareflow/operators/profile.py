@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from rareflow.operators.ordering import exact_quantiles, running_before
 from rareflow.session import materialize
@@ -33,7 +33,7 @@ def cardinality_profile(df: DataFrame, columns: Sequence[str], approximate: bool
 def class_balance(df: DataFrame, target: str) -> DataFrame:
     """(target, n, percent)."""
     counts = df.groupBy(target).agg(F.count("*").alias("n"))
-    total = df.agg(F.count("*").alias("total")).scalar()
+    total = F.sum("n").over(Window.partitionBy(F.lit(0)))  # one row per class
     return counts.select(target, "n", (F.lit(100.0) * F.col("n") / total).alias("percent"))
 
 

@@ -11,8 +11,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rareflow.functions.hashing import hash_token
-from rareflow.operators.ordering import BUCKET, HashOrder, TOKEN
+from rareflow.operators.ordering import HashOrder, TOKEN, WEIGHT, repeated
 from rareflow.operators.profile import class_balance
 from rareflow.sources.files import with_shard
 
@@ -94,13 +93,17 @@ def shuffle_rows(df: DataFrame, key: Column | str, seed: str = "shuffle",
                  partitions: int | None = None) -> DataFrame:
     """Rows in hash order: range-partitioned, sorted within partitions.
 
-    The content hash splits a key that many rows share.
+    Content breaks ties of the key; if one key holds very many rows, exact copies
+    travel as one row with a count.
     """
-    keyed = df.withColumn(TOKEN, hash_token(key, seed)) \
-        .withColumn(BUCKET, F.xxhash64(*df.columns))
-    spread = (keyed.repartitionByRange(partitions, TOKEN, BUCKET) if partitions
-              else keyed.repartitionByRange(TOKEN, BUCKET))
-    return spread.sortWithinPartitions(TOKEN, BUCKET).drop(TOKEN, BUCKET)
+    order = HashOrder(df, key, seed)
+    rows = order.rows.select(*df.columns, TOKEN)
+    if order.is_hot():
+        rows = rows.groupBy(*rows.columns).agg(F.count("*").alias(WEIGHT))
+    sort = [TOKEN, *df.columns] if order.is_hot() else [TOKEN]
+    spread = rows.repartitionByRange(*([partitions] if partitions else []), *sort) \
+        .sortWithinPartitions(*sort).drop(TOKEN)
+    return repeated(spread, WEIGHT) if order.is_hot() else spread
 
 
 def drawn_shards(num_shards: int, draws: int, replace: bool = True, seed: str = "draw"

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rareflow.functions.hashing import hash_fraction
 from rareflow.operators.encode import dictionary_join
-from rareflow.operators.neighbours import BROADCAST_CELLS, k_nearest
+from rareflow.operators.neighbours import k_nearest
 from rareflow.operators.ordering import HashOrder
 from rareflow.session import materialize
 
@@ -43,7 +43,7 @@ def synthetic_rows(df: DataFrame, target: str, key: str, features: str, k: int =
     width = points.select(F.size(features)).first()[0]
     ends = dictionary_join(
         drawn, points.select(F.col(key).alias("value"), F.col(features).alias("end")),
-        "neighbour", "end", "__end", small, BROADCAST_CELLS // width)
+        "neighbour", "end", "__end", small * (width + 3) * 8)
     between = F.zip_with(features, "__end", lambda a, b: a + (b - a) * F.col("gap"))
     return ends.withColumn(features, between).drop("__end")
 

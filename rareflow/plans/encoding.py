@@ -306,8 +306,8 @@ def dictionary_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = materialize(
         profile.build_vocabulary(df.filter("split = 'train'"), ["l_orderkey"]), "dictionary")
     size = encode.dictionary_sizes(vocabulary)["l_orderkey"]
-    joined = encode.dictionary_join(df, vocabulary, "l_orderkey", "idx", "code", size,
-                                    broadcast_rows=1000)
+    joined = encode.dictionary_join(df, vocabulary, "l_orderkey", "idx", "code", size.bytes,
+                                    broadcast_bytes=1000)
     return joined.groupBy("split").agg(
         F.count("*").alias("n"), F.count_if(F.col("code").isNull()).alias("unseen"),
-        F.sum(F.coalesce("code", F.lit(size))).alias("codes"))
+        F.sum(F.coalesce("code", F.lit(size.entries))).alias("codes"))

@@ -92,11 +92,12 @@ def with_split(df: DataFrame, key: Column | str, name: str = "split") -> DataFra
 
 
 def with_shard(df: DataFrame, key: Column | str, num_shards: int, seed: str = "shard",
-               by: str | None = None) -> DataFrame:
+               by: str | None = None, position: str | None = None) -> DataFrame:
     """``shard`` column: consecutive pieces of n // num_shards rows in key order
     within each value of ``by``; the remainder goes to shard ``num_shards``.
 
-    With fewer rows than shards every row is remainder.
+    With fewer rows than shards every row is remainder. ``position`` names a column
+    to keep the row's place in the order.
     """
     order = HashOrder(df, key, seed, by)
     per = {g: n // num_shards for g, n in order.counts().items()}
@@ -106,12 +107,19 @@ def with_shard(df: DataFrame, key: Column | str, num_shards: int, seed: str = "s
         own = (F.least(F.floor(F.col("__pos") / F.lit(size)), F.lit(num_shards))
                if size else F.lit(num_shards))
         shard = F.when(group == F.lit(value), own.cast("int")).otherwise(shard)
-    return order.positions("__pos").withColumn("shard", shard).drop("__pos")
+    placed = order.positions("__pos").withColumn("shard", shard)
+    return placed.withColumnRenamed("__pos", position) if position else placed.drop("__pos")
 
 
-def write_shards(df: DataFrame, path: str) -> str:
-    """One directory per shard, one file per directory."""
-    df.repartition("shard").write.partitionBy("shard").parquet(path)
+ROWS_PER_FILE = 2_000_000
+
+
+def write_shards(df: DataFrame, path: str, position: str, rows_per_file: int = ROWS_PER_FILE
+                 ) -> str:
+    """One directory per shard; a shard's files hold consecutive rows, so neither a
+    large shard nor a repeated key ends up in one task."""
+    piece = F.floor(F.col(position) / rows_per_file)
+    df.repartition("shard", piece).drop(position).write.partitionBy("shard").parquet(path)
     return path
 
 

@@ -29,7 +29,10 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines with order and customer features."""
+    """Lines with order and customer features.
+
+    Orders meet customers first, so the large line table is shuffled only once.
+    """
     orders = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus",
         F.nullif("o_orderpriority", F.lit("4-NOT SPECIFIED")).alias("o_orderpriority"),
@@ -37,8 +40,8 @@ def impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = table(spark, sf_dir, "customer").select(
         "c_custkey", "c_mktsegment", F.col("c_nationkey").cast("string").alias("c_nationkey"),
         "c_acctbal")
-    joined = (lines(spark, sf_dir).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-              .join(customer, F.col("o_custkey") == F.col("c_custkey")))
+    placed = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    joined = lines(spark, sf_dir).join(placed, F.col("l_orderkey") == F.col("o_orderkey"))
     return joined.select(KEY, *ONEHOT_AND_INDEX, *CONTINUOUS, *IGNORED, TARGET)
 
 
@@ -66,10 +69,3 @@ def metric_log(spark: SparkSession, sf_dir: str) -> DataFrame:
             .groupBy((F.col("user_id") % 3).alias("run"), step.alias("step"),
                      F.col("event_type").alias("tag"))
             .agg(F.avg("value").alias("value")))
-
-
-def moderation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled documents: a second natural imbalance."""
-    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("target"))
-    documents = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
-    return labels.join(documents, "doc_id")
