@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from rareflow.functions.scores import predicted_class
 from rareflow.models import kernel
 from rareflow.models.kernel import Shape
-from rareflow.operators.metrics import auroc, auroc_micro, accuracy, cross_entropy
+from rareflow.operators.metrics import score_summary
 from rareflow.session import materialize
 
 CHUNK = 65_536               # weights per merged row
@@ -276,10 +276,8 @@ class DisguiseModel(Model):
 
     def evaluate(self, dataset: DataFrame, label: str = "label") -> dict[str, float]:
         """Cross entropy, accuracy and both AUROCs on a table."""
-        scored = materialize(self.transform(dataset).select(F.col(label).alias("y"), "score"),
-                             "scored")
-        parts = (cross_entropy(scored), accuracy(scored), auroc(scored), auroc_micro(scored))
-        return {c: v for part in parts for c, v in part.first().asDict().items()}
+        summary = score_summary(self.transform(dataset), label)
+        return summary.select("cross_entropy", "accuracy", "auroc", "auroc_micro").first().asDict()
 
     def log_table(self, spark: SparkSession, run: str = "run") -> DataFrame:
         """(run, step, tag, value) of the training."""

@@ -48,14 +48,20 @@ def micro_bucket(p: Column, n: int = MICRO_THRESHOLDS) -> Column:
 
 def micro_counts(df: DataFrame, y: str = "y", p: str = "score") -> DataFrame:
     """(bucket, pos, neg, hits) over both indicator columns: at most 200 rows."""
-    label, score = F.col(y), F.col(p)
-    pairs = df.select(F.explode(F.array(
-        F.struct(label.cast("int").alias("y"), score.alias("p")),
-        F.struct((F.lit(1) - label).cast("int").alias("y"), (F.lit(1.0) - score).alias("p"))
-    )).alias("cell")).select("cell.*")
-    return pairs.groupBy(micro_bucket(F.col("p")).alias("bucket")).agg(
-        F.sum("y").alias("pos"), F.sum(F.lit(1) - F.col("y")).alias("neg"),
-        F.count_if((F.col("p") >= 0.5) == (F.col("y") == 1)).alias("hits"))
+    label = F.col(y).cast("bigint")
+    return _bucket_counts(df.select(label.alias("pos"), (F.lit(1) - label).alias("neg"),
+                                    F.col(p).alias("p")))
+
+
+def _bucket_counts(weighted: DataFrame) -> DataFrame:
+    """Bucket counts of rows (pos, neg, p) and of their mirror images."""
+    cells = weighted.select(F.explode(F.array(
+        F.struct("pos", "neg", "p"),
+        F.struct(F.col("neg").alias("pos"), F.col("pos").alias("neg"),
+                 (F.lit(1.0) - F.col("p")).alias("p")))).alias("cell")).select("cell.*")
+    hits = F.when(F.col("p") >= 0.5, F.col("pos")).otherwise(F.col("neg"))
+    return cells.groupBy(micro_bucket(F.col("p")).alias("bucket")).agg(
+        F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum(hits).alias("hits"))
 
 
 def micro_auroc_from_counts(counts: DataFrame) -> DataFrame:
@@ -85,33 +91,59 @@ def auroc_micro(df: DataFrame, y: str = "y", p: str = "score") -> DataFrame:
     return micro_auroc_from_counts(micro_counts(df, y, p))
 
 
-def score_groups(df: DataFrame, y: str = "y", p: str = "score", small: int = SMALL_ROWS
-                 ) -> DataFrame:
-    """(score, pos, neg) with the counts at smaller scores and overall."""
-    groups = df.groupBy(F.col(p).alias("score")).agg(
-        F.sum(F.col(y).cast("bigint")).alias("pos"),
-        F.sum(F.lit(1) - F.col(y).cast("bigint")).alias("neg"))
-    return running_before(materialize(groups, "score-groups"), [], "score", ["pos", "neg"], small)
+def score_groups(df: DataFrame, y: str = "y", p: str = "score") -> DataFrame:
+    """(score, pos, neg): rows of each class per distinct score, as a written table."""
+    label = F.col(y).cast("bigint")
+    return materialize(df.groupBy(F.col(p).alias("score")).agg(
+        F.sum(label).alias("pos"), F.sum(F.lit(1) - label).alias("neg")), "score-groups")
+
+
+def ranked_groups(groups: DataFrame, small: int = SMALL_ROWS) -> DataFrame:
+    """Adds the counts at smaller scores and overall."""
+    return running_before(groups, [], "score", ["pos", "neg"], small)
+
+
+def _auroc() -> Column:
+    pairs = F.col("pos").cast("double") * (F.col("neg_before") + F.col("neg") * 0.5)
+    return F.sum(pairs) / (F.max("pos_total").cast("double") * F.max("neg_total"))
 
 
 def auroc(df: DataFrame, y: str = "y", p: str = "score", small: int = SMALL_ROWS) -> DataFrame:
     """Exact rank AUROC; tied pairs count one half."""
-    g = score_groups(df, y, p, small)
-    pairs = F.col("pos").cast("double") * (F.col("neg_before") + F.col("neg") * 0.5)
-    return g.agg((F.sum(pairs) / (F.max("pos_total").cast("double") * F.max("neg_total")))
-                 .alias("auroc"))
+    return ranked_groups(score_groups(df, y, p), small).agg(_auroc().alias("auroc"))
 
 
 def average_precision(df: DataFrame, y: str = "y", p: str = "score", small: int = SMALL_ROWS
                       ) -> DataFrame:
     """Sum over distinct scores of recall gain times precision."""
-    g = score_groups(df, y, p, small)
+    g = ranked_groups(score_groups(df, y, p), small)
     tp = F.col("pos_total") - F.col("pos_before")
     fp = F.col("neg_total") - F.col("neg_before")
     return g.agg(F.sum(F.col("pos") / F.col("pos_total") * (tp / (tp + fp)))
                  .alias("average_precision"))
 
 
+def score_summary(df: DataFrame, y: str = "y", p: str = "score", small: int = SMALL_ROWS
+                  ) -> DataFrame:
+    """One row of cross entropy, accuracy, both AUROCs, precision and recall.
+
+    The rows are read once, into score groups; everything follows from those.
+    """
+    groups = score_groups(df, y, p)
+    score, pos, neg = F.col("score"), F.col("pos"), F.col("neg")
+    q, rows = clipped(score), F.sum(pos + neg)
+    mirror = F.lit(1.0) - score
+    hits = F.when(score >= 0.5, pos).otherwise(neg) + F.when(mirror >= 0.5, neg).otherwise(pos)
+    tp, fp = F.sum(F.when(score >= 0.5, pos).otherwise(0)), \
+        F.sum(F.when(score >= 0.5, neg).otherwise(0))
+    micro = micro_auroc_from_counts(_bucket_counts(groups.withColumnRenamed("score", "p")))
+    return ranked_groups(groups, small).agg(
+        (-F.sum(pos * F.log(q) + neg * F.log(F.lit(1.0) - q)) / rows).alias("cross_entropy"),
+        (F.sum(hits) / (rows * 2)).alias("accuracy"), _auroc().alias("auroc"),
+        ratio(tp, tp + fp).alias("precision"), ratio(tp, F.sum(pos)).alias("recall"),
+    ).withColumn("auroc_micro", micro.scalar())
+
+
 def ratio(a: Column, b: Column) -> Column:
     """a / b, 0 where b is 0."""
     return F.when(b == 0, F.lit(0.0)).otherwise(a / b)
@@ -188,12 +220,6 @@ def dan_components(df: DataFrame, lambd: float = 1.0, eta: float = 1.0) -> DataF
 
 def metric_bundle(df: DataFrame, best: DataFrame | None = None, y: str = "y", p: str = "score"
                   ) -> DataFrame:
-    """One row: cross entropy, accuracy, both AUROCs, precision, recall and,
-    given a one-cell table, the best validation AUROC."""
-    out = cross_entropy(df, y, p)
-    for part in (accuracy(df, y, p), auroc(df, y, p), auroc_micro(df, y, p),
-                 precision_recall_f1(df, y, p).drop("f1")):
-        out = out.withColumns({c: part.select(c).scalar() for c in part.columns})
-    if best is not None:
-        out = out.withColumn("best_validation_auroc", best.scalar())
-    return out
+    """The test result row; given a one-cell table, with the best validation AUROC."""
+    out = score_summary(df, y, p)
+    return out if best is None else out.withColumn("best_validation_auroc", best.scalar())
