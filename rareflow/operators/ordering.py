@@ -13,7 +13,6 @@ In both, only bucket summaries of bounded size are scanned in one place.
 from __future__ import annotations
 
 from collections.abc import Mapping
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -100,11 +99,9 @@ class HashOrder:
             .collect()
         )
         left = {r[GROUP]: r["left"] for r in edges}
-        tokens = (
-            self.rows.filter(_any((F.col(GROUP) == r[GROUP]) & (F.col(BUCKET) == r[BUCKET])
-                                  for r in edges))
-            .groupBy(GROUP, TOKEN).agg(F.count("*").alias("n"))
-        )
+        bucket = _lookup(F.col(GROUP), {r[GROUP]: r[BUCKET] for r in edges}, "string")
+        tokens = (self.rows.filter(F.col(BUCKET) == bucket)
+                  .groupBy(GROUP, TOKEN).agg(F.count("*").alias("n")))
         by_token = Window.partitionBy(GROUP).orderBy(TOKEN)
         need = _lookup(F.col(GROUP), left)
         hits = (
@@ -123,24 +120,20 @@ class HashOrder:
         """
         wanted = self._wanted(k)
         cuts = self._cutoffs(wanted)
-        first, rest, tied = [], [], []
-        for group, size in wanted.items():
-            here = F.col(GROUP) == F.lit(group)
-            if size == 0:
-                rest.append(here)
-                continue
-            token, left, n = cuts[group]
-            if left == n:
-                first.append(here & (F.col(TOKEN) <= F.lit(token)))
-            else:
-                first.append(here & (F.col(TOKEN) < F.lit(token)))
-                tied.append((here & (F.col(TOKEN) == F.lit(token)), left))
-            rest.append(here & (F.col(TOKEN) > F.lit(token)))
-        taken = self.rows.filter(_any(first)).select(*self.columns)
-        others = self.rows.filter(_any(rest)).select(*self.columns)
-        for condition, left in tied:
-            some, more = self._split_tied(self.rows.filter(condition), left)
-            taken, others = taken.unionByName(some), others.unionByName(more)
+        # one comparison per row: "" is below and "g" above every token
+        last = {g: cuts[g][0] if g in cuts else "" for g in wanted}
+        cut = _lookup(F.col(GROUP), last, "string")
+        whole = {g: token for g, (token, left, n) in cuts.items() if left == n}
+        taken = self.rows.filter(F.col(TOKEN) <= cut) if len(whole) == len(cuts) else \
+            self.rows.filter(F.col(TOKEN) < _lookup(
+                F.col(GROUP), {g: t + "g" if g in whole else t for g, t in last.items()}, "string"))
+        taken = taken.select(*self.columns)
+        others = self.rows.filter(F.col(TOKEN) > cut).select(*self.columns)
+        for group, (token, left, n) in cuts.items():
+            if group not in whole:
+                tied = F.col(GROUP).eqNullSafe(F.lit(group)) & (F.col(TOKEN) == F.lit(token))
+                some, more = self._split_tied(self.rows.filter(tied), left)
+                taken, others = taken.unionByName(some), others.unionByName(more)
         return taken, others
 
     def take(self, k: int | Mapping) -> DataFrame:
@@ -186,7 +179,7 @@ class HashOrder:
         inside = Window.partitionBy(GROUP, BUCKET).orderBy(TOKEN, PRINT)
         start = F.col("offset") + F.sum(WEIGHT).over(inside) - F.col(WEIGHT)
         spread = (
-            folded.join(offsets, [GROUP, BUCKET]).withColumn("start", start)
+            _with_offsets(folded, offsets).withColumn("start", start)
             .select(*self.columns,
                     F.explode(F.sequence(F.col("start"), F.col("start") + F.col(WEIGHT) - 1))
                     .alias(name)))
@@ -201,21 +194,24 @@ class HashOrder:
     def _number(self, rows: DataFrame, histogram: DataFrame, name: str) -> DataFrame:
         inside = Window.partitionBy(GROUP, BUCKET).orderBy(TOKEN)
         return (
-            rows.join(self._offsets(histogram), [GROUP, BUCKET])
+            _with_offsets(rows, self._offsets(histogram))
             .withColumn(name, F.col("offset") + F.row_number().over(inside) - 1)
             .select(*self.columns, name)
         )
 
 
-def _any(conditions) -> Column:
-    return reduce(lambda a, b: a | b, conditions, F.lit(False))
+def _with_offsets(rows: DataFrame, offsets: DataFrame) -> DataFrame:
+    """Join on group and bucket; rows without a group are kept."""
+    right = offsets.select(F.col(GROUP).alias("__g"), F.col(BUCKET).alias("__b"), "offset")
+    same = F.col(GROUP).eqNullSafe(F.col("__g")) & (F.col(BUCKET) == F.col("__b"))
+    return rows.join(right, same).drop("__g", "__b")
 
 
-def _lookup(col: Column, values: Mapping) -> Column:
+def _lookup(col: Column, values: Mapping, kind: str = "bigint") -> Column:
     """Small literal lookup, NULL for absent keys."""
-    out = F.lit(None).cast("bigint")
+    out = F.lit(None).cast(kind)
     for key, value in values.items():
-        out = F.when(col == F.lit(key), F.lit(int(value))).otherwise(out)
+        out = F.when(col.eqNullSafe(F.lit(key)), F.lit(value).cast(kind)).otherwise(out)
     return out
 
 
@@ -291,12 +287,37 @@ def running_before(values: DataFrame, by: list[str], order: str, sums: list[str]
         *[f"{s}_total" for s in sums])
 
 
+def counted_values(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by..., value, n) of the non-null values, as a written table."""
+    return materialize(
+        df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n")),
+        "value-counts")
+
+
+def weighted_moments(counted: DataFrame, by: list[str], value: str) -> DataFrame:
+    """n, mean, sample std, min and max per group of a table of counted values."""
+    v, n = F.col(value), F.col("n")
+    first = counted.groupBy(*by).agg(
+        F.sum("n").alias("__n"), (F.sum(v * n) / F.sum(n)).alias("mean"),
+        F.min(v).alias("min"), F.max(v).alias("max"))
+    # one row per group; the deviations need the mean, so the values are read again
+    spread = counted.join(first, by).groupBy(*by).agg(
+        F.sum((v - F.col("mean")) * (v - F.col("mean")) * n).alias("__squares"))
+    return first.join(spread, by).select(
+        *by, F.col("__n").alias("n"), "mean",
+        F.sqrt(F.when(F.col("__n") > 1, F.col("__squares") / (F.col("__n") - 1))).alias("std"),
+        "min", "max")
+
+
 def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: Mapping[str, float],
                     small: int = SMALL_ROWS) -> DataFrame:
     """Linear-interpolated quantiles of the non-null values of each group."""
-    counted = materialize(
-        df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n")),
-        "value-counts")
+    return counted_quantiles(counted_values(df, by, value), by, value, probs, small)
+
+
+def counted_quantiles(counted: DataFrame, by: list[str], value: str, probs: Mapping[str, float],
+                      small: int = SMALL_ROWS) -> DataFrame:
+    """The same from a table of counted values."""
     ranked = running_before(counted, by, value, ["n"], small)
     aggs = []
     for name, p in probs.items():

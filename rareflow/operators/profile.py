@@ -7,7 +7,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from rareflow.operators.ordering import exact_quantiles, running_before
+from rareflow.operators.ordering import (
+    counted_quantiles, counted_values, running_before, weighted_moments)
 from rareflow.session import materialize
 
 
@@ -46,12 +47,14 @@ QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 
 def describe_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """count, mean, sample std, min, exact quartiles, max per column."""
-    tall = melt(df, columns, "double").filter("value is not null")
-    moments = tall.groupBy("column").agg(
-        F.count("value").alias("n"), F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
-        F.max("value").alias("max"))
-    return moments.join(exact_quantiles(tall, ["column"], "value", QUARTILES), "column")
+    return _moments_and_quartiles(melt(df, columns, "double"), "column")
+
+
+def _moments_and_quartiles(rows: DataFrame, by: str) -> DataFrame:
+    """The rows are read once, into counted values; the rest follows from those."""
+    counted = counted_values(rows, [by], "value")
+    moments = weighted_moments(counted, [by], "value")
+    return moments.join(counted_quantiles(counted, [by], "value", QUARTILES), by)
 
 
 def null_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -139,8 +142,5 @@ def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
 
 def trial_summary(df: DataFrame, model: str, value: str) -> DataFrame:
     """Mean and box-plot numbers of a metric per model."""
-    rows = df.filter(F.col(value).isNotNull())
-    moments = rows.groupBy(model).agg(
-        F.count("*").alias("trials"), F.avg(value).alias("mean"),
-        F.min(value).alias("min"), F.max(value).alias("max"))
-    return moments.join(exact_quantiles(rows, [model], value, QUARTILES), model)
+    out = _moments_and_quartiles(df.select(model, F.col(value).alias("value")), model)
+    return out.withColumnRenamed("n", "trials").drop("std")

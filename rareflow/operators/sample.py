@@ -143,7 +143,7 @@ def mixed_batches(df: DataFrame, target: str, key: Column | str, batches: int,
     order = HashOrder(df, key, seed, target)
     size = F.lit(None).cast("bigint")
     for value, n in order.counts().items():
-        size = F.when(F.col(target) == F.lit(value), F.lit(n)).otherwise(size)
+        size = F.when(F.col(target).eqNullSafe(F.lit(value)), F.lit(n)).otherwise(size)
     batch = F.floor(F.col("__pos") * batches / size).cast("int")
     return order.positions("__pos").withColumn("batch", batch).drop("__pos")
 

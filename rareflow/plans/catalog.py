@@ -16,7 +16,8 @@ from rareflow.sources.tables import (
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scan, clean, profile, encode, rebalance: class balance before and after."""
-    raw = with_split(clean.normalize_missing(impressions(spark, sf_dir)), KEY)
+    raw = materialize(with_split(clean.normalize_missing(impressions(spark, sf_dir)), KEY),
+                      "impressions")
     features = raw.drop(KEY, "split")
     roles = clean.assign_roles(profile.cardinality_profile(features, features.columns),
                                ONEHOT_AND_INDEX, CONTINUOUS, IGNORED, TARGET)

@@ -123,7 +123,9 @@ ENCODED_COLUMNS = ", ".join(
 
 
 def encoder_model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, encode.FeatureEncoderModel]:
-    df = with_split(clean.normalize_missing(impressions(spark, sf_dir)), KEY)
+    # written once: the join would run again for vocabularies, statistics and encoding
+    df = materialize(with_split(clean.normalize_missing(impressions(spark, sf_dir)), KEY),
+                     "impressions")
     encoder = encode.FeatureEncoder(SPEC, "split = 'train'", keep=[KEY, "split"])
     return df, encoder.fit(df)
 

@@ -106,7 +106,7 @@ def with_shard(df: DataFrame, key: Column | str, num_shards: int, seed: str = "s
     for value, size in per.items():
         own = (F.least(F.floor(F.col("__pos") / F.lit(size)), F.lit(num_shards))
                if size else F.lit(num_shards))
-        shard = F.when(group == F.lit(value), own.cast("int")).otherwise(shard)
+        shard = F.when(group.eqNullSafe(F.lit(value)), own.cast("int")).otherwise(shard)
     placed = order.positions("__pos").withColumn("shard", shard)
     return placed.withColumnRenamed("__pos", position) if position else placed.drop("__pos")
 

@@ -19,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The line-level part of the impression table: no join."""
     key = F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
-                      F.round(F.col("l_extendedprice") * 100).cast("bigint"))
+                      F.floor(F.col("l_extendedprice") * 100 + 0.5))
     text = [F.col(c).cast("string").alias(c) for c in ("l_linenumber", "l_suppkey", "l_partkey")]
     return table(spark, sf_dir, "lineitem").select(
         F.md5(key.cast("binary")).alias(KEY), "l_orderkey", "l_returnflag", "l_linestatus", *text,

@@ -104,3 +104,15 @@ def test_quantiles_match_pandas(spark, small):
                           {"a": 0.25, "b": 0.5, "c": 0.9}, small).toPandas().set_index("g")
     want = pdf.groupby("g")["v"].quantile([0.25, 0.5, 0.9]).unstack()
     np.testing.assert_allclose(got.loc[[0, 1], ["a", "b", "c"]].to_numpy(), want.to_numpy())
+
+
+def test_rows_without_a_class_are_kept(numbered):
+    gaps = numbered.withColumn("target", F.when(F.col("id") % 5 != 0, F.col("target")))
+    order = HashOrder(gaps, "row_key", "s", "target")
+    placed = order.positions()
+    assert placed.count() == 2000
+    missing = placed.filter("target is null")
+    assert missing.count() == 400 and missing.agg(F.max("position")).first()[0] == 399
+    first, rest = order.split({None: 100, 0: 10})
+    assert first.filter("target is null").count() == 100 and first.count() == 110
+    assert rest.filter("target is null").count() == 300
