@@ -92,14 +92,61 @@ def _gradients(shape: Shape, training: Training, w: dict, x: np.ndarray, y: np.n
     return labelled, negative, sums
 
 
-def training_round(rows: DataFrame, shape: Shape, training: Training, flat: np.ndarray,
-                   state: kernel.Adam, epoch: int) -> tuple[np.ndarray, dict[str, float]]:
-    """One pass over (features, label); new weights and the mean step metrics."""
+def _step_metrics(sums: np.ndarray, shape: Shape, training: Training) -> dict[str, float]:
+    """Mean losses of a pass from the sums of its batches."""
+    n, negatives = sums[1], max(sums[6], 1.0)
+    metrics = {"cross entropy": sums[0] / n}
+    if training.use_disguise and shape.disguise is not None:
+        entropy, quality, change = sums[2] / negatives, sums[3] / negatives, sums[4] / negatives
+        metrics |= {
+            "predictive entropy": entropy,
+            "discriminator loss": metrics["cross entropy"] + training.eta * entropy,
+            "disguise quality": quality, "disguise success rate": sums[5] / negatives,
+            "regularizer": change, "disguise loss": training.lambd * change - quality}
+    return {k: float(v) for k, v in metrics.items()}
+
+
+def _run(rows: DataFrame, work) -> dict[int, tuple[float, np.ndarray]]:
+    merged = _merge(rows.mapInArrow(work, CHUNK_SCHEMA))
+    if not merged:
+        raise ValueError("no training rows")
+    return merged
+
+
+def full_gradient(rows: DataFrame, shape: Shape, training: Training, flat: np.ndarray
+                  ) -> tuple[np.ndarray, dict[str, float]]:
+    """Gradient and losses over all rows at fixed weights; partitions do not matter."""
     sent, dtype = rows.sparkSession.sparkContext.broadcast(flat), training.dtype
 
-    def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, adam, total = sent.value.astype(dtype), kernel.Adam(training.learning_rate), np.zeros(7)
-        rng = np.random.default_rng([training.seed, epoch])
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, total = kernel.as_blocks(shape, sent.value.astype(dtype)), np.zeros(7)
+        labelled, negative = np.zeros_like(sent.value), np.zeros_like(sent.value)
+        for batch in batches:
+            a, b, sums = _gradients(shape, training, w, _matrix(batch, "features", dtype),
+                                    batch.column("label").to_numpy())
+            labelled, negative, total = labelled + a, negative + b, total + sums
+        if total[1]:
+            yield _chunks(LABELLED, total[1], labelled / total[1])
+            yield _chunks(SUMS, 1.0, total)
+        if total[6]:
+            yield _chunks(NEGATIVE, total[6], negative / total[6])
+
+    merged = _run(rows, work)
+    sent.unpersist()
+    parts, mean = merged[SUMS]
+    gradient = merged[LABELLED][1] + (merged[NEGATIVE][1] if NEGATIVE in merged else 0.0)
+    return gradient, _step_metrics(mean * parts, shape, training)
+
+
+def averaged_pass(rows: DataFrame, shape: Shape, training: Training, flat: np.ndarray,
+                  epoch: int) -> tuple[np.ndarray, dict[str, float]]:
+    """Every task trains on its own rows in mini-batches; the weights are averaged
+    by the number of rows."""
+    sent, dtype = rows.sparkSession.sparkContext.broadcast(flat), training.dtype
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, adam = sent.value.astype(dtype), kernel.Adam(training.learning_rate)
+        rng, total = np.random.default_rng([training.seed, epoch]), np.zeros(7)
         for batch in batches:
             x, y = _matrix(batch, "features", dtype), batch.column("label").to_numpy()
             order = rng.permutation(len(y))
@@ -113,42 +160,21 @@ def training_round(rows: DataFrame, shape: Shape, training: Training, flat: np.n
             yield _chunks(LABELLED, total[1], own)
             yield _chunks(SUMS, 1.0, total)
 
-    def gradient(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, total = kernel.as_blocks(shape, sent.value.astype(dtype)), np.zeros(7)
-        labelled, negative = np.zeros_like(sent.value), np.zeros_like(sent.value)
-        for batch in batches:
-            a, b, sums = _gradients(shape, training, w, _matrix(batch, "features", dtype),
-                                    batch.column("label").to_numpy())
-            labelled, negative, total = labelled + a, negative + b, total + sums
-        if total[1]:
-            yield _chunks(LABELLED, total[1], labelled / total[1])
-            yield _chunks(SUMS, 1.0, total)
-        if total[6]:
-            yield _chunks(NEGATIVE, total[6], negative / total[6])
-
-    work = average if training.sync == "average" else gradient
-    merged = _merge(rows.mapInArrow(work, CHUNK_SCHEMA))
+    merged = _run(rows, work)
     sent.unpersist()
-    if not merged:
-        raise ValueError("no training rows")
     parts, mean = merged[SUMS]
-    sums = mean * parts
+    return merged[LABELLED][1], _step_metrics(mean * parts, shape, training)
+
+
+def training_round(rows: DataFrame, shape: Shape, training: Training, flat: np.ndarray,
+                   state: kernel.Adam, epoch: int) -> tuple[np.ndarray, dict[str, float]]:
+    """One pass over (features, label); new weights and the mean step metrics."""
     if training.sync == "average":
-        new = merged[LABELLED][1]
-    else:
-        step = merged[LABELLED][1] + (merged[NEGATIVE][1] if NEGATIVE in merged else 0.0)
-        new = flat.copy()
-        state.step(new, step)
-    n, negatives = sums[1], max(sums[6], 1.0)
-    metrics = {"cross entropy": sums[0] / n}
-    if training.use_disguise and shape.disguise is not None:
-        entropy, quality, change = sums[2] / negatives, sums[3] / negatives, sums[4] / negatives
-        metrics |= {
-            "predictive entropy": entropy,
-            "discriminator loss": metrics["cross entropy"] + training.eta * entropy,
-            "disguise quality": quality, "disguise success rate": sums[5] / negatives,
-            "regularizer": change, "disguise loss": training.lambd * change - quality}
-    return new, {k: float(v) for k, v in metrics.items()}
+        return averaged_pass(rows, shape, training, flat, epoch)
+    gradient, metrics = full_gradient(rows, shape, training, flat)
+    new = flat.copy()
+    state.step(new, gradient)
+    return new, metrics
 
 
 def training_rows(df: DataFrame, features: str, label: str, workers: int | None) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rareflow.functions.scores import predicted_class
 from rareflow.models import baselines, kernel
 from rareflow.models.dan import (
-    DisguiseClassifier, DisguiseModel, Training, load_checkpoint)
+    DisguiseClassifier, DisguiseModel, Training, full_gradient, load_checkpoint, training_rows)
 from rareflow.models.kernel import Shape
 from rareflow.operators import matrix, metrics
 from rareflow.operators.smote import smote
@@ -99,6 +100,81 @@ def disguise_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(matrix.cells(moved, ["vec_id"], "disguised"), ["value"])
 
 
+def fixed_dan() -> tuple[Shape, np.ndarray]:
+    """Both fixed linear networks in one weight vector."""
+    shape = Shape(WIDTH, (), (), batch_norm=False)
+    flat = np.zeros(shape.size)
+    mine = kernel.as_blocks(shape, flat)
+    for model in (fixed_logistic(), fixed_disguise()):
+        given = kernel.as_blocks(model.shape, model.flat)
+        for name in given:
+            if np.any(given[name]):
+                mine[name][:] = given[name]
+    return shape, flat
+
+
+FIXED = Training(lambd=0.5, eta=0.25, sync="gradient", dtype="float64")
+STEP = CELLS + """, wd AS (SELECT CAST(i AS INTEGER) AS pos, ((37 * i) % 19 - 9) / CAST(10 AS DOUBLE)
+  AS w FROM range(0, 64) AS g(i)),
+plain AS (SELECT vec_id, any_value(conversion_target) AS y, sum(value * w) - CAST('0.3' AS DOUBLE)
+  AS z FROM cells JOIN wd USING (pos) GROUP BY 1),
+moved AS (SELECT vec_id, CAST(j AS INTEGER) AS pos,
+  sum(value * (((31 * pos + 17 * j) % 13 - 6) / CAST(100 AS DOUBLE))) + j / CAST(64 AS DOUBLE) AS t
+  FROM cells, range(0, 64) AS g(j) WHERE conversion_target = 0 GROUP BY vec_id, j),
+after AS (SELECT vec_id, 1 / (1 + exp(-(sum(t * w) - CAST('0.3' AS DOUBLE)))) AS q,
+  sum(abs(t - value)) AS shift FROM moved JOIN wd USING (pos) JOIN cells USING (vec_id, pos)
+  GROUP BY 1),
+losses AS (SELECT *, -(q * ln(q) + (1 - q) * ln(1 - q)) AS h FROM after),
+ce AS (SELECT avg(ln(1 + exp(CASE y WHEN 1 THEN -z ELSE z END))) AS ce FROM plain),
+parts AS (SELECT any_value(ce) AS ce, avg(h) AS pe, avg(ln(q)) AS quality,
+  avg(CAST(q >= 0.5 AS INTEGER)) AS success, avg(shift) AS reg FROM losses, ce)"""
+
+
+@query("dan_step_metrics", with_(STEP, """SELECT tag, round(value, 6) AS value FROM (
+  SELECT 'cross entropy' AS tag, ce AS value FROM parts
+  UNION ALL SELECT 'predictive entropy', pe FROM parts
+  UNION ALL SELECT 'discriminator loss', ce + 0.25 * pe FROM parts
+  UNION ALL SELECT 'disguise quality', quality FROM parts
+  UNION ALL SELECT 'disguise success rate', success FROM parts
+  UNION ALL SELECT 'regularizer', reg FROM parts
+  UNION ALL SELECT 'disguise loss', 0.5 * reg - quality FROM parts)"""))
+def dan_step_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The losses of one training pass at fixed weights."""
+    rows = training_rows(everything(spark, sf_dir), "features", "label", None)
+    shape, flat = fixed_dan()
+    _, found = full_gradient(rows, shape, FIXED, flat)
+    return rounded(spark.createDataFrame(list(found.items()), "tag string, value double"),
+                   ["value"])
+
+
+@query("dan_gradient", with_(STEP + """, counts AS (SELECT count(*) AS n,
+  count(*) FILTER (y = 0) AS neg FROM plain),
+direct AS (SELECT pos, sum((1 / (1 + exp(-z)) - y) * value) / any_value(n) AS g
+  FROM cells JOIN plain USING (vec_id), counts GROUP BY 1),
+entropy AS (SELECT pos, sum(-q * (ln(q) + h) * t) / any_value(neg) AS g
+  FROM moved JOIN losses USING (vec_id), counts GROUP BY 1),
+slope AS (SELECT vec_id, pos, (q - 1) * w + 0.5 * sign(t - value) AS d FROM moved
+  JOIN losses USING (vec_id) JOIN wd USING (pos) JOIN cells USING (vec_id, pos))""", """SELECT
+  'd0w' AS block, pos AS i, 1 AS j, round(direct.g + 0.25 * entropy.g, 6) + 0 AS value
+  FROM direct JOIN entropy USING (pos)
+  UNION ALL SELECT 'd0w', pos, 0, round(-direct.g - 0.25 * entropy.g, 6) + 0
+  FROM direct JOIN entropy USING (pos)
+  UNION ALL SELECT 't0w', c.pos, s.pos, round(sum(c.value * d) / any_value(neg), 6) + 0
+  FROM cells c JOIN slope s USING (vec_id), counts GROUP BY c.pos, s.pos
+  UNION ALL SELECT 't0b', 0, pos, round(sum(d) / any_value(neg), 6) + 0
+  FROM slope, counts GROUP BY pos"""))
+def dan_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The full-pass gradient of both networks at fixed weights."""
+    shape, flat = fixed_dan()
+    rows = training_rows(everything(spark, sf_dir), "features", "label", None)
+    gradient, _ = full_gradient(rows, shape, FIXED, flat)
+    blocks = kernel.as_blocks(shape, gradient)
+    cells = [(name, i, j, float(v)) for name in ("d0w", "t0w", "t0b")
+             for (i, j), v in np.ndenumerate(np.atleast_2d(blocks[name]))]
+    return rounded(spark.createDataFrame(cells, "block string, i int, j int, value double"),
+                   ["value"])
+
+
 @query("early_stopping")
 def early_stopping(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, validation, _ = labelled(spark, sf_dir)
