@@ -104,6 +104,14 @@ def role_table(profile: DataFrame, spec: FeatureSpec) -> DataFrame:
             .select("column", "cardinality", role.alias("role")))
 
 
+def with_roles(df: DataFrame, spec: FeatureSpec) -> DataFrame:
+    """Write each column's role into the schema's metadata."""
+    for column, role in spec.roles().items():
+        if column in df.columns:
+            df = df.withMetadata(column, {"role": role})
+    return df
+
+
 def impute(df: DataFrame, categorical: Sequence[str] = (), continuous: Sequence[str] = ()
            ) -> DataFrame:
     """Missing category -> '-1', missing number -> 0; categories become text."""

@@ -21,7 +21,7 @@ from rareflow.session import materialize
 
 PREFIX_DIGITS = 4            # 65,536 hash buckets
 HOT_ROWS = 2_000_000         # largest bucket one task ranks
-SMALL_ROWS = 500_000         # ordered groups up to this size need no splitters
+SMALL_ROWS = 1_000_000       # distinct values up to this count need no splitters
 VALUE_BUCKETS = 4096         # splitters over all groups of a value order
 FINE_CUTS = 64
 
@@ -136,6 +136,19 @@ class HashOrder:
                 taken, others = taken.unionByName(some), others.unionByName(more)
         return taken, others
 
+    def mark(self, k: int | Mapping, name: str) -> DataFrame:
+        """All rows of the groups in one pass; ``name`` is 1 for the first k, else 0."""
+        wanted = self._wanted(k)
+        cuts = self._cutoffs(wanted)
+        if any(left < n for _, left, n in cuts.values()):
+            taken, others = self.split(wanted)
+            return taken.withColumn(name, F.lit(1)).unionByName(
+                others.withColumn(name, F.lit(0)))
+        last = {g: cuts[g][0] if g in cuts else "" for g in wanted}
+        cut = _lookup(F.col(GROUP), last, "string")
+        return (self.rows.select(*self.columns, (F.col(TOKEN) <= cut).cast("int").alias(name))
+                .filter(F.col(name).isNotNull()))
+
     def take(self, k: int | Mapping) -> DataFrame:
         return self.split(k)[0]
 

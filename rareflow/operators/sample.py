@@ -85,8 +85,16 @@ def cap_classes(df: DataFrame, target: str, key: Column | str, positives: int,
 def stratified_split(df: DataFrame, target: str, key: Column | str, share: float = 0.8,
                      seed: str = "split") -> tuple[DataFrame, DataFrame]:
     """(train, test) with floor(share * n) rows of each class in train."""
+    marked = stratified_mark(df, target, key, share, seed)
+    return (marked.filter("in_train = 1").drop("in_train"),
+            marked.filter("in_train = 0").drop("in_train"))
+
+
+def stratified_mark(df: DataFrame, target: str, key: Column | str, share: float = 0.8,
+                    seed: str = "split") -> DataFrame:
+    """The same split as a column ``in_train``, in one pass over the rows."""
     order = HashOrder(df, key, seed, target)
-    return order.split({c: int(share * n) for c, n in order.counts().items()})
+    return order.mark({c: int(share * n) for c, n in order.counts().items()}, "in_train")
 
 
 def shuffle_rows(df: DataFrame, key: Column | str, seed: str = "shuffle",

@@ -9,6 +9,7 @@ from rareflow.functions.scores import predicted_class
 from rareflow.models import baselines, kernel
 from rareflow.models.dan import (
     DisguiseClassifier, DisguiseModel, Training, full_gradient, load_checkpoint, training_rows)
+from rareflow.models.experiment import run_experiment
 from rareflow.models.kernel import Shape
 from rareflow.operators import matrix, metrics
 from rareflow.operators.smote import smote
@@ -271,6 +272,16 @@ def mlp_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bundle(model.transform(test))
 
 
+@query("experiment")
+def experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Oversampled positives, adversarial training, recorded test result."""
+    train, validation, test = labelled(spark, sf_dir)
+    path = scratch_path(spark, "experiment")
+    run_experiment("run-1", train, validation, test, DAN_SHAPE, QUICK, oversample_times=5,
+                   checkpoint_dir=f"{path}/checkpoints", results_dir=path)
+    return spark.read.parquet(f"{path}/results")
+
+
 SWEEP = Training(epochs=1, learning_rate=5e-3, batch_size=64)
 
 

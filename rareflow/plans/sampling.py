@@ -95,9 +95,9 @@ def cap_class_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
   CASE WHEN k <= floor(CAST('0.8' AS DOUBLE) * CASE conversion_target WHEN 1 THEN pos ELSE neg END)
   THEN 'train' ELSE 'test' END AS part FROM ranked, sizes"""))
 def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, test = sample.stratified_split(base(spark, sf_dir), TARGET, KEY)
-    return train.withColumn("part", F.lit("train")).unionByName(
-        test.withColumn("part", F.lit("test")))
+    marked = sample.stratified_mark(base(spark, sf_dir), TARGET, KEY)
+    part = F.when(F.col("in_train") == 1, F.lit("train")).otherwise(F.lit("test"))
+    return marked.select(KEY, TARGET, part.alias("part"))
 
 
 @query("shuffle_rows", with_(LINES, f"SELECT {KEPT} FROM lines"))

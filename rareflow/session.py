@@ -41,9 +41,20 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/rareflow/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder; never reused, so reruns cannot collide."""
-    return f"{shared_dir(spark)}/rareflow/{label}-{uuid.uuid4().hex}"
+    return f"{_own_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables; DataFrames built on them
+    cannot be read afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

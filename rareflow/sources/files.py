@@ -44,6 +44,11 @@ def with_path_class(df: DataFrame, name: str = "path_class") -> DataFrame:
         .when(path.contains("negative"), F.lit("negative")).alias(name))
 
 
+def read_class(spark: SparkSession, path: str, value: str) -> DataFrame:
+    """Only the files of one class from ``class=`` directories (partition pruning)."""
+    return spark.read.parquet(path).filter(F.col("class") == value)
+
+
 def schema_report(sources: Mapping[str, DataFrame], expected: Sequence[str]) -> DataFrame:
     """(source, column, present, non_null) for every source and column known."""
     known = sorted(set(expected).union(*[df.columns for df in sources.values()]))

@@ -16,15 +16,13 @@ def two_gaussians(keys: DataFrame, key: str, positive_prop: float = 0.1, num_fea
                   seed: str = "gauss") -> DataFrame:
     """One labelled row per key; exactly round(n * positive_prop) positives."""
     order = HashOrder(keys.select(key), key, f"{seed}:label")
-    positives, negatives = order.split(round(order.total() * positive_prop))
-
-    def rows(df: DataFrame, label: int, mu: float, sigma: float) -> DataFrame:
-        draws = [(F.lit(mu) + F.lit(sigma) * hash_normal(key, f"{seed}:x{i}")).alias(f"x{i}")
-                 for i in range(num_features)]
-        return df.select(key, *draws, F.lit(label).alias("label"))
-
-    return rows(positives, 1, positive_mu, positive_sigma).unionByName(
-        rows(negatives, 0, negative_mu, negative_sigma))
+    labelled = order.mark(round(order.total() * positive_prop), "label")
+    positive = F.col("label") == 1
+    mu = F.when(positive, F.lit(positive_mu)).otherwise(F.lit(negative_mu))
+    sigma = F.when(positive, F.lit(positive_sigma)).otherwise(F.lit(negative_sigma))
+    draws = [(mu + sigma * hash_normal(key, f"{seed}:x{i}")).alias(f"x{i}")
+             for i in range(num_features)]
+    return labelled.select(key, *draws, "label")
 
 
 def mixed_table(keys: DataFrame, key: str, num_continuous: int = 4,

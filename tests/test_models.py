@@ -229,3 +229,17 @@ def test_tuning_ranks_penalties(gaussians):
     train = baselines.as_vector(gaussians)
     rows = baselines.tune_on_validation(train, train, "label", grid=[0.001, 1.0]).collect()
     assert len(rows) == 2 and rows[0]["auroc"] >= rows[1]["auroc"]
+
+
+def test_experiment_records_result_and_log(spark, gaussians, tmp_path):
+    from rareflow.models.experiment import run_experiment
+    _, result = run_experiment(
+        "r1", gaussians, gaussians, gaussians, Shape(2, (4,), (4,)),
+        Training(epochs=2, workers=2), oversample_times=3, checkpoint_dir=str(tmp_path / "c"),
+        results_dir=str(tmp_path / "out"))
+    row = spark.read.parquet(str(tmp_path / "out/results")).first()
+    assert row["run_id"] == "r1" and row["oversample"] == 3 and row["lambd"] == 1.0
+    assert row["auroc"] == pytest.approx(result.first()["auroc"])
+    log = spark.read.parquet(str(tmp_path / "out/log"))
+    best = log.filter("tag = 'validation auroc'").agg(F.max("value")).first()[0]
+    assert row["best_validation_auroc"] == best
