@@ -5,7 +5,7 @@ Two orders occur:
 * hash order (sampling, shuffling, sharding): rows fall evenly into buckets by
   the first hex digits of their token, so bucket counts give global offsets;
 * value order (AUROC, quantiles, vocabularies, series): rows are first reduced
-  to distinct values, then cut into even buckets at hash-chosen splitters.
+  to distinct values, then range-partitioned into even slices.
 
 In both, only bucket summaries of bounded size are scanned in one place.
 """
@@ -21,9 +21,7 @@ from rareflow.session import materialize
 
 PREFIX_DIGITS = 4            # 65,536 hash buckets
 HOT_ROWS = 2_000_000         # largest bucket one task ranks
-SMALL_ROWS = 1_000_000       # distinct values up to this count need no splitters
-VALUE_BUCKETS = 4096         # splitters over all groups of a value order
-FINE_CUTS = 64
+SMALL_ROWS = 1_000_000       # distinct values up to this count are ranked as they are
 
 TOKEN, BUCKET, PRINT, WEIGHT = "__token", "__bucket", "__print", "__weight"
 GROUP = "__group"
@@ -244,29 +242,14 @@ def value_buckets(values: DataFrame, by: list[str], order: str,
 
     ``values`` must hold distinct (by, order) rows and be cheap to read again
     (a written table). Up to ``small`` rows, one slice per group is enough;
-    returns that as ``False`` in the second element.
+    returns that as ``False`` in the second element. Beyond, Spark's range
+    partitioning makes the slices; they are written with the rows, so that all
+    later steps see the same ones.
     """
-    n = values.count()
-    if n <= small:
+    if values.count() <= small:
         return values.withColumn(BUCKET, F.lit(0)), False
-    step = max(1, n // VALUE_BUCKETS)
-    chosen = values.filter(F.pmod(F.xxhash64(*by, order), F.lit(step)) == 0)
-    # about VALUE_BUCKETS values over all groups, whatever n is
-    cuts = (chosen.groupBy(*by) if by else chosen.groupBy(F.lit(0).alias(GROUP)))
-    cuts = cuts.agg(F.sort_array(F.collect_list(order)).alias("__cuts"))
-    cuts = cuts.withColumn(
-        "__coarse", F.filter("__cuts", lambda _, i: i % FINE_CUTS == FINE_CUTS - 1))
-    if by:
-        cut = values.join(F.broadcast(cuts), by, "left")
-    else:
-        cut = values.withColumn(GROUP, F.lit(0)).join(F.broadcast(cuts), GROUP, "left").drop(GROUP)
-    value = F.col(order)
-    start = F.size(F.filter("__coarse", lambda c: c <= value)) * FINE_CUTS
-    fine = F.size(F.filter(F.slice("__cuts", F.col("__start") + 1, FINE_CUTS),
-                           lambda c: c <= value))
-    bucket = F.when(F.col("__cuts").isNull(), F.lit(0)).otherwise(F.col("__start") + fine)
-    return (cut.withColumn("__start", start).withColumn(BUCKET, bucket)
-            .drop("__cuts", "__coarse", "__start"), True)
+    placed = values.repartitionByRange(*by, order).withColumn(BUCKET, F.spark_partition_id())
+    return materialize(placed, "value-slices"), True
 
 
 def running_before(values: DataFrame, by: list[str], order: str, sums: list[str],
@@ -283,7 +266,7 @@ def running_before(values: DataFrame, by: list[str], order: str, sums: list[str]
             *[(F.sum(s).over(upto) - F.col(s)).alias(f"{s}_before") for s in sums],
             *[F.sum(s).over(inside).alias(f"{s}_total") for s in sums])
     slices = cut.groupBy(*by, BUCKET).agg(*[F.sum(s).alias(f"__{s}") for s in sums])
-    # one row per slice: about VALUE_BUCKETS rows plus one per group
+    # one row per group and range partition it touches
     slices = slices.withColumn(GROUP, F.lit(0))
     inside = Window.partitionBy(GROUP, *by)
     upto = inside.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, 0)

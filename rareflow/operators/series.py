@@ -40,7 +40,10 @@ def _neighbours(rows: DataFrame, by: list[str], order: str, columns: Sequence[st
     cut, split = value_buckets(rows, by, order, small)
     local = Window.partitionBy(*by, BUCKET).orderBy(order)
     upto = local.rowsBetween(Window.unboundedPreceding, 0)
-    after = local.rowsBetween(0, Window.unboundedFollowing)
+    # looking ahead is looking back in reverse order: frames that end at the last
+    # row are recomputed for every row
+    after = Window.partitionBy(*by, BUCKET).orderBy(F.desc(order)) \
+        .rowsBetween(Window.unboundedPreceding, 0)
     pos = F.row_number().over(local) - 1
     if not split:
         known = lambda c: F.when(F.col(c).isNotNull(), F.struct(
@@ -49,7 +52,7 @@ def _neighbours(rows: DataFrame, by: list[str], order: str, columns: Sequence[st
         return numbered.select(
             *rows.columns, "__pos",
             *[F.last(known(c), ignorenulls=True).over(upto).alias(f"__prev_{c}") for c in columns],
-            *[F.first(known(c), ignorenulls=True).over(after).alias(f"__next_{c}")
+            *[F.last(known(c), ignorenulls=True).over(after).alias(f"__next_{c}")
               for c in columns])
     sizes = cut.groupBy(*by, BUCKET).agg(F.count("*").alias("__n"))
     slices = Window.partitionBy(*by).orderBy(BUCKET)
@@ -64,19 +67,20 @@ def _neighbours(rows: DataFrame, by: list[str], order: str, columns: Sequence[st
         *[F.min_by(known(c), F.when(F.col(c).isNotNull(), F.col("__pos"))).alias(f"__first_{c}")
           for c in columns])
     earlier = slices.rowsBetween(Window.unboundedPreceding, -1)
-    later = slices.rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy(*by).orderBy(F.desc(BUCKET)) \
+        .rowsBetween(Window.unboundedPreceding, -1)
     carried = edges.select(
         *by, BUCKET,
         *[F.last(f"__last_{c}", ignorenulls=True).over(earlier).alias(f"__before_{c}")
           for c in columns],
-        *[F.first(f"__first_{c}", ignorenulls=True).over(later).alias(f"__behind_{c}")
+        *[F.last(f"__first_{c}", ignorenulls=True).over(later).alias(f"__behind_{c}")
           for c in columns])
     joined = numbered.join(carried, [*by, BUCKET])
     return joined.select(
         *rows.columns, "__pos",
         *[F.coalesce(F.last(known(c), ignorenulls=True).over(upto), F.col(f"__before_{c}"))
           .alias(f"__prev_{c}") for c in columns],
-        *[F.coalesce(F.first(known(c), ignorenulls=True).over(after), F.col(f"__behind_{c}"))
+        *[F.coalesce(F.last(known(c), ignorenulls=True).over(after), F.col(f"__behind_{c}"))
           .alias(f"__next_{c}") for c in columns])
 
 
