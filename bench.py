@@ -26,12 +26,11 @@ from rareflow.session import local_session, materialize  # noqa: E402
 from rareflow.sources.tables import TARGET  # noqa: E402
 
 HEADLINE = [
-    "scan_csv_gz", "shard_table", "write_processed", "cardinality_profile", "describe_numeric",
-    "build_vocabulary", "numeric_stats", "equi_width_histogram", "feature_shift_ranking",
-    "index_encode", "feature_encoding", "dictionary_join", "assemble_sparse",
-    "rebalance_validation", "sample_balanced", "thin_positive_shards", "oversample_positive",
-    "stratified_split", "smote", "class_mixed_batches", "predict_proba", "gaussian_nb",
-    "metric_auroc", "metric_auroc_micro", "metric_bundle", "metric_outer_join", "fill_series",
+    "scan_csv_gz", "shard_table", "cardinality_profile", "describe_numeric", "build_vocabulary",
+    "numeric_stats", "equi_width_histogram", "feature_shift_ranking", "index_encode",
+    "feature_encoding", "dictionary_join", "assemble_sparse", "rebalance_validation",
+    "oversample_positive", "stratified_split", "smote", "predict_proba", "metric_auroc",
+    "metric_auroc_micro", "metric_bundle", "metric_outer_join", "fill_series",
 ]
 
 

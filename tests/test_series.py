@@ -73,3 +73,11 @@ def test_log_union_and_range(spark):
 def test_best_score_without_logs(spark):
     log = spark.createDataFrame([], "tag string, value double")
     assert series.best_score(log, "validation auroc").first()[0] == float("-inf")
+
+
+def test_no_frame_runs_to_the_end(spark, gaps):
+    """Such frames are recomputed for every row: quadratic in the run's length."""
+    for small in (50, 1_000_000):
+        filled = series.fill_series(to_spark(spark, gaps), ["run"], "step", ["a", "b"], small)
+        plan = filled._jdf.queryExecution().toString().lower()
+        assert "currentrow$(), unboundedfollowing$()" not in plan
