@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from rareflow.llm.licences import LicenceScan
 from rareflow.llm.minhash import NearDuplicates
+from rareflow.llm.mixing import Mix
+from rareflow.llm.personal import PersonalData
+from rareflow.llm.toxicity import ToxicityClassifier, fold_of, labelled_texts
+from rareflow.llm.urls import judge_urls
 from rareflow.plans.registry import Query
 from rareflow.sources.tables import table
 
@@ -24,3 +29,40 @@ def query(name: str, sql: str | None = None):
 @query("op1_minhash_near_duplicates")
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return NearDuplicates().groups(table(spark, sf_dir, "documents"))
+
+
+@query("op2_license_scan")
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return LicenceScan().scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+@query("op3_personal_data")
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return PersonalData().mark(docs).drop("text")
+
+
+@query("op4_toxicity")
+def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    classifier = ToxicityClassifier()
+    model = classifier.fit(labelled_texts(docs, table(spark, sf_dir, "labels")))
+    held_out = F.coalesce(fold_of("doc_id") == 2, F.lit(False)).alias("held_out")
+    return classifier.score(docs, model).select("doc_id", held_out, "score", "predicted")
+
+
+@query("op5_source_mix")
+def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return Mix().copies(docs).select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+@query("op7_url_filter")
+def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(
+        [("com", "/", "allow"), ("example.com", "/en/", "block"),
+         ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"),
+         ("net", "/fr/", "block")], "host string, path string, verdict string")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return judge_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict")
