@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from rareflow.llm.decontaminate import Decontamination
 from rareflow.llm.licences import LicenceScan
+from rareflow.llm.lines import LineDedup
 from rareflow.llm.minhash import NearDuplicates
 from rareflow.llm.mixing import Mix
+from rareflow.llm.nearest import NearestNeighbours
 from rareflow.llm.personal import PersonalData
+from rareflow.llm.suffixes import RepeatedPassages
 from rareflow.llm.toxicity import ToxicityClassifier, fold_of, labelled_texts
 from rareflow.llm.urls import judge_urls
 from rareflow.plans.registry import Query
@@ -58,6 +62,11 @@ def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+@query("op6_repeated_passages")
+def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return RepeatedPassages().spans(table(spark, sf_dir, "documents"))
+
+
 @query("op7_url_filter")
 def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(
@@ -66,3 +75,23 @@ def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
          ("net", "/fr/", "block")], "host string, path string, verdict string")
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return judge_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op8_nearest_neighbours")
+def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return NearestNeighbours().search(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
+@query("op9_line_dedup")
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return LineDedup().clean(docs).select(
+        "doc_id", "n_lines", "n_removed",
+        F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
+
+
+@query("op10_decontamination")
+def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    marked = Decontamination().mark(docs, table(spark, sf_dir, "benchmark"))
+    return marked.select("doc_id", F.explode("hits").alias("hit")).select("doc_id", "hit.*")
