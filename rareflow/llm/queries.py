@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from rareflow.llm import oracles
 from rareflow.llm.decontaminate import Decontamination
 from rareflow.llm.licences import LicenceScan
 from rareflow.llm.lines import LineDedup
@@ -30,12 +31,12 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-@query("op1_minhash_near_duplicates")
+@query("op1_minhash_near_duplicates", oracles.NEAR_DUPLICATES)
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return NearDuplicates().groups(table(spark, sf_dir, "documents"))
 
 
-@query("op2_license_scan")
+@query("op2_license_scan", oracles.license_scan())
 def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return LicenceScan().scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
@@ -55,19 +56,19 @@ def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.score(docs, model).select("doc_id", held_out, "score", "predicted")
 
 
-@query("op5_source_mix")
+@query("op5_source_mix", oracles.source_mix())
 def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return Mix().copies(docs).select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-@query("op6_repeated_passages")
+@query("op6_repeated_passages", oracles.REPEATED_PASSAGES)
 def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return RepeatedPassages().spans(table(spark, sf_dir, "documents"))
 
 
-@query("op7_url_filter")
+@query("op7_url_filter", oracles.URL_FILTER)
 def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(
         [("com", "/", "allow"), ("example.com", "/en/", "block"),
