@@ -25,4 +25,4 @@ def tag_to_column(tag: Column) -> Column:
     """``Dan/Validation_AUROC`` -> ``Validation auroc``."""
     last = F.element_at(F.split(F.lower(tag), "/"), -1)
     words = F.replace(last, F.lit("_"), F.lit(" "))
-    return F.concat(F.upper(F.substring(words, 1, 1)), F.substring(words, 2, 1_000_000))
+    return F.concat(F.upper(F.left(words, F.lit(1))), F.right(words, F.length(words) - 1))

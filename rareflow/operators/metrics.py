@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rareflow.functions.scores import CLIP, binary_entropy, clipped, log_loss_term, predicted_class
-from rareflow.operators.ordering import SMALL_ROWS, running_before
+from rareflow.operators.ordering import SLICE_ROWS, running_before
 from rareflow.session import materialize
 
 # The streaming AUROC's grid and its smoothing terms.
@@ -98,9 +98,9 @@ def score_groups(df: DataFrame, y: str = "y", p: str = "score") -> DataFrame:
         F.sum(label).alias("pos"), F.sum(F.lit(1) - label).alias("neg")), "score-groups")
 
 
-def ranked_groups(groups: DataFrame, small: int = SMALL_ROWS) -> DataFrame:
+def ranked_groups(groups: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Adds the counts at smaller scores and overall."""
-    return running_before(groups, [], "score", ["pos", "neg"], small)
+    return running_before(groups, [], "score", ["pos", "neg"], slice_rows)
 
 
 def _auroc() -> Column:
@@ -108,22 +108,22 @@ def _auroc() -> Column:
     return F.sum(pairs) / (F.max("pos_total").cast("double") * F.max("neg_total"))
 
 
-def auroc(df: DataFrame, y: str = "y", p: str = "score", small: int = SMALL_ROWS) -> DataFrame:
+def auroc(df: DataFrame, y: str = "y", p: str = "score", slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Exact rank AUROC; tied pairs count one half."""
-    return ranked_groups(score_groups(df, y, p), small).agg(_auroc().alias("auroc"))
+    return ranked_groups(score_groups(df, y, p), slice_rows).agg(_auroc().alias("auroc"))
 
 
-def average_precision(df: DataFrame, y: str = "y", p: str = "score", small: int = SMALL_ROWS
+def average_precision(df: DataFrame, y: str = "y", p: str = "score", slice_rows: int = SLICE_ROWS
                       ) -> DataFrame:
     """Sum over distinct scores of recall gain times precision."""
-    g = ranked_groups(score_groups(df, y, p), small)
+    g = ranked_groups(score_groups(df, y, p), slice_rows)
     tp = F.col("pos_total") - F.col("pos_before")
     fp = F.col("neg_total") - F.col("neg_before")
     return g.agg(F.sum(F.col("pos") / F.col("pos_total") * (tp / (tp + fp)))
                  .alias("average_precision"))
 
 
-def score_summary(df: DataFrame, y: str = "y", p: str = "score", small: int = SMALL_ROWS
+def score_summary(df: DataFrame, y: str = "y", p: str = "score", slice_rows: int = SLICE_ROWS
                   ) -> DataFrame:
     """One row of cross entropy, accuracy, both AUROCs, precision and recall.
 
@@ -137,7 +137,7 @@ def score_summary(df: DataFrame, y: str = "y", p: str = "score", small: int = SM
     tp, fp = F.sum(F.when(score >= 0.5, pos).otherwise(0)), \
         F.sum(F.when(score >= 0.5, neg).otherwise(0))
     micro = micro_auroc_from_counts(_bucket_counts(groups.withColumnRenamed("score", "p")))
-    return ranked_groups(groups, small).agg(
+    return ranked_groups(groups, slice_rows).agg(
         (-F.sum(pos * F.log(q) + neg * F.log(F.lit(1.0) - q)) / rows).alias("cross_entropy"),
         (F.sum(hits) / (rows * 2)).alias("accuracy"), _auroc().alias("auroc"),
         ratio(tp, tp + fp).alias("precision"), ratio(tp, F.sum(pos)).alias("recall"),

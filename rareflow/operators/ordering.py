@@ -7,12 +7,14 @@ Two orders occur:
 * value order (AUROC, quantiles, vocabularies, series): rows are first reduced
   to distinct values, then range-partitioned into even slices.
 
-In both, only bucket summaries of bounded size are scanned in one place.
+In both, only bucket summaries of bounded size are scanned in one place. Sizes choose
+how many buckets or slices there are, never which rows or which order come out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -21,10 +23,11 @@ from rareflow.session import materialize
 
 PREFIX_DIGITS = 4            # 65,536 hash buckets
 HOT_ROWS = 2_000_000         # largest bucket one task ranks
-SMALL_ROWS = 1_000_000       # distinct values up to this count are ranked as they are
+SLICE_ROWS = 1_000_000       # distinct values aimed at per slice
+PIECE_ROWS = 100_000         # copies of a row that one input row expands to
 
 TOKEN, BUCKET, PRINT, WEIGHT = "__token", "__bucket", "__print", "__weight"
-GROUP = "__group"
+GROUP, SKIP = "__group", "__skip"
 
 
 class HashOrder:
@@ -58,7 +61,7 @@ class HashOrder:
 
     def _hot_limit(self) -> float:
         """Rows above which a bucket counts as hot: never below a few even shares."""
-        return max(self.hot_rows, 4 * (self._bucket_stats()["mean"] or 0))
+        return max(self.hot_rows, 4 * (self._bucket_stats()["total"] or 0) / 16 ** PREFIX_DIGITS)
 
     def is_hot(self) -> bool:
         """Whether some bucket holds far more rows than an even share."""
@@ -67,7 +70,7 @@ class HashOrder:
     def _bucket_stats(self):
         if self._stats is None:
             self._stats = self.histogram.agg(
-                F.avg("n").alias("mean"), F.max("n").alias("top")).first()
+                F.sum("n").alias("total"), F.max("n").alias("top")).first()
         return self._stats
 
     # -- exact-k selection -------------------------------------------------
@@ -169,7 +172,10 @@ class HashOrder:
     # -- global positions --------------------------------------------------
 
     def positions(self, name: str = "position") -> DataFrame:
-        """Every row with its 0-based position in hash order within its group."""
+        """Every row with its 0-based position in hash order within its group.
+
+        Content orders rows that share a token, in hot prefixes and elsewhere.
+        """
         if not self.is_hot():
             return self._number(self.rows, self.histogram, name)
         limit = self._hot_limit()
@@ -189,11 +195,11 @@ class HashOrder:
         offsets = self._offsets(histogram)
         inside = Window.partitionBy(GROUP, BUCKET).orderBy(TOKEN, PRINT)
         start = F.col("offset") + F.sum(WEIGHT).over(inside) - F.col(WEIGHT)
-        spread = (
-            _with_offsets(folded, offsets).withColumn("start", start)
-            .select(*self.columns,
-                    F.explode(F.sequence(F.col("start"), F.col("start") + F.col(WEIGHT) - 1))
-                    .alias(name)))
+        placed = _with_offsets(folded, offsets).withColumn("start", start)
+        spread = (in_pieces(placed, WEIGHT).withColumn("start", F.col("start") + F.col(SKIP))
+                  .select(*self.columns,
+                          F.explode(F.sequence(F.col("start"), F.col("start") + F.col(WEIGHT) - 1))
+                          .alias(name)))
         return cold.unionByName(spread)
 
     @staticmethod
@@ -203,9 +209,10 @@ class HashOrder:
             GROUP, BUCKET, (F.sum("n").over(before) - F.col("n")).alias("offset"))
 
     def _number(self, rows: DataFrame, histogram: DataFrame, name: str) -> DataFrame:
-        inside = Window.partitionBy(GROUP, BUCKET).orderBy(TOKEN)
+        inside = Window.partitionBy(GROUP, BUCKET).orderBy(TOKEN, PRINT)
         return (
             _with_offsets(rows, self._offsets(histogram))
+            .withColumn(PRINT, row_fingerprint(self.columns))
             .withColumn(name, F.col("offset") + F.row_number().over(inside) - 1)
             .select(*self.columns, name)
         )
@@ -226,45 +233,58 @@ def _lookup(col: Column, values: Mapping, kind: str = "bigint") -> Column:
     return out
 
 
+def in_pieces(df: DataFrame, times: str) -> DataFrame:
+    """Rows of weight ``times`` as rows of at most ``PIECE_ROWS``, dealt out anew; ``SKIP`` is
+    the weight before a piece."""
+    starts = F.sequence(F.lit(0).cast("bigint"), F.col(times) - 1, F.lit(PIECE_ROWS).cast("bigint"))
+    return (df.filter(F.col(times) > 0).withColumn(SKIP, F.explode(starts))
+            .withColumn(times, F.least(F.lit(PIECE_ROWS), F.col(times) - F.col(SKIP)))
+            .repartition(F.xxhash64(SKIP, *df.columns)))
+
+
+def expanded(df: DataFrame, times: str) -> DataFrame:
+    """Each row as often as its column ``times`` says, in place."""
+    return (df.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(times))))
+            .drop(times, "__copy"))
+
+
 def repeated(df: DataFrame, times: str) -> DataFrame:
     """Each row as often as its column ``times`` says (0 drops it)."""
-    return (df.filter(F.col(times) > 0)
-            .withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col(times).cast("int"))))
-            .drop(times, "__copy"))
+    return expanded(in_pieces(df, times).drop(SKIP), times)
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner"
+                   ) -> DataFrame:
+    """Equi-join in which NULL keys meet; the keys come from the left side."""
+    renamed = right.withColumnsRenamed({k: f"__right_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b,
+                  [F.col(k).eqNullSafe(F.col(f"__right_{k}")) for k in keys], F.lit(True))
+    return left.join(renamed, same, how).drop(*[f"__right_{k}" for k in keys])
 
 
 # -- value order -------------------------------------------------------------
 
 
 def value_buckets(values: DataFrame, by: list[str], order: str,
-                  small: int = SMALL_ROWS) -> tuple[DataFrame, bool]:
+                  slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Add ``BUCKET``: even, order-preserving slices of each group.
 
     ``values`` must hold distinct (by, order) rows and be cheap to read again
-    (a written table). Up to ``small`` rows, one slice per group is enough;
-    returns that as ``False`` in the second element. Beyond, Spark's range
-    partitioning makes the slices; they are written with the rows, so that all
-    later steps see the same ones.
+    (a written table). Spark's range partitioning makes as many slices as the
+    rows need; they are written with the rows, so that all later steps see the
+    same ones.
     """
-    if values.count() <= small:
-        return values.withColumn(BUCKET, F.lit(0)), False
-    placed = values.repartitionByRange(*by, order).withColumn(BUCKET, F.spark_partition_id())
-    return materialize(placed, "value-slices"), True
+    slices = max(1, -(-values.count() // max(1, slice_rows)))
+    placed = values.repartitionByRange(slices, *by, order).withColumn(
+        BUCKET, F.spark_partition_id())
+    return materialize(placed, "value-slices")
 
 
 def running_before(values: DataFrame, by: list[str], order: str, sums: list[str],
-                   small: int = SMALL_ROWS) -> DataFrame:
+                   slice_rows: int = SLICE_ROWS) -> DataFrame:
     """For each column s of ``sums`` add ``s_before`` (total of s over smaller
     order values of the group) and ``s_total`` (over the whole group)."""
-    cut, split = value_buckets(values, by, order, small)
-    if not split:
-        rows = values.withColumn(GROUP, F.lit(0))
-        inside = Window.partitionBy(GROUP, *by)
-        upto = inside.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        return rows.select(
-            *values.columns,
-            *[(F.sum(s).over(upto) - F.col(s)).alias(f"{s}_before") for s in sums],
-            *[F.sum(s).over(inside).alias(f"{s}_total") for s in sums])
+    cut = value_buckets(values, by, order, slice_rows)
     slices = cut.groupBy(*by, BUCKET).agg(*[F.sum(s).alias(f"__{s}") for s in sums])
     # one row per group and range partition it touches
     slices = slices.withColumn(GROUP, F.lit(0))
@@ -276,7 +296,7 @@ def running_before(values: DataFrame, by: list[str], order: str, sums: list[str]
         *[F.sum(f"__{s}").over(inside).alias(f"{s}_total") for s in sums])
     local = (Window.partitionBy(*by, BUCKET).orderBy(order)
              .rowsBetween(Window.unboundedPreceding, 0))
-    return cut.join(offsets, [*by, BUCKET]).select(
+    return null_safe_join(cut, offsets, [*by, BUCKET]).select(
         *values.columns,
         *[(F.col(f"__{s}_off") + F.sum(s).over(local) - F.col(s)).alias(f"{s}_before")
           for s in sums],
@@ -297,24 +317,24 @@ def weighted_moments(counted: DataFrame, by: list[str], value: str) -> DataFrame
         F.sum("n").alias("__n"), (F.sum(v * n) / F.sum(n)).alias("mean"),
         F.min(v).alias("min"), F.max(v).alias("max"))
     # one row per group; the deviations need the mean, so the values are read again
-    spread = counted.join(first, by).groupBy(*by).agg(
+    spread = null_safe_join(counted, first, by).groupBy(*by).agg(
         F.sum((v - F.col("mean")) * (v - F.col("mean")) * n).alias("__squares"))
-    return first.join(spread, by).select(
+    return null_safe_join(first, spread, by).select(
         *by, F.col("__n").alias("n"), "mean",
         F.sqrt(F.when(F.col("__n") > 1, F.col("__squares") / (F.col("__n") - 1))).alias("std"),
         "min", "max")
 
 
 def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: Mapping[str, float],
-                    small: int = SMALL_ROWS) -> DataFrame:
+                    slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Linear-interpolated quantiles of the non-null values of each group."""
-    return counted_quantiles(counted_values(df, by, value), by, value, probs, small)
+    return counted_quantiles(counted_values(df, by, value), by, value, probs, slice_rows)
 
 
 def counted_quantiles(counted: DataFrame, by: list[str], value: str, probs: Mapping[str, float],
-                      small: int = SMALL_ROWS) -> DataFrame:
+                      slice_rows: int = SLICE_ROWS) -> DataFrame:
     """The same from a table of counted values."""
-    ranked = running_before(counted, by, value, ["n"], small)
+    ranked = running_before(counted, by, value, ["n"], slice_rows)
     aggs = []
     for name, p in probs.items():
         rank = F.lit(float(p)) * (F.col("n_total") - 1)

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window, functions as F
 
 from rareflow.operators.ordering import (
-    counted_quantiles, counted_values, running_before, weighted_moments)
+    counted_quantiles, counted_values, null_safe_join, running_before, weighted_moments)
 from rareflow.session import materialize
 
 
@@ -46,15 +46,19 @@ QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 
 
 def describe_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """count, mean, sample std, min, exact quartiles, max per column."""
-    return _moments_and_quartiles(melt(df, columns, "double"), "column")
+    """count, mean, sample std, min, exact quartiles, max per column; count 0 and
+    NULLs for a column without values."""
+    names = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    return _moments_and_quartiles(melt(df, columns, "double"), "column", names)
 
 
-def _moments_and_quartiles(rows: DataFrame, by: str) -> DataFrame:
-    """The rows are read once, into counted values; the rest follows from those."""
+def _moments_and_quartiles(rows: DataFrame, by: str, groups: DataFrame) -> DataFrame:
+    """A row per group, NULL group included. The rows are read once, into counted values."""
     counted = counted_values(rows, [by], "value")
     moments = weighted_moments(counted, [by], "value")
-    return moments.join(counted_quantiles(counted, [by], "value", QUARTILES), by)
+    found = null_safe_join(moments, counted_quantiles(counted, [by], "value", QUARTILES), [by])
+    out = null_safe_join(groups.select(by), found, [by], "left")
+    return out.withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def null_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -142,5 +146,6 @@ def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
 
 def trial_summary(df: DataFrame, model: str, value: str) -> DataFrame:
     """Mean and box-plot numbers of a metric per model."""
-    out = _moments_and_quartiles(df.select(model, F.col(value).alias("value")), model)
+    rows = df.select(model, F.col(value).alias("value"))
+    out = _moments_and_quartiles(rows, model, df.select(model).distinct())
     return out.withColumnRenamed("n", "trials").drop("std")

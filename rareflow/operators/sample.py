@@ -11,7 +11,9 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rareflow.operators.ordering import HashOrder, TOKEN, WEIGHT, repeated
+from rareflow.functions.hashing import row_fingerprint
+from rareflow.operators.ordering import (
+    HashOrder, PRINT, SKIP, TOKEN, WEIGHT, expanded, in_pieces)
 from rareflow.operators.profile import class_balance
 from rareflow.sources.files import with_shard
 
@@ -101,17 +103,18 @@ def shuffle_rows(df: DataFrame, key: Column | str, seed: str = "shuffle",
                  partitions: int | None = None) -> DataFrame:
     """Rows in hash order: range-partitioned, sorted within partitions.
 
-    Content breaks ties of the key; if one key holds very many rows, exact copies
-    travel as one row with a count.
+    Content breaks ties of the key. If one key holds very many rows, exact copies travel
+    as rows with a count, so they spread over partitions; the order is the same.
     """
     order = HashOrder(df, key, seed)
-    rows = order.rows.select(*df.columns, TOKEN)
-    if order.is_hot():
-        rows = rows.groupBy(*rows.columns).agg(F.count("*").alias(WEIGHT))
-    sort = [TOKEN, *df.columns] if order.is_hot() else [TOKEN]
+    rows = order.rows.select(*df.columns, TOKEN).withColumn(PRINT, row_fingerprint(df.columns))
+    sort, hot = [TOKEN, PRINT], order.is_hot()
+    if hot:
+        rows = in_pieces(rows.groupBy(*rows.columns).agg(F.count("*").alias(WEIGHT)), WEIGHT)
+        sort = [*sort, SKIP]
     spread = rows.repartitionByRange(*([partitions] if partitions else []), *sort) \
-        .sortWithinPartitions(*sort).drop(TOKEN)
-    return repeated(spread, WEIGHT) if order.is_hot() else spread
+        .sortWithinPartitions(*sort).drop(*sort)
+    return expanded(spread, WEIGHT) if hot else spread
 
 
 def drawn_shards(num_shards: int, draws: int, replace: bool = True, seed: str = "draw"

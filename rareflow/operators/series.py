@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rareflow.functions.clean import tag_to_column
-from rareflow.operators.ordering import BUCKET, SMALL_ROWS, value_buckets
+from rareflow.operators.ordering import BUCKET, SLICE_ROWS, null_safe_join, value_buckets
 from rareflow.session import materialize
 
 
@@ -29,7 +29,7 @@ def union_logs(logs: Sequence[DataFrame]) -> DataFrame:
 
 
 def _neighbours(rows: DataFrame, by: list[str], order: str, columns: Sequence[str],
-                small: int) -> DataFrame:
+                slice_rows: int) -> DataFrame:
     """Add ``__pos`` and per column the nearest known (value, position) at or
     before (``__prev_c``) and at or after (``__next_c``) each row.
 
@@ -37,7 +37,7 @@ def _neighbours(rows: DataFrame, by: list[str], order: str, columns: Sequence[st
     so a single long run is not walked by one task.
     """
     rows = materialize(rows, "series")
-    cut, split = value_buckets(rows, by, order, small)
+    cut = value_buckets(rows, by, order, slice_rows)
     local = Window.partitionBy(*by, BUCKET).orderBy(order)
     upto = local.rowsBetween(Window.unboundedPreceding, 0)
     # looking ahead is looking back in reverse order: frames that end at the last
@@ -45,20 +45,12 @@ def _neighbours(rows: DataFrame, by: list[str], order: str, columns: Sequence[st
     after = Window.partitionBy(*by, BUCKET).orderBy(F.desc(order)) \
         .rowsBetween(Window.unboundedPreceding, 0)
     pos = F.row_number().over(local) - 1
-    if not split:
-        known = lambda c: F.when(F.col(c).isNotNull(), F.struct(
-            F.col(c).alias("value"), F.col("__pos").alias("pos")))
-        numbered = cut.withColumn("__pos", pos.cast("bigint"))
-        return numbered.select(
-            *rows.columns, "__pos",
-            *[F.last(known(c), ignorenulls=True).over(upto).alias(f"__prev_{c}") for c in columns],
-            *[F.last(known(c), ignorenulls=True).over(after).alias(f"__next_{c}")
-              for c in columns])
     sizes = cut.groupBy(*by, BUCKET).agg(F.count("*").alias("__n"))
     slices = Window.partitionBy(*by).orderBy(BUCKET)
     offsets = sizes.select(*by, BUCKET, (F.sum("__n").over(slices) - F.col("__n")).alias("__off"))
     numbered = materialize(
-        cut.join(offsets, [*by, BUCKET]).withColumn("__pos", F.col("__off") + pos), "series-pos")
+        null_safe_join(cut, offsets, [*by, BUCKET]).withColumn("__pos", F.col("__off") + pos),
+        "series-pos")
     known = lambda c: F.when(F.col(c).isNotNull(), F.struct(
         F.col(c).alias("value"), F.col("__pos").alias("pos")))
     edges = numbered.groupBy(*by, BUCKET).agg(
@@ -75,7 +67,7 @@ def _neighbours(rows: DataFrame, by: list[str], order: str, columns: Sequence[st
           for c in columns],
         *[F.last(f"__first_{c}", ignorenulls=True).over(later).alias(f"__behind_{c}")
           for c in columns])
-    joined = numbered.join(carried, [*by, BUCKET])
+    joined = null_safe_join(numbered, carried, [*by, BUCKET])
     return joined.select(
         *rows.columns, "__pos",
         *[F.coalesce(F.last(known(c), ignorenulls=True).over(upto), F.col(f"__before_{c}"))
@@ -94,27 +86,27 @@ def _interpolated(c: str) -> Column:
 
 
 def interpolate_linear(rows: DataFrame, by: Sequence[str], order: str, columns: Sequence[str],
-                       small: int = SMALL_ROWS) -> DataFrame:
+                       slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Fill inner gaps linearly by row position; trailing gaps repeat the last
     value, leading gaps stay. (by, order) must be unique."""
-    found = _neighbours(rows, list(by), order, columns, small)
+    found = _neighbours(rows, list(by), order, columns, slice_rows)
     keep = [c for c in rows.columns if c not in columns]
     return found.select(*keep, *[_interpolated(c).alias(c) for c in columns])
 
 
 def backfill(rows: DataFrame, by: Sequence[str], order: str, columns: Sequence[str],
-             small: int = SMALL_ROWS) -> DataFrame:
+             slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Every gap takes the next known value."""
-    found = _neighbours(rows, list(by), order, columns, small)
+    found = _neighbours(rows, list(by), order, columns, slice_rows)
     keep = [c for c in rows.columns if c not in columns]
     return found.select(*keep, *[F.coalesce(F.col(c), F.col(f"__next_{c}")["value"]).alias(c)
                                  for c in columns])
 
 
 def fill_series(rows: DataFrame, by: Sequence[str], order: str, columns: Sequence[str],
-                small: int = SMALL_ROWS) -> DataFrame:
+                slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Interpolate, then backfill what is left: the log converter's result."""
-    found = _neighbours(rows, list(by), order, columns, small)
+    found = _neighbours(rows, list(by), order, columns, slice_rows)
     keep = [c for c in rows.columns if c not in columns]
     return found.select(*keep, *[
         F.coalesce(_interpolated(c), F.col(f"__next_{c}")["value"]).alias(c) for c in columns])

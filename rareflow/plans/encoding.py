@@ -141,7 +141,7 @@ def feature_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
   <= 'cc' THEN 'train' WHEN substr(md5('split:' || row_key), 1, 2) <= 'e5' THEN 'validation'
   ELSE 'test' END AS split, count(*) AS n, CAST(sum(conversion_target) AS BIGINT) AS positives,
   {", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in INDEX)},
-  {", ".join(f"round(sum(coalesce(({c} - {c}_m) / {c}_s, 0)), 4) AS {c}" for c in CONTINUOUS)},
+  {", ".join(f"round(sum(coalesce(({c} - {c}_m) / {c}_s, 0)), 4) + 0 AS {c}" for c in CONTINUOUS)},
   {", ".join(f"CAST(sum(CAST({c} = {i} AS INTEGER)) AS BIGINT) AS {c}_{i}"
              for c, n in LEVELS.items() for i in range(n))} FROM coded, stats GROUP BY 1"""))
 def write_processed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -124,3 +124,20 @@ def test_matrix_operators(spark):
     got = matrix.double_log_scale(df, "d").collect()
     np.testing.assert_allclose([r["d"] for r in got], (logged - logged.min()) / logged.max())
     assert matrix.cell_limits(df, "d").first()["mean"] == pytest.approx(d.mean())
+
+
+def test_describe_keeps_columns_and_models_without_values(spark):
+    rows = spark.createDataFrame([(None, 1.0, None), (None, 3.0, None), ("m", None, None)],
+                                 "model string, x double, y double")
+    got = {r["column"]: r for r in profile.describe_numeric(rows, ["x", "y"]).collect()}
+    assert got["x"]["n"] == 2 and got["x"]["q50"] == 2.0
+    assert got["y"]["n"] == 0 and got["y"]["mean"] is None
+    trials = {r["model"]: r["trials"] for r in profile.trial_summary(rows, "model", "x").collect()}
+    assert trials == {None: 2, "m": 0}
+
+
+def test_tags_of_any_length(spark):
+    long = "x" * 1_000_010
+    got = spark.createDataFrame([("a/b_c",), (long,), ("",), (None,)], "t string").select(
+        tag_to_column(F.col("t"))).collect()
+    assert [r[0] for r in got] == ["B c", "X" + long[1:], "", None]

@@ -35,7 +35,7 @@ def brute_micro(y, p):
 def test_auroc(scored, small):
     pdf, df = scored
     want = brute_auroc(pdf["y"].to_numpy(), pdf["score"].to_numpy())
-    assert metrics.auroc(df, small=small).first()[0] == pytest.approx(want)
+    assert metrics.auroc(df, slice_rows=small).first()[0] == pytest.approx(want)
 
 
 @pytest.mark.parametrize("small", [5, 1_000_000])
@@ -48,7 +48,7 @@ def test_average_precision(scored, small):
         recall = (y[hit] == 1).sum() / y.sum()
         want += (recall - last) * (y[hit] == 1).mean()
         last = recall
-    assert metrics.average_precision(df, small=small).first()[0] == pytest.approx(want)
+    assert metrics.average_precision(df, slice_rows=small).first()[0] == pytest.approx(want)
 
 
 def test_micro_auroc(scored):

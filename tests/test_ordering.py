@@ -116,3 +116,46 @@ def test_rows_without_a_class_are_kept(numbered):
     first, rest = order.split({None: 100, 0: 10})
     assert first.filter("target is null").count() == 100 and first.count() == 110
     assert rest.filter("target is null").count() == 300
+
+
+def sized(rows):
+    return sorted(map(str, rows))
+
+
+@pytest.fixture()
+def gaps(spark):
+    """Groups and values with NULLs, a NULL group of its own, a group without values."""
+    rows = [(g, v) for g in ("a", None, "b") for v in (3.0, 1.0, None, 1.0, 2.5)] + [("c", None)]
+    return spark.createDataFrame(rows, "g string, v double")
+
+
+def test_slices_change_no_rows(spark, gaps):
+    counted = gaps.where("v is not null").groupBy("g", "v").agg(F.count("*").alias("n"))
+    quantiles = {"a": 0.25, "b": 0.5}
+    one, many = ((sized(running_before(counted, ["g"], "v", ["n"], size).collect()),
+                  sized(exact_quantiles(gaps, ["g"], "v", quantiles, size).collect()))
+                 for size in (10 ** 9, 1))
+    assert one == many
+    assert len(one[0]) == 9 and len(one[1]) == 3
+
+
+@pytest.mark.parametrize("by", [None, "target"])
+def test_hot_limits_change_no_order(skewed, by):
+    some = skewed.withColumn("target", F.when(F.col("id") % 5 != 0, F.col("target")))
+    placed = [sized(HashOrder(some.repartition(p), "row_key", "s", by, hot_rows=size)
+                    .positions().collect()) for p, size in ((3, 1), (5, 50), (2, 10 ** 9))]
+    assert placed[0] == placed[1] == placed[2]
+
+
+def test_one_key_for_all_rows_is_hot(spark):
+    rows = spark.range(10_000).select(F.lit("k").alias("row_key"), "id")
+    assert HashOrder(rows, "row_key", "s", hot_rows=50).is_hot()
+
+
+def test_many_copies_are_cut_into_pieces(spark):
+    from rareflow.operators import ordering
+    rows = spark.createDataFrame([("x", 250_001), ("y", 0), ("z", 1)], "v string, times long")
+    pieces = ordering.in_pieces(rows, "times").collect()
+    assert sorted(r["times"] for r in pieces) == [1, 50_001, 100_000, 100_000]
+    assert ordering.repeated(rows, "times").groupBy("v").count().orderBy("v").collect() == [
+        ("x", 250_001), ("z", 1)]

@@ -25,7 +25,9 @@ def con():
 
 def rows_of(columns, rows):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
-    clean = lambda v: None if isinstance(v, float) and math.isnan(v) else v
+    # NaN equals NaN, and a negative zero equals zero
+    clean = lambda v: None if isinstance(v, float) and math.isnan(v) else (
+        v + 0.0 if isinstance(v, float) else v)
     return sorted((tuple(clean(r[i]) for i in order) for r in rows),
                   key=lambda r: tuple(str(v) for v in r))
 

@@ -81,3 +81,15 @@ def test_no_frame_runs_to_the_end(spark, gaps):
         filled = series.fill_series(to_spark(spark, gaps), ["run"], "step", ["a", "b"], small)
         plan = filled._jdf.queryExecution().toString().lower()
         assert "currentrow$(), unboundedfollowing$()" not in plan
+
+
+def test_slices_keep_series_without_a_name(spark):
+    rows = spark.createDataFrame(
+        [(None, 1, 1.0), (None, 2, None), (None, 4, 4.0), ("a", 1, None), ("a", 2, 7.0),
+         ("a", 3, None)], "run string, step int, x double")
+    one, many = (sorted(map(str, series.fill_series(rows, ["run"], "step", ["x"], size).collect()))
+                 for size in (10 ** 9, 1))
+    assert one == many and len(one) == 6
+    got = {(r["run"], r["step"]): r["x"] for r in series.fill_series(
+        rows, ["run"], "step", ["x"], 2).collect()}
+    assert got[None, 2] == 2.5 and got["a", 1] == 7.0 and got["a", 3] == 7.0
