@@ -157,8 +157,9 @@ class SpanModel:
     weights: dict[str, np.ndarray]
 
     def score(self, pattern: tuple) -> float:
+        """Probability of a candidate; 0 if no labeler but its own loose pattern speaks for it."""
         weight = self.weights.get(pattern[0])
-        if weight is None:
+        if weight is None or not (pattern[1] or any(pattern[3:1 + LABELERS])):
             return 0.0
         return float(1 / (1 + np.exp(-(weight[0] + weight[1:] @ np.array(pattern[1:], float)))))
 
