@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -63,7 +64,7 @@ def _chunks(kind: int, weight: float, flat: np.ndarray) -> pa.RecordBatch:
 
 
 CHUNK_SCHEMA = "kind int, chunk int, weight double, values array<double>"
-LABELLED, NEGATIVE, SUMS = 0, 1, 2
+LABELLED, NEGATIVE, SUMS, FIRST, SECOND = range(5)
 
 
 def _merge(parts: DataFrame) -> dict[int, tuple[float, np.ndarray]]:
@@ -124,7 +125,9 @@ def full_gradient(rows: DataFrame, shape: Shape, training: Training, flat: np.nd
         for batch in batches:
             a, b, sums = _gradients(shape, training, w, _matrix(batch, "features", dtype),
                                     batch.column("label").to_numpy())
-            labelled, negative, total = labelled + a, negative + b, total + sums
+            labelled += a
+            negative += b
+            total += sums
         if total[1]:
             yield _chunks(LABELLED, total[1], labelled / total[1])
             yield _chunks(SUMS, 1.0, total)
@@ -132,20 +135,21 @@ def full_gradient(rows: DataFrame, shape: Shape, training: Training, flat: np.nd
             yield _chunks(NEGATIVE, total[6], negative / total[6])
 
     merged = _run(rows, work)
-    sent.unpersist()
+    sent.destroy()
     parts, mean = merged[SUMS]
     gradient = merged[LABELLED][1] + (merged[NEGATIVE][1] if NEGATIVE in merged else 0.0)
     return gradient, _step_metrics(mean * parts, shape, training)
 
 
 def averaged_pass(rows: DataFrame, shape: Shape, training: Training, flat: np.ndarray,
-                  epoch: int) -> tuple[np.ndarray, dict[str, float]]:
-    """Every task trains on its own rows in mini-batches; the weights are averaged
-    by the number of rows."""
-    sent, dtype = rows.sparkSession.sparkContext.broadcast(flat), training.dtype
+                  state: kernel.Adam, epoch: int) -> tuple[np.ndarray, dict[str, float]]:
+    """Every task trains on its own rows in mini-batches; weights and optimiser moments
+    are averaged by the number of rows. ``state`` carries the moments from pass to pass."""
+    sent, dtype = rows.sparkSession.sparkContext.broadcast((flat, state)), training.dtype
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, adam = sent.value.astype(dtype), kernel.Adam(training.learning_rate)
+        start, before = sent.value
+        own, adam = start.astype(dtype), before.copied(len(start), dtype)
         rng, total = np.random.default_rng([training.seed, epoch]), np.zeros(7)
         for batch in batches:
             x, y = _matrix(batch, "features", dtype), batch.column("label").to_numpy()
@@ -158,19 +162,24 @@ def averaged_pass(rows: DataFrame, shape: Shape, training: Training, flat: np.nd
                 total += sums
         if total[1]:
             yield _chunks(LABELLED, total[1], own)
-            yield _chunks(SUMS, 1.0, total)
+            yield _chunks(FIRST, total[1], adam.m)
+            yield _chunks(SECOND, total[1], adam.v)
+            yield _chunks(SUMS, 1.0, np.append(total, adam.steps * total[1]))
 
     merged = _run(rows, work)
-    sent.unpersist()
+    sent.destroy()
     parts, mean = merged[SUMS]
-    return merged[LABELLED][1], _step_metrics(mean * parts, shape, training)
+    sums = mean * parts
+    state.m, state.v = merged[FIRST][1], merged[SECOND][1]
+    state.steps = round(sums[7] / sums[1])
+    return merged[LABELLED][1], _step_metrics(sums[:7], shape, training)
 
 
 def training_round(rows: DataFrame, shape: Shape, training: Training, flat: np.ndarray,
                    state: kernel.Adam, epoch: int) -> tuple[np.ndarray, dict[str, float]]:
     """One pass over (features, label); new weights and the mean step metrics."""
     if training.sync == "average":
-        return averaged_pass(rows, shape, training, flat, epoch)
+        return averaged_pass(rows, shape, training, flat, state, epoch)
     gradient, metrics = full_gradient(rows, shape, training, flat)
     new = flat.copy()
     state.step(new, gradient)
@@ -204,11 +213,12 @@ class DisguiseClassifier(Estimator):
         spark, training = dataset.sparkSession, self.training
         rows = training_rows(dataset, self.features, self.label, training.workers)
         flat, step, best = kernel.initial_weights(self.shape, training.seed), 0, float("-inf")
+        state = kernel.Adam(training.learning_rate)
         if self.checkpoint_dir:
             restored = load_checkpoint(spark, self.checkpoint_dir)
             if restored is not None:
-                flat, step, best = restored
-        state, log, kept, waited = kernel.Adam(training.learning_rate), [], flat, 0
+                flat, step, best, state = restored[:4]
+        log, kept, waited = [], flat, 0
         for epoch in range(training.epochs):
             flat, metrics = training_round(rows, self.shape, training, flat, state, step + epoch)
             at = step + epoch + 1
@@ -216,14 +226,14 @@ class DisguiseClassifier(Estimator):
             if self.validation is None:
                 kept = flat
                 if self.checkpoint_dir:
-                    save_checkpoint(spark, self.checkpoint_dir, flat, at, best)
+                    save_checkpoint(spark, self.checkpoint_dir, flat, at, best, state)
                 continue
             scores = self._model(flat, log).evaluate(self.validation, self.label)
             log += [(at, f"validation {tag}", value) for tag, value in scores.items()]
             if scores[training.metric] > best:
                 best, kept, waited = scores[training.metric], flat, 0
                 if self.checkpoint_dir:
-                    save_checkpoint(spark, self.checkpoint_dir, flat, at, best)
+                    save_checkpoint(spark, self.checkpoint_dir, flat, at, best, state)
             else:
                 waited += 1
                 if waited >= training.early_stopping:
@@ -347,22 +357,45 @@ def _versions(spark: SparkSession, path: str) -> tuple[object, list]:
     return fs, sorted(complete, key=lambda p: int(p.getName().split("=")[1]))
 
 
-def save_checkpoint(spark: SparkSession, path: str, flat: np.ndarray, step: int, best: float
-                    ) -> None:
-    """Write the weights as version ``step``; the newest three versions stay."""
-    _weights_table(spark, flat).withColumn("best", F.lit(float(best))).write \
-        .mode("overwrite").parquet(f"{path}/step={step}")
+class Checkpoint(NamedTuple):
+    """Weights with all that training goes on from."""
+
+    flat: np.ndarray
+    step: int
+    best: float
+    state: kernel.Adam
+    stream_pass: int             # of a stream, -1 for tables
+    stream_batch: int
+
+
+def save_checkpoint(spark: SparkSession, path: str, flat: np.ndarray, step: int, best: float,
+                    state: kernel.Adam | None = None, stream_pass: int = -1,
+                    stream_batch: int = -1) -> None:
+    """Write weights and optimiser state as version ``step``; the newest three versions stay."""
+    state = (state or kernel.Adam()).copied(len(flat), "float64")
+    rows = [(i // CHUNK, *([float(v) for v in part[i:i + CHUNK]] for part in (
+        flat, state.m, state.v))) for i in range(0, len(flat), CHUNK)]
+    table = spark.createDataFrame(
+        rows, "chunk int, values array<double>, first array<double>, second array<double>")
+    known = {"best": float(best), "steps": state.steps, "rate": state.rate,
+             "stream_pass": stream_pass, "stream_batch": stream_batch}
+    table.withColumns({k: F.lit(v) for k, v in known.items()}).write.mode("overwrite").parquet(
+        f"{path}/step={step}")
     fs, versions = _versions(spark, path)
     for old in versions[:-KEEP_CHECKPOINTS]:
         fs.delete(old, True)
 
 
-def load_checkpoint(spark: SparkSession, path: str) -> tuple[np.ndarray, int, float] | None:
-    """(weights, step, best score) of the newest version, None without one."""
+def load_checkpoint(spark: SparkSession, path: str) -> Checkpoint | None:
+    """The newest version, None without one."""
     _, versions = _versions(spark, path)
     if not versions:
         return None
     newest = versions[-1]
     rows = spark.read.parquet(newest.toString()).orderBy("chunk").collect()
-    return (np.concatenate([r["values"] for r in rows]), int(newest.getName().split("=")[1]),
-            rows[0]["best"])
+    flat, first, second = (np.concatenate([r[c] for r in rows])
+                           for c in ("values", "first", "second"))
+    top = rows[0]
+    state = kernel.Adam(top["rate"], steps=top["steps"], m=first, v=second)
+    return Checkpoint(flat, int(newest.getName().split("=")[1]), top["best"], state,
+                      top["stream_pass"], top["stream_batch"])

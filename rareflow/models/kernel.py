@@ -65,11 +65,6 @@ class Shape:
         return out
 
 
-def num_layers(hidden: int, batch_norm: bool = True, dropout: float = 0.0) -> int:
-    """Layers of a network: one per hidden dense, norm and dropout layer, one output."""
-    return hidden * (1 + bool(batch_norm) + (dropout > 0)) + 1
-
-
 def initial_weights(shape: Shape, seed: int = 0) -> np.ndarray:
     """Uniform Glorot matrices, zero offsets, unit gains."""
     rng, parts = np.random.default_rng(seed), []
@@ -218,6 +213,12 @@ class Adam:
     m: np.ndarray | float = 0.0
     v: np.ndarray | float = 0.0
 
+    def copied(self, size: int, dtype: str) -> Adam:
+        """The same state with moments of its own, as vectors."""
+        return Adam(self.rate, self.first, self.second, self.eps, self.steps,
+                    np.zeros(size, dtype) + np.asarray(self.m, dtype),
+                    np.zeros(size, dtype) + np.asarray(self.v, dtype))
+
     def step(self, weights: np.ndarray, grad: np.ndarray) -> None:
         self.steps += 1
         self.m = self.first * self.m + (1 - self.first) * grad

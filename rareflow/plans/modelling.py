@@ -190,7 +190,7 @@ def checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = everything(spark, sf_dir)
     path, shape = scratch_path(spark, "checkpoints"), Shape(WIDTH, (8,))
     model = DisguiseClassifier(shape, Training(epochs=2), checkpoint_dir=path).fit(df)
-    flat, _, _ = load_checkpoint(spark, path)
+    flat = load_checkpoint(spark, path).flat
     both = df.withColumn("before", model.score()).withColumn(
         "after", DisguiseModel(shape, flat).score())
     return both.select("vec_id", (F.col("before") == F.col("after")).cast("int").alias("same"))

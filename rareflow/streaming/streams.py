@@ -27,10 +27,13 @@ def read_shards_stream(spark: SparkSession, path: str, schema: T.StructType,
             .option("maxFilesPerTrigger", files_per_batch).csv(path))
 
 
-def run_batches(stream: DataFrame, work: Callable[[DataFrame, int], None], mode: str = "append"
-                ) -> None:
-    """Process everything available, micro-batch by micro-batch, then stop."""
-    checkpoint = scratch_path(stream.sparkSession, "stream-checkpoint")
+def run_batches(stream: DataFrame, work: Callable[[DataFrame, int], None], mode: str = "append",
+                checkpoint: str | None = None) -> None:
+    """Process everything available, micro-batch by micro-batch, then stop.
+
+    With a ``checkpoint`` of the caller's, a stopped run goes on where it was.
+    """
+    checkpoint = checkpoint or scratch_path(stream.sparkSession, "stream-checkpoint")
     query = (stream.writeStream.foreachBatch(work).outputMode(mode)
              .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     query.awaitTermination()
@@ -73,30 +76,88 @@ def shuffle_stream(stream: DataFrame, key: str, label: str = "stream-shuffle",
     return spark.read.parquet(path)
 
 
-def fit_stream(stream: DataFrame, shape: Shape, training: Training, checkpoint_dir: str
-               ) -> DisguiseModel:
-    """One training round per micro-batch of (features, label).
+def train_batch(batch: DataFrame, number: int, stream_pass: int, shape: Shape,
+                training: Training, path: str) -> dict[str, float] | None:
+    """One training round on a micro-batch; None if it is empty or was applied before.
 
-    The state is the checkpoint of the previous micro-batch.
+    The state is the checkpoint of the previous micro-batch, so a batch that is run
+    again after a failure changes nothing.
     """
-    spark = stream.sparkSession
-
-    def work(batch: DataFrame, number: int) -> None:
-        state = load_checkpoint(spark, checkpoint_dir)
-        if state is not None and state[1] > number:
-            return
-        flat = kernel.initial_weights(shape, training.seed) if state is None else state[0]
-        if batch.isEmpty():
-            return
-        flat, _ = training_round(batch, shape, training, flat,
-                                 kernel.Adam(training.learning_rate), number)
-        save_checkpoint(spark, checkpoint_dir, flat, number + 1, float("-inf"))
-
-    run_batches(stream, work)
-    state = load_checkpoint(spark, checkpoint_dir)
-    if state is None:
-        raise ValueError("the stream held no training rows")
-    return DisguiseModel(shape, state[0])
+    spark = batch.sparkSession
+    before = load_checkpoint(spark, path)
+    if before is None:
+        flat, step = kernel.initial_weights(shape, training.seed), 0
+        state = kernel.Adam(training.learning_rate)
+    elif (before.stream_pass, before.stream_batch) >= (stream_pass, number):
+        return None
+    else:
+        flat, step, state = before.flat, before.step, before.state
+    if batch.isEmpty():
+        return None
+    flat, metrics = training_round(batch, shape, training, flat, state, step)
+    save_checkpoint(spark, path, flat, step + 1, float("-inf"), state, stream_pass, number)
+    return metrics
+
+
+def _passes(spark: SparkSession, path: str) -> tuple[object, Callable[[int], object], int]:
+    """(file system, path of a pass's end mark, first pass without one)."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    mark = lambda k: hadoop.Path(f"{path}/done/pass={k}")
+    done = fs.listStatus(hadoop.Path(f"{path}/done")) if fs.exists(
+        hadoop.Path(f"{path}/done")) else []
+    ended = [int(s.getPath().getName().split("=")[1]) for s in done]
+    return fs, mark, max(ended, default=-1) + 1
+
+
+def fit_stream(stream: DataFrame, shape: Shape, training: Training, checkpoint_dir: str,
+               validation: DataFrame | None = None, epochs: int = 1,
+               train: DataFrame | None = None) -> DisguiseModel:
+    """Train on micro-batches of (features, label), pass after pass over the stream.
+
+    ``checkpoint_dir`` keeps weights, optimiser state and the position in the stream: a run
+    that was stopped goes on in the pass it was in, and a later call with another stream
+    trains on. Losses are logged per pass; ``train`` and ``validation`` tables are
+    scored after each. With ``validation`` training stops when ``training.metric`` has not
+    improved for ``training.early_stopping`` passes, and the best weights are returned.
+    """
+    spark, weights, best_dir = stream.sparkSession, f"{checkpoint_dir}/weights", \
+        f"{checkpoint_dir}/best"
+    kept = load_checkpoint(spark, best_dir)
+    best, waited, log = kept.best if kept else float("-inf"), 0, []
+    for _ in range(epochs):
+        fs, mark, number = _passes(spark, checkpoint_dir)
+        losses: list[dict[str, float]] = []
+
+        def work(batch: DataFrame, at: int, number: int = number, losses: list = losses) -> None:
+            found = train_batch(batch, at, number, shape, training, weights)
+            if found is not None:
+                losses.append(found)
+
+        run_batches(stream, work, checkpoint=f"{checkpoint_dir}/stream/pass={number}")
+        fs.create(mark(number), True).close()
+        state = load_checkpoint(spark, weights)
+        if state is None:
+            raise ValueError("the stream held no training rows")
+        model = DisguiseModel(shape, state.flat, log=log)
+        for tag in losses[0] if losses else ():
+            log.append((state.step, tag, sum(x[tag] for x in losses) / len(losses)))
+        if train is not None:
+            log += [(state.step, f"train {k}", v) for k, v in model.evaluate(train).items()]
+        if validation is None:
+            continue
+        scores = model.evaluate(validation)
+        log += [(state.step, f"validation {k}", v) for k, v in scores.items()]
+        if scores[training.metric] > best:
+            best, waited = scores[training.metric], 0
+            save_checkpoint(spark, best_dir, state.flat, state.step, best, state.state)
+        else:
+            waited += 1
+            if waited >= training.early_stopping:
+                break
+    final = load_checkpoint(spark, weights if validation is None else best_dir)
+    return DisguiseModel(shape, (final or state).flat, log=log)
 
 
 def predict_stream(stream: DataFrame, model: DisguiseModel, keep: Sequence[str],

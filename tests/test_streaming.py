@@ -50,10 +50,52 @@ def test_stream_training_and_scoring(spark, shards, tmp_path):
                          F.col("target").alias("label"))
     path = str(tmp_path / "checkpoints")
     model = streams.fit_stream(rows, Shape(2, (4,), (4,)), Training(), path)
-    assert load_checkpoint(spark, path)[1] == 4
+    assert load_checkpoint(spark, f"{path}/weights")[1] == 4
     features = lambda d: d.select("row_key", F.array("x", F.col("id") / 2000).alias("features"))
     scored = streams.predict_stream(features(stream), model, ["row_key"])
     batch = model.transform(features(df)).select("row_key", "score")
     both = scored.join(batch.withColumnRenamed("score", "want"), "row_key")
     assert both.filter(F.abs(F.col("score") - F.col("want")) > 1e-9).count() == 0
     assert both.count() == 2000
+
+
+def training_stream(spark, rows, path):
+    df = rows.select(F.col("x"), (F.col("id") / 2000).alias("z"), "target")
+    source = write_csv(df.repartition(3), str(path))
+    return streams.read_shards_stream(spark, source, df.schema).select(
+        F.array("x", "z").alias("features"), F.col("target").alias("label"))
+
+
+def test_stream_training_goes_on(spark, numbered, tmp_path):
+    """Epochs, a second stream on the same checkpoint, and a batch that is run twice."""
+    path, shape = str(tmp_path / "model"), Shape(2, (), batch_norm=False)
+    training = Training(sync="gradient", dtype="float64", learning_rate=0.05)
+    first = streams.fit_stream(training_stream(spark, numbered, tmp_path / "a"), shape, training,
+                               path, epochs=2)
+    one = load_checkpoint(spark, f"{path}/weights")
+    assert one.step == 6 and one.state.steps == 6 and (first.flat == one.flat).all()
+    assert [step for step, tag, _ in first.log if tag == "cross entropy"] == [3, 6]
+    streams.fit_stream(training_stream(spark, numbered, tmp_path / "b"), shape, training, path)
+    two = load_checkpoint(spark, f"{path}/weights")
+    assert two.step == 9 and (two.flat != one.flat).any()
+    batch = numbered.select(F.array("x", F.col("id") / 2000).alias("features"),
+                            F.col("target").alias("label"))
+    again = streams.train_batch(batch, two.stream_batch, two.stream_pass, shape, training,
+                                f"{path}/weights")
+    assert again is None and load_checkpoint(spark, f"{path}/weights").step == 9
+    assert streams.train_batch(batch, two.stream_batch + 1, two.stream_pass, shape, training,
+                               f"{path}/weights") is not None
+
+
+def test_stream_training_stops_early_and_keeps_the_best(spark, numbered, tmp_path):
+    table = numbered.select(F.array("x", F.col("id") / 2000).alias("features"),
+                            F.col("target").alias("label"))
+    path = str(tmp_path / "model")
+    model = streams.fit_stream(
+        training_stream(spark, numbered, tmp_path / "a"), Shape(2, (), batch_norm=False),
+        Training(sync="gradient", learning_rate=1e-12, early_stopping=1), path,
+        validation=table, train=table, epochs=5)
+    tags = [tag for _, tag, _ in model.log]
+    assert tags.count("validation auroc") == 2 and tags.count("train auroc") == 2
+    best = load_checkpoint(spark, f"{path}/best")
+    assert (model.flat == best.flat).all() and best.step == 3
