@@ -1,12 +1,16 @@
 """Exact k nearest neighbours of every row of one (minority) class.
 
-Rows are hashed into blocks; one task compares one block of queries with one
-block of candidates and emits k candidates per query, never all pairs. Exact
+Rows fall into cells around pivots. A query first searches its own cell; the distance found
+there and the triangle inequality rule out every cell whose ball cannot hold a nearer row,
+and only the others are searched. The result is exact. One task compares one block of
+a cell's queries with one block of candidates and emits k candidates per query. Exact
 copies are folded first, so a vector shared by many rows is compared once.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
@@ -15,6 +19,7 @@ from rareflow.operators.encode import dictionary_join
 from rareflow.session import materialize
 
 BLOCK_CELLS = 4_000_000       # numbers per block: rows x width
+MAX_PIVOTS = 2_048            # cells; larger ones are cut into blocks
 TILE_CELLS = 8_000_000        # distances held at once inside a task
 
 
@@ -63,17 +68,63 @@ def k_nearest(df: DataFrame, key: str, features: str, k: int, block_cells: int =
     if not size["n"]:
         return df.select(key).withColumn(
             "neighbours", F.lit(None).cast(f"array<struct<distance:double,id:{id_type}>>"))
-    blocks = max(1, -(-size["n"] * size["width"] // block_cells))
-    own = F.pmod(F.xxhash64("print"), F.lit(blocks)).cast("int")
-    others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    queries = points.select("print", "v", own.alias("qb"), others.alias("cb"))
-    candidates = points.select("print", "v", "ids", own.alias("cb"), others.alias("qb"))
+    near_type = f"array<struct<distance:double,id:{id_type}>>"
+    partial = _search(points, size["n"] * size["width"], k, block_cells, near_type, id_type)
+    # at most k + 1 entries per vector and block searched
+    merged = partial.groupBy("print").agg(
+        F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near"))
+    merged = materialize(merged, "neighbours")
+    found = dictionary_join(rows.select("id", "print"),
+                            merged.withColumnRenamed("print", "value"), "print", "near", "near",
+                            size["n"] * (k + 1) * 32)
+    mine = F.filter("near", lambda x: x["id"] != F.col("id"))
+    return found.select(F.col("id").alias(key), F.slice(mine, 1, k).alias("neighbours"))
+
+
+def _distances(v: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    squares = (v**2).sum(axis=1)[:, None] + (pivots**2).sum(axis=1) - 2.0 * (v @ pivots.T)
+    return np.sqrt(np.maximum(squares, 0.0))
+
+
+def visited_cells(v: np.ndarray, limit: np.ndarray, pivots: np.ndarray, radius: np.ndarray
+                  ) -> np.ndarray:
+    """(queries x cells): whether a row within ``limit`` of the query may lie in the cell."""
+    away = _distances(v, pivots)
+    slack = 1e-6 * (1.0 + away)          # of distances computed by a matrix product
+    return away - radius <= limit[:, None] + slack
+
+
+def _search(points: DataFrame, numbers: int, k: int, block_cells: int, near_type: str,
+            id_type: str) -> DataFrame:
+    """(print, near): the best k + 1 rows of every block a query has to search."""
+    count = min(MAX_PIVOTS, max(1, -(-numbers // block_cells)))
+    rows = points.select("v").orderBy("print").limit(count).collect()
+    pivots = np.array([r["v"] for r in rows], "float64")
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            away = _distances(np.array(batch["v"].tolist(), "float64"), pivots) \
+                if len(batch) else np.empty((0, len(pivots)))
+            cell = away.argmin(axis=1)
+            yield pd.DataFrame({"print": batch["print"], "v": batch["v"], "ids": batch["ids"],
+                                "cell": cell, "away": away[np.arange(len(cell)), cell]})
+
+    placed = materialize(points.select("print", "v", "ids").mapInPandas(
+        assign, f"print string, v array<double>, ids array<{id_type}>, cell int, away double"),
+        "cells")
+    width = max(1, numbers // max(1, points.count()))
+    radius, blocks = np.full(len(pivots), -np.inf), [0] * len(pivots)
+    for r in placed.groupBy("cell").agg(F.max("away").alias("r"), F.count("*").alias("n")).collect():
+        radius[r["cell"]], blocks[r["cell"]] = r["r"], -(-r["n"] * width // block_cells)
+    parts = F.get(F.array(*[F.lit(b) for b in blocks]), F.col("cell"))
+    mine = F.pmod(F.xxhash64("print"), parts).cast("int")
+    placed = placed.withColumn("block", mine)
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"print": [], "near": []})
         q = np.stack(left["v"].to_numpy()).astype("float64")
-        c = np.stack(right["v"].to_numpy()).astype("float64")
+        c = np.stack(right["c_v"].to_numpy()).astype("float64")
         ids = right["ids"].to_numpy()
         near = []
         for positions, squares in nearest_in_block(q, c, k + 1):
@@ -81,15 +132,36 @@ def k_nearest(df: DataFrame, key: str, features: str, k: int, block_cells: int =
             near.append([{"distance": d, "id": i} for d, i in sorted(found)[:k + 1]])
         return pd.DataFrame({"print": left["print"].to_numpy(), "near": near})
 
-    near_type = f"array<struct<distance:double,id:{id_type}>>"
-    partial = (queries.groupBy("qb", "cb").cogroup(candidates.groupBy("qb", "cb"))
-               .applyInPandas(compare, f"print string, near {near_type}"))
-    # blocks x (k + 1) entries per vector
-    merged = partial.groupBy("print").agg(
-        F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near"))
-    merged = materialize(merged, "neighbours")
-    found = dictionary_join(rows.select("id", "print"),
-                            merged.withColumnRenamed("print", "value"), "print", "near", "near",
-                            size["n"] * (k + 1) * 32)
-    mine = F.filter("near", lambda x: x["id"] != F.col("id"))
-    return found.select(F.col("id").alias(key), F.slice(mine, 1, k).alias("neighbours"))
+    def meet(asked: DataFrame) -> DataFrame:
+        """``asked``: print, v, home and home_block of the query, cell to be searched."""
+        asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), parts - 1)))
+        key = ["home", "home_block", "cell", "block"]
+        met = asked.select(*key).distinct().withColumnsRenamed({c: f"c_{c}" for c in key})
+        candidates = placed.select(F.col("cell").alias("c_cell"), F.col("block").alias("c_block"),
+                                   F.col("v").alias("c_v"), "ids").join(met, ["c_cell", "c_block"])
+        return (asked.groupBy(*key).cogroup(candidates.groupBy(*[f"c_{c}" for c in key]))
+                .applyInPandas(compare, f"print string, near {near_type}"))
+
+    own = placed.select("print", "v", F.col("cell").alias("home"),
+                        F.col("block").alias("home_block"), "cell")
+    first = materialize(meet(own), "home-cells")
+    limit = (first.groupBy("print").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))),
+                                                1, k + 1).alias("near"))
+             .select("print", F.when(F.size("near") > k, F.get("near", F.lit(k))["distance"])
+                     .otherwise(F.lit(float("inf"))).alias("limit")))
+
+    def others(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            seen = visited_cells(np.array(batch["v"].tolist(), "float64"),
+                                 batch["limit"].to_numpy(float), pivots, radius)
+            seen[np.arange(len(batch)), batch["home"]] = False
+            row, cell = np.nonzero(seen)
+            out = batch[["print", "v", "home", "home_block"]].iloc[row].reset_index(drop=True)
+            out["cell"] = cell
+            yield out
+
+    more = own.join(limit, "print").select("print", "v", "home", "home_block", "limit").mapInPandas(
+        others, "print string, v array<double>, home int, home_block int, cell int")
+    return first.unionByName(meet(more))

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from rareflow.operators.neighbours import k_nearest
+from rareflow.operators.neighbours import k_nearest, visited_cells
 from rareflow.operators.smote import round_categories, smote, synthetic_rows
 
 
@@ -74,3 +74,20 @@ def test_rounding_is_half_even(spark):
     got = df.select(round_categories("v", [0, 1, 2]).alias("v")).first()["v"]
     assert got == [0.0, 2.0, 2.0, 2.5]
     assert df.select(round_categories(F.col("v"), []).alias("v")).first()["v"][0] == 0.5
+
+
+def test_far_cells_are_not_searched():
+    """On clustered rows a query visits few cells: pairs compared fall far below n squared."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 6)) * 20
+    v = centres.repeat(50, axis=0) + rng.normal(size=(2000, 6))
+    away = np.sqrt(((v[:, None, :] - centres) ** 2).sum(axis=2))
+    home = away.argmin(axis=1)
+    radius = np.array([away[home == c, c].max() for c in range(40)])
+    limit = np.array([np.sort(np.sqrt(((v[home == home[i]] - v[i]) ** 2).sum(axis=1)))[7]
+                      for i in range(2000)])
+    visited = visited_cells(v, limit, centres, radius)
+    pairs = (visited * np.bincount(home, minlength=40)).sum()
+    assert pairs < 0.1 * 2000**2
+    want = brute(v, 7)
+    assert all(visited[i, home[j]] for i in range(0, 2000, 50) for _, j in want[i])
