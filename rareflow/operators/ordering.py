@@ -28,6 +28,7 @@ PIECE_ROWS = 100_000         # copies of a row that one input row expands to
 
 TOKEN, BUCKET, PRINT, WEIGHT = "__token", "__bucket", "__print", "__weight"
 GROUP, SKIP = "__group", "__skip"
+SMALL_RANKS = 100_000        # cutoffs that may be broadcast (4 MB)
 
 
 class HashOrder:
@@ -169,6 +170,47 @@ class HashOrder:
         left_out = repeated(copies.withColumn(WEIGHT, F.lit(n - keep)), WEIGHT)
         return below.unionByName(kept), above.unionByName(left_out)
 
+    def passed(self, ranks: Mapping[object, Sequence[int]], name: str) -> DataFrame:
+        """``name``: how many of its group's (rising) ranks lie before a row's 1-based rank.
+
+        The ranks are turned into tokens by the histogram, so the column is a projection:
+        no row is shuffled. Only if rows tie at a cutoff are positions needed.
+        """
+        kind = self.rows.schema[GROUP].dataType.simpleString()
+        asked = self.rows.sparkSession.createDataFrame(
+            [(g, i, int(k)) for g, ks in ranks.items() for i, k in enumerate(ks)],
+            f"{GROUP} {kind}, i int, rank bigint")
+        upto = F.sum("n").over(Window.partitionBy(GROUP).orderBy(BUCKET))
+        buckets = self.histogram.select(GROUP, BUCKET, (upto - F.col("n")).alias("low"),
+                                        upto.alias("high"))
+        hit = null_safe_join(asked, buckets, [GROUP]).where("rank > low and rank <= high")
+        hit = materialize(hit, "order-ranks")              # a row per rank
+        tokens = null_safe_join(self.rows.select(GROUP, BUCKET, TOKEN),
+                                hit.select(GROUP, BUCKET).distinct(), [GROUP, BUCKET])
+        counted = tokens.groupBy(GROUP, BUCKET, TOKEN).agg(F.count("*").alias("n"))
+        inside = F.sum("n").over(Window.partitionBy(GROUP, BUCKET).orderBy(TOKEN))
+        counted = counted.withColumn("inside", inside)
+        cuts = null_safe_join(hit, counted, [GROUP, BUCKET]).where(
+            "rank > low + inside - n and rank <= low + inside")
+        cuts = materialize(cuts.select(GROUP, "i", TOKEN, (
+            F.col("rank") < F.col("low") + F.col("inside")).alias("tied")), "order-cuts")
+        if cuts.filter("tied").isEmpty():
+            low = asked.where("rank <= 0").select(GROUP, "i", F.lit("").alias(TOKEN))
+            arrays = cuts.drop("tied").unionByName(low).groupBy(GROUP).agg(
+                F.collect_list(TOKEN).alias("__cuts"))
+            if sum(len(ks) for ks in ranks.values()) <= SMALL_RANKS:
+                arrays = F.broadcast(arrays)
+            before = F.size(F.filter(F.coalesce("__cuts", F.array().cast("array<string>")),
+                                     lambda c: c < F.col(TOKEN)))
+            return null_safe_join(self.rows, arrays, [GROUP], "left").select(
+                *self.columns, before.alias(name))
+        arrays = asked.groupBy(GROUP).agg(F.collect_list("rank").alias("__ranks"))
+        placed = self.positions("__at").withColumn(GROUP, F.col(self.by) if self.by else F.lit(0))
+        before = F.size(F.filter(F.coalesce("__ranks", F.array().cast("array<bigint>")),
+                                 lambda k: k <= F.col("__at")))
+        return null_safe_join(placed, arrays, [GROUP], "left").select(
+            *self.columns, before.alias(name))
+
     # -- global positions --------------------------------------------------
 
     def positions(self, name: str = "position") -> DataFrame:

@@ -72,8 +72,10 @@ def undersample(df: DataFrame, target: str, key: Column | str, ratio: float = 1.
 def undersample_shards(df: DataFrame, target: str, key: Column | str, num_shards: int,
                        keep: int, seed: str = "undersample") -> DataFrame:
     """All positives and the ``keep`` first negative shards."""
-    sharded = with_shard(df, key, num_shards, seed, target)
-    return sharded.filter((F.col(target) == 1) | (F.col("shard") < keep))
+    positive = F.col(target).eqNullSafe(F.lit(1))
+    sharded = with_shard(df.filter(~positive), key, num_shards, seed, target)
+    return df.filter(positive).withColumn("shard", F.lit(None).cast("int")).unionByName(
+        sharded.filter(F.col("shard") < keep))
 
 
 def cap_classes(df: DataFrame, target: str, key: Column | str, positives: int,
@@ -139,7 +141,9 @@ def thin_positive_shards(df: DataFrame, target: str, key: Column | str, num_shar
     """
     draws = drawn_shards(num_shards, int(num_shards * frac), replace, f"{seed}:draw")
     times = {s: draws.count(s) * upsample for s in set(draws)}
-    sharded = with_shard(df, key, num_shards, seed, target)
+    negative = F.col(target).eqNullSafe(F.lit(0))
+    sharded = with_shard(df.filter(~negative), key, num_shards, seed, target).unionByName(
+        df.filter(negative).withColumn("shard", F.lit(None).cast("int")))
     n = F.lit(0)
     for shard, count in times.items():
         n = F.when(F.col("shard") == shard, F.lit(count)).otherwise(n)
@@ -152,11 +156,8 @@ def mixed_batches(df: DataFrame, target: str, key: Column | str, batches: int,
                   seed: str = "mix") -> DataFrame:
     """``batch`` ids that spread each class evenly over the batches."""
     order = HashOrder(df, key, seed, target)
-    size = F.lit(None).cast("bigint")
-    for value, n in order.counts().items():
-        size = F.when(F.col(target).eqNullSafe(F.lit(value)), F.lit(n)).otherwise(size)
-    batch = F.floor(F.col("__pos") * batches / size).cast("int")
-    return order.positions("__pos").withColumn("batch", batch).drop("__pos")
+    return order.passed({g: [-(-b * n // batches) for b in range(1, batches)]
+                         for g, n in order.counts().items()}, "batch")
 
 
 def batch_ids(df: DataFrame, key: Column | str, batch_size: int, seed: str = "batch"

@@ -6,10 +6,11 @@ import json
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from rareflow.functions.clean import MISSING_CATEGORY, MISSING_NUMBER
 from rareflow.operators.ordering import HashOrder
+from rareflow.session import materialize
 
 
 def scan_csv(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType) -> DataFrame:
@@ -106,14 +107,39 @@ def with_shard(df: DataFrame, key: Column | str, num_shards: int, seed: str = "s
     """
     order = HashOrder(df, key, seed, by)
     per = {g: n // num_shards for g, n in order.counts().items()}
-    shard = F.lit(None).cast("int")
+    if not position:
+        return order.passed({g: [size * (s + 1) for s in range(num_shards)]
+                             for g, size in per.items()}, "shard")
+    sizes = df.sparkSession.createDataFrame(
+        list(per.items()), f"__g {order.rows.schema['__group'].dataType.simpleString()}, __size bigint")
     group = F.col(by) if by else F.lit(0)
-    for value, size in per.items():
-        own = (F.least(F.floor(F.col("__pos") / F.lit(size)), F.lit(num_shards))
-               if size else F.lit(num_shards))
-        shard = F.when(group.eqNullSafe(F.lit(value)), own.cast("int")).otherwise(shard)
-    placed = order.positions("__pos").withColumn("shard", shard)
-    return placed.withColumnRenamed("__pos", position) if position else placed.drop("__pos")
+    shard = F.when(F.col("__size") > 0, F.least(
+        F.floor(F.col(position) / F.col("__size")), F.lit(num_shards))).otherwise(num_shards)
+    return (order.positions(position).join(sizes, group.eqNullSafe(F.col("__g")))
+            .withColumn("shard", shard.cast("int")).drop("__g", "__size"))
+
+
+def with_ordered_shard(df: DataFrame, order: Sequence[str], num_shards: int) -> DataFrame:
+    """``shard`` column: consecutive pieces of n // num_shards rows in the order of the given
+    columns, as a file is cut as it lies; the remainder goes to shard ``num_shards``.
+
+    Rows are range-partitioned; partition sizes give the offsets.
+    """
+    keys = [F.col(c).asc_nulls_first() for c in order]
+    rows = materialize(df.repartitionByRange(*keys).withColumn("__part", F.spark_partition_id()),
+                       "ordered")
+    counts = rows.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)   # per partition
+    starts = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"),
+                           F.sum("__n").over(Window.partitionBy()).alias("__all"))
+    # content orders rows that tie
+    rest = [F.col(c).asc_nulls_first() for c in df.columns if c not in order]
+    place = F.col("__start") + F.row_number().over(
+        Window.partitionBy("__part").orderBy(*keys, *rest)) - 1
+    size = F.floor(F.col("__all") / num_shards)
+    shard = F.when(size > 0, F.least(F.floor(place / size), F.lit(num_shards))).otherwise(num_shards)
+    return rows.join(starts, "__part").withColumn("shard", shard.cast("int")).select(
+        *df.columns, "shard")
 
 
 ROWS_PER_FILE = 2_000_000

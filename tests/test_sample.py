@@ -93,3 +93,29 @@ def test_shuffle_of_copies(spark, numbered):
         assert out.exceptAll(copies).count() == 0 and copies.exceptAll(out).count() == 0
     finally:
         ordering.HashOrder.__init__.__defaults__ = defaults
+
+
+def test_shards_and_batches_shuffle_no_rows(numbered):
+    from rareflow.sources.files import with_shard
+    for out in (with_shard(numbered, "row_key", 10, by="target"),
+                sample.mixed_batches(numbered, "target", "row_key", 8)):
+        plan = out._jdf.queryExecution().sparkPlan().toString()
+        assert "Window" not in plan and "Sort" not in plan
+        assert out.count() == 2000
+
+
+def test_shards_of_tied_rows_equal_positions(spark, numbered):
+    from rareflow.sources.files import with_shard
+    tied = numbered.withColumn("row_key", (F.col("id") % 7).cast("string"))
+    got = with_shard(tied, "row_key", 9)
+    want = with_shard(tied, "row_key", 9, position="at")
+    assert got.exceptAll(want.select(got.columns)).count() == 0 and got.count() == 2000
+
+
+def test_ordered_shards_cut_the_table_as_it_lies(spark, numbered):
+    from rareflow.sources.files import with_ordered_shard
+    few = numbered.withColumn("half", F.floor(F.col("id") / 2)).repartition(5)
+    rows = with_ordered_shard(few, ["half"], 7).collect()
+    assert all(r["shard"] == min(r["id"] // (2000 // 7), 7) for r in rows) and len(rows) == 2000
+    lone = with_ordered_shard(few.where("id < 3"), ["id"], 7).collect()
+    assert [r["shard"] for r in lone] == [7, 7, 7]
