@@ -87,7 +87,8 @@ def star_blocks(pairs: DataFrame, payload: DataFrame, columns: Sequence[str]) ->
     sizes = pairs.groupBy("a").agg(F.count("*").alias("members"))
     block = F.pmod(F.xxhash64("b"), F.ceil(F.col("members") / BLOCK_MEMBERS)).alias("block")
     placed = pairs.join(sizes, "a").select("a", "b", block)
-    load = payload.select(F.col("id").alias("load_id"), *columns)
+    # payloads move by shuffle at every size: no side is known to stay small
+    load = payload.select(F.col("id").alias("load_id"), *columns).hint("merge")
     members = placed.join(load, F.col("b") == F.col("load_id")).select("a", "block", "b", *columns)
     hubs = (placed.select("a", "block").distinct().join(load, F.col("a") == F.col("load_id"))
             .select("a", "block", F.lit(None).cast("long").alias("b"), *columns))
@@ -112,8 +113,7 @@ def components(shelf: Shelf, edges: DataFrame) -> DataFrame:
 
     def large_star(now: DataFrame) -> DataFrame:
         low = now.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("low"))
-        return pointed(now.join(low, "b", "left")
-                       .select("a", F.coalesce("low", "b").alias("b")))
+        return now.join(low, "b", "left").select("a", F.coalesce("low", "b").alias("b"))
 
     def small_star(now: DataFrame) -> DataFrame:
         low = now.groupBy("a").agg(F.min("b").alias("low"))

@@ -68,7 +68,8 @@ class LineDedup:
         gone = F.when(F.col("copy") & (chars >= self.block_chars), full).otherwise(F.coalesce(
             "gone", F.array().cast("array<int>")))
         known = (F.col(id_column).cast("long") == F.col("id")) & F.col(text_column).isNotNull()
-        out = base.join(decided, known, "left").withColumn("__gone", gone)
+        # texts move by shuffle at every size: no side is known to stay small
+        out = base.join(decided.hint("merge"), known, "left").withColumn("__gone", gone)
         left = F.array_except(full, F.col("__gone"))
         text = F.when(F.size("__gone") == 0, F.col(text_column)).otherwise(F.array_join(
             F.transform(left, lambda i: F.get(parts, i)), "\n"))
