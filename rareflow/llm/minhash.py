@@ -6,10 +6,12 @@ with probability 5e-6. The signature's share of equal minima, corrected for chan
 collisions, drops candidates more than five deviations below the threshold; what
 is left is confirmed on whole shingle sets.
 
-Texts with equal shingle sets are folded first. In a bucket each member is then
-compared with one hub, so a group of thousands of copies costs a pair per member;
-only buckets whose members are still in different groups after two such rounds
-compare all members that are in different groups, in blocks.
+Texts with equal shingle sets are folded first. Of texts that share a bucket, the
+shingles no other such text has are counted: a text cannot share them, which bounds its similarity
+to any other and drops far variants at once. Each text is then compared with
+one hub, the text of its buckets with the smallest such share, so a group of thousands
+of copies costs a pair per member. Buckets whose members are still in different groups compare
+with one hub each, and then all members in different groups, in blocks.
 """
 
 from __future__ import annotations
@@ -42,7 +44,6 @@ class NearDuplicates:
     rows: int = 4
     margin: float = 0.22         # five and a half deviations of the estimate at 0.75
     block: int = 2048            # bucket members compared within one task
-    rounds: int = 2
     seed: int = 7
 
     @property
@@ -109,12 +110,32 @@ class NearDuplicates:
         return (equal - 1 / 16) / (1 - 1 / 16)
 
     def _likely(self, x: str, y: str) -> Column:
-        """Sizes and signatures allow the threshold."""
+        """Sizes, shareable shingles and signatures allow the threshold."""
         n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
-        return ((100 * F.least(n, m) >= self.percent * F.greatest(n, m))
+        most = F.least(F.col(f"{x}.common"), F.col(f"{y}.common"))
+        return ((100 * most >= self.percent * (n + m - most))
                 & (self._agreeing(F.col(f"{x}.bits"), F.col(f"{y}.bits"))
                    >= self.percent / 100 - self.margin))
 
+    def _shareable(self, texts: DataFrame, ids: DataFrame) -> DataFrame:
+        """(id, alone): shingles of each text that no other text of ``ids`` has."""
+        size = self.words
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hashes = WordHashes()
+            with np.errstate(over="ignore"):
+                for batch in batches:
+                    found = [shingles(hashes.of(t.as_py()), size) for t in batch.column(1)]
+                    own = np.repeat(batch.column(0).to_numpy(), [len(f) for f in found])
+                    every = np.concatenate(found) if found else np.empty(0, np.uint64)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(own), pa.array(every.view(np.int64))], names=["id", "shingle"])
+
+        return (texts.join(ids.hint("merge"), "id", "left_semi").select("id", "text")
+                .mapInArrow(run, "id long, shingle long")
+                .groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("last"))
+                .where("id = last").groupBy("id").agg(F.count("*").alias("alone")))
+
     def _confirmed(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
         """The pairs whose full sets meet the threshold."""
         size, percent = self.words, self.percent
@@ -167,29 +188,32 @@ class NearDuplicates:
         buckets = reps.select("id", F.explode("bands").alias("key"))
         many = buckets.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
         buckets = shelf.keep(buckets.join(many, "key"), "buckets")
-        tested = None
-        whole = None
-        for turn in range(self.rounds + 1):
-            own = F.col("id") if whole is None else F.coalesce("component", "id")
-            placed = (buckets if whole is None else buckets.join(
-                whole, F.col("id") == F.col("node"), "left")).withColumn("own", own)
-            if turn < self.rounds:
-                pairs = self._with_hub(placed, turn)
-                if tested is not None:
-                    pairs = pairs.join(tested, ["a", "b"], "left_anti")
-                mine = reps.select("id", "n", "bits")
-                pairs = shelf.keep(
-                    pairs.join(mine.alias("x"), F.col("a") == F.col("x.id"))
-                    .join(mine.alias("y"), F.col("b") == F.col("y.id"))
-                    .where(self._likely("x", "y")).select("a", "b").distinct(), "pairs")
-            else:
-                pairs = self._across(placed, reps)
-                pairs = pairs.join(tested, ["a", "b"], "left_anti")
-                pairs = shelf.keep(pairs.distinct(), "pairs")
+        alone = self._shareable(texts, buckets.select("id").distinct()).join(
+            twofold, "id", "left_anti")
+        # what a text can share at most; texts that cannot reach the threshold are done
+        able = reps.join(buckets.select("id").distinct(), "id", "left_semi").join(
+            alone, "id", "left").withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0)))
+        able = shelf.keep(able.where(F.col("common") * 100 >= self.percent * F.col("n"))
+                          .select("id", "n", "common", "bits"), "able")
+        buckets = shelf.keep(buckets.join(able.select("id", "n", "common"), "id"), "open")
+
+        tested = self._with_hub(buckets.withColumn("own", F.col("id")), one_each=True)
+        tested = shelf.keep(self._plausible(tested, able), "pairs")
+        links = shelf.keep(links.unionByName(self._confirmed(tested, texts)), "links")
+        whole = components(shelf, links)
+        for pairs_of in (self._with_hub, self._across):
+            placed = buckets.join(whole, F.col("id") == F.col("node"), "left").withColumn(
+                "own", F.coalesce("component", "id"))
+            pairs = (pairs_of(placed) if pairs_of == self._with_hub
+                     else pairs_of(placed, able)).join(tested, ["a", "b"], "left_anti")
+            pairs = shelf.keep(self._plausible(pairs, able), "pairs")
+            if pairs.isEmpty():
+                continue
             found = shelf.keep(self._confirmed(pairs, texts), "links")
-            links = links.unionByName(found)
-            tested = pairs if tested is None else tested.unionByName(pairs)
-            whole = components(shelf, links)
+            tested = tested.unionByName(pairs)
+            if not found.isEmpty():
+                links = links.unionByName(found)
+                whole = components(shelf, links)
         placed = (member.join(whole, F.col("rep") == F.col("node"), "left")
                   .groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component_id")))
         result = signed.select("id", "n").join(placed, "id", "left").select(
@@ -198,22 +222,30 @@ class NearDuplicates:
         return shelf.finish(result.withColumn(
             "kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True))), "groups")
 
-    def _with_hub(self, placed: DataFrame, turn: int) -> DataFrame:
-        """Each bucket's members with the bucket's hub, if still apart."""
-        order = F.xxhash64("id", F.lit(turn))
-        hubs = (placed.groupBy("key").agg(
-            F.min_by(F.struct(F.col("id").alias("hub"), F.col("own").alias("hub_own")),
-                     order).alias("h"), F.min("own").alias("low"), F.max("own").alias("high"))
-            .where("low < high").select("key", "h.hub", "h.hub_own"))
-        return (placed.join(hubs, "key").where("own <> hub_own")
-                .select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
-
-    def _across(self, placed: DataFrame, reps: DataFrame) -> DataFrame:
+    def _plausible(self, pairs: DataFrame, able: DataFrame) -> DataFrame:
+        return (pairs.join(able.alias("x"), F.col("a") == F.col("x.id"))
+                .join(able.alias("y"), F.col("b") == F.col("y.id"))
+                .where(self._likely("x", "y")).select("a", "b").distinct())
+
+    def _with_hub(self, placed: DataFrame, one_each: bool = False) -> DataFrame:
+        """Members with the hub of their bucket, if still apart; or each with its best hub only."""
+        order = F.struct((1 - F.col("common") / F.col("n")).alias("alone"),
+                         F.xxhash64("id").alias("mark"), F.col("id").alias("hub"))
+        hubs = (placed.withColumn("order", order).groupBy("key").agg(
+            F.min(F.struct("order", F.col("own").alias("hub_own"))).alias("h"),
+            F.min("own").alias("low"), F.max("own").alias("high"))
+            .where("low < high").select("key", "h.order", "h.hub_own"))
+        pairs = placed.select("key", "id", "own").join(hubs, "key").where("own <> hub_own")
+        if one_each:
+            pairs = pairs.groupBy("id").agg(F.min("order").alias("order"))
+        return pairs.select(F.col("order.hub").alias("a"), F.col("id").alias("b")).distinct()
+
+    def _across(self, placed: DataFrame, able: DataFrame) -> DataFrame:
         """Likely pairs of different groups that share a bucket, block against block."""
         open_keys = (placed.groupBy("key").agg(F.min("own").alias("low"), F.max("own").alias("high"))
                      .where("low < high").select("key"))
         rows = (placed.join(open_keys, "key").select("key", "id", "own", "members")
-                .join(reps.select("id", "n", "bits"), "id"))
+                .join(able, "id"))
         blocks = F.ceil(F.col("members") / self.block)
         rows = rows.withColumns({"mine": F.pmod(F.xxhash64("id"), blocks),
                                  "other": F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))})
