@@ -9,6 +9,7 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -22,7 +23,7 @@ from rareflow.models.dan import Training, training_round, training_rows  # noqa:
 from rareflow.models.kernel import Shape  # noqa: E402
 from rareflow.plans import catalog  # noqa: E402
 from rareflow.plans.encoding import encoder_model  # noqa: E402
-from rareflow.session import local_session, materialize  # noqa: E402
+from rareflow.session import clear_scratch, local_session, materialize  # noqa: E402
 from rareflow.sources.tables import TARGET  # noqa: E402
 
 HEADLINE = [
@@ -31,6 +32,8 @@ HEADLINE = [
     "feature_encoding", "dictionary_join", "assemble_sparse", "rebalance_validation",
     "oversample_positive", "stratified_split", "smote", "predict_proba", "metric_auroc",
     "metric_auroc_micro", "metric_bundle", "metric_outer_join", "fill_series",
+    "write_processed", "sample_balanced", "thin_positive_shards", "class_mixed_batches",
+    "gaussian_nb", "stream_encode", "stream_metrics",
 ]
 
 
@@ -47,7 +50,8 @@ def timed(work, runs: int) -> float:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus, runs = os.environ.get("BENCH_CPUS", "8"), int(os.environ.get("BENCH_RUNS", "3"))
-    spark = local_session("rareflow-bench", cpus, int(cpus) if cpus.isdigit() else 8)
+    scratch = tempfile.mkdtemp(prefix="rareflow-bench-")     # one machine: local is shared
+    spark = local_session("rareflow-bench", cpus, int(cpus) if cpus.isdigit() else 8, scratch)
     spark.sparkContext.setLogLevel("ERROR")
 
     def drain(name: str) -> None:
@@ -73,6 +77,7 @@ def main() -> None:
         assert np.isfinite(new).all()
 
     spent["dan_round"] = round(timed(one_round, runs), 3)
+    clear_scratch(spark)
     print(json.dumps({
         "metric": "total_wall_time", "value": round(sum(spent.values()), 3), "unit": "sec",
         "queries": spent, "sf": Path(sf_dir).name,

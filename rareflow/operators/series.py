@@ -12,10 +12,17 @@ from rareflow.operators.ordering import BUCKET, SLICE_ROWS, null_safe_join, valu
 from rareflow.session import materialize
 
 
-def pivot_series(log: DataFrame, keys: Sequence[str], tags: Sequence[str]) -> DataFrame:
-    """One column per tag; the same rows as a chain of full outer joins on the
-    keys, with one shuffle."""
-    return log.groupBy(*keys).pivot("tag", list(tags)).agg(F.first("value", ignorenulls=True))
+def log_tags(log: DataFrame) -> list[str]:
+    """The tags a log holds, in order (metadata: one per metric)."""
+    return sorted(r["tag"] for r in log.where("tag is not null").select("tag").distinct().collect())
+
+
+def pivot_series(log: DataFrame, keys: Sequence[str], tags: Sequence[str] | None = None
+                 ) -> DataFrame:
+    """One column per tag, of the log's own tags by default; the same rows as a chain of
+    full outer joins on the keys, with one shuffle."""
+    tags = log_tags(log) if tags is None else list(tags)
+    return log.groupBy(*keys).pivot("tag", tags).agg(F.first("value", ignorenulls=True))
 
 
 def outer_join_series(series: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:

@@ -15,21 +15,28 @@ VALUES = ", ".join(f"round({t}, 6) AS {t}" for t in TAGS)
 
 
 def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return series.pivot_series(metric_log(spark, sf_dir), ["run", "step"], TAGS)
+    """Every tag the log holds; the SQL twins name the ones of the test tables."""
+    return series.pivot_series(metric_log(spark, sf_dir), ["run", "step"])
+
+
+def tags_of(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if c not in ("run", "step")]
 
 
 @query("metric_outer_join", with_(WIDE, f"SELECT run, step, {VALUES} FROM wide"))
 def metric_outer_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(wide(spark, sf_dir), TAGS)
+    df = wide(spark, sf_dir)
+    return rounded(df, tags_of(df))
 
 
 @query("log_union", with_(LOG, """SELECT run, step, tag, round(value, 6) AS value,
   CASE WHEN run = 2 THEN NULL ELSE run * 10 END AS shift FROM metric_log"""))
 def log_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = rounded(metric_log(spark, sf_dir), ["value"])
-    runs = [log.filter(F.col("run") == i) for i in range(3)]
-    shifted = [d.withColumn("shift", F.col("run") * 10) for d in runs[:2]]
-    return series.union_logs([*shifted, runs[2]])
+    names = [r["run"] for r in log.select("run").distinct().collect()]   # NULL is a run too
+    runs = {i: log.filter(F.col("run").eqNullSafe(F.lit(i))) for i in names}
+    return series.union_logs([d if i == 2 else d.withColumn("shift", F.col("run") * 10)
+                              for i, d in runs.items()])
 
 
 NUMBERED = WIDE + ", numbered AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY step) - 1" \
@@ -51,25 +58,29 @@ def interpolated(t: str) -> str:
 @query("interpolate_linear", with_(NUMBERED, "SELECT run, step, " + ", ".join(
     f"round({interpolated(t)}, 6) AS {t}" for t in TAGS) + " FROM known"))
 def interpolate_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(series.interpolate_linear(wide(spark, sf_dir), ["run"], "step", TAGS), TAGS)
+    df = wide(spark, sf_dir)
+    return rounded(series.interpolate_linear(df, ["run"], "step", tags_of(df)), tags_of(df))
 
 
 @query("backfill", with_(NUMBERED, "SELECT run, step, " + ", ".join(
     f"round(coalesce({t}, {t}_nv), 6) AS {t}" for t in TAGS) + " FROM known"))
 def backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(series.backfill(wide(spark, sf_dir), ["run"], "step", TAGS), TAGS)
+    df = wide(spark, sf_dir)
+    return rounded(series.backfill(df, ["run"], "step", tags_of(df)), tags_of(df))
 
 
 @query("fill_series", with_(NUMBERED, "SELECT run, step, " + ", ".join(
     f"round(coalesce({interpolated(t)}, {t}_nv), 6) AS {t}" for t in TAGS) + " FROM known"))
 def fill_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(series.fill_series(wide(spark, sf_dir), ["run"], "step", TAGS), TAGS)
+    df = wide(spark, sf_dir)
+    return rounded(series.fill_series(df, ["run"], "step", tags_of(df)), tags_of(df))
 
 
 @query("series_dropna_sort", with_(WIDE, f"""SELECT run, step, {VALUES} FROM wide
   WHERE click IS NOT NULL AND view IS NOT NULL ORDER BY run, step"""))
 def series_dropna_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return series.dropna_sort(rounded(wide(spark, sf_dir), TAGS), ["click", "view"],
+    df = wide(spark, sf_dir)
+    return series.dropna_sort(rounded(df, tags_of(df)), ["click", "view"],
                               ["run", "step"])
 
 

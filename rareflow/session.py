@@ -1,12 +1,11 @@
 """Session defaults and the shared scratch area.
 
 Intermediate tables go to the folder the cluster names in ``spark.checkpoint.dir``.
-Only a local master may fall back to a folder of its own.
+Only a local master may go without; then they lie in the warehouse folder.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,10 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
-def local_session(name: str = "rareflow", cpus: str = "*", partitions: int = 8) -> SparkSession:
+def local_session(name: str = "rareflow", cpus: str = "*", partitions: int = 8,
+                  scratch: str | None = None) -> SparkSession:
     """A local session for tests and the benchmark; clusters bring their own."""
+    builder = SparkSession.builder
+    if scratch:
+        builder = builder.config(CHECKPOINT_CONF, scratch)
     return (
-        SparkSession.builder.master(f"local[{cpus}]")
+        builder.master(f"local[{cpus}]")
         .appName(name)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
@@ -36,9 +39,7 @@ def shared_dir(spark: SparkSession) -> str:
         return base.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder all executors can reach")
-    base = tempfile.mkdtemp(prefix="rareflow-")
-    spark.conf.set(CHECKPOINT_CONF, base)
-    return base
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
 
 
 def _own_dir(spark: SparkSession) -> str:

@@ -5,14 +5,16 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from rareflow.session import local_session  # noqa: E402
+from rareflow.session import clear_scratch, local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session("rareflow-tests", cpus="4", partitions=4)
+def spark(tmp_path_factory):
+    session = local_session("rareflow-tests", cpus="4", partitions=4,
+                            scratch=str(tmp_path_factory.mktemp("scratch")))
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clear_scratch(session)
     session.stop()
 
 
