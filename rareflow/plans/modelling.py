@@ -81,6 +81,35 @@ def predict(spark: SparkSession, sf_dir: str) -> DataFrame:
         "vec_id", "negative", "positive")
 
 
+EPOCH = Training(epochs=1, sync="gradient", dtype="float64", learning_rate=0.01)
+EPOCH_SHAPE = Shape(WIDTH, (), batch_norm=False)
+START = kernel.as_blocks(EPOCH_SHAPE, kernel.initial_weights(EPOCH_SHAPE, EPOCH.seed))["d0w"]
+
+
+@query("discriminator_epoch", with_(CELLS + f""", start(pos, j, w) AS (VALUES {", ".join(
+    f"({i}, {j}, {float(v)!r}::DOUBLE)" for (i, j), v in np.ndenumerate(START))}),
+logit AS (SELECT vec_id, any_value(conversion_target) AS y,
+  sum(value * w * CASE j WHEN 1 THEN 1 ELSE -1 END) AS z FROM cells JOIN start USING (pos) GROUP BY 1),
+miss AS (SELECT vec_id, 1 / (1 + exp(-z)) - y AS e FROM logit),
+slopes AS (SELECT pos, sum(e * value) / (SELECT count(*) FROM miss) AS g
+  FROM cells JOIN miss USING (vec_id) GROUP BY pos UNION ALL SELECT -1, avg(e) FROM miss),
+steps AS (SELECT pos, {EPOCH.learning_rate}::DOUBLE * g / (abs(g) + 1e-8::DOUBLE / sqrt(0.001::DOUBLE)) AS s
+  FROM slopes)""", """SELECT steps.pos, coalesce(start.j, side.j) AS j,
+  round(coalesce(w, 0) - s * CASE coalesce(start.j, side.j) WHEN 1 THEN 1 ELSE -1 END, 6) + 0 AS weight
+  FROM steps LEFT JOIN start ON steps.pos = start.pos
+  LEFT JOIN (VALUES (-1, 0), (-1, 1)) AS side(pos, j) ON steps.pos = side.pos"""))
+def discriminator_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of the plain discriminator after one epoch: one optimiser step on all rows.
+
+    Position -1 holds the offsets.
+    """
+    model = DisguiseClassifier(EPOCH_SHAPE, EPOCH).fit(everything(spark, sf_dir))
+    w = kernel.as_blocks(EPOCH_SHAPE, model.flat)
+    rows = [(i, j, float(v)) for (i, j), v in np.ndenumerate(w["d0w"])]
+    rows += [(-1, j, float(v)) for j, v in enumerate(w["d0b"])]
+    return rounded(spark.createDataFrame(rows, "pos int, j int, weight double"), ["weight"])
+
+
 def fixed_disguise() -> DisguiseModel:
     """Linear disguise with given weights ((31 i + 17 j) mod 13 - 6) / 100 and offsets j / 64."""
     shape = Shape(WIDTH, (), (), batch_norm=False)
@@ -332,6 +361,26 @@ def pca_explained_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread.select(r(weighted).alias("total_variance"))
 
 
+@query("pca_eigenvalue_sums", with_(CELLS + """, means AS (SELECT pos, avg(value) AS m, count(*) AS n
+  FROM cells GROUP BY pos),
+centred AS (SELECT vec_id, pos, value - m AS x, n FROM cells JOIN means USING (pos)),
+cov AS (SELECT a.pos AS i, b.pos AS j, sum(a.x * b.x) / (any_value(a.n) - 1) AS c
+  FROM centred a JOIN centred b USING (vec_id) GROUP BY 1, 2)""", """SELECT power,
+  round(value, 6) AS value FROM (SELECT 1 AS power, sum(c) FILTER (i = j) AS value FROM cov
+  UNION ALL SELECT 2, sum(c * c) FROM cov
+  UNION ALL SELECT 3, sum(a.c * b.c * d.c) FROM cov a JOIN cov b ON a.j = b.i
+    JOIN cov d ON b.j = d.i AND d.j = a.i)"""))
+def pca_eigenvalue_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of powers of all eigenvalues: traces of powers of the covariance in SQL."""
+    df = everything(spark, sf_dir)
+    pca = baselines.CentredPCA(df, k=WIDTH)
+    total = df.agg(sum((F.var_samp(F.get("features", F.lit(i))) for i in range(WIDTH)),
+                       F.lit(0.0))).first()[0]
+    values = np.asarray(pca.ratios) * total
+    rows = [(k, float((values ** k).sum())) for k in (1, 2, 3)]
+    return rounded(spark.createDataFrame(rows, "power int, value double"), ["value"])
+
+
 @query("pca_ratios")
 def pca_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     pca = baselines.CentredPCA(everything(spark, sf_dir), k=3)
