@@ -30,16 +30,30 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+STEP = 0x9E3779B97F4A7C15    # odd, so it has an inverse modulo 2^64
+BACK = pow(STEP, -1, 2 ** 64)
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of ``STEP`` and of its inverse, kept for the longest text so far."""
+    while len(_powers[0]) < count:
+        for k, base in enumerate((STEP, BACK)):
+            known = _powers[k]
+            ahead = np.uint64(pow(base, len(known), 2 ** 64))
+            _powers[k] = np.concatenate([known, known * ahead])
+    return _powers[0][:count], _powers[1][:count]
+
+
 def windows(words: np.ndarray, size: int) -> np.ndarray:
-    """Hash of every ``size`` consecutive words, in order."""
+    """Hash of every ``size`` consecutive words, in order, by differences of one running sum."""
     count = len(words) - size + 1
     if count <= 0:
         return np.empty(0, np.uint64)
-    total = np.zeros(count, np.uint64)
-    odd = mixed(np.arange(1, size + 1, dtype=np.uint64)) | np.uint64(1)
-    for i in range(size):
-        total += words[i:i + count] * odd[i]
-    return mixed(total)
+    up, down = powers(len(words))
+    total = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * up, out=total[1:])
+    return mixed((total[size:] - total[:count]) * down[:count])
 
 
 def shingles(words: np.ndarray, size: int) -> np.ndarray:

@@ -26,15 +26,29 @@ SUFFIX = "key long, id long, tag int, pos int"
 RUN_ROWS = 100_000           # rows of a key at a partition's edge that wait in memory
 
 
+PLACE = np.uint64((1 << 24) - 1)   # of a packed hash, its position
+
+
 def minimisers(words: np.ndarray, gram: int, window: int) -> np.ndarray:
-    """Positions of the leftmost smallest k-gram hash of each run of ``window`` k-grams."""
-    values = windows(words, gram)
-    if len(values) < window:
+    """Positions of the leftmost smallest k-gram hash of each run of ``window`` k-grams.
+
+    Hash and position are packed into one number; minima of doubling spans give those of
+    any window.
+    """
+    low = windows(words, gram)
+    count = len(low) - window + 1
+    if count <= 0:
         return np.empty(0, np.int64)
-    views = np.lib.stride_tricks.sliding_window_view(values, window)
-    out = [np.unique(start + np.arange(len(part)) + part.argmin(axis=1))
-           for start in range(0, len(views), 8192) for part in [views[start:start + 8192]]]
-    return np.unique(np.concatenate(out))
+    place = np.arange(len(low), dtype=np.uint64)
+    low = (low & ~PLACE) | (place & PLACE)
+    span = 1
+    while 2 * span <= window:
+        low = np.minimum(low[:-span], low[span:])
+        span *= 2
+    low = np.minimum(low[:count], low[window - span:window - span + count])
+    start = np.arange(count, dtype=np.uint64)
+    at = start + (((low & PLACE) - (start & PLACE)) & PLACE)
+    return np.unique(at[np.append(True, at[1:] != at[:-1])]).astype(np.int64)
 
 
 @dataclass(frozen=True)
@@ -128,12 +142,11 @@ class RepeatedPassages:
         compared = shelf.keep(
             suffixes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(
                 _neighbours, f"{SUFFIX}, least long, edge boolean"), "compared")
-        # a key at a partition's edge goes on in the next one, or is alone
-        edges = (compared.where("edge").groupBy("key")
-                 .agg(F.count("*").alias("n"), F.min("least").alias("smallest")).where("n > 1"))
-        settled = (compared.where("edge").join(edges, "key")
-                   .select(*order, F.col("smallest").alias("least")))
-        return compared.where("not edge").select(*order, "least").unionByName(settled)
+        # a key at a partition's edge goes on in the next one, or is alone; there are at
+        # most two such keys per partition
+        edges = {r["key"]: r["smallest"] for r in compared.where("edge").groupBy("key").agg(
+            F.count("*").alias("n"), F.min("least").alias("smallest")).where("n > 1").collect()}
+        return compared.mapInArrow(_settled(edges), f"{SUFFIX}, least long")
 
 
 def keyed(found: list[tuple]) -> pa.RecordBatch:
@@ -191,22 +204,46 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield told(held, {first_key, int(held[0][0][0])})
 
 
+def _settled(edges: dict[int, int]):
+    """Rows of a partition's first and last key: kept, with the smallest id, if the key is shared."""
+    keys = np.array(sorted(edges), np.int64)
+    smallest = np.array([edges[k] for k in keys.tolist()], np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, least = (batch.column(i).to_numpy() for i in (0, 4))
+            edge = batch.column(5).to_numpy(zero_copy_only=False).astype(bool)
+            shared = np.zeros(len(key), bool)
+            if len(keys):
+                slot = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                shared = edge & (keys[slot] == key)
+                least = np.where(shared, smallest[slot], least)
+            keep = pa.array(~edge | shared)
+            columns = [*batch.columns[:4], pa.array(least)]
+            yield pa.RecordBatch.from_arrays(
+                [c.filter(keep) for c in columns], names=["key", "id", "tag", "pos", "least"])
+
+    return run
+
+
 def _joined(length: int):
     """Matched starts of a text as spans of words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for own, found in zip(*batch.columns, strict=True):
-                own, spans = own.as_py(), []
-                for start, least in sorted((f["pos"], f["least"]) for f in found.as_py()):
-                    if spans and start <= spans[-1][2]:
-                        spans[-1][2] = start + length
-                        spans[-1][3] = min(spans[-1][3], least)
-                    else:
-                        spans.append([own, start, start + length, least])
-                out += spans
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64()]
+            ids = batch.column(0).to_numpy()
+            sizes = np.diff(batch.column(1).offsets.to_numpy())
+            found = batch.column(1).flatten()
+            pos, least = (c.to_numpy() for c in found.flatten())
+            text = np.repeat(np.arange(len(ids)), sizes)
+            order = np.lexsort((pos, text))
+            pos, least, text = pos[order].astype(np.int64), least[order], text[order]
+            opens = np.ones(len(pos), bool)
+            opens[1:] = (text[1:] != text[:-1]) | (pos[1:] > pos[:-1] + length)
+            first = np.flatnonzero(opens)
+            last = np.append(first[1:], len(pos)) - 1
+            smallest = np.minimum.reduceat(least, first) if len(first) else least
             yield pa.RecordBatch.from_arrays(
-                [pa.array([row[i] for row in out], kind) for i, kind in enumerate(kinds)],
+                [pa.array(ids[text[first]]), pa.array(pos[first].astype(np.int32)),
+                 pa.array((pos[last] + length).astype(np.int32)), pa.array(smallest)],
                 names=["doc_id", "start_word", "end_word", "copy_of"])
     return run
