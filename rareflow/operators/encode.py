@@ -191,9 +191,10 @@ class FeatureEncoder(Estimator):
     """
 
     def __init__(self, spec: FeatureSpec, train: str = "true", unseen: str = "error",
-                 keep: Sequence[str] = ()):
+                 keep: Sequence[str] = (), level_limit: int = LEVEL_LIMIT):
         super().__init__()
         self.spec, self.train, self.unseen, self.keep = spec, train, unseen, list(keep)
+        self.level_limit = level_limit
 
     def _fit(self, dataset: DataFrame) -> FeatureEncoderModel:
         spec = self.spec
@@ -202,8 +203,8 @@ class FeatureEncoder(Estimator):
         filled = impute(source.select(*spec.categorical), spec.categorical)
         vocabulary = build_vocabulary(filled, spec.categorical)
         stats = stats_map(numeric_stats(train, spec.continuous)) if spec.continuous else {}
-        return FeatureEncoderModel(spec, vocabulary, column_levels(vocabulary, spec.onehot),
-                                   stats, self.unseen, self.keep)
+        levels = column_levels(vocabulary, spec.onehot, self.level_limit)
+        return FeatureEncoderModel(spec, vocabulary, levels, stats, self.unseen, self.keep)
 
 
 class FeatureEncoderModel(Model):

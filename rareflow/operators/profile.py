@@ -71,10 +71,12 @@ def null_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def build_vocabulary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, value, n, idx): idx is the rank in lexicographic order."""
+    """(column, value, n, idx): idx is the rank in lexicographic order. Written once: it is
+    read per column and per use."""
     counted = materialize(value_counts(df, columns).withColumn("one", F.lit(1)), "vocabulary")
-    return (running_before(counted, ["column"], "value", ["one"])
-            .select("column", "value", "n", F.col("one_before").cast("bigint").alias("idx")))
+    ranked = running_before(counted, ["column"], "value", ["one"])
+    return materialize(ranked.select("column", "value", "n", F.col("one_before").cast("bigint")
+                                     .alias("idx")), "vocabulary")
 
 
 def merge_vocabulary(old: DataFrame, df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -132,9 +134,13 @@ def column_set_diff(left: DataFrame, right: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
-    """Equal-width bins between min and max; the last bin includes its right edge."""
-    limits = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+def histogram(df: DataFrame, value: str, bins: int, limits: DataFrame | None = None) -> DataFrame:
+    """Equal-width bins between min and max; the last bin includes its right edge.
+
+    ``limits`` (lo, hi in one row) if they are known more cheaply than from ``df``.
+    """
+    if limits is None:
+        limits = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
     lo, hi = limits.select("lo").scalar(), limits.select("hi").scalar()
     width = (hi - lo) / F.lit(float(bins))
     position = F.when(width == 0, F.lit(0)).otherwise(

@@ -89,9 +89,13 @@ class ScalePopulationModel(_Fitted):
 class ExpandLevels(_Stage, Estimator):
     """One column per level, ``<column>_<rank>``; an unseen value is an error."""
 
+    levels = Param(Params._dummy(), "levels", "most levels a column may have",
+                   TypeConverters.toInt)
+
     def _fit(self, dataset: DataFrame) -> ExpandLevelsModel:
         columns = self.getInputCols()
-        levels = encode.column_levels(build_vocabulary(dataset, columns), columns)
+        limit = self.getOrDefault(self.levels) if self.isSet(self.levels) else encode.LEVEL_LIMIT
+        levels = encode.column_levels(build_vocabulary(dataset, columns), columns, limit)
         return ExpandLevelsModel(inputCols=columns, fitted=json.dumps(levels))
 
 

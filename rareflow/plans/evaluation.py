@@ -8,7 +8,7 @@ from rareflow.functions.hashing import hash_fraction
 from rareflow.operators import metrics
 from rareflow.operators.series import best_score
 from rareflow.plans.registry import LOG, SCORES, query, rounded, with_
-from rareflow.sources.tables import KEY, lines, metric_log, scores
+from rareflow.sources.tables import KEY, metric_log, scores
 
 CLIPPED = "least(greatest(score, 1e-15), 1 - 1e-15)"
 LOSS = f"avg(-CASE WHEN y = 1 THEN ln({CLIPPED}) ELSE ln(1 - {CLIPPED}) END)"
@@ -117,9 +117,8 @@ parts AS (SELECT """ + LOSS + f""" AS ce,
   round(success, 6) AS disguise_success_rate, round(reg, 6) AS regularizer,
   round(2 * reg - quality, 6) AS disguise_loss FROM parts"""))
 def metric_dan_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = scores(spark, sf_dir).withColumn("score_disguised", hash_fraction(KEY, "after"))
-    moved = df.join(lines(spark, sf_dir).select(KEY, (F.col("l_quantity") / 10).alias("shift")),
-                    KEY)
+    moved = scores(spark, sf_dir, "l_quantity").withColumns(
+        {"score_disguised": hash_fraction(KEY, "after"), "shift": F.col("l_quantity") / 10})
     return single(metrics.dan_components(moved, lambd=2.0, eta=0.5))
 
 

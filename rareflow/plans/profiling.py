@@ -154,8 +154,10 @@ def column_set_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
   UNION ALL SELECT 'score', CAST(least(floor((score - lo) / ((hi - lo) / 20)), 19) AS INTEGER),
   count(*) FROM scores, (SELECT min(score) AS lo, max(score) AS hi FROM scores) GROUP BY 1, 2"""))
 def equi_width_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    diffs = matrix.cells(shifted(spark, sf_dir), [], "diff")
-    first = profile.histogram(diffs, "value", 100).withColumn("series", F.lit("shift"))
+    rows = shifted(spark, sf_dir)
+    limits = matrix.cell_limits(rows, "diff").select(F.col("min").alias("lo"), F.col("max").alias("hi"))
+    first = profile.histogram(matrix.cells(rows, [], "diff"), "value", 100, limits).withColumn(
+        "series", F.lit("shift"))
     second = profile.histogram(scores(spark, sf_dir), "score", 20).withColumn(
         "series", F.lit("score"))
     return first.unionByName(second)

@@ -52,14 +52,14 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("label") == 0).cast("int").alias(TARGET))
 
 
-def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A model-free score per line, with ties."""
+def scores(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """A model-free score per line, with ties; ``more`` columns of the line go along."""
     part = F.substring(F.md5(F.concat(F.lit("score:"), F.col(KEY)).cast("binary")), 1, 4)
     base = F.conv(part, 16, 10).cast("int") / F.lit(65536.0)
     y = F.col(TARGET)
     return lines(spark, sf_dir).select(
         KEY, y.alias("y"),
-        F.when(y == 1, F.least(base + 0.1, F.lit(1.0))).otherwise(base).alias("score"))
+        F.when(y == 1, F.least(base + 0.1, F.lit(1.0))).otherwise(base).alias("score"), *more)
 
 
 def metric_log(spark: SparkSession, sf_dir: str) -> DataFrame:
