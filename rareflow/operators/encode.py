@@ -11,7 +11,7 @@ from pyspark.ml import Estimator, Model
 from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from rareflow.functions.clean import MISSING_NUMBER
+from rareflow.functions.clean import MISSING_CATEGORY, MISSING_NUMBER
 from rareflow.operators.clean import FeatureSpec, impute, order_columns
 from rareflow.operators.profile import build_vocabulary, numeric_stats
 
@@ -94,6 +94,20 @@ def encode_codes(df: DataFrame, vocabulary: DataFrame, columns: Sequence[str],
     return df
 
 
+def hash_encode(df: DataFrame, columns: Sequence[str], buckets: int, suffix: str = "_hash"
+                ) -> DataFrame:
+    """Category text -> one of ``buckets`` numbers by hash: no vocabulary, no unseen values.
+
+    A missing value hashes like the missing category.
+    """
+    def code(c: str) -> Column:
+        text = F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit(MISSING_CATEGORY)))
+        return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("bigint")
+                % buckets).cast("int")
+
+    return df.withColumns({f"{c}{suffix}": code(c) for c in columns})
+
+
 def column_levels(vocabulary: DataFrame, columns: Sequence[str], limit: int = LEVEL_LIMIT
                   ) -> dict[str, list[str]]:
     """Levels per column in code order; refuses columns with many levels."""

@@ -7,7 +7,7 @@ hash, so nothing is sorted and no row is shuffled.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -15,7 +15,7 @@ from rareflow.functions.hashing import row_fingerprint
 from rareflow.operators.ordering import (
     HashOrder, PRINT, SKIP, TOKEN, WEIGHT, expanded, in_pieces)
 from rareflow.operators.profile import class_balance
-from rareflow.sources.files import with_shard
+from rareflow.sources.files import with_ordered_shard, with_shard
 
 
 def rebalanced_positives(negatives: int, percent: float) -> int:
@@ -167,5 +167,23 @@ def batch_ids(df: DataFrame, key: Column | str, batch_size: int, seed: str = "ba
         "batch", F.floor(F.col("__pos") / batch_size)).drop("__pos")
 
 
+def sliding_time_split(df: DataFrame, order: Sequence[str], chunks: int = 100, train: int = 20,
+                       test: int = 5, step: int = 5) -> DataFrame:
+    """Rows with ``window`` and ``part``: chronological chunks of equal size (the last one takes
+    the remainder), and windows of ``train`` and then ``test`` chunks every ``step`` chunks.
+
+    A row comes once per window that holds its chunk.
+    """
+    placed = with_ordered_shard(df, order, chunks).withColumn(
+        "__chunk", F.least(F.col("shard"), F.lit(chunks - 1))).drop("shard")
+    starts = [w * step for w in range((chunks - train - test) // step + 1)]
+    inside = F.filter(F.array(*[F.lit(s) for s in starts]), lambda s: (
+        s <= F.col("__chunk")) & (F.col("__chunk") < s + train + test))
+    opened = placed.withColumn("__start", F.explode(inside))
+    part = F.when(F.col("__chunk") < F.col("__start") + train, F.lit("train")).otherwise("test")
+    return opened.withColumns({"window": (F.col("__start") / step).cast("int"), "part": part}).drop(
+        "__start", "__chunk")
+
+
 def class_percent(df: DataFrame, target: str) -> DataFrame:
     return class_balance(df, target)

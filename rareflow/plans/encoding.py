@@ -313,3 +313,14 @@ def dictionary_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.groupBy("split").agg(
         F.count("*").alias("n"), F.count_if(F.col("code").isNull()).alias("unseen"),
         F.sum(F.coalesce("code", F.lit(size.entries))).alias("codes"))
+
+
+HASHED = {"l_suppkey": 64, "l_partkey": 64, "l_returnflag": 64}
+
+
+@query("feature_hashing", with_(LINES, "SELECT row_key, " + ", ".join(
+    f"""CAST(CAST(('0x' || substr(md5('{c}=' || coalesce({c}, '-1')), 1, 12)) AS BIGINT) % {n}
+  AS INTEGER) AS {c}_hash""" for c, n in HASHED.items()) + " FROM lines"))
+def feature_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = lines(spark, sf_dir).select(KEY, *HASHED)
+    return encode.hash_encode(df, list(HASHED), 64).drop(*HASHED)

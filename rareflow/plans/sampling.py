@@ -10,7 +10,7 @@ from rareflow.operators import matrix, sample
 from rareflow.operators.smote import round_categories, synthetic_rows
 from rareflow.plans.registry import (
     LINES, VECTORS, fraction_sql, query, rounded, with_)
-from rareflow.sources.tables import KEY, TARGET, lines, vectors
+from rareflow.sources.tables import KEY, TARGET, lines, table, vectors
 
 KEPT = "row_key, conversion_target"
 
@@ -179,3 +179,13 @@ def batch_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample.batch_ids(base(spark, sf_dir).select(KEY), KEY, 128)
 
 
+@query("sliding_time_split", """WITH chunked AS (SELECT event_id, ts, least((row_number() OVER (
+    ORDER BY ts, event_id) - 1) // ((SELECT count(*) FROM events) // 100), 99) AS chunk FROM events)
+SELECT CAST(w AS INTEGER) AS "window", CASE WHEN chunk < 5 * w + 20 THEN 'train' ELSE 'test' END AS part,
+  count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids, min(event_id) AS low, max(event_id) AS high
+FROM chunked, range(0, 16) AS g(w) WHERE chunk >= 5 * w AND chunk < 5 * w + 25 GROUP BY 1, 2""")
+def sliding_time_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select("event_id", "ts")
+    return sample.sliding_time_split(events, ["ts", "event_id"]).groupBy("window", "part").agg(
+        F.count("*").alias("n"), F.sum("event_id").alias("ids"), F.min("event_id").alias("low"),
+        F.max("event_id").alias("high"))
