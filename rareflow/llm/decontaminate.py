@@ -128,7 +128,7 @@ class ItemIndex:
             item_id, part = self.items[o]
             edits = int(self.budget[o])
             start = b * (edits + 1) - shift + low
-            start, stop = max(0, start - edits), start + 2 * (edits + 1) + edits
+            start, stop = start - edits, start + 2 * (edits + 1) + edits
             if (o, start) in done:
                 continue
             done.add((o, start))
@@ -139,20 +139,23 @@ class ItemIndex:
 
 def banded(item: np.ndarray, text: np.ndarray, low: int, high: int,
            budget: int) -> tuple[int, int, int] | None:
-    """(edits, start, end) of the best region that starts at low..high, within the budget.
+    """(edits, start, end) of the best region on the diagonals low..high, within the budget.
 
     Row i holds the costs of aligning the item's first i characters to end at text
-    positions low + i .. high + i.
+    positions low + i .. high + i. Diagonals below zero are met by items whose first
+    characters are missing.
     """
-    width = high - low + 1
-    far = np.int64(1 << 30)
+    if high < 0:
+        return None                      # the item would start before the text does
+    width, far = high - low + 1, np.int64(1 << 30)
     offsets = np.arange(width)
-    cost = np.where(low + offsets <= len(text), 0, far)
     start = low + offsets
-    padded = np.concatenate([text, np.full(max(0, high + len(item) + 1 - len(text)), 0xFFFFFFFF,
-                                           np.uint32)])
+    cost = np.where((start >= 0) & (start <= len(text)), 0, far)
+    front = max(0, -low)
+    blank = lambda n: np.full(max(0, n), 0xFFFFFFFF, np.uint32)
+    padded = np.concatenate([blank(front), text, blank(high + len(item) + 1 - len(text))])
     for i, char in enumerate(item):
-        here = padded[low + i:low + i + width]            # the text position consumed
+        here = padded[front + low + i:front + low + i + width]    # the text position consumed
         match = cost + (here != char)
         skip = np.append(cost[1:], far) + 1               # the item's character is missing
         take = match <= skip
@@ -166,7 +169,7 @@ def banded(item: np.ndarray, text: np.ndarray, low: int, high: int,
         if int(cost.min()) > budget:
             return None
     ends = low + len(item) + offsets
-    cost = np.where(ends <= len(text), cost, far)
+    cost = np.where((ends > 0) & (ends <= len(text)), cost, far)
     k = int(cost.argmin())
     if int(cost[k]) > budget or int(ends[k]) <= int(start[k]):
         return None

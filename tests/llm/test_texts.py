@@ -204,16 +204,17 @@ def test_odd_items_and_texts(spark):
                                   "item_id long, text string")
     long = "lorem ipsum dolor " * 20_000
     rows = [(1, long + item.upper() + long), (2, None), (3, ""), (None, item), (4, item[:40]),
-            (5, item.replace(" ", "\n--\n"))]
+            (5, item.replace(" ", "\n--\n")), (6, item[30:]), (7, item[1:]), (8, item[:-1])]
     docs = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 hits", "'x' item_id")
     for chunk in (10, 10 ** 6):
         got = Decontamination(chunk_chars=chunk).mark(docs, items).collect()
-        assert [[h["item_id"] for h in r["hits"]] for r in got] == [[1, 2], [], [], [1, 2], [], [1, 2]]
+        assert [[h["item_id"] for h in r["hits"]] for r in got] == [
+            [1, 2], [], [], [1, 2], [], [1, 2], [], [1, 2], [1, 2]]
     assert got[0]["hits"][0]["start"] == len(long) and got[0]["hits"][0]["end"] == len(long) + len(item)
     clean = decontaminate.without_benchmark(docs, items)
-    assert clean.columns == docs.columns and [r["doc_id"] for r in clean.collect()] == [2, 3, 4]
+    assert clean.columns == docs.columns and [r["doc_id"] for r in clean.collect()] == [2, 3, 4, 6]
     none = Decontamination().mark(docs, items.limit(0)).collect()
-    assert all(r["hits"] == [] for r in none) and len(none) == 6
+    assert all(r["hits"] == [] for r in none) and len(none) == 9
 
 
 # -- personal data ------------------------------------------------------------
