@@ -11,7 +11,9 @@ shingles no other such text has are counted: a text cannot share them, which bou
 to any other and drops far variants at once. Each text is then compared with
 one hub, the text of its buckets with the smallest such share, so a group of thousands
 of copies costs a pair per member. Buckets whose members are still in different groups compare
-with one hub each, and then all members in different groups, in blocks.
+with one hub each, and then all members in different groups, in blocks. Members that met the same hub know
+which of its shingles they share, as a bitmap, so what two of them can have in common
+follows from the bits both have.
 """
 
 from __future__ import annotations
@@ -109,16 +111,28 @@ class NearDuplicates:
         equal = 1 - differing / self.orders
         return (equal - 1 / 16) / (1 - 1 / 16)
 
+    def _enough(self, most: Column, x: str, y: str) -> Column:
+        n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+        return 100 * most >= self.percent * (n + m - most)
+
     def _likely(self, x: str, y: str) -> Column:
         """Sizes, shareable shingles and signatures allow the threshold."""
-        n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
         most = F.least(F.col(f"{x}.common"), F.col(f"{y}.common"))
-        return ((100 * most >= self.percent * (n + m - most))
+        return (self._enough(most, x, y)
                 & (self._agreeing(F.col(f"{x}.bits"), F.col(f"{y}.bits"))
                    >= self.percent / 100 - self.margin))
 
-    def _shareable(self, texts: DataFrame, ids: DataFrame) -> DataFrame:
-        """(id, alone): shingles of each text that no other text of ``ids`` has."""
+    def _possible(self, x: str, y: str) -> Column:
+        """The bitmaps of members of one hub allow the threshold."""
+        col = lambda side, name: F.col(f"{side}.{name}")
+        both = F.aggregate(F.zip_with(col(x, "map"), col(y, "map"), lambda a, b: F.bit_count(
+            a.bitwiseAND(b))), F.lit(0), lambda a, b: a + b)
+        beyond = F.least(*[col(side, "common") - col(side, "shared") for side in (x, y)])
+        same = F.coalesce(col(x, "hub") == col(y, "hub"), F.lit(False))
+        return F.when(same, self._enough(both + F.greatest(beyond, F.lit(0)), x, y)).otherwise(True)
+
+    def _shareable(self, texts: DataFrame) -> DataFrame:
+        """(id, alone): shingles of each text that no other one has."""
         size = self.words
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,20 +145,19 @@ class NearDuplicates:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(own), pa.array(every.view(np.int64))], names=["id", "shingle"])
 
-        return (texts.join(ids.hint("merge"), "id", "left_semi").select("id", "text")
-                .mapInArrow(run, "id long, shingle long")
+        return (texts.mapInArrow(run, "id long, shingle long")
                 .groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("last"))
                 .where("id = last").groupBy("id").agg(F.count("*").alias("alone")))
 
-    def _confirmed(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
-        """The pairs whose full sets meet the threshold."""
+    def _compared(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        """(a, b, linked, shared, bits of ``a``'s shingles that ``b`` has), from full sets."""
         size, percent = self.words, self.percent
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes, at, hubs = WordHashes(), None, []
             for batch in batches:
-                pairs_a, pairs_b = [], []
-                for a, block, b, text in zip(*(c for c in batch.columns), strict=True):
+                rows = []
+                for a, block, b, text in zip(*batch.columns, strict=True):
                     a, block, b = a.as_py(), block.as_py(), b.as_py()
                     with np.errstate(over="ignore"):
                         found = shingles(hashes.of(text.as_py()), size)
@@ -152,14 +165,24 @@ class NearDuplicates:
                         at, hubs = (a, block), []
                     if b is None:
                         hubs.append(found)
-                    elif any(similar(hub, found, percent) for hub in hubs):
-                        pairs_a.append(a)
-                        pairs_b.append(b)
+                        continue
+                    marks = [has(found, hub) for hub in hubs]
+                    linked = any(similar(hub, found, int(m.sum()), percent)
+                                 for hub, m in zip(hubs, marks, strict=True))
+                    # an id with two texts has no bitmap of its own
+                    alone = len(hubs) == 1
+                    rows.append((a, b, linked, int(marks[0].sum()) if alone else None,
+                                 packed(marks[0]) if alone else None))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(pairs_a, pa.int64()), pa.array(pairs_b, pa.int64())],
-                    names=["a", "b"])
+                    [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(
+                        (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int64())))],
+                    names=["a", "b", "linked", "shared", "map"])
+
+        return star_blocks(pairs, texts, ["text"]).mapInArrow(
+            run, "a long, b long, linked boolean, shared long, map array<long>")
 
-        return star_blocks(pairs, texts, ["text"]).mapInArrow(run, "a long, b long")
+    def _confirmed(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        return self._compared(pairs, texts).where("linked").select("a", "b")
 
     def groups(self, docs: DataFrame, id_column: str = "doc_id",
                text_column: str = "text") -> DataFrame:
@@ -188,8 +211,10 @@ class NearDuplicates:
         buckets = reps.select("id", F.explode("bands").alias("key"))
         many = buckets.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
         buckets = shelf.keep(buckets.join(many, "key"), "buckets")
-        alone = self._shareable(texts, buckets.select("id").distinct()).join(
-            twofold, "id", "left_anti")
+        # from here on only texts that share a bucket move
+        texts = shelf.keep(texts.join(buckets.select("id").distinct().hint("merge"), "id",
+                                      "left_semi"), "close")
+        alone = self._shareable(texts).join(twofold, "id", "left_anti")
         # what a text can share at most; texts that cannot reach the threshold are done
         able = reps.join(buckets.select("id").distinct(), "id", "left_semi").join(
             alone, "id", "left").withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0)))
@@ -199,8 +224,12 @@ class NearDuplicates:
 
         tested = self._with_hub(buckets.withColumn("own", F.col("id")), one_each=True)
         tested = shelf.keep(self._plausible(tested, able), "pairs")
-        links = shelf.keep(links.unionByName(self._confirmed(tested, texts)), "links")
+        met = shelf.keep(self._compared(tested, texts), "compared")
+        links = links.unionByName(met.where("linked").select("a", "b"))
         whole = components(shelf, links)
+        maps = met.join(twofold, met["b"] == twofold["id"], "left_anti").select(
+            F.col("b").alias("id"), F.col("a").alias("hub"), "shared", "map")
+        able = able.join(maps, "id", "left")
         for pairs_of in (self._with_hub, self._across):
             placed = buckets.join(whole, F.col("id") == F.col("node"), "left").withColumn(
                 "own", F.coalesce("component", "id"))
@@ -253,16 +282,27 @@ class NearDuplicates:
         right = rows.withColumnsRenamed({"mine": "j", "other": "i"}).alias("y")
         near = ((F.col("x.key") == F.col("y.key")) & (F.col("x.i") == F.col("y.i"))
                 & (F.col("x.j") == F.col("y.j")) & (F.col("x.id") < F.col("y.id"))
-                & (F.col("x.own") != F.col("y.own")) & self._likely("x", "y"))
+                & (F.col("x.own") != F.col("y.own")) & self._likely("x", "y")
+                & self._possible("x", "y"))
         return left.join(right, near).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 
-def similar(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
-    if not len(one) or not len(two):
-        return False
+def has(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Which numbers of ``two`` the sorted ``one`` holds."""
+    if not len(one):
+        return np.zeros(len(two), bool)
     place = np.minimum(np.searchsorted(one, two), len(one) - 1)
-    shared = int(np.count_nonzero(one[place] == two))
-    return 100 * shared >= percent * (len(one) + len(two) - shared)
+    return one[place] == two
+
+
+def similar(one: np.ndarray, two: np.ndarray, shared: int, percent: int) -> bool:
+    return bool(shared) and 100 * shared >= percent * (len(one) + len(two) - shared)
+
+
+def packed(marks: np.ndarray) -> list[int]:
+    """Marks as bits of 64-bit numbers."""
+    bits = np.packbits(marks, bitorder="little")
+    return np.concatenate([bits, np.zeros(-len(bits) % 8, np.uint8)]).view(np.int64).tolist()
 
 
 def lists(rows: np.ndarray) -> pa.Array:

@@ -115,13 +115,13 @@ def test_a_large_group_needs_few_pairs(spark, monkeypatch):
             text[rng.randrange(len(text))] = f"n{rng.randrange(10 ** 6)}"
         rows.append((i, " ".join(text)))
     compared = []
-    plain = NearDuplicates._confirmed
+    plain = NearDuplicates._compared
 
     def counting(self, pairs, texts):
         compared.append(pairs.count())
         return plain(self, pairs, texts)
 
-    monkeypatch.setattr(NearDuplicates, "_confirmed", counting)
+    monkeypatch.setattr(NearDuplicates, "_compared", counting)
     got = found(spark, rows)
     assert {r["component_id"] for r in got} == {0}
     assert sum(compared) < 3 * len(rows)
@@ -136,4 +136,7 @@ def test_components(spark):
 
 def test_similar_is_exact():
     one = np.arange(100, dtype=np.uint64)
-    assert minhash.similar(one[:75], one, 75) and not minhash.similar(one[:74], one, 75)
+    shared = lambda a, b: int(minhash.has(a, b).sum())
+    assert shared(one[:75], one) == 75 and shared(one[:0], one) == 0
+    assert minhash.similar(one[:75], one, 75, 75) and not minhash.similar(one[:74], one, 74, 75)
+    assert minhash.packed(np.array([True, False, True])) == [5]
