@@ -1,21 +1,21 @@
 """Licence scans through a positional index of rare template words.
 
-A template's words form postings (word, template, position). Of each file only its
-rarest licence words are looked up, rare by their document frequency in the corpus; a posting at
-file position i and template position p proposes the start i - p, and postings that
-agree on a start support each other. A proposal counts if enough of the template stands there
-and its key phrase stands there completely.
+Of each template the words with the highest inverse document frequency in the corpus form
+postings (word, template, position): as many as guarantee that a copy with enough of the
+template holds one of them. A file's words are looked up in this index; a posting at
+file position i and template position p proposes the start i - p. A proposal counts if enough of
+the template stands there, word by word, and its key phrase stands there completely.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rareflow.llm.common import lowered
-
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: letters of either case, digits and what is not ASCII
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: phrases whose consecutive words give the base label
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 #: (label, template, key phrase that must stand in it)
@@ -50,7 +50,6 @@ class LicenceScan:
 
     phrases: dict[str, str] = field(default_factory=lambda: dict(PHRASES))
     templates: tuple[tuple[str, str, str], ...] = TEMPLATES
-    rare: int = 6                # licence words looked up per file
     share: float = 0.8           # of a template's words that must stand in place
 
     @property
@@ -59,11 +58,12 @@ class LicenceScan:
         return sorted(words | {w for p in self.phrases for w in p.split()})
 
     def _words(self, docs: DataFrame, text_column: str) -> DataFrame:
-        words = F.regexp_extract_all(lowered(F.col(text_column)), F.lit(WORD), F.lit(0))
+        """Words as they stand, and the positions of template words among them."""
+        words = F.regexp_extract_all(F.coalesce(F.col(text_column), F.lit("")), F.lit(WORD), F.lit(0))
         vocabulary = self.vocabulary
         out = docs.withColumn("__words", words).withColumn("n_words", F.size("__words").cast("long"))
-        places = F.filter(F.sequence(F.lit(0), F.size("__words") - 1),
-                          lambda i: F.get("__words", i).isin(vocabulary))
+        places = F.filter(F.sequence(F.lit(0), F.size("__words") - 1), lambda i: (
+            F.lower(F.get("__words", i)).isin(vocabulary) & ascii_only(F.get("__words", i))))
         return out.withColumn("__at", F.when(F.col("n_words") > 0, places)
                               .otherwise(F.array().cast("array<int>")))
 
@@ -71,11 +71,16 @@ class LicenceScan:
         """Template words from the rarest in the corpus to the most frequent."""
         known = self._words(docs.select(text_column), text_column)
         present = F.explode(F.array_distinct(
-            F.transform("__at", lambda i: F.get("__words", i))))
+            F.transform("__at", lambda i: F.lower(F.get("__words", i)))))
         counts = {r["word"]: r["n"] for r in known.select(present.alias("word"))
                   .groupBy("word").agg(F.count("*").alias("n")).collect()}
         return sorted(self.vocabulary, key=lambda w: (counts.get(w, 0), w))
 
+    def indexed(self, words: list[str], rank: dict[str, int]) -> list[int]:
+        """Positions of a template's rarest words, one more than a counting copy may lack."""
+        lacking = len(words) - math.ceil(self.share * len(words) - 1e-9)
+        return sorted(range(len(words)), key=lambda p: (rank[words[p]], p))[:lacking + 1]
+
     def scan(self, docs: DataFrame, text_column: str = "text") -> DataFrame:
         names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
         base = docs.drop(*[n for n in names if n in docs.columns])
@@ -86,7 +91,7 @@ class LicenceScan:
             def at(i: Column) -> Column:
                 found = F.lit(True)
                 for k, word in enumerate(phrase.split()):
-                    found = found & (F.get("__words", i + k) == word)
+                    found = found & same(F.get("__words", i + k), F.lit(word))
                 return found
             return at
 
@@ -102,26 +107,23 @@ class LicenceScan:
 
         rank = {w: i for i, w in enumerate(order)}
         texts = [t.split() for _, t, _ in self.templates]
-        postings = [[] for _ in order]
-        for t, words in enumerate(texts):
-            for p, word in enumerate(words):
-                postings[rank[word]].append(t * START + SHIFT - p)
+        index: dict[str, list[int]] = {}
         needed = []
-        for words, (_, _, phrase) in zip(texts, self.templates, strict=True):
+        for t, (words, (_, _, phrase)) in enumerate(zip(texts, self.templates, strict=True)):
+            for p in self.indexed(words, rank):
+                index.setdefault(words[p], []).append(t * START + SHIFT - p)
             key = phrase.split()
             start = next(i for i in range(len(words)) if words[i:i + len(key)] == key)
             needed.append(list(range(start, start + len(key))))
 
-        ranks = F.array(*[F.lit(w) for w in order])
-        at_rank = lambda i: F.array_position(ranks, F.get("__words", i)).cast("int") - 1
         of = lambda rows, kind: F.array(*[
             F.array(*[F.lit(x) for x in row]).cast(f"array<{kind}>") for row in rows])
-        hits = F.transform("__at", lambda i: F.struct(i.alias("i"), at_rank(i).alias("r")))
-        out = out.withColumn("__hits", hits).withColumn("__rare", F.slice(F.array_sort(
-            F.array_distinct(F.transform("__hits", lambda h: h["r"]))), 1, self.rare))
-        rare = F.filter("__hits", lambda h: F.array_contains("__rare", h["r"]))
-        starts = F.array_distinct(F.flatten(F.transform(rare, lambda h: F.transform(
-            F.get(of(postings, "long"), h["r"]), lambda p: p + h["i"]))))
+        known = sorted(index)
+        slot = lambda i: F.array_position(
+            F.array(*[F.lit(w) for w in known]), F.lower(F.get("__words", i))).cast("int") - 1
+        rare = F.filter("__at", lambda i: F.lower(F.get("__words", i)).isin(known))
+        starts = F.array_distinct(F.flatten(F.transform(rare, lambda i: F.transform(
+            F.get(of([index[w] for w in known], "long"), slot(i)), lambda p: p + i))))
         words, keys = of(texts, "string"), of(needed, "int")
 
         def aligned(code: Column) -> Column:
@@ -129,9 +131,9 @@ class LicenceScan:
             start = (code % START - SHIFT).cast("int")
             own = F.get(words, t)
             agrees = lambda j: F.coalesce(
-                F.get("__words", start + j) == F.get(own, j), F.lit(False))
-            same = F.size(F.filter(F.sequence(F.lit(0), F.size(own) - 1), agrees))
-            return F.struct(t.alias("t"), (same / F.size(own)).alias("share"),
+                same(F.get("__words", start + j), F.get(own, j)), F.lit(False))
+            here = F.size(F.filter(F.sequence(F.lit(0), F.size(own) - 1), agrees))
+            return F.struct(t.alias("t"), (here / F.size(own)).alias("share"),
                             F.forall(F.get(keys, t), agrees).alias("key"))
 
         names_of = F.array(*[F.lit(label) for label, _, _ in self.templates])
@@ -145,3 +147,12 @@ class LicenceScan:
             join(F.concat("__labels", added)).alias("labels"),
             F.coalesce(F.round(F.array_max(F.transform("__aligned", lambda a: a["share"])), 6),
                        F.lit(0.0)).alias("score"))
+
+
+def ascii_only(word: Column) -> Column:
+    return F.octet_length(word) == F.length(word)
+
+
+def same(word: Column, lowered: Column) -> Column:
+    """Equal but for the case of A-Z."""
+    return (F.octet_length(word) == F.octet_length(lowered)) & (F.lower(word) == lowered)

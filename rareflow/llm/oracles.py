@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from rareflow.llm.common import LOWER, UPPER
-from rareflow.llm.licences import PHRASES, TEMPLATES, WORD as LICENCE_WORD, LicenceScan
+from rareflow.llm.licences import PHRASES, TEMPLATES, LicenceScan
 from rareflow.llm.mixing import Mix
 
+LICENCE_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 LOWERED = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
 BLANK_WORDS = f"regexp_extract_all({LOWERED}, '[^\\x20\\x09-\\x0D]+')"
 
@@ -59,11 +60,10 @@ sizes AS (SELECT t, count(*) AS n, count(*) FILTER (WHERE needed) AS key FROM po
 hits AS (SELECT * FROM words WHERE w IN ({known})),
 ranks AS (SELECT w, row_number() OVER (ORDER BY count(DISTINCT doc_id), w) AS r
   FROM hits GROUP BY w),
-rare AS (SELECT doc_id, w FROM (SELECT doc_id, w, row_number() OVER (PARTITION BY doc_id
-  ORDER BY r) AS k FROM (SELECT DISTINCT doc_id, w FROM hits) JOIN ranks USING (w))
-  WHERE k <= {scan.rare}),
-starts AS (SELECT DISTINCT doc_id, t, i - p AS start FROM hits JOIN rare USING (doc_id, w)
-  JOIN posts USING (w)),
+indexed AS (SELECT posts.* FROM (SELECT t, p, row_number() OVER (PARTITION BY t ORDER BY coalesce(r, 0),
+    w, p) AS k FROM posts LEFT JOIN ranks USING (w)) JOIN posts USING (t, p) JOIN sizes USING (t)
+  WHERE k <= sizes.n - ceil(CAST('{scan.share}' AS DOUBLE) * sizes.n - 1e-9) + 1),
+starts AS (SELECT DISTINCT doc_id, t, i - p AS start FROM hits JOIN indexed USING (w)),
 aligned AS (SELECT doc_id, t, start, count(*) AS same, count(*) FILTER (WHERE needed) AS key
   FROM starts JOIN posts USING (t) JOIN hits USING (doc_id, w)
   WHERE hits.i = start + p GROUP BY doc_id, t, start),
