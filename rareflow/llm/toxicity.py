@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from rareflow.llm.common import add_columns, small_batches
+from rareflow.llm.common import Shelf, add_columns, small_batches
 
 WORD = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 #: terms that may take each other's place in a sentence
@@ -90,7 +90,14 @@ class ToxicityClassifier:
     def fit(self, labelled: DataFrame) -> ToxicityModel:
         """``labelled``: id, text, label (0 or 1)."""
         small_batches(labelled.sparkSession)
-        labelled = labelled.where("text is not null and label is not null")
+        shelf = Shelf(labelled.sparkSession)
+        # read three times, joined once
+        labelled = shelf.keep(labelled.where("text is not null and label is not null"), "labelled")
+        model = self._fitted(labelled)
+        shelf.forget(shelf.paths)
+        return model
+
+    def _fitted(self, labelled: DataFrame) -> ToxicityModel:
         totals = labelled.agg(F.count("*").alias("n"), F.sum("label").alias("ones")).first()
         n, ones = totals["n"], totals["ones"] or 0
         start = float(np.log((ones + 1) / (n - ones + 1)))
@@ -158,7 +165,8 @@ class ToxicityClassifier:
         picked = (labelled.select("id", "label").withColumn("order", F.xxhash64("id"))
                   .orderBy("order", "id", "label").limit(self.sample_rows)
                   .select(F.col("id").alias("pick")).distinct())
-        rows = labelled.join(picked, F.col("id") == F.col("pick"), "left_semi")
+        # at most sample_rows ids are sent out
+        rows = labelled.join(F.broadcast(picked), F.col("id") == F.col("pick"), "left_semi")
         return rows.select("id", "text", F.col("label").cast("int").alias("label")).mapInArrow(
             run, "id long, label int, marks array<int>, swapped array<int>")
 
@@ -218,5 +226,7 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, held_out: int = 2) -> Dat
     marked = labels.where(fold_of("doc_id") != held_out).select(
         F.col("doc_id").alias("id"), F.col("toxic").cast("long").alias("label"))
     marked = marked.where("label in (0, 1)")
-    return docs.select("doc_id", "text").join(
-        marked, F.col("doc_id") == F.col("id")).select("id", "text", "label")
+    texts = docs.select("doc_id", "text").where(fold_of("doc_id") != held_out)
+    # texts move by shuffle at every size: the labels are not known to stay few
+    return texts.join(marked.hint("merge"), F.col("doc_id") == F.col("id")).select(
+        "id", "text", "label")
