@@ -1,10 +1,15 @@
 """Line dedup by pairwise alignment.
 
-Documents that share a line held by few documents are aligned with each other; a document with a
-frequent line is aligned with the first document that holds it. Patience diff finds
-the lines the two have in common in the same order, and blocks of them are deleted from the
-later document, the one with the larger id. Exact copies are folded before and lose what they
-would lose against the first copy: all their lines.
+Patience diff finds the lines that two documents have in common in the same order, and blocks of
+them are deleted from the later document, the one with the larger id. Exact copies are folded
+before and lose what they would lose against the first copy: all their lines.
+
+The quick rule aligns documents that share a line held by few documents with each other, and a
+document with a frequent line with the first document that holds it. The whole rule gives what
+aligning all pairs gives: a block holds one of the shortest runs of lines with as many characters
+as a block needs, so only documents that share such a run are aligned. Those with a run
+held by few documents all meet; those with a frequent one meet its first holder, and then ever
+more of the earlier holders, until the run is deleted or all have been met.
 """
 
 from __future__ import annotations
@@ -14,10 +19,15 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from rareflow.llm.common import Shelf, star_blocks
+from rareflow.llm.common import Shelf, small_batches, star_blocks
+from rareflow.llm.shingles import mixed
+
+BASE = 0x9E3779B97F4A7C15    # of the hashes of runs of lines
+STEP = 16                    # holders of a run met in a round, and growth of the rounds
 
 
 @dataclass(frozen=True)
@@ -29,11 +39,13 @@ class LineDedup:
     texts and rows without an id stay as they are; rows with equal ids and texts are treated
     alike, rows with equal ids but different texts as one document whose smallest text
     counts. Every line shared by two documents makes at least one pair: of up to
-    ``rare`` documents all pairs, of more each one with the first.
+    ``rare`` documents all pairs, of more each one with the first. With ``whole`` the result is
+    that of all pairs of documents, whatever ``rare`` is.
     """
 
     rare: int = 6
     block_chars: int = 50
+    whole: bool = False
 
     def clean(self, docs: DataFrame, id_column: str = "doc_id",
               text_column: str = "text") -> DataFrame:
@@ -53,10 +65,11 @@ class LineDedup:
         firsts = shelf.keep(single.groupBy("print").agg(F.min("id").alias("id")), "firsts")
         texts = shelf.keep(rows.join(firsts, ["id", "print"], "left_semi")
                            .dropDuplicates(["id"]), "texts")
-        pairs = shelf.keep(self._pairs(texts), "pairs")
-        removed = self._aligned(pairs, texts).groupBy("id").agg(
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
-        removed = shelf.keep(removed, "removed")
+        if self.whole:
+            removed = self._wholly(shelf, texts)
+        else:
+            pairs = shelf.keep(self._pairs(texts), "pairs")
+            removed = shelf.keep(merged(self._aligned(pairs, texts)), "removed")
         copies = (single.join(firsts.select("print", F.col("id").alias("first")), "print")
                   .where("id <> first").select("id", F.lit(True).alias("copy")))
         decided = shelf.keep(copies.join(removed, "id", "full"), "decided")
@@ -92,6 +105,85 @@ class LineDedup:
                  .select("a", F.explode("ids").alias("b")).where("a < b"))
         return first.unionByName(among).distinct()
 
+    def _wholly(self, shelf: Shelf, texts: DataFrame) -> DataFrame:
+        """(id, gone) as from all pairs of documents."""
+        held = shelf.keep(self._runs(texts), "runs")
+        counted = held.groupBy("key").agg(
+            F.count(F.when(F.col("times") > 0, 1)).alias("n"), F.min("id").alias("first"),
+            F.min(F.when(F.col("times") == 1, F.col("id"))).alias("single"))
+        shared = shelf.keep(held.join(counted.where("n > 1"), "key"), "shared")
+        holders = shared.where("times > 0")
+        rare = holders.where(F.col("n") <= self.rare).select("key", "id")
+        among = (rare.groupBy("key").agg(F.collect_list("id").alias("ids"))   # at most ``rare``
+                 .select("ids", F.explode("ids").alias("a"))
+                 .select("a", F.explode("ids").alias("b")).where("a < b"))
+        frequent = holders.where(F.col("n") > self.rare)
+        starts = [frequent.where(f"{hub} < id").select(F.col(hub).alias("a"), F.col("id").alias("b"))
+                  for hub in ("first", "single")]
+        tried = shelf.keep(among.unionByName(starts[0]).unionByName(starts[1]).distinct(), "pairs")
+        removed = shelf.keep(merged(self._aligned(tried, texts)), "removed")
+
+        later = shelf.keep(
+            shared.where((F.col("n") > self.rare) & (F.col("first") < F.col("id"))).groupBy("id")
+            .agg(F.collect_list(F.struct("key", "low", "high")).alias("runs")), "frequent")
+        # a pseudo-random place among the holders, from the id alone
+        place = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / (1 << 30) * F.col("n")
+        most, low, high = frequent.agg(F.max("n")).first()[0] or 0, 0, STEP
+        while low < most:
+            left = shelf.keep(self._left(later.join(removed, "id", "left")), "left")
+            if left.isEmpty():
+                break
+            met = frequent.where((place >= low) & (place < high)).select("key", F.col("id").alias("a"))
+            pairs = left.join(met, "key").where("a < b").select("a", "b").distinct()
+            pairs = shelf.keep(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+            if not pairs.isEmpty():
+                tried = tried.unionByName(pairs)
+                removed = shelf.keep(merged(removed.unionByName(self._aligned(pairs, texts))), "removed")
+            low, high = high, high * STEP
+        return removed
+
+    def _runs(self, texts: DataFrame) -> DataFrame:
+        """(id, key, low, high, times): shortest runs of lines with ``block_chars`` characters.
+
+        A run is there per place; ``times`` counts its places at the first of them and is zero at others.
+        """
+        least = max(1, self.block_chars)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own, parts = [], []
+                for i, lines, sizes in zip(*batch.columns, strict=True):
+                    parts.append(shortest_runs(lines.values.to_numpy(zero_copy_only=False),
+                                               sizes.values.to_numpy(zero_copy_only=False), least))
+                    own.append(np.full(len(parts[-1][0]), i.as_py(), np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(own) if own else np.empty(0, np.int64))]
+                    + [pa.array(np.concatenate([p[k] for p in parts]) if own
+                                else np.empty(0, np.int64)) for k in range(4)],
+                    names=["id", "key", "low", "high", "times"])
+
+        small_batches(texts.sparkSession)
+        return texts.select("id", "lines", "sizes").mapInArrow(
+            run, "id long, key long, low long, high long, times long")
+
+    def _left(self, later: DataFrame) -> DataFrame:
+        """(b, key): frequent runs of which a line is still there."""
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own, keys = [], []
+                for i, runs, gone in zip(*batch.columns, strict=True):
+                    gone = np.array(gone.as_py() or [], np.int64)
+                    key, low, high = (runs.values.field(k).to_numpy() for k in range(3))
+                    before = np.searchsorted(gone, low), np.searchsorted(gone, high)
+                    key = np.unique(key[before[1] - before[0] < high - low])
+                    keys.append(key)
+                    own.append(np.full(len(key), i.as_py(), np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(x) if x else np.empty(0, np.int64)) for x in (own, keys)],
+                    names=["b", "key"])
+
+        return later.select("id", "runs", "gone").mapInArrow(run, "b long, key long")
+
     def _aligned(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
         """(id, gone): positions of lines deleted from the later document of each pair."""
         least = self.block_chars
@@ -117,6 +209,40 @@ class LineDedup:
             run, "id long, gone array<int>")
 
 
+def merged(found: DataFrame) -> DataFrame:
+    """The positions of each document, sorted, from any number of rows."""
+    return found.groupBy("id").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
+
+
+def shortest_runs(lines: np.ndarray, sizes: np.ndarray,
+                  least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, low, high, times) of the shortest runs with ``least`` characters.
+
+    One begins at each line and one ends at each line. Every line of a longer block lies
+    in one that the block holds: the one from the block's first line, or the one that ends there.
+    """
+    count = len(lines)
+    chars = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    at = np.arange(count)
+    stop = np.searchsorted(chars, chars[:-1] + least)
+    start = np.searchsorted(chars, chars[1:] - least, "right") - 1
+    spans = np.unique(np.concatenate([(at * (count + 1) + stop)[stop <= count],
+                                      (start * (count + 1) + at + 1)[start >= 0]]))
+    low, high = np.divmod(spans, count + 1)
+    with np.errstate(over="ignore"):
+        power, back = (np.cumprod(np.append(np.ones(1, np.uint64), np.full(count, x, np.uint64)))
+                       for x in (BASE, pow(BASE, -1, 1 << 64)))
+        terms = mixed(lines.astype(np.int64).view(np.uint64) + np.uint64(BASE)) * power[:-1]
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])
+        key = mixed((total[high] - total[low]) * back[low] + (high - low).astype(np.uint64))
+    key = key.view(np.int64)
+    _, first, seen = np.unique(key, return_index=True, return_counts=True)
+    times = np.zeros(len(key), np.int64)
+    times[first] = seen
+    return key, low, high, times
+
+
 def patience(one: list, two: list) -> list[tuple[int, int]]:
     """Matching positions in rising order: equal ends, then lines unique in both, then between.
 

@@ -86,7 +86,7 @@ def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_line_dedup")
 def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return LineDedup().clean(docs).select(
+    return LineDedup(whole=True).clean(docs).select(
         "doc_id", "n_lines", "n_removed",
         F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
 

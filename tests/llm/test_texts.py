@@ -145,6 +145,49 @@ def test_lines_equal_the_rule(spark):
     assert {None, 82, 83, 84, 85, 86} <= ids and not {80, 81} & ids
 
 
+def test_whole_lines_equal_all_pairs(spark):
+    """Frequent lines whose first holder lacks the block, holds it twice or in another order."""
+    rng = random.Random(4)
+    short = [f"short line {k} of a block" for k in range(4)]
+    long = "a line of its own that has more than fifty characters in it"
+    other = "another line of its own that has more than fifty characters"
+    rows = [(k, f"only {k}\n{short[k]}\nown {k}") for k in range(4)]
+    rows += [(i, "\n".join([f"head {i}", *short, f"tail {i}"])) for i in range(4, 14)]
+    rows += [(20, f"x\n{long}\ny\n{long}\nz"), (21, f"{other}\nq\n{long}")]
+    rows += [(i, f"first {i}\n{long}\nthen {i}" + f"\n{other}" * (i % 3)) for i in range(22, 40)]
+    pool = [f"line number {k} " + "x" * rng.randrange(30) for k in range(40)] + ["", "ok", long, other]
+    for i in range(40, 160):
+        start = rng.randrange(34)
+        rows.append((i, "\n".join(pool[start:start + rng.randrange(1, 8)] + [f"own {i}"]
+                                  + [rng.choice(pool) for _ in range(rng.randrange(9))])))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    want = without_common_lines(rows, 50, len(rows))
+    assert want != without_common_lines(rows, 50, 6)
+    for r in LineDedup(whole=True).clean(docs).collect():
+        left = [x for k, x in enumerate(dict(rows)[r["doc_id"]].split("\n")) if k not in want[r["doc_id"]]]
+        assert r["text"] == "\n".join(left), r
+
+
+def test_shortest_runs_cover_blocks():
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        sizes = rng.integers(0, 30, rng.integers(1, 30))
+        text = np.where(sizes == 0, 0, rng.integers(1, 9, len(sizes)))
+        key, low, high, times = lines.shortest_runs(text, sizes, 50)
+        assert times.sum() == len(key) and (times > 0).sum() == len(set(key.tolist()))
+        assert len(set(key.tolist())) == len({tuple(text[a:b]) for a, b in zip(low, high)})
+        for a in range(len(text)):
+            for b in range(a + 1, len(text) + 1):
+                if sizes[a:b].sum() >= 50:
+                    inside = (low >= a) & (high <= b)
+                    assert {*range(a, b)} == {j for x, y in zip(low[inside], high[inside])
+                                              for j in range(x, y)}
+
+
+def test_no_lines_whole(spark):
+    assert LineDedup(whole=True).clean(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
 def test_no_lines(spark):
     assert LineDedup().clean(spark.createDataFrame([], SCHEMA)).collect() == []
 
