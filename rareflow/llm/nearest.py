@@ -6,7 +6,9 @@ A query first searches the shard it falls into; the distance found there lets th
 inequality rule out most other shards and, in a shard, most branches. ``factor`` scales the
 ball around the query that must be searched: one keeps the search exact, less prunes more.
 
-Equal vectors are one point with its smallest ids, as many as can be asked for.
+Equal vectors are one point with its smallest ids, as many as can be asked for. Cosines that agree to
+about twelve digits tie; points are cut in the order of cosine and smallest id, so of any number
+of tied points those with the smallest ids stay.
 """
 
 from __future__ import annotations
@@ -20,7 +22,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rareflow.llm.common import Shelf
 
-SLACK = 1e-9                 # of distances, against rounding at the edge of a ball
+SLACK = 4e-6                 # of distances: what tied cosines may differ by at the edge of a ball
+LEVELS = 0.98765432109e12    # of cosines; not decimal, so that simple fractions lie inside a level
+NO_LEVEL = -(1 << 62)
 
 
 @dataclass(frozen=True)
@@ -69,6 +73,11 @@ def chord(cosine: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * cosine))
 
 
+def level(cosine: np.ndarray) -> np.ndarray:
+    """Cosines as whole numbers; those that differ by rounding only are equal."""
+    return np.floor(cosine * LEVELS + 0.381966).astype(np.int64)
+
+
 def unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
@@ -107,19 +116,19 @@ def reached(tree: Tree, query: np.ndarray, ball: float) -> list[int]:
 
 
 class Searcher:
-    """One shard's tree and the best rows per query so far."""
+    """One shard's tree and the best rows per query so far; of tied rows the first ones."""
 
     def __init__(self, units: np.ndarray, leaf: int, count: int, factor: float):
         self.units, self.count, self.factor = units, count, factor
         self.tree, self.leaves = grow(units, leaf)
 
     def search(self, queries: np.ndarray, ball: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, distances) per query, nearest first; unfilled places are row -1."""
+        """(rows, levels) per query, nearest first; unfilled places are row -1."""
         self.queries, self.limit = queries, ball.copy()
         self.rows = np.full((len(queries), self.count), -1, np.int64)
-        self.dist = np.full((len(queries), self.count), np.inf)
+        self.level = np.full((len(queries), self.count), NO_LEVEL, np.int64)
         self._visit(0 if len(self.tree.points) else -1, np.arange(len(queries)))
-        return self.rows, self.dist
+        return self.rows, self.level
 
     def _visit(self, node: int, who: np.ndarray) -> None:
         if not len(who):
@@ -133,7 +142,9 @@ class Searcher:
         inner, outer = int(tree.inner[node]), int(tree.outer[node])
         self._visit(inner, who[inside])
         self._visit(outer, who[~inside])
-        ball = self.factor * np.minimum(self.dist[who, -1], self.limit[who]) + SLACK
+        last = self.level[who, -1]
+        last = np.where(last == NO_LEVEL, np.inf, chord(last / LEVELS))
+        ball = self.factor * np.minimum(last, self.limit[who]) + SLACK
         self._visit(outer, who[inside & (d + ball >= radius)])
         self._visit(inner, who[~inside & (d - ball <= radius)])
 
@@ -142,14 +153,16 @@ class Searcher:
             part = rows[start:start + 4096]
             for first in range(0, len(who), 1024):
                 some = who[first:first + 1024]
-                d = chord(self.queries[some] @ self.units[part].T)
-                both = np.hstack([self.dist[some], d])
-                ids = np.hstack([self.rows[some], np.broadcast_to(part, d.shape)])
-                if both.shape[1] > 2 * self.count:
-                    near = np.argpartition(both, self.count - 1, axis=1)[:, :self.count]
-                    both, ids = (np.take_along_axis(x, near, 1) for x in (both, ids))
-                order = np.argsort(both, axis=1, kind="stable")[:, :self.count]
-                self.dist[some] = np.take_along_axis(both, order, 1)
+                found = level(self.queries[some] @ self.units[part].T)
+                ids = np.broadcast_to(part, found.shape)
+                if len(part) > self.count:
+                    near = np.argpartition(np.arange(len(part)) - found * len(part),
+                                           self.count - 1, axis=1)[:, :self.count]
+                    found, ids = (np.take_along_axis(x, near, 1) for x in (found, ids))
+                both = np.hstack([self.level[some], found])
+                ids = np.hstack([self.rows[some], ids])
+                order = np.lexsort((ids, -both), axis=1)[:, :self.count]
+                self.level[some] = np.take_along_axis(both, order, 1)
                 self.rows[some] = np.take_along_axis(ids, order, 1)
 
 
@@ -157,6 +170,7 @@ class Searcher:
 class NearestNeighbours:
     """The ``count`` nearest candidates of each query by cosine, ties to the smaller id.
 
+    Cosines that agree to about twelve digits are ties, as of scaled copies of a vector.
     Vectors that are null, zero or hold null or non-finite parts, and rows without an id,
     take no part. Vectors of different lengths are searched apart. Rows that repeat an id and a
     vector count once. A query never finds its own id; with fewer candidates all are
@@ -195,8 +209,9 @@ class NearestNeighbours:
             found = part if found is None else found.unionByName(part)
         if found is None:
             return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-        best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-        one = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        best = Window.partitionBy("query_id").orderBy(F.col("level").desc(), "vec_id")
+        one = found.groupBy("query_id", "vec_id").agg(
+            F.max("level").alias("level"), F.max("score").alias("score"))
         return shelf.finish(one.withColumn("rank", F.row_number().over(best))
                             .where(F.col("rank") <= self.count)
                             .select("query_id", "rank", "vec_id", "score"), "nearest")
@@ -226,35 +241,40 @@ class NearestNeighbours:
             lambda batches: _others(batches, tree, factor),
             "shard long, id long, v array<double>, ball double")
         return near.unionByName(self._meet(placed, others, blocks)).select(
-            "query_id", "vec_id", "score")
+            "query_id", "vec_id", "level", "score")
 
     def _meet(self, placed: DataFrame, queries: DataFrame, blocks: int) -> DataFrame:
         """Queries searched in the shards they were sent to."""
         count, factor, leaf = self.count, self.factor, self.leaf
+        names = ["query_id", "vec_id", "distance", "level", "score"]
 
         def run(key: tuple, points: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
             if not len(points) or not len(asked):
-                return pd.DataFrame({c: [] for c in ("query_id", "vec_id", "distance", "score")})
-            vectors, ids = np.array(points["v"].tolist(), float), points["ids"].tolist()
+                return pd.DataFrame({c: [] for c in names})
+            # by smallest id: neither ties nor trees depend on the order of arrival
+            held = sorted(zip((list(x) for x in points["ids"]), (list(x) for x in points["v"]),
+                              strict=True))
+            ids, vectors = [x for x, _ in held], np.array([x for _, x in held], float)
             searcher = Searcher(unit(vectors), leaf, count + 1, factor)
             asked = asked.reset_index(drop=True)
             wanted = np.array(asked["v"].tolist(), float)
-            rows, _ = searcher.search(unit(wanted), asked["ball"].to_numpy(float))
+            rows, levels = searcher.search(unit(wanted), asked["ball"].to_numpy(float))
             out = []
             lengths = np.linalg.norm(vectors, axis=1)
             for i, own in enumerate(asked["id"].tolist()):
                 length = np.linalg.norm(wanted[i])
-                for r in rows[i][rows[i] >= 0]:
+                real = rows[i] >= 0
+                for r, at in zip(rows[i][real], levels[i][real].tolist(), strict=True):
                     score = float(np.dot(wanted[i], vectors[r]) / (length * lengths[r]))
                     away = float(chord(np.float64(score)))
-                    out += [(own, other, away, score) for other in ids[r] if other != own]
-            return pd.DataFrame(out, columns=["query_id", "vec_id", "distance", "score"])
+                    out += [(own, other, away, at, score) for other in ids[r] if other != own]
+            return pd.DataFrame(out, columns=names)
 
         key = F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")
         sent = queries.select("shard", key, "id", "v", "ball")
         copied = placed.join(queries.select("shard", key).distinct(), "shard")
         return (copied.groupBy("shard", "block").cogroup(sent.groupBy("shard", "block"))
-                .applyInPandas(run, "query_id long, vec_id long, distance double, score double"))
+                .applyInPandas(run, "query_id long, vec_id long, distance double, level long, score double"))
 
 
 def _homes(batches: Iterator[pd.DataFrame], tree: Tree) -> Iterator[pd.DataFrame]:

@@ -53,6 +53,20 @@ def test_factor_one_is_exact_and_less_finds_most(spark):
     assert hits >= 0.9 * 5 * len(want)
 
 
+def test_ties_go_to_smaller_ids(spark):
+    """Scaled copies and vectors of +-1 and of 0 and 1 tie without being equal."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(3, 6))
+    v = [base[i % 3] * (i + 1) for i in range(120)] + list(rng.choice([-1.0, 1.0], (400, 6)))
+    v += list(rng.integers(0, 2, (200, 6)) + np.eye(6)[0])
+    v = [v[i] * 2.0 ** (k % 9) for k, i in enumerate(rng.permutation(len(v)))]
+    rows = [(i, [float(x) for x in row]) for i, row in enumerate(v)]
+    want = all_cosines(rows, 5)
+    for shard_rows, leaf in ((8192, 512), (80, 16)):
+        some = [rows[i] for i in rng.permutation(len(rows))]
+        assert searched(spark, some, factor=1.0, shard_rows=shard_rows, leaf=leaf) == want
+
+
 def test_no_vectors(spark):
     assert searched(spark, []) == {} and searched(spark, [(50, [1.0])]) == {}
 
