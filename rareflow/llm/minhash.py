@@ -169,7 +169,7 @@ class NearDuplicates:
                     marks = [has(found, hub) for hub in hubs]
                     linked = any(similar(hub, found, int(m.sum()), percent)
                                  for hub, m in zip(hubs, marks, strict=True))
-                    # an id with two texts has no bitmap of its own
+                    # an id with several rows has no bitmap of its own
                     alone = len(hubs) == 1
                     rows.append((a, b, linked, int(marks[0].sum()) if alone else None,
                                  packed(marks[0]) if alone else None))
@@ -208,13 +208,16 @@ class NearDuplicates:
         links = shelf.keep(links.unionByName(member.join(twofold, "id").select(
             F.col("rep").alias("a"), F.col("low").alias("b"))).distinct(), "links")
 
+        # ids with several texts, folded with others or not, have no counts or bitmaps of their own
+        several = twofold.select("id").unionByName(reps.groupBy("id").agg(
+            F.count("*").alias("texts")).where("texts > 1").select("id")).distinct()
         buckets = reps.select("id", F.explode("bands").alias("key"))
         many = buckets.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
         buckets = shelf.keep(buckets.join(many, "key"), "buckets")
         # from here on only texts that share a bucket move
         texts = shelf.keep(texts.join(buckets.select("id").distinct().hint("merge"), "id",
                                       "left_semi"), "close")
-        alone = self._shareable(texts).join(twofold, "id", "left_anti")
+        alone = self._shareable(texts).join(several, "id", "left_anti")
         # what a text can share at most; texts that cannot reach the threshold are done
         able = reps.join(buckets.select("id").distinct(), "id", "left_semi").join(
             alone, "id", "left").withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0)))
@@ -227,8 +230,10 @@ class NearDuplicates:
         met = shelf.keep(self._compared(tested, texts), "compared")
         links = links.unionByName(met.where("linked").select("a", "b"))
         whole = components(shelf, links)
-        maps = met.join(twofold, met["b"] == twofold["id"], "left_anti").select(
-            F.col("b").alias("id"), F.col("a").alias("hub"), "shared", "map")
+        # without a bitmap nothing bounds a pair, so such members count as without a hub
+        maps = met.where("map is not null").join(
+            several, met["b"] == several["id"], "left_anti").select(
+            F.col("b").alias("id"), F.col("a").alias("hub"), "shared", "map").dropDuplicates(["id"])
         able = able.join(maps, "id", "left")
         for pairs_of in (self._with_hub, self._across):
             placed = buckets.join(whole, F.col("id") == F.col("node"), "left").withColumn(

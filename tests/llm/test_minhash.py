@@ -80,6 +80,32 @@ def test_odd_rows(spark):
     assert kept[None] and kept[1] and not kept[8]
 
 
+def test_hub_with_two_texts(spark):
+    """Variants that met such a hub in their only bucket are still compared with each other."""
+    class OneBucket(NearDuplicates):
+        def _sign(self):
+            import pyarrow as pa
+            run = NearDuplicates._sign(self)
+
+            def sign(batches):
+                for batch in run(batches):
+                    yield batch.set_column(4, "bands", pa.array(
+                        [[1]] * batch.num_rows, pa.list_(pa.int64())))
+            return sign
+
+    hub = [f"w{i}" for i in range(100)]
+    x = [*hub[:90], *(f"x{i}" for i in range(25))]
+    y = [*x[:-4], *(f"y{i}" for i in range(4))]
+    other, near = " ".join(f"o{i}" for i in range(50)), [f"p{i}" for i in range(100)]
+    rows = [(0, " ".join(x)), (1, " ".join(y)), (3, " ".join(hub)), (2, other), (3, other),
+            (6, " ".join(near)), (7, " ".join([*near[:-2], "q", "r"])), (7, other.replace("o", "u"))]
+    x, y, hub, *_ = (shingle_set(t) for _, t in rows)
+    assert 100 * len(x & y) >= 75 * len(x | y) and 100 * len(x & hub) < 75 * len(x | hub)
+    got = OneBucket().groups(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {
+        0: 0, 1: 0, 2: 2, 3: 2, 6: 6, 7: 6}
+
+
 def test_empty_and_extra_columns(spark):
     assert found(spark, []) == []
     docs = spark.createDataFrame([(1, "a b c d e f", 5, "x"), (2, "a b c d e f", 6, "y")],
