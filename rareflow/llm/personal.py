@@ -140,11 +140,12 @@ def candidates(text: str | None) -> list[tuple[tuple[str, int, int], bool]]:
     fixed = fixed_spans(text)
     out = [(span, True) for span in fixed]
     if loose := loose_spans(text):
-        taken = sorted((s, e) for _, s, e in fixed)
-        starts = np.array([s for s, _ in taken], np.int64)
+        taken = {kind: sorted((s, e) for k, s, e in fixed if k == kind)
+                 for kind in dict.fromkeys(k for k, _, _ in loose)}
+        starts = {kind: np.array([s for s, _ in spans], np.int64) for kind, spans in taken.items()}
         for kind, start, end in dict.fromkeys(loose):
-            i = int(np.searchsorted(starts, end)) - 1
-            if i < 0 or taken[i][1] <= start:
+            i = int(np.searchsorted(starts[kind], end)) - 1
+            if i < 0 or taken[kind][i][1] <= start:
                 out.append(((kind, start, end), False))
     return out
 
@@ -211,9 +212,11 @@ class PersonalData:
             # start: labelers are right nine times in ten, the loose pattern says little
             rate = np.array([[0.1, 0.5, 0.1, 0.1], [0.9, 0.5, 0.9, 0.5]])
             share = self.prior
+            # kinds without a fixed pattern: the labeler that cannot vote says nothing either way
+            heard = votes[:, int(kind in ADDED):], rate[:, int(kind in ADDED):]   # a view of the rates
             for _ in range(self.steps):
-                like = [np.log(part) + votes @ np.log(r) + (1 - votes) @ np.log(1 - r)
-                        for part, r in zip((1 - share, share), rate, strict=True)]
+                like = [np.log(part) + heard[0] @ np.log(r) + (1 - heard[0]) @ np.log(1 - r)
+                        for part, r in zip((1 - share, share), heard[1], strict=True)]
                 belief = 1 / (1 + np.exp(np.clip(like[0] - like[1], -500, 500)))
                 for c, b in enumerate((1 - belief, belief)):
                     rate[c] = ((n * b) @ votes + 1) / ((n * b).sum() + 2)

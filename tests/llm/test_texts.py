@@ -310,6 +310,17 @@ def test_personal_data(spark):
     assert PersonalData().mark(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_logins_in_urls_are_marked(spark):
+    """The password and a dotted host look like an email; the login is a span all the same."""
+    rows = [(i, f"see postgres://admin:Secr3t99@db{i}.example.com/x for more") for i in range(8)]
+    spans = {((k, s, e), f) for (k, s, e), f in personal.candidates(rows[0][1])}
+    assert {(("url_login", 15, 29), False), (("email", 21, 45), True)} <= spans
+    for r in PersonalData().mark(spark.createDataFrame(rows, SCHEMA)).collect():
+        assert "email:21:45" in r["spans"] and "url_login:15:29" in r["spans"]
+    # a loose span that touches a fixed one of its kind still goes
+    assert [k for (k, _, _), _ in personal.candidates("call +49 0123 456 7890")] == ["phone"]
+
+
 def test_reliabilities_are_found():
     """A labeler that votes at random gets rates near one half, a sound one far apart."""
     rng = random.Random(1)
