@@ -91,9 +91,12 @@ def embedded_offsets(dims: DataFrame) -> DataFrame:
 
 
 def feature_rollup(df: DataFrame, values: str, offsets: DataFrame) -> DataFrame:
-    """Mean cell value per source feature and embedded name ``<column>_emb_<i>``."""
+    """Mean cell value per source feature and embedded name ``<column>_emb_<i>``.
+
+    Sums are rounded to six digits first, so the order of summation cannot decide a tie.
+    """
     means = cells(df, [], values).groupBy("pos").agg(
-        F.avg("value").alias("mean_shift"), F.count("*").alias("n"))
+        (F.round(F.sum("value"), 6) / F.count("*")).alias("mean_shift"), F.count("*").alias("n"))
     names = offsets.select(
         "column", "embedded", F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("pos"),
         "start")

@@ -245,8 +245,8 @@ def embedding_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
   (4, 'c_nationkey', 'c_nationkey_emb_2'), (5, 'l_suppkey', 'l_suppkey_emb_0'),
   (6, 'l_suppkey', 'l_suppkey_emb_1'), (7, 'l_suppkey', 'l_suppkey_emb_2'),
   (8, 'l_suppkey', 'l_suppkey_emb_3'), (9, 'l_suppkey', 'l_suppkey_emb_4'))
-  AS t(pos, "column", name))""", """SELECT pos, "column", name, round(avg(value), 4) AS mean_shift,
-  count(*) AS n FROM embedded JOIN names USING (pos) GROUP BY 1, 2, 3"""))
+  AS t(pos, "column", name))""", """SELECT pos, "column", name,
+  round(round(sum(value), 6) / count(*), 6) AS mean_shift, count(*) AS n FROM embedded JOIN names USING (pos) GROUP BY 1, 2, 3"""))
 def embedded_feature_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = [("l_quantity", 1, False), ("o_totalprice", 1, False),
              *[(c, n, True) for c, n in EMBEDDED_DIMS.items()]]
@@ -254,7 +254,7 @@ def embedded_feature_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
                                  "position int, column string, dim int, embedded boolean")
     offsets = matrix.embedded_offsets(dims)
     return rounded(matrix.feature_rollup(embedded_rows(spark, sf_dir), "embedded", offsets),
-                   ["mean_shift"], 4)
+                   ["mean_shift"])
 
 
 SPARSE_COLUMNS = ["l_returnflag", "l_suppkey"]
