@@ -135,3 +135,43 @@ judged AS (SELECT p.page_id, p.host, p.path, r.host || r.path AS rule, r.verdict
   FROM parsed p LEFT JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host))
     AND starts_with(p.path, r.path))
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM judged WHERE k = 1"""
+
+# crc32 of the decimal id, bit by bit; runs as stretches of equal grams one period apart
+PERIODIC_RUNS = """WITH split AS (SELECT doc_id,
+    regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(
+        string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [ord(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+      lambda acc, x: xor(xor(acc, x) >> 1, CASE WHEN xor(acc, x) % 2 = 1 THEN 3988292384 ELSE 0 END)),
+      4294967295::BIGINT) AS h FROM documents),
+looped AS (SELECT doc_id, w, len(w) AS n, h // 10 AS g, coalesce(h % 10 = 0, false) AND len(w) > 0 AS loops
+  FROM split),
+placed AS (SELECT *, g % n AS a, 1 + (n - g % n) // (3 + g % 8) AS p FROM looped),
+texts AS (SELECT row_number() OVER () AS own, doc_id, n, CASE WHEN loops THEN list_transform(
+    generate_series(1, n), lambda i: w[CASE WHEN i <= a THEN i ELSE a + 1 + (i - 1 - a) % p END])
+  ELSE w END AS w FROM placed),
+grams AS (SELECT own, i - 1 AS i, md5(array_to_string(w[i:i + 15], ' ')) AS gram FROM texts,
+  LATERAL (SELECT unnest(generate_series(1, n - 15)) AS i) WHERE n >= 24),
+equal AS (SELECT x.own, x.i, y.i - x.i AS q FROM grams x JOIN grams y
+  ON x.own = y.own AND x.gram = y.gram AND x.i < y.i),
+marked AS (SELECT *, i - row_number() OVER (PARTITION BY own, q ORDER BY i) AS stretch FROM equal),
+stretches AS (SELECT own, q, min(i) AS start, count(*) + 15 + q AS length FROM marked
+  GROUP BY own, q, stretch),
+runs AS (SELECT own, start, length, min(q) AS period FROM stretches
+  WHERE length >= greatest(24, 3 * q) GROUP BY own, start, length),
+told AS (SELECT own, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10),
+    '' ORDER BY start, period) AS told FROM runs GROUP BY own),
+best AS (SELECT own, start, length, period FROM (SELECT *, row_number() OVER (PARTITION BY own
+  ORDER BY length::DOUBLE / period DESC, start, period) AS k FROM runs) WHERE k = 1),
+gone AS (SELECT DISTINCT own, unnest(generate_series(start + period, start + length - 1)) AS i
+  FROM runs),
+placed_words AS (SELECT own, i - 1 AS i, w[i] AS word FROM texts,
+  LATERAL (SELECT unnest(generate_series(1, n)) AS i) WHERE own IN (SELECT own FROM runs)),
+shorter AS (SELECT own, string_agg(word, ' ' ORDER BY i) AS kept
+  FROM placed_words ANTI JOIN gone USING (own, i) GROUP BY own),
+kept AS (SELECT own, coalesce(kept, array_to_string(w, ' ')) AS kept
+  FROM texts LEFT JOIN shorter USING (own))
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, CAST(start AS BIGINT) AS start,
+  CAST(length AS BIGINT) AS length, CAST(period AS BIGINT) AS period,
+  CAST(1000 * length // period AS BIGINT) AS exponent_milli,
+  sha256(coalesce(told, '')) AS runs_sha256, sha256(kept) AS collapsed_sha256
+FROM texts LEFT JOIN told USING (own) LEFT JOIN best USING (own) JOIN kept USING (own)"""

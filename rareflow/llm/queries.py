@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rareflow.llm import oracles
@@ -12,6 +14,7 @@ from rareflow.llm.minhash import NearDuplicates
 from rareflow.llm.mixing import Mix
 from rareflow.llm.nearest import NearestNeighbours
 from rareflow.llm.personal import PersonalData
+from rareflow.llm.runs import PeriodicRuns
 from rareflow.llm.suffixes import RepeatedPassages
 from rareflow.llm.toxicity import ToxicityClassifier, fold_of, labelled_texts
 from rareflow.llm.urls import judge_urls
@@ -96,3 +99,27 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     marked = Decontamination().mark(docs, table(spark, sf_dir, "benchmark"))
     return marked.select("doc_id", F.explode("hits").alias("hit")).select("doc_id", "hit.*")
+
+
+def looped(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """Words of every tenth text, by a hash of its id, go round from some word on."""
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not words:
+        return words
+    g, n = h // 10, len(words)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+
+
+@query("op12_periodic_runs", oracles.PERIODIC_RUNS)
+def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = PeriodicRuns().find(table(spark, sf_dir, "documents"), rewrite=looped)
+    told = F.transform("runs", lambda r: F.concat(
+        F.concat_ws(",", *[r[name].cast("string") for name in ("start", "length", "period")]),
+        F.lit("\n")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "strongest.*",
+        F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(told, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
