@@ -15,6 +15,7 @@ from rareflow.llm.mixing import Mix
 from rareflow.llm.nearest import NearestNeighbours
 from rareflow.llm.personal import PersonalData
 from rareflow.llm.runs import PeriodicRuns
+from rareflow.llm.simhash import SimHashDuplicates
 from rareflow.llm.suffixes import RepeatedPassages
 from rareflow.llm.toxicity import ToxicityClassifier, fold_of, labelled_texts
 from rareflow.llm.urls import judge_urls
@@ -101,6 +102,11 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", F.explode("hits").alias("hit")).select("doc_id", "hit.*")
 
 
+@query("op11_simhash_near_duplicates")
+def simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SimHashDuplicates().groups(table(spark, sf_dir, "documents"))
+
+
 def looped(doc_id: int | None, words: list[bytes]) -> list[bytes]:
     """Words of every tenth text, by a hash of its id, go round from some word on."""
     h = zlib.crc32(str(doc_id).encode())
