@@ -100,14 +100,15 @@ def star_blocks(pairs: DataFrame, payload: DataFrame, columns: Sequence[str]) ->
 HOT_KEYS = 1000              # keys that a lookup broadcasts; any other has under 1/1000 of the rows
 
 
-def lookup(rows: DataFrame, table: DataFrame, key: str, uses: str) -> DataFrame:
+def lookup(rows: DataFrame, table: DataFrame, key: str | Sequence[str], uses: str) -> DataFrame:
     """``rows`` with the columns of ``table`` but ``uses``, which holds each key once.
 
     ``uses`` says how many rows have the key: the ``HOT_KEYS`` most frequent keys are
     broadcast, the others meet their rows by shuffle.
     """
-    hot = F.broadcast(table.orderBy(F.desc(uses), key).limit(HOT_KEYS).drop(uses))
-    cold = rows.join(hot.select(key), key, "left_anti").join(table.drop(uses).hint("merge"), key)
+    key = [key] if isinstance(key, str) else list(key)
+    hot = F.broadcast(table.orderBy(F.desc(uses), *key).limit(HOT_KEYS).drop(uses))
+    cold = rows.join(hot.select(*key), key, "left_anti").join(table.drop(uses).hint("merge"), key)
     return rows.join(hot, key).unionByName(cold)
 
 

@@ -175,3 +175,28 @@ SELECT doc_id, coalesce(n_runs, 0) AS n_runs, CAST(start AS BIGINT) AS start,
   CAST(1000 * length // period AS BIGINT) AS exponent_milli,
   sha256(coalesce(told, '')) AS runs_sha256, sha256(kept) AS collapsed_sha256
 FROM texts LEFT JOIN told USING (own) LEFT JOIN best USING (own) JOIN kept USING (own)"""
+
+
+COLLOCATIONS = f"""WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    {LOWERED}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+listed AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+sizes AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM listed GROUP BY lang),
+grams AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM listed,
+  (SELECT unnest(generate_series(1, 5)) AS k), LATERAL (SELECT unnest(generate_series(1, len(w) - k + 1)) AS i)),
+counts AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 100),
+candidates AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM counts WHERE k > 1),
+inside AS (SELECT lang, array_to_string(w[i:i + s - 1], ' ') AS phrase, a FROM candidates,
+  LATERAL (SELECT unnest(generate_series(2, k - 1)) AS s),
+  LATERAL (SELECT unnest(generate_series(1, k - s + 1)) AS i)),
+covered AS (SELECT lang, phrase, max(a) AS longer FROM inside GROUP BY lang, phrase),
+kept AS (SELECT c.* FROM candidates c LEFT JOIN covered USING (lang, phrase)
+  WHERE longer IS NULL OR 100 * longer < 100 * a),
+cuts AS (SELECT kept.*, cut, array_to_string(w[1:cut], ' ') AS first, array_to_string(w[cut + 1:], ' ') AS rest
+  FROM kept, LATERAL (SELECT unnest(generate_series(1, k - 1)) AS cut)),
+scored AS (SELECT c.lang, c.phrase, a, x.f AS l, y.f AS r, n,
+    CAST((1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f) AS BIGINT) AS score, cut
+  FROM cuts c JOIN counts x ON x.lang = c.lang AND x.phrase = first
+    JOIN counts y ON y.lang = c.lang AND y.phrase = rest JOIN sizes s ON s.lang = c.lang),
+lowest AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS low FROM scored)
+SELECT * FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank,
+  phrase, a, l, r, n, score FROM lowest WHERE low = 1) WHERE rank <= 2000"""

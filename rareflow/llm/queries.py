@@ -7,6 +7,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rareflow.llm import oracles
+from rareflow.llm.collocations import Collocations
 from rareflow.llm.decontaminate import Decontamination
 from rareflow.llm.licences import LicenceScan
 from rareflow.llm.lines import LineDedup
@@ -129,3 +130,8 @@ def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
         F.sha2(F.array_join(told, "").cast("binary"), 256).alias("runs_sha256"),
         F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+@query("op13_phrase_collocations", oracles.COLLOCATIONS)
+def phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Collocations().find(table(spark, sf_dir, "documents"))
