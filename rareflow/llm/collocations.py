@@ -1,12 +1,13 @@
 """Frequent phrases and how strongly their words belong together.
 
-Words are counted first. Of all n-grams that hold frequent words only, tasks build
-summaries per hash partition: a buffer of n-grams becomes sorted keys and counts. A
+Words are counted first. Of all pairs of frequent words, tasks build
+summaries per hash partition: a buffer of n-grams becomes sorted keys and counts. Longer
+n-grams follow in the same way, if all their pairs have survived. A
 partition's summaries are merged by the rule of Misra and Gries, with a capacity that exceeds the partition's mass
 divided by the threshold: whenever more counters are held, the first count beyond the
 capacity is taken off all of them, so an n-gram loses less than the threshold in all, and none that
 is frequent goes. What has been taken off is known, so counters that cannot
-reach the threshold go at the end. A second pass over the texts counts what is left exactly, by its words.
+reach the threshold go at the end. A last pass over the texts counts what is left exactly, by its words.
 
 Tasks learn frequent words and surviving n-grams from a bit filter of bounded size. What
 it lets through by mistake costs work and changes no result.
@@ -21,7 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rareflow.llm.common import LOWER, UPPER, Shelf, lookup
 from rareflow.llm.shingles import STEP, WordHashes, mixed
@@ -32,6 +33,7 @@ CHUNK_BYTES = 1_000_000              # texts tokenised together, cut at the end
 HELD_PHRASES = 200_000               # phrases a task counts before it passes them on
 PROBES = 4                           # bits per key of a filter
 EXACT = "decimal(38,0)"
+SHORT, KEY_BITS = np.uint64(16), 48  # keys of n-grams; equal keys only share a counter
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -106,14 +108,23 @@ def salted(hashes: np.ndarray, lang: str) -> np.ndarray:
     return hashes ^ np.uint64(xxhash.xxh3_64_intdigest(lang.encode(), 1))
 
 
-def grams(words: np.ndarray, good: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(length, places, keys) of the n-grams of 2 to ``longest`` words that are all good."""
+def grams(words: np.ndarray, good: np.ndarray, longest: int,
+          pairs: BitFilter | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, places, their keys) of the n-grams of 2 to ``longest`` words that are all good
+    and whose pairs may be in ``pairs``."""
     key, whole, step = words, good, np.uint64(STEP)
     for size in range(2, min(longest, len(words)) + 1):
         count = len(words) - size + 1
-        whole = whole[:count] & good[size - 1:]
         key = mixed(key[:count] * step + words[size - 1:])
-        yield size, np.flatnonzero(whole), key
+        whole = whole[:count] & good[size - 1:]
+        at = np.flatnonzero(whole)
+        if size == 2 and pairs:
+            at = at[pairs.holding(key[at] >> SHORT)]
+            whole = np.zeros(count, bool)
+            whole[at] = True
+        if size == 2:
+            good = np.append(False, whole)                   # a word ends a pair that is good
+        yield size, at, key[at] >> SHORT
 
 
 @dataclass(frozen=True)
@@ -132,8 +143,8 @@ class Collocations:
     longest: int = 5
     percent: int = 100               # share of a phrase's occurrences inside one longer phrase
     top: int = 2000
-    buffer: int = 4_000_000          # n-grams summarised at once in a task
-    partition: int = 16_000_000      # mass of a hash partition, hot n-grams aside
+    buffer: int = 1_500_000          # n-grams summarised at once in a task
+    partition: int = 4_000_000       # mass of a hash partition, hot n-grams aside
     filter_bits: int = 1 << 27
 
     def find(self, docs: DataFrame, text_column: str = "text",
@@ -154,41 +165,55 @@ class Collocations:
     def _candidates(self, texts: DataFrame, sizes: DataFrame, frequent: DataFrame) -> DataFrame:
         """(lang, phrase, f) of all frequent phrases of two words or more."""
         spark = texts.sparkSession
-        mass = (self.longest - 1) * (sizes.agg(F.sum("n")).first()[0] or 0)
-        known = self._broadcast(spark, frequent.mapInArrow(_word_keys, "key long"))
-        summaries = texts.mapInArrow(self._summaries(known, mass), SUMMARY)
-        merged = (summaries.repartition("part").sortWithinPartitions("part", "held")
-                  .mapInArrow(self._merged(), "key long"))
-        shelf = Shelf(spark)
-        surviving = shelf.keep(merged, "surviving")
-        wanted = self._broadcast(spark, surviving)
-        counted = texts.mapInArrow(_counted(self._phrases(known, wanted)), COUNTED)
+        mass = sizes.agg(F.sum("n")).first()[0] or 0
+        shelf, shared = Shelf(spark), []
+
+        def told(keys: DataFrame):
+            shared.append(spark.sparkContext.broadcast(BitFilter.of(keys, self.filter_bits)))
+            return shared[-1]
+
+        def surviving(lengths: range, mass: int, known, pairs=None) -> DataFrame:
+            summaries = texts.mapInArrow(self._summaries(lengths, mass, known, pairs), SUMMARY)
+            merged = (summaries.repartition("part").sortWithinPartitions("part", "held")
+                      .mapInArrow(self._merged(), "key long, most long"))
+            return shelf.keep(merged, "surviving")
+
+        known = told(frequent.mapInArrow(_word_keys, "key long"))
+        found = surviving(range(2, 3), mass, known)
+        pairs = wanted = told(found)
+        if self.longest > 2:
+            # a longer n-gram starts with a pair that survived
+            mass = (self.longest - 2) * (found.agg(F.sum("most")).first()[0] or 0)
+            longer = surviving(range(3, self.longest + 1), mass, known, pairs)
+            wanted = told(found.unionByName(longer))
+        counted = texts.mapInArrow(_counted(self._phrases(known, pairs, wanted)), COUNTED)
         found = shelf.finish(summed(counted).where(F.col("f") >= self.threshold), "counted")
-        for shared in (known, wanted):
-            shared.destroy()
+        for each in shared:
+            each.destroy()
         return found
 
-    def _broadcast(self, spark: SparkSession, keys: DataFrame):
-        return spark.sparkContext.broadcast(BitFilter.of(keys, self.filter_bits))
-
-    def _summaries(self, known, mass: int):
+    def _summaries(self, lengths: range, mass: int, known, pairs):
         """Summaries of buffers of n-grams, cut by the first bits of the key. Each comes after a row
         that says its mass only, so that a merging task knows the partition's mass first."""
-        longest, most, bits = self.longest, self.buffer, 0
+        most, bits = self.buffer, 0
         while mass > self.partition << bits:
             bits += 1
-        edges = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else [0]
+        edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(KEY_BITS - bits)
 
         def summary(held: list[np.ndarray]) -> pa.RecordBatch:
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            counts = counts.astype(np.uint32)
-            cuts = [*np.searchsorted(keys, edges), len(keys)]
+            every = np.concatenate(held)
+            held.clear()
+            every.sort()
+            first = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
+            keys, counts = every[first], np.diff(first, append=len(every)).astype(np.uint32)
+            cuts = [0, *np.searchsorted(keys, edges), len(keys)]
+            short = keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BITS // 8]
             rows = [[], [], [], []]
             for part, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
                 if b > a:
                     rows[0] += [part, part]
                     rows[1] += [int(counts[a:b].sum()), None]
-                    rows[2] += [None, keys[a:b].tobytes()]
+                    rows[2] += [None, short[a:b].tobytes()]
                     rows[3] += [None, counts[a:b].tobytes()]
             kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
             held_first = pa.array([m is None for m in rows[1]], pa.bool_())
@@ -202,12 +227,14 @@ class Collocations:
                 for batch in batches:
                     for lang, text in chunks(batch):
                         words, good = _marked(tokens(text), lang, hashes, known.value)
-                        for _, at, keys in grams(words, good, longest):
-                            held.append(keys[at])
-                            waiting += len(at)
+                        for size, _, keys in grams(words, good, lengths[-1],
+                                                   pairs and pairs.value):
+                            if size in lengths:
+                                held.append(keys)
+                                waiting += len(keys)
                         if waiting > most:
                             yield summary(held)
-                            held, waiting = [], 0
+                            waiting = 0
                 if waiting:
                     yield summary(held)
 
@@ -227,14 +254,13 @@ class Collocations:
                     if not held.as_py():
                         merging.mass += mass.as_py()
                     else:
-                        merging.add(np.frombuffer(keys.as_py(), np.uint64),
-                                    np.frombuffer(counts.as_py(), np.uint32))
+                        merging.add(unpacked(keys.as_py()), np.frombuffer(counts.as_py(), np.uint32))
             if merging:
                 yield merging.possible(threshold)
 
         return run
 
-    def _phrases(self, known, wanted):
+    def _phrases(self, known, pairs, wanted):
         """Phrases of a chunk whose keys survived, repeats included."""
         longest = self.longest
 
@@ -248,8 +274,8 @@ class Collocations:
                 starts = np.append(0, ends[:-1])
                 with np.errstate(over="ignore"):
                     codes, good = _marked(words, lang, hashes, known.value)
-                    for size, at, keys in grams(codes, good, longest):
-                        at = at[wanted.value.holding(keys[at])]
+                    for size, at, keys in grams(codes, good, longest, pairs.value):
+                        at = at[wanted.value.holding(keys)]
                         yield from map(flat.__getitem__, map(
                             slice, starts[at].tolist(), (ends[at + size - 1] - 1).tolist()))
 
@@ -340,10 +366,19 @@ class Summary:
             self.taken += cut
 
     def possible(self, threshold: int) -> pa.RecordBatch:
-        """Keys that may occur ``threshold`` times."""
+        """Keys that may occur ``threshold`` times, and how often at most."""
         self.merge()
-        keys = self.keys[self.counts + self.taken >= threshold]
-        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], names=["key"])
+        most = self.counts + self.taken
+        keep = most >= threshold
+        return pa.RecordBatch.from_arrays(
+            [pa.array(self.keys[keep].view(np.int64)), pa.array(most[keep].astype(np.int64))],
+            names=["key", "most"])
+
+
+def unpacked(keys: bytes) -> np.ndarray:
+    wide = np.zeros((len(keys) * 8 // KEY_BITS, 8), np.uint8)
+    wide[:, :KEY_BITS // 8] = np.frombuffer(keys, np.uint8).reshape(len(wide), -1)
+    return wide.reshape(-1).view("<u8").astype(np.uint64)
 
 
 def _marked(words: list[bytes], lang: str, hashes: WordHashes,
