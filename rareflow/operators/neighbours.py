@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rareflow.operators.encode import dictionary_join
 from rareflow.session import materialize
@@ -48,25 +48,35 @@ def nearest_in_block(queries: np.ndarray, candidates: np.ndarray, k: int
     return out
 
 
-def k_nearest(df: DataFrame, key: str, features: str, k: int, block_cells: int = BLOCK_CELLS
-              ) -> DataFrame:
+def k_nearest(df: DataFrame, key: str, features: str, k: int, block_cells: int = BLOCK_CELLS,
+              asked: Column | None = None) -> DataFrame:
     """(key, neighbours: array<struct<distance, id>>) with the k nearest other rows.
 
-    Order: distance, then id. ``key`` must be unique.
+    Order: distance, then id. ``key`` must be unique. With ``asked`` only the rows it marks
+    look for neighbours, among all rows.
     """
+    if asked is not None:
+        asking = df.where(asked).select(F.col(key).alias("id"), F.col(features).alias("v"))
     rows = df.select(F.col(key).alias("id"), F.col(features).alias("v")).withColumn(
         "print", F.md5(F.col("v").cast("string").cast("binary")))
     # the k + 1 smallest ids of each distinct vector; the limit is applied before
     # the shuffle, so copies do not pile up
     rank = F.row_number().over(Window.partitionBy("print").orderBy("id"))
     first = rows.withColumn("rank", rank).filter(F.col("rank") <= k + 1)
-    points = materialize(
-        first.groupBy("print").agg(F.first("v").alias("v"),
-                                   F.sort_array(F.collect_list("id")).alias("ids")), "points")
+    points = first.groupBy("print").agg(F.first("v").alias("v"),
+                                        F.sort_array(F.collect_list("id")).alias("ids"))
+    if asked is None:
+        points = points.withColumn("asks", F.lit(True))
+    else:
+        rows = asking.withColumn("print", F.md5(F.col("v").cast("string").cast("binary")))
+        wanted = rows.select("print").distinct().withColumn("asks", F.lit(True))
+        points = points.join(wanted, "print", "left").withColumn(
+            "asks", F.coalesce("asks", F.lit(False)))
+    points = materialize(points, "points")
     id_type = points.schema["ids"].dataType.elementType.simpleString()
     size = points.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width")).first()
     if not size["n"]:
-        return df.select(key).withColumn(
+        return rows.select(F.col("id").alias(key)).withColumn(
             "neighbours", F.lit(None).cast(f"array<struct<distance:double,id:{id_type}>>"))
     near_type = f"array<struct<distance:double,id:{id_type}>>"
     partial = _search(points, size["n"] * size["width"], k, block_cells, near_type, id_type)
@@ -107,11 +117,11 @@ def _search(points: DataFrame, numbers: int, k: int, block_cells: int, near_type
                 if len(batch) else np.empty((0, len(pivots)))
             cell = away.argmin(axis=1)
             yield pd.DataFrame({"print": batch["print"], "v": batch["v"], "ids": batch["ids"],
-                                "cell": cell, "away": away[np.arange(len(cell)), cell]})
+                                "asks": batch["asks"], "cell": cell, "away": away[np.arange(len(cell)), cell]})
 
-    placed = materialize(points.select("print", "v", "ids").mapInPandas(
-        assign, f"print string, v array<double>, ids array<{id_type}>, cell int, away double"),
-        "cells")
+    placed = materialize(points.select("print", "v", "ids", "asks").mapInPandas(
+        assign, f"print string, v array<double>, ids array<{id_type}>, asks boolean, cell int, "
+                "away double"), "cells")
     width = max(1, numbers // max(1, points.count()))
     radius, blocks = np.full(len(pivots), -np.inf), [0] * len(pivots)
     for r in placed.groupBy("cell").agg(F.max("away").alias("r"), F.count("*").alias("n")).collect():
@@ -142,8 +152,8 @@ def _search(points: DataFrame, numbers: int, k: int, block_cells: int, near_type
         return (asked.groupBy(*key).cogroup(candidates.groupBy(*[f"c_{c}" for c in key]))
                 .applyInPandas(compare, f"print string, near {near_type}"))
 
-    own = placed.select("print", "v", F.col("cell").alias("home"),
-                        F.col("block").alias("home_block"), "cell")
+    own = placed.where("asks").select("print", "v", F.col("cell").alias("home"),
+                                      F.col("block").alias("home_block"), "cell")
     first = materialize(meet(own), "home-cells")
     limit = (first.groupBy("print").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))),
                                                 1, k + 1).alias("near"))

@@ -31,12 +31,21 @@ def synthetic_rows(df: DataFrame, target: str, key: str, features: str, k: int =
     each = missing // small
     bases = (extra.withColumn("__times", F.lit(each + 1))
              .unionByName(plain.withColumn("__times", F.lit(each))).filter("__times > 0"))
-    near = k_nearest(points, key, features, k)
+    return interpolated(bases, k_nearest(points, key, features, k), points, small, key, features,
+                        seed)
+
+
+def interpolated(bases: DataFrame, near: DataFrame, points: DataFrame, small: int, key: str,
+                 features: str, seed: str) -> DataFrame:
+    """``__times`` rows per base, each on the line to one of its ``near`` rows.
+
+    ``points`` holds the ``small`` rows the neighbours are taken from.
+    """
     drawn = (
         bases.join(near, key)
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
+        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int"))))
         .withColumn("__draw", F.concat_ws(":", F.col(key).cast("string"), F.col("copy"))))
-    choice = F.floor(hash_fraction("__draw", f"{seed}:neighbour") * k).cast("int")
+    choice = F.floor(hash_fraction("__draw", f"{seed}:neighbour") * F.size("neighbours")).cast("int")
     drawn = drawn.select(
         key, "copy", features, hash_fraction("__draw", f"{seed}:gap").alias("gap"),
         F.element_at("neighbours", choice + 1)["id"].alias("neighbour"))
@@ -51,7 +60,12 @@ def synthetic_rows(df: DataFrame, target: str, key: str, features: str, k: int =
 def smote(df: DataFrame, target: str, key: str, features: str, k: int = 20,
           seed: str = "smote", minority: int = 1) -> DataFrame:
     """Original and synthetic rows together: (key text, features, target, synthetic)."""
-    new = synthetic_rows(df, target, key, features, k, seed, minority)
+    return with_synthetic(df, synthetic_rows(df, target, key, features, k, seed, minority),
+                          target, key, features, minority)
+
+
+def with_synthetic(df: DataFrame, new: DataFrame, target: str, key: str, features: str,
+                   minority: int) -> DataFrame:
     name = F.concat_ws("+", F.col(key).cast("string"), F.col("copy").cast("string"))
     return df.select(F.col(key).cast("string").alias(key), features, target,
                      F.lit(0).alias("synthetic")).unionByName(

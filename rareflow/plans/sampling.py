@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rareflow.operators import matrix, sample
+from rareflow.operators.adasyn import adaptive_rows, densities
 from rareflow.operators.smote import round_categories, synthetic_rows
 from rareflow.plans.registry import (
     LINES, VECTORS, fraction_sql, query, rounded, with_)
@@ -152,6 +153,49 @@ def smote_round_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(matrix.cells(whole, ["vec_id", "copy"], "features"), ["value"])
 
 
+# Densities over all pairs of a minority row and another row; shares by remainders of integers.
+ADASYN = VECTORS + f""", minority AS (SELECT vec_id, features FROM vectors
+  WHERE conversion_target = 1),
+sizes AS (SELECT count(*) FILTER (conversion_target = 0) - count(*) FILTER (conversion_target = 1)
+  AS missing FROM vectors),
+ranked AS (SELECT a.vec_id, b.vec_id AS other, conversion_target, row_number() OVER (
+    PARTITION BY a.vec_id ORDER BY list_distance(a.features, b.features), b.vec_id) AS k
+  FROM minority a JOIN vectors b ON a.vec_id <> b.vec_id),
+dense AS (SELECT vec_id, CAST(count(*) FILTER (conversion_target = 0) AS INTEGER) AS density
+  FROM ranked WHERE k <= 20 GROUP BY 1),
+total AS (SELECT sum(density) AS weight FROM dense),
+parts AS (SELECT vec_id, density, CAST(density * missing // weight AS BIGINT) AS whole,
+  density * missing % weight AS remainder, missing FROM dense, sizes, total),
+times AS (SELECT vec_id, whole + CAST(row_number() OVER (ORDER BY remainder DESC, density DESC,
+    md5('adasyn:extra:' || vec_id)) <= missing - (SELECT sum(whole) FROM parts) AS INTEGER) AS copies
+  FROM parts),
+near AS (SELECT vec_id, list(other ORDER BY distance, other)[1:20] AS ids FROM (
+  SELECT a.vec_id, b.vec_id AS other, list_distance(a.features, b.features) AS distance
+  FROM minority a JOIN minority b ON a.vec_id <> b.vec_id) GROUP BY 1),
+drawn AS (SELECT vec_id, CAST(copy AS INTEGER) AS copy,
+  {uniform("vec_id || ':' || copy", "adasyn:gap")} AS gap,
+  ids[CAST(floor({uniform("vec_id || ':' || copy", "adasyn:neighbour")} * 20) AS INTEGER) + 1]
+    AS neighbour
+  FROM times JOIN near USING (vec_id), range(1, 10000) AS g(copy) WHERE copy <= copies)"""
+
+
+@query("adasyn_density", with_(ADASYN, "SELECT vec_id, density FROM dense"))
+def adasyn_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return densities(vectors(spark, sf_dir), TARGET, "vec_id", "features", 20, 1).select(
+        "vec_id", "density")
+
+
+@query("adasyn", with_(ADASYN, """SELECT d.vec_id, copy, neighbour, round(gap, 6) AS gap,
+  CAST(i - 1 AS INTEGER) AS pos,
+  round(a.features[i] + (b.features[i] - a.features[i]) * gap, 6) AS value
+  FROM drawn d JOIN minority a ON d.vec_id = a.vec_id JOIN minority b ON neighbour = b.vec_id,
+  range(1, 65) AS g(i)"""))
+def adasyn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    new = adaptive_rows(vectors(spark, sf_dir), TARGET, "vec_id", "features", 20)
+    return rounded(matrix.cells(new, ["vec_id", "copy", "neighbour", "gap"], "features"),
+                   ["gap", "value"])
+
+
 @query("class_mixed_batches", with_(ranked("mix"), f"""SELECT {KEPT}, CAST(floor((k - 1) * 16
   / CAST(CASE conversion_target WHEN 1 THEN pos ELSE neg END AS DOUBLE)) AS INTEGER) AS batch
   FROM ranked, sizes"""))
