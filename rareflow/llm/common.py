@@ -6,7 +6,7 @@ decisions; rows without an id are returned but linked with nothing.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -77,6 +77,21 @@ def add_columns(df: DataFrame, extra: StructType, work) -> DataFrame:
     return base.mapInArrow(run, schema)
 
 
+def shielded(docs: DataFrame, used: Sequence[str], work: Callable[[DataFrame], DataFrame],
+             added: Sequence[str] = ()) -> DataFrame:
+    """``work(docs)``, which sees columns that are not ``used`` under names of no operator.
+
+    They have their own names again afterwards, but for those named like one ``added``, which are
+    replaced.
+    """
+    safe = {c: f"__kept_{i}" for i, c in enumerate(docs.columns) if c not in used}
+    back = {hidden: c for c, hidden in safe.items()}
+    out = work(docs.withColumnsRenamed(safe))
+    taken = {c.lower() for c in added}
+    return out.select(*[F.col(f"`{c}`").alias(back.get(c, c)) for c in out.columns
+                        if back.get(c, "").lower() not in taken])
+
+
 def star_blocks(pairs: DataFrame, payload: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Payloads of hub ``a`` and of its members ``b``, sorted for one pass.
 

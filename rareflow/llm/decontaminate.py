@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import (
     ArrayType, IntegerType, LongType, StructField, StructType)
 
-from rareflow.llm.common import add_columns
+from rareflow.llm.common import add_columns, shielded
 from rareflow.llm.shingles import mixed
 
 HIT = StructType([StructField("item_id", LongType()), StructField("start", IntegerType()),
@@ -230,6 +230,9 @@ class Decontamination:
 
 
 def without_benchmark(docs: DataFrame, items: DataFrame, **settings) -> DataFrame:
-    """``docs`` without documents that hold an item of the benchmark."""
-    marked = Decontamination(**settings).mark(docs, items)
-    return marked.where(F.size("hits") == 0).select(docs.columns)
+    """``docs`` without documents that hold an item of the benchmark. Columns stay."""
+    def clean(base: DataFrame) -> DataFrame:
+        marked = Decontamination(**settings).mark(base, items)
+        return marked.where(F.size("hits") == 0).select(base.columns)
+
+    return shielded(docs, ["text"], clean)

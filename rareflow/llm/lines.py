@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from rareflow.llm.common import Shelf, small_batches, star_blocks
+from rareflow.llm.common import Shelf, shielded, small_batches, star_blocks
 from rareflow.llm.shingles import mixed
 
 BASE = 0x9E3779B97F4A7C15    # of the hashes of runs of lines
@@ -38,7 +38,7 @@ class LineDedup:
     compared trimmed, by 64-bit hash; blank lines only extend blocks. Null texts stay null, empty
     texts and rows without an id stay as they are; rows with equal ids and texts are treated
     alike, rows with equal ids but different texts as one document whose smallest text
-    counts. Every line shared by two documents makes at least one pair: of up to
+    counts. Very long texts are aligned whole. Extra columns stay, whatever their names. Every line shared by two documents makes at least one pair: of up to
     ``rare`` documents all pairs, of more each one with the first. With ``whole`` the result is
     that of all pairs of documents, whatever ``rare`` is.
     """
@@ -49,9 +49,13 @@ class LineDedup:
 
     def clean(self, docs: DataFrame, id_column: str = "doc_id",
               text_column: str = "text") -> DataFrame:
-        """``docs`` with the shortened text, n_lines and n_removed."""
-        shelf = Shelf(docs.sparkSession)
-        base = docs.drop("n_lines", "n_removed")
+        """``docs`` with the shortened text, n_lines and n_removed, which replace columns so named."""
+        return shielded(docs, [id_column, text_column],
+                        lambda base: self._clean(base, id_column, text_column),
+                        ["n_lines", "n_removed"])
+
+    def _clean(self, base: DataFrame, id_column: str, text_column: str) -> DataFrame:
+        shelf = Shelf(base.sparkSession)
         lines = F.transform(F.split("text", "\n"), F.trim)
         rows = (base.select(F.col(id_column).cast("long").alias("id"),
                             F.col(text_column).alias("text"))
@@ -305,8 +309,11 @@ def common_blocks(one: list, two: list, sizes: list[int], least: int) -> list[in
 
 
 def dedup_lines(docs: DataFrame, **settings) -> DataFrame:
-    """``docs`` with shortened texts; documents of which nothing is left go."""
-    cleaned = LineDedup(**settings).clean(docs)
-    return (cleaned.where("n_removed = 0 or trim(text) <> ''").withColumn(
-        "n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else
-        cleaned.where("n_removed = 0 or trim(text) <> ''")).select(docs.columns)
+    """``docs`` with shortened texts; documents of which nothing is left go. Columns stay."""
+    def left(base: DataFrame) -> DataFrame:
+        cleaned = LineDedup(**settings).clean(base).where("n_removed = 0 or trim(text) <> ''")
+        if "n_chars" in base.columns:
+            cleaned = cleaned.withColumn("n_chars", F.length("text").cast("long"))
+        return cleaned.select(base.columns)
+
+    return shielded(docs, ["doc_id", "text", "n_chars"], left)

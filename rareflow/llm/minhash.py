@@ -317,7 +317,7 @@ def lists(rows: np.ndarray) -> pa.Array:
 
 
 def keep_one(docs: DataFrame, **settings) -> DataFrame:
-    """``docs`` with one document of each group of near-duplicates."""
+    """``docs`` with one document of each group of near-duplicates. Columns stay."""
     groups = NearDuplicates(**settings).groups(docs)
     gone = groups.where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

@@ -14,6 +14,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from rareflow.llm.common import shielded
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -24,8 +26,8 @@ class Mix:
     Sources stand by code point, null last, and weigh ``weights`` in turn. A target stops
     at ``most`` times its source's words; the excess goes to the others by weight.
     Null and empty texts have size 0 and take part with it; documents with equal hashes
-    are ordered by content, equal rows are interchangeable. Columns named like a new one
-    are replaced. An empty table gives an empty result.
+    are ordered by content, equal rows are interchangeable. Very long texts are counted whole.
+    Columns named like a new one are replaced. An empty table gives an empty result.
     """
 
     weights: tuple[int, ...] = (5, 2, 1)
@@ -57,9 +59,13 @@ class Mix:
 
     def copies(self, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
                source_column: str = "source") -> DataFrame:
-        """``docs`` with size, source_size, target and copies."""
-        names = ("size", "source_size", "target", "copies")
-        base = docs.drop(*names)
+        """``docs`` with size, source_size, target and copies, which replace columns so named."""
+        return shielded(docs, [id_column, text_column, source_column],
+                        lambda base: self._copies(base, id_column, text_column, source_column),
+                        ["size", "source_size", "target", "copies"])
+
+    def _copies(self, base: DataFrame, id_column: str, text_column: str,
+                source_column: str) -> DataFrame:
         words = F.coalesce(F.regexp_count(text_column, F.lit(WORD)), F.lit(0)).cast("long")
         key = F.concat(F.lit(f"{self.seed}:"), F.coalesce(F.col(id_column).cast("string"),
                                                          F.lit("null")))
@@ -107,7 +113,17 @@ def quoted(name: str) -> str:
 
 
 def mix(docs: DataFrame, **settings) -> DataFrame:
-    """``docs`` with each row as often as its copies."""
-    counted = Mix(**settings).copies(docs)
-    return (counted.where("copies > 0").withColumn("copy", F.explode(F.sequence(
-        F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns, "copy"))
+    """``docs`` with each row as often as its copies.
+
+    The number of each copy is in ``copy``, or in ``copy_``, ``copy__``, ... if there is a column so named.
+    """
+    number = "copy"
+    while number in [c.lower() for c in docs.columns]:
+        number += "_"
+
+    def each(base: DataFrame) -> DataFrame:
+        counted = Mix(**settings).copies(base).where("copies > 0")
+        upto = F.sequence(F.lit(1).cast("long"), F.col("copies"))
+        return counted.withColumn(number, F.explode(upto)).select(*base.columns, number)
+
+    return shielded(docs, ["doc_id", "text", "source"], each)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from rareflow.llm.common import Shelf, add_columns, small_batches
+from rareflow.llm.common import Shelf, add_columns, shielded, small_batches
 
 WORD = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 #: terms that may take each other's place in a sentence
@@ -167,8 +167,11 @@ class ToxicityClassifier:
                   .select(F.col("id").alias("pick")).distinct())
         # at most sample_rows ids are sent out
         rows = labelled.join(F.broadcast(picked), F.col("id") == F.col("pick"), "left_semi")
-        return rows.select("id", "text", F.col("label").cast("int").alias("label")).mapInArrow(
+        found = rows.select("id", "text", F.col("label").cast("int").alias("label")).mapInArrow(
             run, "id long, label int, marks array<int>, swapped array<int>")
+        # an id may have many rows
+        return found.orderBy(F.xxhash64("id"), "id", "label", "marks", "swapped").limit(
+            self.sample_rows)
 
     def _solve(self, rows: list, width: int, start: float) -> tuple[np.ndarray, float]:
         """Gradient descent with momentum on sparse rows."""
@@ -216,6 +219,20 @@ class ToxicityClassifier:
         return add_columns(docs, extra, work)
 
 
+def without_toxic(docs: DataFrame, labelled: DataFrame, **settings) -> DataFrame:
+    """``docs`` without those predicted toxic. Columns stay.
+
+    A model that found no marks, as with labels of one class or none, tells no texts apart:
+    all documents stay.
+    """
+    classifier = ToxicityClassifier(**settings)
+    model = classifier.fit(labelled)
+    if not model.weights:
+        return docs
+    return shielded(docs, ["text"], lambda base: classifier.score(base, model).where(
+        "predicted = 0").select(base.columns))
+
+
 def fold_of(id_column: str):
     """crc32 of the id as text, modulo 4."""
     return F.crc32(F.col(id_column).cast("string").cast("binary")) % 4

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from rareflow.llm import lines, minhash
+from rareflow.llm import lines, minhash, mixing
 from rareflow.llm.queries import QUERIES, SQL
+from rareflow.llm.toxicity import ToxicityClassifier, labelled_texts, without_toxic
 
 SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
@@ -72,3 +73,48 @@ def test_empty_tables(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF_DIR)
     assert docs.collect() == []
+
+
+CLASHING = ["id", "copy", "gone", "n_lines", "n_removed", "hits", "score", "predicted", "size",
+            "source_size", "target", "copies", "rep", "kept", "component_id", "Label", "tag", "a", "b"]
+
+
+def test_extra_columns_stay(spark):
+    """Columns named like those of the operators come back with their own values."""
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    docs = docs.withColumns({c: F.concat(F.lit(f"{c}:"), F.col("doc_id")) for c in CLASHING})
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs.columns
+        docs = stage(spark, docs, SF_DIR).cache()
+        added = ["copy_"] if name == "source_mix" else []
+        assert docs.columns == before + added
+        rows = docs.select("doc_id", *CLASHING).collect()
+        assert rows and all(r[c] == f"{c}:{r['doc_id']}" for r in rows for c in CLASHING)
+
+
+def test_operators_take_clashing_columns(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text", "source")
+    plain = lines.LineDedup(whole=True).clean(docs.select("doc_id", "text")).select(
+        "doc_id", "n_lines", "n_removed").collect()
+    extra = docs.withColumns({c: F.lit("x") for c in CLASHING})
+    out = lines.LineDedup(whole=True).clean(extra)
+    assert out.columns.count("n_lines") == 1 and {"id", "copy", "gone"} <= set(out.columns)
+    assert sorted(out.select("doc_id", "n_lines", "n_removed").collect()) == sorted(plain)
+    sizes = mixing.Mix().copies(extra)
+    assert sizes.where("copy = 'x'").count() == docs.count()
+    assert sizes.schema["size"].dataType.typeName() == "long"
+
+
+def test_unlearned_toxicity_keeps_all(spark):
+    docs = spark.createDataFrame([(i, f"clean text number {i}") for i in range(6)],
+                                 "doc_id long, text string")
+    for labels in ([], [(1, 0)], [(1, 1)], [(1, 0), (2, 0)]):
+        table = spark.createDataFrame(labels, "doc_id long, toxic int")
+        assert without_toxic(docs, labelled_texts(docs, table, held_out=9)).count() == 6
+
+
+def test_sample_is_bounded_when_ids_repeat(spark):
+    rows = [(i % 3, f"word{i % 7} other{i % 5} more", i % 2) for i in range(600)]
+    labelled = spark.createDataFrame(rows, "id long, text string, label long")
+    sample = ToxicityClassifier(sample_rows=50)._sample(labelled, {"word1": 0, "other2": 1})
+    assert sample.count() == 50
