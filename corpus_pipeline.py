@@ -2,10 +2,11 @@
 
 A stage takes (spark, docs, sf_dir) and returns documents; its result is written as
 Parquet and read again as the next one's input. All but the last keep the columns of
-``documents``; the last adds the number of each copy.
+``documents``, further ones of any name included; the last adds the number of each copy.
 
 Null and empty texts pass the filters; rows without an id are never grouped with others.
-An empty table passes through. Rows with equal ids share the decisions of a stage.
+An empty table passes through. Very long texts are taken whole. Rows with equal ids share the
+decisions of a stage; what ties are decided by is said at each operator.
 """
 
 from __future__ import annotations
@@ -14,15 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rareflow.llm import decontaminate, lines, minhash, mixing
 from rareflow.llm.common import Shelf
-from rareflow.llm.toxicity import ToxicityClassifier, labelled_texts
+from rareflow.llm.toxicity import labelled_texts, without_toxic
 from rareflow.sources.tables import table
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score reaches the threshold go."""
-    classifier = ToxicityClassifier()
-    model = classifier.fit(labelled_texts(docs, table(spark, sf_dir, "labels")))
-    return classifier.score(docs, model).where("predicted = 0").select(docs.columns)
+    """Documents whose score reaches the threshold go; all stay if the labels taught nothing."""
+    return without_toxic(docs, labelled_texts(docs, table(spark, sf_dir, "labels")))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
