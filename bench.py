@@ -33,7 +33,7 @@ HEADLINE = [
     "oversample_positive", "stratified_split", "smote", "predict_proba", "metric_auroc",
     "metric_auroc_micro", "metric_bundle", "metric_outer_join", "fill_series",
     "write_processed", "sample_balanced", "thin_positive_shards", "class_mixed_batches",
-    "gaussian_nb", "stream_encode", "stream_metrics",
+    "adasyn", "stored_embedding_step", "gaussian_nb", "stream_encode", "stream_metrics",
 ]
 
 

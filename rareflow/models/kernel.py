@@ -26,7 +26,8 @@ ACTIVATIONS = {  # name: (value, derivative given input and value)
 @dataclass(frozen=True)
 class Shape:
     """Architecture. ``disguise`` None means a plain classifier; ``index_map``
-    gives the cardinality of the category codes at input positions."""
+    gives the cardinality of the category codes at input positions. The embeddings at ``stored``
+    positions are rows of a table (see ``stored.py``) and no weights of the model."""
 
     num_inputs: int
     discriminator: tuple[int, ...] = ()
@@ -35,6 +36,7 @@ class Shape:
     batch_norm: bool = True
     index_map: dict[int, int] = field(default_factory=dict)
     alpha: float = 3.0
+    stored: tuple[int, ...] = ()
 
     def embedding_dim(self, cardinality: int) -> int:
         return int(np.ceil(cardinality ** (1.0 / self.alpha) - 1e-9))
@@ -52,7 +54,8 @@ class Shape:
 
     def blocks(self) -> list[tuple[str, tuple[int, ...]]]:
         """Name and shape of every weight block, in storage order."""
-        out = [(f"e{p}", (c, self.embedding_dim(c))) for p, c in sorted(self.index_map.items())]
+        out = [(f"e{p}", (c, self.embedding_dim(c))) for p, c in sorted(self.index_map.items())
+               if p not in self.stored]
         nets = [("d", self.discriminator, 2)]
         if self.disguise is not None:
             nets.append(("t", self.disguise, self.width))
@@ -93,20 +96,29 @@ def disguise_mask(shape: Shape) -> np.ndarray:
                            for n, d in shape.blocks()])
 
 
-def embed(shape: Shape, w: dict, x: np.ndarray) -> np.ndarray:
+Given = dict[int, np.ndarray]        # vectors of stored positions, a row per row
+
+
+def embed(shape: Shape, w: dict, x: np.ndarray, given: Given | None = None) -> np.ndarray:
     if not shape.index_map:
         return x
     plain = [i for i in range(shape.num_inputs) if i not in shape.index_map]
-    vectors = [w[f"e{p}"][x[:, p].astype(int)] for p in sorted(shape.index_map)]
+    vectors = [given[p] if p in shape.stored else w[f"e{p}"][x[:, p].astype(int)]
+               for p in sorted(shape.index_map)]
     return np.concatenate([x[:, plain], *vectors], axis=1)
 
 
-def _embed_back(shape: Shape, x: np.ndarray, dx: np.ndarray, grad: dict) -> None:
-    at = shape.num_inputs - len(shape.index_map)
-    for p in sorted(shape.index_map):
-        size = grad[f"e{p}"].shape[1]
-        np.add.at(grad[f"e{p}"], x[:, p].astype(int), dx[:, at:at + size])
+def _embed_back(shape: Shape, x: np.ndarray, dx: np.ndarray, grad: dict) -> Given:
+    """Adds to the embeddings' gradients; returns those of stored vectors, row by row."""
+    at, stored = shape.num_inputs - len(shape.index_map), {}
+    for p, cardinality in sorted(shape.index_map.items()):
+        size = shape.embedding_dim(cardinality)
+        if p in shape.stored:
+            stored[p] = dx[:, at:at + size]
+        else:
+            np.add.at(grad[f"e{p}"], x[:, p].astype(int), dx[:, at:at + size])
         at += size
+    return stored
 
 
 def _forward(shape: Shape, w: dict, net: str, x: np.ndarray):
@@ -148,9 +160,9 @@ def _log_softmax(logits: np.ndarray) -> np.ndarray:
     return shifted - np.log(np.exp(shifted).sum(axis=1, keepdims=True))
 
 
-def positive_probability(shape: Shape, w: dict, x: np.ndarray, embedded: bool = False
-                         ) -> np.ndarray:
-    h = x if embedded else embed(shape, w, x)
+def positive_probability(shape: Shape, w: dict, x: np.ndarray, embedded: bool = False,
+                         given: Given | None = None) -> np.ndarray:
+    h = x if embedded else embed(shape, w, x, given)
     return np.exp(_log_softmax(_forward(shape, w, "d", h)[0]))[:, 1]
 
 
@@ -161,16 +173,21 @@ def disguised(shape: Shape, w: dict, x: np.ndarray) -> np.ndarray:
 
 def labelled_terms(shape: Shape, w: dict, x: np.ndarray, y: np.ndarray):
     """(sum of cross entropies, its gradient) over the rows."""
+    return labelled_parts(shape, w, x, y)[:2]
+
+
+def labelled_parts(shape: Shape, w: dict, x: np.ndarray, y: np.ndarray,
+                   given: Given | None = None):
+    """``labelled_terms`` and each row's gradient of its stored vectors."""
     flat = np.zeros(shape.size, dtype=x.dtype)
     grad = as_blocks(shape, flat)
-    logits, tape = _forward(shape, w, "d", embed(shape, w, x))
+    logits, tape = _forward(shape, w, "d", embed(shape, w, x, given))
     logp = _log_softmax(logits)
     rows, y = np.arange(len(y)), y.astype(int)
     dlogits = np.exp(logp)
     dlogits[rows, y] -= 1.0
     dx = _backward(shape, w, "d", tape, dlogits, grad)
-    _embed_back(shape, x, dx, grad)
-    return -logp[rows, y].sum(), flat
+    return -logp[rows, y].sum(), flat, _embed_back(shape, x, dx, grad)
 
 
 def disguise_terms(shape: Shape, w: dict, x: np.ndarray, lambd: float, eta: float):
@@ -180,9 +197,15 @@ def disguise_terms(shape: Shape, w: dict, x: np.ndarray, lambd: float, eta: floa
     disguise loss for the disguise network; each network's loss moves only its
     own weights.
     """
+    return disguise_parts(shape, w, x, lambd, eta)[:5]
+
+
+def disguise_parts(shape: Shape, w: dict, x: np.ndarray, lambd: float, eta: float,
+                   given: Given | None = None):
+    """``disguise_terms`` and each row's gradient of its stored vectors."""
     flat = np.zeros(shape.size, dtype=x.dtype)
     grad = as_blocks(shape, flat)
-    h = embed(shape, w, x)
+    h = embed(shape, w, x, given)
     t, t_tape = _forward(shape, w, "t", h)
     logits, d_tape = _forward(shape, w, "d", t)
     logp = _log_softmax(logits)
@@ -192,13 +215,14 @@ def disguise_terms(shape: Shape, w: dict, x: np.ndarray, lambd: float, eta: floa
     d_entropy = -eta * p * (logp + entropy[:, None])
     dt = _backward(shape, w, "d", d_tape, d_entropy, grad)
     dh = _backward(shape, w, "t", t_tape, dt, None)
-    _embed_back(shape, x, dh, grad)
+    stored = _embed_back(shape, x, dh, grad)
     # disguise side
     d_quality = p.copy()
     d_quality[:, 1] -= 1.0
     dt = _backward(shape, w, "d", d_tape, d_quality, None) + lambd * np.sign(t - h)
     _backward(shape, w, "t", t_tape, dt, grad)
-    return (entropy.sum(), logp[:, 1].sum(), np.abs(t - h).sum(), (p[:, 1] >= 0.5).sum(), flat)
+    return (entropy.sum(), logp[:, 1].sum(), np.abs(t - h).sum(), (p[:, 1] >= 0.5).sum(), flat,
+            stored)
 
 
 @dataclass

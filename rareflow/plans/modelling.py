@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rareflow.functions.scores import predicted_class
-from rareflow.models import baselines, kernel
+from rareflow.models import baselines, kernel, stored
 from rareflow.models.dan import (
     DisguiseClassifier, DisguiseModel, Training, full_gradient, load_checkpoint, training_rows)
 from rareflow.models.experiment import run_experiment
@@ -205,6 +207,64 @@ def dan_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
                    ["value"])
 
 
+# An index column with a value per order: its embeddings are a table, here with given vectors.
+STORED = LINES + """, sizes AS (SELECT CAST(ceil(pow(max(l_orderkey) + 1, 1 / CAST(6 AS DOUBLE))
+  - CAST('1e-9' AS DOUBLE)) AS INTEGER) AS dim, count(*) AS n FROM lines),
+vectors AS (SELECT code, CAST(i AS INTEGER) AS i, (code * 7 + i * 3) % 11 / CAST(10 AS DOUBLE)
+    - CAST('0.5' AS DOUBLE) AS v, ((i + 1) * 5 % 7 - 3) / CAST(10 AS DOUBLE) AS w
+  FROM (SELECT DISTINCT l_orderkey AS code FROM lines), sizes, range(0, 100) AS g(i) WHERE i < dim),
+pulls AS (SELECT code, sum(v * w) AS pull FROM vectors GROUP BY code),
+misses AS (SELECT l_orderkey AS code, sum(1 / (1 + exp(-(CAST('0.1' AS DOUBLE)
+    - CAST('0.3' AS DOUBLE) * l_quantity / 50 + pull))) - conversion_target) / any_value(n) AS miss
+  FROM lines JOIN pulls ON l_orderkey = code, sizes GROUP BY 1),
+gradients AS (SELECT code, i, v, miss * w AS g FROM vectors JOIN misses USING (code))"""
+
+
+def stored_orders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Shape, np.ndarray]:
+    """(rows, embeddings with given vectors, shape, given weights)."""
+    df = materialize(lines(spark, sf_dir).select(
+        F.array(F.col("l_quantity") / 50, F.col("l_orderkey").cast("double")).alias("features"),
+        F.col(TARGET).alias("label"), F.monotonically_increasing_id().alias("row"),
+        F.col("l_orderkey").alias("code")), "order-rows")
+    shape = Shape(2, (), batch_norm=False, alpha=6.0, stored=(1,),
+                  index_map={1: df.agg(F.max("code")).first()[0] + 1})
+    dim = shape.width - 1
+    store = stored.unmoved(df.select("code").distinct().select(
+        F.lit(1).alias("position"), "code", F.transform(
+            F.sequence(F.lit(0), F.lit(dim - 1)),
+            lambda i: F.pmod(F.col("code") * 7 + i * 3, F.lit(11)) / 10.0 - 0.5).alias("vector")))
+    flat = kernel.initial_weights(shape) * 0.0
+    w = kernel.as_blocks(shape, flat)
+    w["d0w"][:, 1] = [(j * 5 % 7 - 3) / 10 for j in range(dim + 1)]
+    w["d0b"][1] = 0.1
+    return df.drop("code"), store, shape, flat
+
+
+PLAIN = Training(use_disguise=False, dtype="float64")
+
+
+@query("stored_embedding_gradient", with_(STORED, """SELECT code, i, round(1000 * g, 6) + 0 AS value
+  FROM gradients"""))
+def stored_embedding_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gradient of every embedding that the rows hold, as rows by code."""
+    df, store, shape, flat = stored_orders(spark, sf_dir)
+    _, found, _ = stored.gradient(df, store, shape, PLAIN, flat, kernel.Adam())
+    return found.select("code", F.posexplode("gradient").alias("i", "value")).select(
+        "code", "i", r(F.col("value") * 1000).alias("value"))
+
+
+@query("stored_embedding_step", with_(STORED, """SELECT code, i, round(v - CAST('0.001' AS DOUBLE)
+  * sqrt(CAST('0.001' AS DOUBLE)) / CAST('0.1' AS DOUBLE) * CAST('0.1' AS DOUBLE) * g
+  / (sqrt(CAST('0.001' AS DOUBLE) * g * g) + CAST('1e-8' AS DOUBLE)), 6) + 0 AS value
+  FROM gradients"""))
+def stored_embedding_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embeddings after one optimiser step over all rows."""
+    df, store, shape, flat = stored_orders(spark, sf_dir)
+    model = stored.fit_stored(df.drop("row"), shape, replace(PLAIN, epochs=1), store=store, flat=flat)
+    return model.vectors().select("code", F.posexplode("vector").alias("i", "value")).select(
+        "code", "i", r("value").alias("value"))
+
+
 @query("early_stopping")
 def early_stopping(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, validation, _ = labelled(spark, sf_dir)
