@@ -14,7 +14,7 @@ from rareflow.plans.registry import LINES, SCORES, query, r, rounded, with_
 from rareflow.session import materialize, scratch_path
 from rareflow.sources.files import with_split, write_csv
 from rareflow.sources.tables import KEY, TARGET, lines, scores
-from rareflow.streaming import streams
+from rareflow.streaming import buffers, streams
 
 SHARDS = 10
 
@@ -53,6 +53,52 @@ def buffered_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.shuffle_stream(stream, KEY).select(KEY, TARGET)
 
 
+GROUPS, GROUP_FILES = 8, 4
+
+
+def ordered_stream(df: DataFrame, label: str) -> DataFrame:
+    """The table in groups by the first digit of the key; a micro-batch reads a group's files."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
+    group = F.floor(F.conv(F.substring(KEY, 1, 1), 16, 10).cast("int") * GROUPS / 16)
+    for i in range(GROUPS):                      # written one after the other: read in this order
+        (df.where(group == i).repartition(GROUP_FILES).write.mode("append")
+         .option("header", True).csv(path))
+    return streams.read_shards_stream(spark, path, df.schema, GROUP_FILES)
+
+
+def buffered_sql(size: int) -> str:
+    return f"""SELECT {size} AS size, CASE WHEN after IS NULL THEN greatest(n - {size}, 0) + row_number()
+    OVER (PARTITION BY after IS NULL ORDER BY md5('buffer:end:0:' || slot)) ELSE after - {size} END
+    AS place, row_key, conversion_target FROM (
+  SELECT *, lead(t) OVER (PARTITION BY slot ORDER BY t) AS after FROM (
+    SELECT *, CASE WHEN t <= {size} THEN t - 1 ELSE CAST(('0x' || substr(md5('buffer:0:' || t), 1, 8))
+      AS BIGINT) % {size} END AS slot FROM arrived))"""
+
+
+ARRIVED = LINES + """, arrived AS (SELECT row_key, conversion_target, count(*) OVER () AS n,
+  row_number() OVER (ORDER BY row_key) AS t FROM lines)"""
+
+
+@query("shuffle_buffer", with_(ARRIVED, " UNION ALL ".join(map(buffered_sql, (1, 100)))))
+def shuffle_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row's place behind a buffer of one row (none) and of 100 rows."""
+    df = materialize(lines(spark, sf_dir).select(KEY, TARGET), "arriving")
+    found = []
+    for size in (1, 100):
+        run = buffers.shuffle_buffer(ordered_stream(df, f"buffer-{size}"), KEY, KEY, size)
+        found.append(buffers.drained(run).select(F.lit(size).alias("size"), "place", KEY, TARGET))
+    return found[0].unionByName(found[1])
+
+
+@query("fixed_batches", with_(ARRIVED, """SELECT (t - 1) // 128 AS batch, row_key FROM arrived
+  WHERE t <= n - n % 128"""))
+def fixed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of exactly 128 rows, whatever the length of the files."""
+    df = materialize(lines(spark, sf_dir).select(KEY, TARGET), "arriving")
+    run = buffers.fixed_batches(ordered_stream(df, "batch-files"), KEY, KEY, 128)
+    return run.sent().select(F.floor((F.col("place") - 1) / 128).alias("batch"), KEY)
+
+
 def line_features(df: DataFrame) -> DataFrame:
     """Four numbers per line as an array column."""
     parts = [F.col("l_quantity") / 50, F.col("l_extendedprice") / 100_000,
