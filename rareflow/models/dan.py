@@ -228,7 +228,9 @@ class DisguiseClassifier(Estimator):
                 if self.checkpoint_dir:
                     save_checkpoint(spark, self.checkpoint_dir, flat, at, best, state)
                 continue
-            scores = self._model(flat, log).evaluate(self.validation, self.label)
+            now = self._model(flat, log)
+            scores = now.evaluate(self.validation, self.label)
+            now.release()
             log += [(at, f"validation {tag}", value) for tag, value in scores.items()]
             if scores[training.metric] > best:
                 best, kept, waited = scores[training.metric], flat, 0
@@ -245,12 +247,29 @@ class DisguiseClassifier(Estimator):
 
 
 class DisguiseModel(Model):
-    """Fitted weights; scoring and disguising of tables and streams."""
+    """Fitted weights; scoring and disguising of tables and streams.
+
+    The weights are broadcast once, at the first use; ``release`` takes them off the executors, after
+    which columns made before cannot be evaluated any more.
+    """
 
     def __init__(self, shape: Shape, flat: np.ndarray, features: str = "features",
                  log: list | None = None):
         super().__init__()
         self.shape, self.flat, self.features, self.log = shape, flat, features, log or []
+        self._broadcast = None
+
+    def _sent(self):
+        if self._broadcast is None:
+            # the session there is: threads of a search have no active one
+            spark = SparkSession.builder.getOrCreate()
+            self._broadcast = spark.sparkContext.broadcast(self.flat)
+        return self._broadcast
+
+    def release(self) -> None:
+        if self._broadcast is not None:
+            self._broadcast.destroy()
+            self._broadcast = None
 
     def _linear_score(self) -> Column:
         """Logistic case in column arithmetic, inside the JVM."""
@@ -266,8 +285,7 @@ class DisguiseModel(Model):
         """Probability of the positive class as a column expression."""
         if not self.shape.discriminator and not self.shape.index_map:
             return self._linear_score()
-        shape, flat = self.shape, self.flat
-        sent = SparkSession.getActiveSession().sparkContext.broadcast(flat)
+        shape, sent = self.shape, self._sent()
 
         @F.pandas_udf("double")
         def positive(rows: pd.Series) -> pd.Series:
@@ -296,7 +314,7 @@ class DisguiseModel(Model):
         """Adds the embedded and the disguised row of (negative) rows."""
         if self.shape.disguise is None:
             raise AttributeError("the model has no disguise network")
-        shape, sent = self.shape, dataset.sparkSession.sparkContext.broadcast(self.flat)
+        shape, sent = self.shape, self._sent()
 
         @F.pandas_udf("struct<plain: array<double>, changed: array<double>>")
         def change(rows: pd.Series) -> pd.DataFrame:
@@ -321,7 +339,7 @@ class DisguiseModel(Model):
                                      "run string, step bigint, tag string, value double")
 
     def save(self, path: str) -> None:
-        spark = SparkSession.getActiveSession()
+        spark = SparkSession.builder.getOrCreate()
         meta = json.dumps({"shape": asdict(self.shape), "features": self.features})
         _weights_table(spark, self.flat).withColumn("meta", F.lit(meta)).write.parquet(path)
 
@@ -331,7 +349,7 @@ class DisguiseModel(Model):
         meta = json.loads(rows[0]["meta"])
         shape = meta["shape"]
         shape["index_map"] = {int(k): v for k, v in shape["index_map"].items()}
-        for part in ("discriminator", "disguise"):
+        for part in ("discriminator", "disguise", "stored"):
             shape[part] = None if shape[part] is None else tuple(shape[part])
         flat = np.concatenate([r["values"] for r in rows])
         return DisguiseModel(Shape(**shape), flat, meta["features"])

@@ -27,7 +27,8 @@ ACTIVATIONS = {  # name: (value, derivative given input and value)
 class Shape:
     """Architecture. ``disguise`` None means a plain classifier; ``index_map``
     gives the cardinality of the category codes at input positions. The embeddings at ``stored``
-    positions are rows of a table (see ``stored.py``) and no weights of the model."""
+    positions are rows of a table (see ``stored.py``) and no weights of the model. The disguise takes
+    the activation and normalisation of the discriminator unless it has its own."""
 
     num_inputs: int
     discriminator: tuple[int, ...] = ()
@@ -37,6 +38,16 @@ class Shape:
     index_map: dict[int, int] = field(default_factory=dict)
     alpha: float = 3.0
     stored: tuple[int, ...] = ()
+    disguise_activation: str | None = None
+    disguise_batch_norm: bool | None = None
+
+    def activation_of(self, net: str) -> str:
+        own = self.disguise_activation if net == "t" else None
+        return self.activation if own is None else own
+
+    def normalises(self, net: str) -> bool:
+        own = self.disguise_batch_norm if net == "t" else None
+        return self.batch_norm if own is None else own
 
     def embedding_dim(self, cardinality: int) -> int:
         return int(np.ceil(cardinality ** (1.0 / self.alpha) - 1e-9))
@@ -63,7 +74,7 @@ class Shape:
             sizes = [self.width, *hidden, outputs]
             for i, (a, b) in enumerate(zip(sizes, sizes[1:])):
                 out += [(f"{net}{i}w", (a, b)), (f"{net}{i}b", (b,))]
-                if self.batch_norm and i < len(hidden):
+                if self.normalises(net) and i < len(hidden):
                     out += [(f"{net}{i}g", (b,)), (f"{net}{i}s", (b,))]
         return out
 
@@ -123,13 +134,13 @@ def _embed_back(shape: Shape, x: np.ndarray, dx: np.ndarray, grad: dict) -> Give
 
 def _forward(shape: Shape, w: dict, net: str, x: np.ndarray):
     hidden = shape.discriminator if net == "d" else shape.disguise
-    value = ACTIVATIONS[shape.activation][0]
+    value = ACTIVATIONS[shape.activation_of(net)][0]
     tape = []
     for i in range(len(hidden)):
         z = x @ w[f"{net}{i}w"] + w[f"{net}{i}b"]
         a = value(z)
         tape.append((x, z, a))
-        x = a * NORM * w[f"{net}{i}g"] + w[f"{net}{i}s"] if shape.batch_norm else a
+        x = a * NORM * w[f"{net}{i}g"] + w[f"{net}{i}s"] if shape.normalises(net) else a
     tape.append((x, None, None))
     last = len(hidden)
     return x @ w[f"{net}{last}w"] + w[f"{net}{last}b"], tape
@@ -138,11 +149,11 @@ def _forward(shape: Shape, w: dict, net: str, x: np.ndarray):
 def _backward(shape: Shape, w: dict, net: str, tape: list, dout: np.ndarray,
               grad: dict | None) -> np.ndarray:
     """Gradient at the network's input; weight gradients go into ``grad`` if given."""
-    slope = ACTIVATIONS[shape.activation][1]
+    slope = ACTIVATIONS[shape.activation_of(net)][1]
     for i in range(len(tape) - 1, -1, -1):
         x, z, a = tape[i]
         if z is not None:
-            if shape.batch_norm:
+            if shape.normalises(net):
                 if grad is not None:
                     grad[f"{net}{i}g"] += (dout * a * NORM).sum(axis=0)
                     grad[f"{net}{i}s"] += dout.sum(axis=0)

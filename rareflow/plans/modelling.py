@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rareflow.functions.scores import predicted_class
-from rareflow.models import baselines, kernel, stored
+from rareflow.models import baselines, kernel, search, stored
 from rareflow.models.dan import (
     DisguiseClassifier, DisguiseModel, Training, full_gradient, load_checkpoint, training_rows)
 from rareflow.models.experiment import run_experiment
@@ -385,6 +385,16 @@ def lambda_eta_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
                                        "auroc_micro double, cross_entropy double")
 
 
+@query("lambda_eta_random_search")
+def lambda_eta_random_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight drawn settings side by side; half of them go on after each rung."""
+    train, validation, _ = labelled(spark, sf_dir)
+    settings = search.drawn_settings(8, {"lambd": (0.01, 10.0), "eta": (0.05, 2.0)})
+    _, rows = search.halving(train, validation, Shape(WIDTH, (16,), (16,)),
+                             replace(SWEEP, epochs=1), settings)
+    return search.rung_table(spark, rows)
+
+
 @query("lambda_activation_effect")
 def lambda_activation_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, validation, _ = labelled(spark, sf_dir)
