@@ -155,7 +155,7 @@ class Collocations:
         texts = docs.select(
             F.coalesce(F.col(lang_column).cast("string"), F.lit("und")).alias("lang"),
             F.coalesce(text_column, F.lit("")).cast("binary").alias("text"))
-        words = shelf.keep(summed(texts.mapInArrow(_counted(lambda lang: tokens), COUNTED)), "words")
+        words = shelf.keep(summed(texts.mapInArrow(_counted(lambda lang, hashes: tokens), COUNTED)), "words")
         sizes = shelf.keep(words.groupBy("lang").agg(F.sum("f").alias("n")), "sizes")
         frequent = words.where(F.col("f") >= self.threshold)
         candidates = shelf.keep(self._candidates(texts, sizes, frequent), "candidates")
@@ -178,7 +178,8 @@ class Collocations:
                       .mapInArrow(self._merged(), "key long, most long"))
             return shelf.keep(merged, "surviving")
 
-        known = told(frequent.mapInArrow(_word_keys, "key long"))
+        # written first: a task with one Python node needs one Python worker
+        known = told(shelf.keep(frequent.mapInArrow(_word_keys, "key long"), "keys"))
         found = surviving(range(2, 3), mass, known)
         pairs = wanted = told(found)
         if self.longest > 2:
@@ -264,9 +265,7 @@ class Collocations:
         """Phrases of a chunk whose keys survived, repeats included."""
         longest = self.longest
 
-        def of(lang: str) -> Callable[[bytes], Iterator[bytes]]:
-            hashes = WordHashes()
-
+        def of(lang: str, hashes: WordHashes) -> Callable[[bytes], Iterator[bytes]]:
             def phrases(text: bytes) -> Iterator[bytes]:
                 words = tokens(text)
                 flat = b" ".join(words)
@@ -400,11 +399,12 @@ def _word_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          names=["key"])
 
 
-def _counted(of: Callable[[str], Callable[[bytes], Iterator[bytes]]]):
-    """Counts per language of what ``of(lang)`` finds in a chunk, passed on before they grow large."""
+def _counted(of: Callable[[str, WordHashes], Callable[[bytes], Iterator[bytes]]]):
+    """Counts per language of what ``of(lang, word hashes of the task)`` finds in a chunk, passed on
+    before they grow large."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: defaultdict[str, Counter[bytes]] = defaultdict(Counter)
-        finders: dict[str, Callable] = {}
+        hashes, finders = WordHashes(), {}
 
         def told() -> pa.RecordBatch:
             langs = [lang for lang, c in counts.items() for _ in c]
@@ -417,7 +417,7 @@ def _counted(of: Callable[[str], Callable[[bytes], Iterator[bytes]]]):
         for batch in batches:
             for lang, text in chunks(batch):
                 if lang not in finders:
-                    finders[lang] = of(lang)
+                    finders[lang] = of(lang, hashes)
                 counts[lang].update(finders[lang](text))
                 counts[lang].pop(b".", None)
                 if sum(map(len, counts.values())) > HELD_PHRASES:
