@@ -63,8 +63,8 @@ class ItemIndex:
         self.budget, self.bound = [], []
         for item_id, text in items:
             points, _ = normalised(text)
-            for start in range(0, len(points), WIDEST):
-                part = points[start:start + WIDEST]
+            pieces = max(1, -(-len(points) // WIDEST))
+            for part in np.array_split(points, pieces):      # of nearly equal length
                 m = len(part)
                 if m < q:
                     continue                      # too short to tell from chance
@@ -181,8 +181,9 @@ class Decontamination:
     """Finds benchmark items in texts, with up to ``rate`` edits per character.
 
     Case, blanks and punctuation do not count. Null and empty texts and items match nothing, nor
-    do items of fewer than ``q`` letters. Long texts are searched in overlapping pieces, items over
-    4,000 letters in parts. Repeated items give repeated hits under their own ids; rows
+    do items of fewer than ``q`` letters; the edits of an item of m letters are also at most (m - q) / q,
+    which the q-gram bound needs. Long texts are searched in overlapping pieces. Items over 4,000 letters
+    are cut into equal parts of 2,000 letters or more, and a text that holds a part holds the item. Repeated items give repeated hits under their own ids; rows
     without an item id are left out. Repeated rows get equal results; a column named
     ``hits`` is replaced.
     """

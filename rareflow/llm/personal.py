@@ -31,14 +31,13 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-# candidates beyond the fixed patterns
-SECRET = re.compile(r"(?<![A-Za-z0-9_])([A-Za-z_]{2,20})[=:]\x20?([A-Za-z0-9+/_-]{8,128})"
-                    r"(?![A-Za-z0-9+/_-])")
-LOGIN = re.compile(r"[a-z]{3,10}://([^\s/@:]{1,64}):([^\s/@]{1,64})@")
+# candidates beyond the fixed patterns; runs are taken whole, and entered at their start only
+SECRET = re.compile(r"(?<![A-Za-z0-9_])([A-Za-z_]{2,}+)[=:]\x20?([A-Za-z0-9+/_-]{8,}+)")
+LOGIN = re.compile(r"(?<![a-z])[a-z]{3,}+://([^\s/@:]++):([^\s/@]++)@")
 LOCAL_PHONE = re.compile(r"(?<![0-9+.\-])(?:\([0-9]{2,5}\)|0[0-9]{1,4})[\x20/-][0-9]{3,4}[\x20-][0-9]{3,6}"
                          r"(?![0-9])")
-OBFUSCATED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?(?:\[at\]|\(at\))\x20?"
-                        r"[A-Za-z0-9-]{1,63}(?:\x20?(?:\.|\[dot\]|\(dot\))\x20?[A-Za-z0-9-]{1,63}){1,5}")
+OBFUSCATED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:\[at\]|\(at\))\x20?"
+                        r"[A-Za-z0-9-]++(?:\x20?(?:\.|\[dot\]|\(dot\))\x20?[A-Za-z0-9-]++)+")
 #: gazetteers and context words per kind
 GAZETTEER = {
     "email": {"com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "uk", "info"},
@@ -108,6 +107,15 @@ def loose_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def name_before(text: str, start: int) -> str:
+    """The name whose value begins at ``start``."""
+    end = start - 1 - (text[start - 1:start] == " ")         # of the sign between them
+    low = end
+    while low > 0 and (text[low - 1].isascii() and text[low - 1].isalpha() or text[low - 1] == "_"):
+        low -= 1
+    return text[low:end]
+
+
 def described(text: str, kind: str, start: int, end: int, fixed: bool) -> tuple:
     """(kind, votes, features) of a candidate; few values each, so patterns stay countable."""
     value = text[start:end]
@@ -119,8 +127,8 @@ def described(text: str, kind: str, start: int, end: int, fixed: bool) -> tuple:
     elif kind == "ip":
         listed = value.split(".")[0] in known
     elif kind == "secret":
-        before = re.search(r"([A-Za-z_]{2,20})[=:]\x20?$", text[max(0, start - 24):start])
-        listed = bool(before) and before[1].lower() in known
+        name = name_before(text, start).lower()
+        listed = name in known or not known.isdisjoint(name.split("_"))
     elif kind == "url_login":
         before = re.search(r"([a-z]{3,10})://$", text[max(0, start - 14):start])
         listed = bool(before) and before[1] in known

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from rareflow.llm import decontaminate, lines, personal, suffixes
 from rareflow.llm.decontaminate import Decontamination
@@ -336,3 +337,42 @@ def test_reliabilities_are_found():
     assert rate[1, 2] - rate[0, 2] > 0.4 and rate[1, 3] - rate[0, 3] > 0.4
     high = model.score(("secret", 0, 1, 1, 1, 1, 1, 1, 0, 1))
     assert high > 0.5 > model.score(("secret", 0, 1, 0, 0, 0, 1, 1, 0, 1))
+
+
+@pytest.mark.parametrize("size", [8, 127, 128, 129, 140, 5000])
+def test_secrets_of_any_length(size):
+    value = ("Ab3" * size)[:size]
+    for name in ("password", "p" * 30, "api_secret_token_of_production"):
+        text = f"x {name}={value} y"
+        assert ("secret", 3 + len(name), 3 + len(name) + size) in personal.loose_spans(text)
+        listed = personal.described(text, "secret", 3 + len(name), 3 + len(name) + size, False)[3]
+        assert listed == (name != "p" * 30)
+
+
+@pytest.mark.parametrize("size", [1, 64, 65, 80, 3000])
+def test_logins_and_hidden_addresses_of_any_length(size):
+    text = f"postgres://{'u' * size}:{'p' * size}@db.example.com/x"
+    assert ("url_login", 11, 12 + 2 * size) in personal.loose_spans(text)
+    hidden = f"{'n' * size} [at] {'d' * size}" + " [dot] sub" * 7 + " dot"
+    assert ("email", 0, len(hidden) - 4) in personal.loose_spans(hidden)
+
+
+def test_long_runs_take_linear_time():
+    import time
+
+    for unit in ("a", "a_", "ab://", "a:b", "user:pass", "x [at] y", "password=", "n.n"):
+        text = unit * (400_000 // len(unit))
+        begin = time.perf_counter()
+        personal.loose_spans(text)
+        assert time.perf_counter() - begin < 5, unit
+
+
+def test_long_items_are_cut_evenly():
+    from rareflow.llm.decontaminate import WIDEST, ItemIndex
+
+    rng = random.Random(3)
+    letters = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(WIDEST + 13))
+    index = ItemIndex([(1, letters)], 12, 0.05)
+    assert [len(part) for _, part in index.items] == [2007, 2006]
+    assert index.search(letters[-13:] + " and other words") == []
+    assert [h["item_id"] for h in index.search("before " + letters)] == [1]
