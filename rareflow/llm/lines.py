@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from rareflow.llm.common import Shelf, shielded, small_batches, star_blocks
+from rareflow.llm.common import Shelf, lookup, shielded, small_batches, star_blocks
 from rareflow.llm.shingles import mixed
 
 BASE = 0x9E3779B97F4A7C15    # of the hashes of runs of lines
@@ -76,7 +76,7 @@ class LineDedup:
             removed = shelf.keep(merged(self._aligned(pairs, texts)), "removed")
         copies = (single.join(firsts.select("print", F.col("id").alias("first")), "print")
                   .where("id <> first").select("id", F.lit(True).alias("copy")))
-        decided = shelf.keep(copies.join(removed, "id", "full"), "decided")
+        decided = shelf.finish(copies.join(removed, "id", "full"), "decided")
 
         parts = F.split(text_column, "\n")
         full = F.sequence(F.lit(0), F.size(parts) - 1)
@@ -112,10 +112,12 @@ class LineDedup:
     def _wholly(self, shelf: Shelf, texts: DataFrame) -> DataFrame:
         """(id, gone) as from all pairs of documents."""
         held = shelf.keep(self._runs(texts), "runs")
-        counted = held.groupBy("key").agg(
+        counted = shelf.keep(held.groupBy("key").agg(
             F.count(F.when(F.col("times") > 0, 1)).alias("n"), F.min("id").alias("first"),
-            F.min(F.when(F.col("times") == 1, F.col("id"))).alias("single"))
-        shared = shelf.keep(held.join(counted.where("n > 1"), "key"), "shared")
+            F.min(F.when(F.col("times") == 1, F.col("id"))).alias("single"),
+            F.count("*").alias("uses")).where("n > 1"), "counted")
+        # the runs that most documents hold do not meet in one task
+        shared = shelf.keep(lookup(held, counted, "key", "uses"), "shared")
         holders = shared.where("times > 0")
         rare = holders.where(F.col("n") <= self.rare).select("key", "id")
         among = (rare.groupBy("key").agg(F.collect_list("id").alias("ids"))   # at most ``rare``
