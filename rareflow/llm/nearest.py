@@ -78,7 +78,15 @@ def level(cosine: np.ndarray) -> np.ndarray:
     return np.floor(cosine * LEVELS + 0.381966).astype(np.int64)
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Rows times a power of two that brings their largest part near one: squares stay finite, and
+    cosines as they are."""
+    _, exponent = np.frexp(np.abs(vectors).max(axis=1, keepdims=True))
+    return np.ldexp(vectors, -exponent)
+
+
 def unit(vectors: np.ndarray) -> np.ndarray:
+    vectors = scaled(vectors)
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
@@ -254,10 +262,10 @@ class NearestNeighbours:
             # by smallest id: neither ties nor trees depend on the order of arrival
             held = sorted(zip((list(x) for x in points["ids"]), (list(x) for x in points["v"]),
                               strict=True))
-            ids, vectors = [x for x, _ in held], np.array([x for _, x in held], float)
+            ids, vectors = [x for x, _ in held], scaled(np.array([x for _, x in held], float))
             searcher = Searcher(unit(vectors), leaf, count + 1, factor)
             asked = asked.reset_index(drop=True)
-            wanted = np.array(asked["v"].tolist(), float)
+            wanted = scaled(np.array(asked["v"].tolist(), float))
             rows, levels = searcher.search(unit(wanted), asked["ball"].to_numpy(float))
             out = []
             lengths = np.linalg.norm(vectors, axis=1)

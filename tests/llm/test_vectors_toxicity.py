@@ -136,3 +136,15 @@ def test_odd_texts_and_labels(spark):
                                  "doc_id long, text string, score double")
     got = classifier.score(docs, one).collect()
     assert len({r["score"] for r in got}) == 1 and got[0]["predicted"] == 1 * (got[0]["score"] >= 0.3)
+
+
+def test_extreme_finite_vectors(spark):
+    rng = np.random.default_rng(8)
+    plain = rng.normal(size=(60, 5))
+    scale = 2.0 ** rng.choice([-1000, -660, 0, 660, 1000], 60)
+    tables = [spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rows)],
+                                    "vec_id long, embedding array<double>")
+              for rows in (plain, plain * scale[:, None])]
+    near = [sorted(map(tuple, NearestNeighbours(factor=1.0).search(t, F.col("id") % 10 == 0).collect()))
+            for t in tables]
+    assert near[0] == near[1] and all(abs(r[3]) <= 1 + 1e-12 for r in near[0])
