@@ -4,20 +4,19 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
 from pyspark.ml.classification import (
     LogisticRegression, LogisticRegressionModel, RandomForestClassifier)
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
-from pyspark.ml.feature import PCA
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rareflow.models.dan import DisguiseClassifier, DisguiseModel, Training
 from rareflow.models.kernel import Shape
+from rareflow.models.penalised import PenaltyPath
 from rareflow.operators.matrix import abs_diff, l1
 from rareflow.operators.ordering import HashOrder
 
@@ -39,28 +38,24 @@ def positive_score(scored: DataFrame) -> DataFrame:
     return scored.withColumn("score", vector_to_array("probability")[1])
 
 
+def as_arrays(df: DataFrame, features: str = "features") -> DataFrame:
+    """``df`` with ``features`` as an array, if it is an ml vector."""
+    if isinstance(df.schema[features].dataType, VectorUDT):
+        return df.withColumn(features, vector_to_array(features))
+    return df
+
+
 def tune_on_validation(train: DataFrame, validation: DataFrame, label: str,
                        features: str = "features",
-                       grid: Sequence[float] = tuple(np.linspace(0.001, 100, 30)),
-                       parallelism: int = 4) -> DataFrame:
-    """(c, auroc) of every penalty on a fixed validation set, best first."""
-    train, validation = train.persist(), validation.persist()
-    n = train.count()
-    lr = LogisticRegression(featuresCol=features, labelCol=label, standardization=False)
-    params = ParamGridBuilder().addGrid(lr.regParam, [1.0 / (c * n) for c in grid]).build()
-    judge = BinaryClassificationEvaluator(labelCol=label, numBins=0)
-
-    def scored(item) -> tuple[float, float]:
-        at, model = item
-        return float(grid[at]), judge.evaluate(model.transform(validation))
-
-    fits = lr.fitMultiple(train, params)
-    with ThreadPool(parallelism) as pool:
-        rows = pool.map(lambda _: scored(next(fits)), params)
-    train.unpersist()
-    validation.unpersist()
-    return train.sparkSession.createDataFrame(rows, "c double, auroc double") \
-        .orderBy(F.desc("auroc"), "c")
+                       grid: Sequence[float] = tuple(np.linspace(0.001, 100, 30))) -> DataFrame:
+    """(c, auroc) of every penalty on a fixed validation set, best first.
+
+    All penalties are fitted in the same passes over ``train`` and scored in one over
+    ``validation``.
+    """
+    path = PenaltyPath(as_arrays(train, features), label, features, grid)
+    return path.auroc(as_arrays(validation, features), label).orderBy(
+        F.desc_nulls_last("auroc"), "c")
 
 
 def refit_train_plus_validation(train: DataFrame, validation: DataFrame, label: str,
@@ -146,32 +141,3 @@ def disguise_effect(negatives: DataFrame, trials: Sequence[tuple[dict, DisguiseM
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
-
-
-class CentredPCA:
-    """Principal components projected after centring, with a fixed sign.
-
-    ``ml.feature.PCA`` fits on the covariance but projects rows as they are.
-    """
-
-    def __init__(self, df: DataFrame, features: str = "features", k: int = 2):
-        vectors = as_vector(df.select(features), features)
-        model = PCA(k=k, inputCol=features, outputCol="pc").fit(vectors)
-        components = model.pc.toArray()
-        lead = components[np.abs(components).argmax(axis=0), range(k)]
-        self.components = components * np.where(lead < 0, -1.0, 1.0)
-        self.mean = vectors.agg(Summarizer.mean(F.col(features))).first()[0].toArray()
-        self.ratios = model.explainedVariance.toArray()
-        self.features, self.k = features, k
-
-    def project(self, df: DataFrame, features: str | None = None) -> DataFrame:
-        """Adds pc1 .. pck by column arithmetic."""
-        values = F.col(features or self.features).cast("array<double>")
-        outs = {}
-        for j in range(self.k):
-            weights = self.components[:, j]
-            terms = F.zip_with(values, F.array(*[F.lit(float(v)) for v in weights]),
-                               lambda a, b: a * b)
-            outs[f"pc{j + 1}"] = F.aggregate(terms, F.lit(0.0), lambda acc, v: acc + v) \
-                - F.lit(float(self.mean @ weights))
-        return df.withColumns(outs)

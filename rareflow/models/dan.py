@@ -16,17 +16,15 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.ml import Estimator, Model
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rareflow.functions.scores import predicted_class
 from rareflow.models import kernel
 from rareflow.models.kernel import Shape
+from rareflow.models.passes import CHUNK, chunks, matrix, run
 from rareflow.operators.metrics import score_summary
 from rareflow.session import materialize
 
-CHUNK = 65_536               # weights per merged row
 WEIGHT_LIMIT = 50_000_000    # weights that may be broadcast (400 MB)
 
 
@@ -44,41 +42,14 @@ class Training:
     early_stopping: int = 2
     metric: str = "auroc"        # or "auroc_micro"
     workers: int | None = None
+    rounds_per_epoch: int = 1    # merges an epoch: each round trains on its own part of the rows
     seed: int = 0
     dtype: str = "float32"       # arithmetic inside the tasks
 
 
-def _matrix(batch: pa.RecordBatch, column: str, dtype: str) -> np.ndarray:
-    values = batch.column(column)
-    return values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), -1) \
-        .astype(dtype)
-
-
-def _chunks(kind: int, weight: float, flat: np.ndarray) -> pa.RecordBatch:
-    parts = [flat[i:i + CHUNK] for i in range(0, len(flat), CHUNK)]
-    return pa.RecordBatch.from_pydict({
-        "kind": pa.array([kind] * len(parts), pa.int32()),
-        "chunk": pa.array(range(len(parts)), pa.int32()),
-        "weight": pa.array([float(weight)] * len(parts), pa.float64()),
-        "values": pa.array([p.astype("float64") for p in parts], pa.list_(pa.float64()))})
-
-
-CHUNK_SCHEMA = "kind int, chunk int, weight double, values array<double>"
 LABELLED, NEGATIVE, SUMS, FIRST, SECOND = range(5)
 
 
-def _merge(parts: DataFrame) -> dict[int, tuple[float, np.ndarray]]:
-    """Weighted mean of the chunks of every kind: {kind: (weight, vector)}."""
-    merged = parts.groupBy("kind", "chunk").agg(
-        Summarizer.mean(array_to_vector("values"), F.col("weight")).alias("mean"),
-        F.sum("weight").alias("weight"))
-    rows = merged.select("kind", "chunk", "weight", vector_to_array("mean").alias("mean")) \
-        .orderBy("kind", "chunk").collect()
-    return {k: (next(r["weight"] for r in rows if r["kind"] == k),
-                np.concatenate([r["mean"] for r in rows if r["kind"] == k]))
-            for k in {r["kind"] for r in rows}}
-
-
 def _gradients(shape: Shape, training: Training, w: dict, x: np.ndarray, y: np.ndarray):
     """Sums of one batch: (labelled gradient, rows, negative gradient, negatives, metric sums)."""
     loss, labelled = kernel.labelled_terms(shape, w, x, y)
@@ -107,13 +78,6 @@ def _step_metrics(sums: np.ndarray, shape: Shape, training: Training) -> dict[st
     return {k: float(v) for k, v in metrics.items()}
 
 
-def _run(rows: DataFrame, work) -> dict[int, tuple[float, np.ndarray]]:
-    merged = _merge(rows.mapInArrow(work, CHUNK_SCHEMA))
-    if not merged:
-        raise ValueError("no training rows")
-    return merged
-
-
 def full_gradient(rows: DataFrame, shape: Shape, training: Training, flat: np.ndarray
                   ) -> tuple[np.ndarray, dict[str, float]]:
     """Gradient and losses over all rows at fixed weights; partitions do not matter."""
@@ -123,18 +87,18 @@ def full_gradient(rows: DataFrame, shape: Shape, training: Training, flat: np.nd
         w, total = kernel.as_blocks(shape, sent.value.astype(dtype)), np.zeros(7)
         labelled, negative = np.zeros_like(sent.value), np.zeros_like(sent.value)
         for batch in batches:
-            a, b, sums = _gradients(shape, training, w, _matrix(batch, "features", dtype),
+            a, b, sums = _gradients(shape, training, w, matrix(batch, "features", dtype),
                                     batch.column("label").to_numpy())
             labelled += a
             negative += b
             total += sums
         if total[1]:
-            yield _chunks(LABELLED, total[1], labelled / total[1])
-            yield _chunks(SUMS, 1.0, total)
+            yield chunks(LABELLED, total[1], labelled / total[1])
+            yield chunks(SUMS, 1.0, total)
         if total[6]:
-            yield _chunks(NEGATIVE, total[6], negative / total[6])
+            yield chunks(NEGATIVE, total[6], negative / total[6])
 
-    merged = _run(rows, work)
+    merged = run(rows, work)
     sent.destroy()
     parts, mean = merged[SUMS]
     gradient = merged[LABELLED][1] + (merged[NEGATIVE][1] if NEGATIVE in merged else 0.0)
@@ -152,7 +116,7 @@ def averaged_pass(rows: DataFrame, shape: Shape, training: Training, flat: np.nd
         own, adam = start.astype(dtype), before.copied(len(start), dtype)
         rng, total = np.random.default_rng([training.seed, epoch]), np.zeros(7)
         for batch in batches:
-            x, y = _matrix(batch, "features", dtype), batch.column("label").to_numpy()
+            x, y = matrix(batch, "features", dtype), batch.column("label").to_numpy()
             order = rng.permutation(len(y))
             for at in range(0, len(y), training.batch_size):
                 pick = order[at:at + training.batch_size]
@@ -161,12 +125,12 @@ def averaged_pass(rows: DataFrame, shape: Shape, training: Training, flat: np.nd
                 adam.step(own, labelled / sums[1] + negative / max(sums[6], 1.0))
                 total += sums
         if total[1]:
-            yield _chunks(LABELLED, total[1], own)
-            yield _chunks(FIRST, total[1], adam.m)
-            yield _chunks(SECOND, total[1], adam.v)
-            yield _chunks(SUMS, 1.0, np.append(total, adam.steps * total[1]))
+            yield chunks(LABELLED, total[1], own)
+            yield chunks(FIRST, total[1], adam.m)
+            yield chunks(SECOND, total[1], adam.v)
+            yield chunks(SUMS, 1.0, np.append(total, adam.steps * total[1]))
 
-    merged = _run(rows, work)
+    merged = run(rows, work)
     sent.destroy()
     parts, mean = merged[SUMS]
     sums = mean * parts
@@ -186,15 +150,46 @@ def training_round(rows: DataFrame, shape: Shape, training: Training, flat: np.n
     return new, metrics
 
 
-def training_rows(df: DataFrame, features: str, label: str, workers: int | None) -> DataFrame:
+def epoch_of_rounds(rows: DataFrame, shape: Shape, training: Training, flat: np.ndarray,
+                    state: kernel.Adam, epoch: int) -> tuple[np.ndarray, dict[str, float]]:
+    """One epoch with a merge after each round; the step metrics are means over the rounds.
+
+    ``rows`` come from ``training_rows`` with as many rounds; a round without rows is left out.
+    """
+    rounds = training.rounds_per_epoch
+    if rounds == 1:
+        return training_round(rows, shape, training, flat, state, epoch)
+    found = []
+    for at in range(rounds):
+        part = rows.where(F.col("round") == at).select("features", "label")
+        if part.isEmpty():
+            continue
+        flat, metrics = training_round(part, shape, training, flat, state, epoch * rounds + at)
+        found.append(metrics)
+    if not found:
+        raise ValueError("no training rows")
+    return flat, {tag: float(np.mean([m[tag] for m in found])) for tag in found[0]}
+
+
+def training_rows(df: DataFrame, features: str, label: str, workers: int | None,
+                  rounds: int = 1, key: str | None = None) -> DataFrame:
     """Rows spread evenly over the workers, with the classes mixed, kept as a table.
 
-    Round-robin after a local sort: even for copies, and stable under retries.
+    Round-robin after a local sort: even for copies, and stable under retries. With several
+    ``rounds`` the table is cut by ``round``, by the hash of ``key`` or, without one, in turn
+    within each worker's rows.
     """
     workers = workers or df.sparkSession.sparkContext.defaultParallelism
-    rows = df.select(F.col(features).cast("array<double>").alias("features"),
-                     F.col(label).cast("int").alias("label"))
-    return materialize(rows.repartition(workers), "training")
+    narrow = [F.col(features).cast("array<double>").alias("features"),
+              F.col(label).cast("int").alias("label")]
+    if rounds == 1:
+        return materialize(df.select(*narrow).repartition(workers), "training")
+    dealt = F.lit(0) if key is None else F.col(key).cast("string")
+    rows = df.select(*narrow, dealt.alias("round")).repartition(workers)
+    turn = F.monotonically_increasing_id() if key is None else F.conv(F.substring(F.md5(
+        F.concat(F.lit("round:"), F.coalesce("round", F.lit(""))).cast("binary")), 1, 8), 16, 10)
+    cut = rows.withColumn("round", F.pmod(turn.cast("long"), F.lit(rounds)).cast("int"))
+    return materialize(cut, "training", partition_by=["round"])
 
 
 class DisguiseClassifier(Estimator):
@@ -202,16 +197,18 @@ class DisguiseClassifier(Estimator):
 
     def __init__(self, shape: Shape, training: Training = Training(), features: str = "features",
                  label: str = "label", validation: DataFrame | None = None,
-                 checkpoint_dir: str | None = None):
+                 checkpoint_dir: str | None = None, key: str | None = None):
         super().__init__()
         if shape.size > WEIGHT_LIMIT:
             raise ValueError(f"more than {WEIGHT_LIMIT} weights")
         self.shape, self.training, self.validation = shape, training, validation
         self.features, self.label, self.checkpoint_dir = features, label, checkpoint_dir
+        self.key = key               # deals rows to rounds; None: any even deal
 
     def _fit(self, dataset: DataFrame) -> DisguiseModel:
         spark, training = dataset.sparkSession, self.training
-        rows = training_rows(dataset, self.features, self.label, training.workers)
+        rounds = training.rounds_per_epoch
+        rows = training_rows(dataset, self.features, self.label, training.workers, rounds, self.key)
         flat, step, best = kernel.initial_weights(self.shape, training.seed), 0, float("-inf")
         state = kernel.Adam(training.learning_rate)
         if self.checkpoint_dir:
@@ -220,7 +217,7 @@ class DisguiseClassifier(Estimator):
                 flat, step, best, state = restored[:4]
         log, kept, waited = [], flat, 0
         for epoch in range(training.epochs):
-            flat, metrics = training_round(rows, self.shape, training, flat, state, step + epoch)
+            flat, metrics = epoch_of_rounds(rows, self.shape, training, flat, state, step + epoch)
             at = step + epoch + 1
             log += [(at, tag, value) for tag, value in metrics.items()]
             if self.validation is None:

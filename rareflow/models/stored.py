@@ -20,8 +20,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rareflow.models import kernel
 from rareflow.models.dan import (
-    CHUNK, LABELLED, NEGATIVE, SUMS, Training, _matrix, _step_metrics)
+    LABELLED, NEGATIVE, SUMS, Training, _step_metrics)
 from rareflow.models.kernel import Adam, Given, Shape
+from rareflow.models.passes import CHUNK, matrix
 from rareflow.operators.encode import dictionary_join
 from rareflow.session import materialize, scratch_path
 
@@ -110,7 +111,7 @@ def attach(rows: DataFrame, store: DataFrame, shape: Shape, adam: Adam) -> DataF
 
 
 def _given(shape: Shape, batch: pa.RecordBatch, dtype: str) -> Given:
-    whole, at, out = _matrix(batch, "given", dtype), 0, {}
+    whole, at, out = matrix(batch, "given", dtype), 0, {}
     for p in sorted(shape.stored):
         dim = shape.embedding_dim(shape.index_map[p])
         out[p] = whole[:, at:at + dim]
@@ -150,7 +151,7 @@ def gradient(rows: DataFrame, store: DataFrame, shape: Shape, training: Training
         w, total = kernel.as_blocks(shape, sent.value.astype(dtype)), np.zeros(7)
         dense = {LABELLED: np.zeros(shape.size), NEGATIVE: np.zeros(shape.size)}
         for batch in batches:
-            x, given = _matrix(batch, "features", dtype), _given(shape, batch, dtype)
+            x, given = matrix(batch, "features", dtype), _given(shape, batch, dtype)
             y = batch.column("label").to_numpy()
             loss, own, stored = kernel.labelled_parts(shape, w, x, y, given)
             dense[LABELLED] += own
@@ -236,7 +237,7 @@ class StoredModel:
             w = kernel.as_blocks(shape, flat)
             for batch in batches:
                 found = kernel.positive_probability(
-                    shape, w, _matrix(batch, "features", "float64"),
+                    shape, w, matrix(batch, "features", "float64"),
                     given=_given(shape, batch, "float64"))
                 yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(found)],
                                                  names=["row", "score"])

@@ -113,6 +113,18 @@ def auroc(df: DataFrame, y: str = "y", p: str = "score", slice_rows: int = SLICE
     return ranked_groups(score_groups(df, y, p), slice_rows).agg(_auroc().alias("auroc"))
 
 
+def auroc_by(df: DataFrame, by: str, y: str = "y", p: str = "score",
+             slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """(by, auroc): exact rank AUROC of each group; NULL for a group of one class."""
+    label = F.col(y).cast("bigint")
+    groups = materialize(df.groupBy(by, F.col(p).alias("score")).agg(
+        F.sum(label).alias("pos"), F.sum(F.lit(1) - label).alias("neg")), "score-groups")
+    area = F.sum(F.col("pos").cast("double") * (F.col("neg_before") + F.col("neg") * 0.5))
+    pairs = F.max("pos_total").cast("double") * F.max("neg_total")
+    return running_before(groups, [by], "score", ["pos", "neg"], slice_rows).groupBy(by).agg(
+        F.try_divide(area, pairs).alias("auroc"))
+
+
 def average_precision(df: DataFrame, y: str = "y", p: str = "score", slice_rows: int = SLICE_ROWS
                       ) -> DataFrame:
     """Sum over distinct scores of recall gain times precision."""

@@ -13,9 +13,11 @@ from rareflow.models.dan import (
     DisguiseClassifier, DisguiseModel, Training, full_gradient, load_checkpoint, training_rows)
 from rareflow.models.experiment import run_experiment
 from rareflow.models.kernel import Shape
+from rareflow.models.penalised import PenaltyPath
+from rareflow.models.spectral import CentredPCA
 from rareflow.operators import matrix, metrics
 from rareflow.operators.smote import smote
-from rareflow.plans.registry import CELLS, LINES, normal_sql, query, r, rounded, with_
+from rareflow.plans.registry import CELLS, LINES, SPLIT, normal_sql, query, r, rounded, with_
 from rareflow.session import materialize, scratch_path
 from rareflow.sources import generators
 from rareflow.sources.files import with_split
@@ -112,6 +114,45 @@ def discriminator_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spark.createDataFrame(rows, "pos int, j int, weight double"), ["weight"])
 
 
+def slopes_sql(name: str, weights: str, part: int) -> str:
+    """CTE of (pos, g): slopes of the difference of logits over the rows of a round."""
+    return f"""{name}_miss AS (SELECT vec_id, 1 / (1 + exp(-(sum(value * d) + any_value(side)))) - any_value(
+    conversion_target) AS e FROM cells JOIN dealt USING (vec_id) JOIN {weights} USING (pos),
+    (SELECT d AS side FROM {weights} WHERE pos = -1) WHERE round = {part} GROUP BY vec_id),
+{name} AS (SELECT pos, sum(e * value) / (SELECT count(*) FROM {name}_miss) AS g
+  FROM cells JOIN {name}_miss USING (vec_id) GROUP BY pos UNION ALL SELECT -1, avg(e) FROM {name}_miss)"""
+
+
+ROUNDS = replace(EPOCH, rounds_per_epoch=2)
+
+
+@query("discriminator_rounds", with_(CELLS + f""", start(pos, j, w) AS (VALUES {", ".join(
+    f"({i}, {j}, {float(v)!r}::DOUBLE)" for (i, j), v in np.ndenumerate(START))}),
+dealt AS (SELECT vec_id, CAST('0x' || substr(md5('round:' || vec_id), 1, 8) AS BIGINT) % 2 AS round
+  FROM vectors),
+d0 AS (SELECT pos, sum(CASE j WHEN 1 THEN w ELSE -w END) AS d FROM start GROUP BY pos
+  UNION ALL SELECT -1, 0),
+{slopes_sql("g1", "d0", 0)},
+d1 AS (SELECT pos, d - 2 * {ROUNDS.learning_rate}::DOUBLE * g / (abs(g) + 1e-8::DOUBLE / sqrt(0.001::DOUBLE)) AS d
+  FROM d0 JOIN g1 USING (pos)),
+{slopes_sql("g2", "d1", 1)},
+moments AS (SELECT pos, 0.09::DOUBLE * g1.g + 0.1::DOUBLE * g2.g AS m, 0.000999::DOUBLE * g1.g * g1.g
+  + 0.001::DOUBLE * g2.g * g2.g AS v FROM g1 JOIN g2 USING (pos)),
+moved AS (SELECT pos, (d1.d - d0.d) / 2 - {ROUNDS.learning_rate}::DOUBLE * sqrt(1 - 0.999::DOUBLE * 0.999::DOUBLE)
+  / (1 - 0.9::DOUBLE * 0.9::DOUBLE) * m / (sqrt(v) + 1e-8::DOUBLE) AS s
+  FROM moments JOIN d0 USING (pos) JOIN d1 USING (pos))""", """SELECT moved.pos, coalesce(start.j, side.j) AS j,
+  round(coalesce(w, 0) + s * CASE coalesce(start.j, side.j) WHEN 1 THEN 1 ELSE -1 END, 6) + 0 AS weight
+  FROM moved LEFT JOIN start ON moved.pos = start.pos
+  LEFT JOIN (VALUES (-1, 0), (-1, 1)) AS side(pos, j) ON moved.pos = side.pos"""))
+def discriminator_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of the plain discriminator after one epoch of two rounds, dealt by key."""
+    model = DisguiseClassifier(EPOCH_SHAPE, ROUNDS, key="vec_id").fit(everything(spark, sf_dir))
+    w = kernel.as_blocks(EPOCH_SHAPE, model.flat)
+    rows = [(i, j, float(v)) for (i, j), v in np.ndenumerate(w["d0w"])]
+    rows += [(-1, j, float(v)) for j, v in enumerate(w["d0b"])]
+    return rounded(spark.createDataFrame(rows, "pos int, j int, weight double"), ["weight"])
+
+
 def fixed_disguise() -> DisguiseModel:
     """Linear disguise with given weights ((31 i + 17 j) mod 13 - 6) / 100 and offsets j / 64."""
     shape = Shape(WIDTH, (), (), batch_norm=False)
@@ -299,8 +340,55 @@ def logistic_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("tune_on_validation")
 def tune_on_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, validation, _ = labelled(spark, sf_dir)
-    return baselines.tune_on_validation(
-        baselines.as_vector(train), baselines.as_vector(validation), "label")
+    return baselines.tune_on_validation(train, validation, "label")
+
+
+PENALTIES = (1e-5, 1e-4, 1e-3, 1e-2, 1.0, 100.0)
+
+
+def newton_sql(steps: int = 12) -> str:
+    """CTEs n0 .. n<steps> (c, b, u, w): Newton steps for an offset and two weights."""
+    values = ", ".join(f"({c!r}::DOUBLE)" for c in PENALTIES)
+    ctes = [f"n0 AS (SELECT c, 0::DOUBLE AS b, 0::DOUBLE AS u, 0::DOUBLE AS w FROM (VALUES {values}) AS g(c))"]
+    for step in range(1, steps + 1):
+        ctes.append(f"""q{step} AS (SELECT c, b, u, w, x, y, 1 / (1 + exp(-(b + u * x + w * y))) AS p, t
+  FROM points, n{step - 1} WHERE split = 'train'),
+h{step} AS (SELECT c, b, u, w, sum(p - t) AS g0, sum((p - t) * x) + u / c AS g1,
+  sum((p - t) * y) + w / c AS g2, sum(p * (1 - p)) AS a, sum(p * (1 - p) * x) AS d,
+  sum(p * (1 - p) * y) AS e, sum(p * (1 - p) * x * x) + 1 / c AS f, sum(p * (1 - p) * x * y) AS h,
+  sum(p * (1 - p) * y * y) + 1 / c AS k FROM q{step} GROUP BY c, b, u, w),
+n{step} AS MATERIALIZED (SELECT c, b - (g0 * (f * k - h * h) - d * (g1 * k - h * g2) + e * (g1 * h - f * g2)) / det AS b,
+  u - (a * (g1 * k - h * g2) - g0 * (d * k - h * e) + e * (d * g2 - g1 * e)) / det AS u,
+  w - (a * (f * g2 - g1 * h) - d * (d * g2 - g1 * e) + g0 * (d * h - f * e)) / det AS w
+  FROM (SELECT *, a * (f * k - h * h) - d * (d * k - h * e) + e * (d * h - f * e) AS det FROM h{step}))""")
+    return ",\n".join(ctes)
+
+
+POINTS = LINES + ", " + SPLIT + """, points AS (SELECT split, conversion_target AS t, l_quantity / 50 AS x,
+  l_extendedprice / 100000 AS y FROM split_lines)"""
+
+
+@query("penalty_path", with_(POINTS + ",\n" + newton_sql() + """,
+cells AS (SELECT c, t, b + u * x + w * y AS z FROM points, n12 WHERE split = 'validation'),
+ranked AS (SELECT c, t, rank() OVER (PARTITION BY c ORDER BY z)
+  + (count(*) OVER (PARTITION BY c, z) - 1) / CAST(2 AS DOUBLE) AS place FROM cells),
+areas AS (SELECT c, (sum(place) FILTER (t = 1) - count(*) FILTER (t = 1) * (count(*) FILTER (t = 1) + 1)
+  / CAST(2 AS DOUBLE)) / (count(*) FILTER (t = 1) * CAST(count(*) FILTER (t = 0) AS DOUBLE)) AS auroc
+  FROM ranked GROUP BY c)""", """SELECT c, round(b, 5) + 0 AS offset_weight, round(u, 5) + 0 AS quantity_weight,
+  round(w, 5) + 0 AS price_weight, round(auroc, 5) AS auroc FROM n12 JOIN areas USING (c)"""))
+def penalty_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights under six penalties and their ranking of the validation rows."""
+    df = with_split(lines(spark, sf_dir), F.col(KEY)).select(
+        "split", F.col(TARGET).alias("label"),
+        F.array(F.col("l_quantity") / 50, F.col("l_extendedprice") / 100000).alias("features"))
+    path = PenaltyPath(df.where("split = 'train'"), "label", grid=PENALTIES)
+    rows = [(c, float(b), float(w[0]), float(w[1]))
+            for c, b, w in zip(path.grid, path.offsets, path.weights)]
+    fitted = spark.createDataFrame(
+        rows, "c double, offset_weight double, quantity_weight double, price_weight double")
+    areas = path.auroc(df.where("split = 'validation'"), "label")
+    return rounded(fitted.join(areas, "c"),
+                   ["offset_weight", "quantity_weight", "price_weight", "auroc"], 5)
 
 
 @query("refit_train_plus_validation")
@@ -403,17 +491,57 @@ def lambda_activation_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return baselines.disguise_effect(everything(spark, sf_dir).filter("label = 0"), trials)
 
 
-@query("pca_project")
+COVARIANCE = CELLS + """, means AS (SELECT pos, avg(value) AS m, count(*) AS n
+  FROM cells GROUP BY pos),
+centred AS (SELECT vec_id, conversion_target, pos, value - m AS x, n FROM cells JOIN means USING (pos)),
+cov AS MATERIALIZED (SELECT a.pos AS i, b.pos AS j, sum(a.x * b.x) / (any_value(a.n) - 1) AS c
+  FROM centred a JOIN centred b USING (vec_id) GROUP BY 1, 2)"""
+
+
+def components_sql(k: int, squarings: int = 16) -> str:
+    """CTEs v1 .. vk (i, v) and l1 .. lk (value): the leading eigenpairs of ``cov``.
+
+    Squared over and over, the matrix tends to that of its first eigenvector; taken away from
+    ``cov``, it leaves the next one first.
+    """
+    ctes, left = [], "cov"
+    for n in range(1, k + 1):
+        last = left
+        for step in range(squarings):
+            name = f"s{n}_{step}"
+            ctes.append(f"""{name} AS MATERIALIZED (SELECT i, j, c / sqrt(sum(c * c) OVER ()) AS c
+  FROM (SELECT a.i, b.j, sum(a.c * b.c) AS c FROM {last} a JOIN {last} b ON a.j = b.i GROUP BY 1, 2))""")
+            last = name
+        ctes.append(f"""u{n} AS (SELECT i, c / sqrt(sum(c * c) OVER ()) AS v FROM {last}
+  WHERE j = (SELECT i FROM {last} WHERE i = j ORDER BY c DESC LIMIT 1)),
+v{n} AS MATERIALIZED (SELECT i, v * sign((SELECT v FROM u{n} ORDER BY abs(v) DESC LIMIT 1)) AS v FROM u{n}),
+l{n} AS MATERIALIZED (SELECT sum(a.v * c * b.v) AS value FROM {left}
+  JOIN v{n} a USING (i) JOIN v{n} b ON b.i = j),
+c{n} AS MATERIALIZED (SELECT i, j, c - value * a.v * b.v AS c FROM {left}
+  JOIN v{n} a USING (i) JOIN v{n} b ON b.i = j, l{n})""")
+        left = f"c{n}"
+    return ",\n".join(ctes)
+
+
+@query("pca_project", with_(COVARIANCE + ",\n" + components_sql(3) + """,
+parts AS (SELECT vec_id, pos, CASE conversion_target WHEN 1 THEN 'positive' ELSE 'negative' END AS kind,
+    x FROM centred
+  UNION ALL SELECT vec_id, CAST(j AS INTEGER), 'disguised', t - m FROM (SELECT vec_id, j,
+    sum(value * (((31 * pos + 17 * j) % 13 - 6) / CAST(100 AS DOUBLE))) + j / CAST(64 AS DOUBLE) AS t
+    FROM cells, range(0, 64) AS g(j) WHERE conversion_target = 0 GROUP BY vec_id, j)
+    JOIN means ON means.pos = j)""", """SELECT vec_id, kind, round(sum(x * v1.v), 6) + 0 AS pc1,
+  round(sum(x * v2.v), 6) + 0 AS pc2, round(sum(x * v3.v), 6) + 0 AS pc3 FROM parts
+  JOIN v1 ON v1.i = pos JOIN v2 ON v2.i = pos JOIN v3 ON v3.i = pos GROUP BY vec_id, kind"""))
 def pca_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = everything(spark, sf_dir)
-    pca = baselines.CentredPCA(df, k=3)
+    pca = CentredPCA(df, k=3)
     moved = fixed_disguise().disguise(df.filter("label = 0"))
     plain = pca.project(df).select(
         "vec_id", F.when(F.col("label") == 1, F.lit("positive")).otherwise(F.lit("negative"))
         .alias("kind"), "pc1", "pc2", "pc3")
     disguised = pca.project(moved, "disguised").select(
         "vec_id", F.lit("disguised").alias("kind"), "pc1", "pc2", "pc3")
-    return plain.unionByName(disguised)
+    return rounded(plain.unionByName(disguised), ["pc1", "pc2", "pc3"])
 
 
 # The ratios belong to the eigenvalues, which SQL lacks; their sum over all
@@ -422,7 +550,7 @@ def pca_project(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT var_samp(value) AS v FROM cells GROUP BY pos)"""))
 def pca_explained_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = everything(spark, sf_dir)
-    pca = baselines.CentredPCA(df, k=WIDTH)
+    pca = CentredPCA(df, k=WIDTH)
     spread = pca.project(df).agg(*[F.var_samp(f"pc{i + 1}").alias(f"pc{i + 1}")
                                    for i in range(WIDTH)])
     shares = dict(zip(spread.columns, pca.ratios))
@@ -431,11 +559,7 @@ def pca_explained_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread.select(r(weighted).alias("total_variance"))
 
 
-@query("pca_eigenvalue_sums", with_(CELLS + """, means AS (SELECT pos, avg(value) AS m, count(*) AS n
-  FROM cells GROUP BY pos),
-centred AS (SELECT vec_id, pos, value - m AS x, n FROM cells JOIN means USING (pos)),
-cov AS (SELECT a.pos AS i, b.pos AS j, sum(a.x * b.x) / (any_value(a.n) - 1) AS c
-  FROM centred a JOIN centred b USING (vec_id) GROUP BY 1, 2)""", """SELECT power,
+@query("pca_eigenvalue_sums", with_(COVARIANCE, """SELECT power,
   round(value, 6) AS value FROM (SELECT 1 AS power, sum(c) FILTER (i = j) AS value FROM cov
   UNION ALL SELECT 2, sum(c * c) FROM cov
   UNION ALL SELECT 3, sum(a.c * b.c * d.c) FROM cov a JOIN cov b ON a.j = b.i
@@ -443,7 +567,7 @@ cov AS (SELECT a.pos AS i, b.pos AS j, sum(a.x * b.x) / (any_value(a.n) - 1) AS
 def pca_eigenvalue_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sums of powers of all eigenvalues: traces of powers of the covariance in SQL."""
     df = everything(spark, sf_dir)
-    pca = baselines.CentredPCA(df, k=WIDTH)
+    pca = CentredPCA(df, k=WIDTH)
     total = df.agg(sum((F.var_samp(F.get("features", F.lit(i))) for i in range(WIDTH)),
                        F.lit(0.0))).first()[0]
     values = np.asarray(pca.ratios) * total
@@ -451,8 +575,11 @@ def pca_eigenvalue_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spark.createDataFrame(rows, "power int, value double"), ["value"])
 
 
-@query("pca_ratios")
+@query("pca_ratios", with_(COVARIANCE + ",\n" + components_sql(3) + """,
+total AS (SELECT sum(c) AS t FROM cov WHERE i = j)""", """SELECT component, round(value / t, 6) AS ratio
+  FROM (SELECT 1 AS component, value FROM l1 UNION ALL SELECT 2, value FROM l2
+    UNION ALL SELECT 3, value FROM l3), total"""))
 def pca_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pca = baselines.CentredPCA(everything(spark, sf_dir), k=3)
+    pca = CentredPCA(everything(spark, sf_dir), k=3)
     rows = [(i + 1, float(v)) for i, v in enumerate(pca.ratios)]
-    return spark.createDataFrame(rows, "component int, ratio double")
+    return rounded(spark.createDataFrame(rows, "component int, ratio double"), ["ratio"])

@@ -9,6 +9,7 @@ from rareflow.models import baselines, kernel
 from rareflow.models.dan import (
     DisguiseClassifier, DisguiseModel, Training, load_checkpoint, save_checkpoint)
 from rareflow.models.kernel import Shape
+from rareflow.models.spectral import CentredPCA
 from rareflow.sources import generators
 
 SMALL = Shape(4, (5, 3), (6,), "tanh", True, {1: 7, 3: 9})
@@ -211,7 +212,7 @@ def test_pca_is_centred_and_uncorrelated(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(400, 4)) @ np.diag([3, 2, 1, 0.5]) + 10
     df = spark.createDataFrame(pd.DataFrame({"features": list(x)}))
-    pca = baselines.CentredPCA(df, k=2)
+    pca = CentredPCA(df, k=2)
     out = pca.project(df).select("pc1", "pc2").toPandas().to_numpy()
     np.testing.assert_allclose(out.mean(axis=0), 0, atol=1e-8)
     assert abs(np.corrcoef(out.T)[0, 1]) < 1e-8
