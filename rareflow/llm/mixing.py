@@ -5,7 +5,8 @@ order of size classes and, within one, of a hash; the running sum of expected co
 one random offset per source crosses an integer once per copy. Neighbours in the order are alike
 in size, so the words taken come near the target. The running sum is a rank: counts per
 (source, size class, hash bucket), a table bounded by the sources, give the offsets,
-and only the rows of one bucket are ranked in one place.
+and only the rows of one bucket are ranked in one place. Texts are counted once: the sized rows
+are written, and the counts read no texts.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from rareflow.llm.common import shielded
+from rareflow.llm.common import Shelf, shielded
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -58,14 +59,17 @@ class Mix:
             .alias("target"))
 
     def copies(self, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
-               source_column: str = "source") -> DataFrame:
-        """``docs`` with size, source_size, target and copies, which replace columns so named."""
+               source_column: str = "source", texts: bool = True) -> DataFrame:
+        """``docs`` with size, source_size, target and copies, which replace columns so named.
+
+        Without ``texts`` the text column is left out, and no text is moved or written.
+        """
         return shielded(docs, [id_column, text_column, source_column],
-                        lambda base: self._copies(base, id_column, text_column, source_column),
+                        lambda base: self._copies(base, id_column, text_column, source_column, texts),
                         ["size", "source_size", "target", "copies"])
 
-    def _copies(self, base: DataFrame, id_column: str, text_column: str,
-                source_column: str) -> DataFrame:
+    def _copies(self, base: DataFrame, id_column: str, text_column: str, source_column: str,
+                texts: bool) -> DataFrame:
         words = F.coalesce(F.regexp_count(text_column, F.lit(WORD)), F.lit(0)).cast("long")
         key = F.concat(F.lit(f"{self.seed}:"), F.coalesce(F.col(id_column).cast("string"),
                                                          F.lit("null")))
@@ -74,6 +78,10 @@ class Mix:
             "__content": F.xxhash64(F.col(text_column)), "__source": F.col(source_column)})
         rows = rows.withColumns({"__class": size_class(F.col("size")),
                                  "__bucket": F.substring("__token", 1, self.digits)})
+        names = [c for c in base.columns if texts or c != text_column]
+        rows = Shelf(base.sparkSession).keep(rows.select(
+            *[quoted(c) for c in names], "size", "__token", "__content", "__source", "__class",
+            "__bucket"), "mix-sized")
         cells = rows.groupBy("__source", "__class", "__bucket").agg(
             F.count("*").alias("__n"), F.sum("size").alias("__words"))
         targets = self.targets(cells.select(F.col("__source").alias("source"),
@@ -96,7 +104,7 @@ class Mix:
         position = F.col("__start") + F.col("__rank")
         crossed = (F.floor(offset + share * position)
                    - F.floor(offset + share * (position - 1))).cast("long")
-        return placed.select(*[F.col(f"r.{quoted(c)}") for c in base.columns], "size",
+        return placed.select(*[F.col(f"r.{quoted(c)}") for c in names], "size",
                              "source_size", "target",
                              F.least(crossed, F.lit(self.most).cast("long")).alias("copies"))
 

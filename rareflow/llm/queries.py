@@ -64,7 +64,7 @@ def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_source_mix", oracles.source_mix())
 def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return Mix().copies(docs).select(
+    return Mix().copies(docs, texts=False).select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 

@@ -57,6 +57,16 @@ def test_mix_odd_rows(spark):
     assert mix(docs).columns == ["doc_id", "text", "source", "size", "copy"]
 
 
+def test_mix_without_texts_takes_the_same(spark):
+    rows = [(i, "w " * (i % 40), "ab"[i % 2]) for i in range(400)] + [(None, None, None)] * 3
+    docs = spark.createDataFrame(rows, DOCS)
+    columns = ["doc_id", "size", "source_size", "target", "copies"]
+    narrow = Mix().copies(docs, texts=False)
+    assert "text" not in narrow.columns
+    whole = Mix().copies(docs).select(*columns)
+    assert sorted(map(str, narrow.select(*columns).collect())) == sorted(map(str, whole.collect()))
+
+
 def test_size_classes_rise(spark):
     from pyspark.sql import functions as F
     rows = spark.range(5000).select("id", size_class(F.col("id")).alias("c")).orderBy("id").collect()
