@@ -1,10 +1,12 @@
 """Exact k nearest neighbours of every row of one (minority) class.
 
-Rows fall into cells around pivots. A query first searches its own cell; the distance found
-there and the triangle inequality rule out every cell whose ball cannot hold a nearer row,
-and only the others are searched. The result is exact. One task compares one block of
-a cell's queries with one block of candidates and emits k candidates per query. Exact
-copies are folded first, so a vector shared by many rows is compared once.
+Rows fall into cells around pivots, which form a tree of two levels: a row goes to the nearest
+of about the square root of all pivots, then to the nearest cell below it. A query first
+searches its own cell; the distance found there and the triangle inequality rule out every
+node and every cell whose ball cannot hold a nearer row, and only the others are searched. The
+result is exact. One task compares one block of a cell's queries with one block of
+candidates and emits k candidates per query. Exact copies are folded first, so a vector
+shared by many rows is compared once.
 """
 
 from __future__ import annotations
@@ -19,7 +21,8 @@ from rareflow.operators.encode import dictionary_join
 from rareflow.session import materialize
 
 BLOCK_CELLS = 4_000_000       # numbers per block: rows x width
-MAX_PIVOTS = 2_048            # cells; larger ones are cut into blocks
+MAX_CELLS = 65_536            # cells of the tree; larger ones are cut into blocks
+PIVOT_NUMBERS = 8_000_000     # numbers in all pivots together (64 MB), which every task holds
 TILE_CELLS = 8_000_000        # distances held at once inside a task
 
 
@@ -104,31 +107,111 @@ def visited_cells(v: np.ndarray, limit: np.ndarray, pivots: np.ndarray, radius:
     return away - radius <= limit[:, None] + slack
 
 
+class PivotTree:
+    """Cells below the nodes of one upper level, with the ball that holds each one's rows."""
+
+    def __init__(self, pivots: np.ndarray):
+        tops = pivots[:max(1, int(np.ceil(np.sqrt(len(pivots)))))]
+        below = _distances(pivots, tops).argmin(axis=1)
+        used, below = np.unique(below, return_inverse=True)
+        self.tops = tops[used]
+        order = np.argsort(below, kind="stable")
+        self.cells = pivots[order]
+        self.first = np.searchsorted(below[order], np.arange(len(self.tops) + 1))
+        self.radius = np.full(len(self.cells), -np.inf)
+        self.top_radius = np.full(len(self.tops), -np.inf)
+        self.rows = np.zeros(len(self.cells), "int64")
+
+    def below(self, top: int) -> slice:
+        return slice(self.first[top], self.first[top + 1])
+
+    def place(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per row its cell, its distance to the cell's pivot and to the node above."""
+        away = _distances(v, self.tops)
+        top = away.argmin(axis=1)
+        cell, near = np.zeros(len(v), "int64"), np.zeros(len(v))
+        for t in np.unique(top):
+            mine = np.flatnonzero(top == t)
+            inside = _distances(v[mine], self.cells[self.below(t)])
+            best = inside.argmin(axis=1)
+            cell[mine], near[mine] = self.first[t] + best, inside[np.arange(len(mine)), best]
+        return cell, near, away[np.arange(len(v)), top]
+
+    def measure(self, cell: np.ndarray, radius: np.ndarray, top_radius: np.ndarray,
+                rows: np.ndarray) -> None:
+        """Balls and sizes of the cells that hold rows."""
+        self.radius[cell], self.rows[cell] = radius, rows
+        np.maximum.at(self.top_radius, np.searchsorted(self.first, cell, "right") - 1, top_radius)
+
+    def reach(self, v: np.ndarray, need: int) -> np.ndarray:
+        """Per row a distance within which ``need`` rows of the tree lie; infinite if it has fewer."""
+        totals = np.add.reduceat(self.rows, self.first[:-1])
+        limit = _within(_distances(v, self.tops), self.top_radius, totals, need)
+        for t in range(len(self.tops)):
+            # the cells of one node may hold enough rows nearer than whole nodes do
+            low = _within(_distances(v, self.cells[self.below(t)]), self.radius[self.below(t)],
+                          self.rows[self.below(t)], need)
+            limit = np.minimum(limit, low)
+        return limit
+
+    def visited(self, v: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell) pairs where a row within ``limit`` may lie in the cell."""
+        rows, cells = [np.empty(0, "int64")], [np.empty(0, "int64")]
+        open_tops = visited_cells(v, limit, self.tops, self.top_radius)
+        for t in np.flatnonzero(open_tops.any(axis=0)):
+            asking = np.flatnonzero(open_tops[:, t])
+            row, cell = np.nonzero(visited_cells(v[asking], limit[asking], self.cells[self.below(t)],
+                                                 self.radius[self.below(t)]))
+            rows.append(asking[row])
+            cells.append(self.first[t] + cell)
+        row, cell = np.concatenate(rows), np.concatenate(cells)
+        held = self.rows[cell] > 0
+        return row[held], cell[held]
+
+
+def _within(away: np.ndarray, radius: np.ndarray, rows: np.ndarray, need: int) -> np.ndarray:
+    """Per query the smallest far edge of balls by which ``need`` rows are inside them."""
+    far = np.where(rows > 0, away + radius + 1e-6 * (1.0 + away), np.inf)
+    order = far.argsort(axis=1)
+    enough = rows[order].cumsum(axis=1) >= need
+    edge = np.take_along_axis(far, order, axis=1)[np.arange(len(far)), enough.argmax(axis=1)]
+    return np.where(enough.any(axis=1), edge, np.inf)
+
+
+def _pivots(points: DataFrame, count: int) -> np.ndarray:
+    """The first ``count`` vectors in hash order."""
+    v = points.select(F.col("v").cast("array<double>").alias("v"), "print").orderBy("print") \
+        .limit(count).select("v").toArrow()["v"].combine_chunks()
+    return v.flatten().to_numpy().reshape(len(v), -1)
+
+
 def _search(points: DataFrame, numbers: int, k: int, block_cells: int, near_type: str,
             id_type: str) -> DataFrame:
     """(print, near): the best k + 1 rows of every block a query has to search."""
-    count = min(MAX_PIVOTS, max(1, -(-numbers // block_cells)))
-    rows = points.select("v").orderBy("print").limit(count).collect()
-    pivots = np.array([r["v"] for r in rows], "float64")
+    width = max(1, numbers // max(1, points.count()))
+    count = min(MAX_CELLS, max(1, PIVOT_NUMBERS // width), max(1, -(-numbers // block_cells)))
+    tree = PivotTree(_pivots(points, count))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            away = _distances(np.array(batch["v"].tolist(), "float64"), pivots) \
-                if len(batch) else np.empty((0, len(pivots)))
-            cell = away.argmin(axis=1)
+            if not len(batch):
+                continue
+            cell, away, above = tree.place(np.array(batch["v"].tolist(), "float64"))
             yield pd.DataFrame({"print": batch["print"], "v": batch["v"], "ids": batch["ids"],
-                                "asks": batch["asks"], "cell": cell, "away": away[np.arange(len(cell)), cell]})
+                                "asks": batch["asks"], "cell": cell, "away": away, "above": above})
 
     placed = materialize(points.select("print", "v", "ids", "asks").mapInPandas(
         assign, f"print string, v array<double>, ids array<{id_type}>, asks boolean, cell int, "
-                "away double"), "cells")
-    width = max(1, numbers // max(1, points.count()))
-    radius, blocks = np.full(len(pivots), -np.inf), [0] * len(pivots)
-    for r in placed.groupBy("cell").agg(F.max("away").alias("r"), F.count("*").alias("n")).collect():
-        radius[r["cell"]], blocks[r["cell"]] = r["r"], -(-r["n"] * width // block_cells)
-    parts = F.get(F.array(*[F.lit(b) for b in blocks]), F.col("cell"))
-    mine = F.pmod(F.xxhash64("print"), parts).cast("int")
-    placed = placed.withColumn("block", mine)
+                "away double, above double"), "cells")
+    # a row per cell, MAX_CELLS at most
+    sizes = placed.groupBy("cell").agg(F.max("away").alias("r"), F.max("above").alias("top"),
+                                       F.count("*").alias("n")).toPandas()
+    tree.measure(*[sizes[c].to_numpy() for c in ("cell", "r", "top", "n")])
+    sizes["blocks"] = -(-sizes["n"] * width // block_cells)
+    blocks = F.broadcast(points.sparkSession.createDataFrame(
+        sizes[["cell", "blocks"]], "cell int, blocks int"))
+    mine = F.pmod(F.xxhash64("print"), F.col("blocks")).cast("int")
+    placed = placed.join(blocks, "cell").withColumn("block", mine)
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
@@ -144,7 +227,8 @@ def _search(points: DataFrame, numbers: int, k: int, block_cells: int, near_type
 
     def meet(asked: DataFrame) -> DataFrame:
         """``asked``: print, v, home and home_block of the query, cell to be searched."""
-        asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), parts - 1)))
+        asked = asked.join(blocks, "cell").withColumn(
+            "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
         key = ["home", "home_block", "cell", "block"]
         met = asked.select(*key).distinct().withColumnsRenamed({c: f"c_{c}" for c in key})
         candidates = placed.select(F.col("cell").alias("c_cell"), F.col("block").alias("c_block"),
@@ -164,12 +248,15 @@ def _search(points: DataFrame, numbers: int, k: int, block_cells: int, near_type
         for batch in batches:
             if not len(batch):
                 continue
-            seen = visited_cells(np.array(batch["v"].tolist(), "float64"),
-                                 batch["limit"].to_numpy(float), pivots, radius)
-            seen[np.arange(len(batch)), batch["home"]] = False
-            row, cell = np.nonzero(seen)
-            out = batch[["print", "v", "home", "home_block"]].iloc[row].reset_index(drop=True)
-            out["cell"] = cell
+            v, within = np.array(batch["v"].tolist(), "float64"), batch["limit"].to_numpy(float)
+            lone = np.isinf(within)      # its cell holds too few rows to set a limit
+            if lone.any():
+                within = within.copy()
+                within[lone] = tree.reach(v[lone], k + 1)
+            row, cell = tree.visited(v, within)
+            away = cell != batch["home"].to_numpy()[row]
+            out = batch[["print", "v", "home", "home_block"]].iloc[row[away]].reset_index(drop=True)
+            out["cell"] = cell[away]
             yield out
 
     more = own.join(limit, "print").select("print", "v", "home", "home_block", "limit").mapInPandas(

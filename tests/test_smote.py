@@ -5,7 +5,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from rareflow.operators.neighbours import k_nearest, visited_cells
+from rareflow.operators import neighbours
+from rareflow.operators.neighbours import PivotTree, k_nearest, visited_cells
 from rareflow.operators.smote import round_categories, smote, synthetic_rows
 
 
@@ -91,3 +92,69 @@ def test_far_cells_are_not_searched():
     assert pairs < 0.1 * 2000**2
     want = brute(v, 7)
     assert all(visited[i, home[j]] for i in range(0, 2000, 50) for _, j in want[i])
+
+
+def clustered(n, clusters=30, seed=5):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(clusters, 3)) * 20
+    return (centres[rng.integers(0, clusters, n)] + rng.normal(size=(n, 3))).round(4)
+
+
+@pytest.mark.parametrize("limits", [(65_536, 8_000_000), (12, 8_000_000), (65_536, 60)])
+def test_tree_of_cells_is_exact(spark, monkeypatch, limits):
+    """Many cells, some with fewer than k rows; few cells that are cut into blocks."""
+    monkeypatch.setattr(neighbours, "MAX_CELLS", limits[0])
+    monkeypatch.setattr(neighbours, "PIVOT_NUMBERS", limits[1])
+    v = np.concatenate([clustered(500), [[900.0, 0, 0], [0, 900, 0], [0, 0, -900]]])
+    df = spark.createDataFrame(pd.DataFrame({"id": range(len(v)), "v": list(v)}))
+    want = brute(v, 6)
+    got = k_nearest(df, "id", "v", 6, 45).collect()
+    assert {r["id"]: [n["id"] for n in r["neighbours"]] for r in got} == {
+        i: [j for _, j in ns] for i, ns in want.items()}
+
+
+def grown_tree(v, cell_rows):
+    order = np.random.default_rng(0).permutation(len(v))
+    tree = PivotTree(v[order][:max(1, len(v) // cell_rows)])
+    cell, near, above = tree.place(v)
+    frame = pd.DataFrame({"cell": cell, "r": near, "top": above}).groupby("cell").agg(
+        r=("r", "max"), top=("top", "max"), n=("r", "size")).reset_index()
+    tree.measure(*[frame[c].to_numpy() for c in ("cell", "r", "top", "n")])
+    return tree, cell
+
+
+def compared_pairs(n, k=8, cell_rows=40):
+    v = clustered(n)
+    tree, home = grown_tree(v, cell_rows)
+    limit = np.full(n, np.inf)
+    pairs = 0
+    for c in np.unique(home):
+        mine = np.flatnonzero(home == c)
+        pairs += len(mine) ** 2
+        if len(mine) > k:
+            d = np.sqrt(((v[mine][:, None] - v[mine]) ** 2).sum(axis=2))
+            limit[mine] = np.sort(d, axis=1)[:, k]
+    lone = np.isinf(limit)
+    limit[lone] = tree.reach(v[lone], k + 1)
+    assert np.isfinite(limit).all()
+    row, cell = tree.visited(v, limit)
+    away = cell != home[row]
+    return pairs + tree.rows[cell[away]].sum()
+
+
+def test_compared_pairs_grow_slower_than_a_power_of_one_and_a_half():
+    small, large = compared_pairs(1500), compared_pairs(24000)
+    assert large / small < 16 ** 1.5
+    assert large < 0.05 * 24000**2
+
+
+def test_reach_holds_enough_rows():
+    v = clustered(400)
+    tree, _ = grown_tree(v, 10)
+    asked = np.concatenate([v[:50], np.full((1, 3), 500.0)])
+    d = np.sqrt(((asked[:, None] - v) ** 2).sum(axis=2))
+    for need in (1, 7, 400):
+        assert ((d <= tree.reach(asked, need)[:, None]).sum(axis=1) >= need).all()
+    assert np.isinf(tree.reach(asked, 401)).all()
+    row, cell = tree.visited(asked, np.full(51, np.inf))
+    assert len(row) == 51 * (tree.rows > 0).sum() and (tree.rows[cell] > 0).all()
