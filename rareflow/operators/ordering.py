@@ -24,6 +24,8 @@ from rareflow.session import materialize
 PREFIX_DIGITS = 4            # 65,536 hash buckets
 HOT_ROWS = 2_000_000         # largest bucket one task ranks
 SLICE_ROWS = 1_000_000       # distinct values aimed at per slice
+ACCURACY = 1_000             # ranks of a sketch are right within rows / ACCURACY
+BRACKET_GROUPS = 100_000     # groups whose brackets are broadcast (about 15 MB)
 PIECE_ROWS = 100_000         # copies of a row that one input row expands to
 
 TOKEN, BUCKET, PRINT, WEIGHT = "__token", "__bucket", "__print", "__weight"
@@ -316,16 +318,30 @@ def value_buckets(values: DataFrame, by: list[str], order: str,
     rows need; they are written with the rows, so that all later steps see the
     same ones.
     """
-    slices = max(1, -(-values.count() // max(1, slice_rows)))
+    slices = _slices(values, slice_rows)
     placed = values.repartitionByRange(slices, *by, order).withColumn(
         BUCKET, F.spark_partition_id())
     return materialize(placed, "value-slices")
 
 
+def _slices(values: DataFrame, slice_rows: int) -> int:
+    return max(1, -(-values.count() // max(1, slice_rows)))
+
+
 def running_before(values: DataFrame, by: list[str], order: str, sums: list[str],
                    slice_rows: int = SLICE_ROWS) -> DataFrame:
     """For each column s of ``sums`` add ``s_before`` (total of s over smaller
-    order values of the group) and ``s_total`` (over the whole group)."""
+    order values of the group) and ``s_total`` (over the whole group).
+
+    A table of one slice is not written again: its windows are the slice's.
+    """
+    if _slices(values, slice_rows) == 1:
+        whole = Window.partitionBy(*(by or [F.lit(0)]))
+        rising = whole.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        return values.select(
+            *values.columns,
+            *[(F.sum(s).over(rising) - F.col(s)).alias(f"{s}_before") for s in sums],
+            *[F.sum(s).over(whole).alias(f"{s}_total") for s in sums])
     cut = value_buckets(values, by, order, slice_rows)
     slices = cut.groupBy(*by, BUCKET).agg(*[F.sum(s).alias(f"__{s}") for s in sums])
     # one row per group and range partition it touches
@@ -352,19 +368,51 @@ def counted_values(df: DataFrame, by: list[str], value: str) -> DataFrame:
         "value-counts")
 
 
-def weighted_moments(counted: DataFrame, by: list[str], value: str) -> DataFrame:
-    """n, mean, sample std, min and max per group of a table of counted values."""
-    v, n = F.col(value), F.col("n")
-    first = counted.groupBy(*by).agg(
-        F.sum("n").alias("__n"), (F.sum(v * n) / F.sum(n)).alias("mean"),
-        F.min(v).alias("min"), F.max(v).alias("max"))
-    # one row per group; the deviations need the mean, so the values are read again
-    spread = null_safe_join(counted, first, by).groupBy(*by).agg(
-        F.sum((v - F.col("mean")) * (v - F.col("mean")) * n).alias("__squares"))
-    return null_safe_join(first, spread, by).select(
-        *by, F.col("__n").alias("n"), "mean",
-        F.sqrt(F.when(F.col("__n") > 1, F.col("__squares") / (F.col("__n") - 1))).alias("std"),
-        "min", "max")
+def moments_and_quantiles(df: DataFrame, by: list[str], value: str, probs: Mapping[str, float],
+                          accuracy: int = ACCURACY, slice_rows: int = SLICE_ROWS,
+                          bracket_groups: int = BRACKET_GROUPS) -> DataFrame:
+    """n, mean, sample std, min, max and exact quantiles of the non-null values of each group.
+
+    The first read of ``df`` brackets each wanted rank by a sketch. The second counts the
+    values inside the brackets one by one and folds each run of values between them into one
+    row, so only a small part of the values is ranked. A group with a rank outside its bracket
+    is ranked whole, as are all groups if there are too many to broadcast their brackets.
+    """
+    v = F.col(value)
+    rows = df.filter(v.isNotNull()).select(*by, value)
+    ends = [[p + side * 2.0 / accuracy for p in probs.values()] for side in (-1, 1)]
+    at = [min(max(p, 0.0), 1.0) for side in ends for p in side]
+    stats = materialize(
+        rows.groupBy(*by).agg(
+            F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
+            F.min(v).alias("min"), F.max(v).alias("max"),
+            F.percentile_approx(v, at, accuracy).alias("__at")), "moments")
+    out = stats.drop("__at")
+    if stats.count() > bracket_groups:
+        return null_safe_join(out, exact_quantiles(rows, by, value, probs, slice_rows), by)
+
+    edges = stats.select(*by, *[
+        (F.col("min") if p <= 0 else F.col("max") if p >= 1 else F.get("__at", F.lit(i)))
+        .alias(f"__edge{i}") for i, p in enumerate(at)])
+    lows = [F.col(f"__edge{i}") for i in range(len(probs))]
+    highs = [F.col(f"__edge{i + len(probs)}") for i in range(len(probs))]
+    inside = reduce(lambda a, b: a | b, [v.between(lo, hi) for lo, hi in zip(lows, highs, strict=True)])
+    gap = reduce(lambda a, b: a + b, [(v > hi).cast("int") for hi in highs])
+    cells = materialize(
+        null_safe_join(rows, F.broadcast(edges), by)
+        .groupBy(*by, gap.alias("__gap"), F.when(inside, v).alias("__inside"))
+        .agg(F.min(v).alias(value), F.max(v).alias("__top"), F.count("*").alias("n"))
+        .drop("__gap", "__inside"), "value-cells")
+    found = counted_quantiles(cells, by, value, probs, slice_rows, top="__top")
+    missed = found.filter("missed").select(*by)
+    found = found.filter("not missed").drop("missed")
+    if not missed.isEmpty():
+        other = missed.withColumnsRenamed({c: f"__missed_{c}" for c in by})
+        same = reduce(lambda a, b: a & b,
+                      [F.col(c).eqNullSafe(F.col(f"__missed_{c}")) for c in by])
+        again = rows.join(F.broadcast(other), same, "left_semi")
+        found = found.unionByName(exact_quantiles(again, by, value, probs, slice_rows))
+    return null_safe_join(out, found, by)
 
 
 def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: Mapping[str, float],
@@ -374,19 +422,27 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: Mapping[str
 
 
 def counted_quantiles(counted: DataFrame, by: list[str], value: str, probs: Mapping[str, float],
-                      slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """The same from a table of counted values."""
+                      slice_rows: int = SLICE_ROWS, top: str | None = None) -> DataFrame:
+    """The same from a table of counted values.
+
+    With ``top`` a row may stand for several values, from ``value`` to ``top``; the column ``missed``
+    then says whether a wanted rank lies in such a row.
+    """
     ranked = running_before(counted, by, value, ["n"], slice_rows)
-    aggs = []
+    aggs, hits = [], []
     for name, p in probs.items():
         rank = F.lit(float(p)) * (F.col("n_total") - 1)
         for side, pos in (("lo", F.floor(rank)), ("hi", F.ceil(rank))):
             hit = (F.col("n_before") <= pos) & (pos < F.col("n_before") + F.col("n"))
+            hits.append(hit)
             aggs.append(F.max(F.when(hit, F.col(value))).alias(f"__{name}_{side}"))
+    if top is not None:
+        wide = reduce(lambda a, b: a | b, hits) & (F.col(top) != F.col(value))
+        aggs.append(F.max(wide).alias("missed"))
     grouped = ranked.groupBy(*by).agg(F.max("n_total").alias("__n"), *aggs)
     outs = []
     for name, p in probs.items():
         rank = F.lit(float(p)) * (F.col("__n") - 1)
         lo, hi = F.col(f"__{name}_lo"), F.col(f"__{name}_hi")
         outs.append((lo + (hi - lo) * (rank - F.floor(rank))).alias(name))
-    return grouped.select(*by, *outs)
+    return grouped.select(*by, *outs, *(["missed"] if top is not None else []))

@@ -7,8 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from rareflow.operators.ordering import (
-    counted_quantiles, counted_values, null_safe_join, running_before, weighted_moments)
+from rareflow.operators.ordering import moments_and_quantiles, null_safe_join, running_before
 from rareflow.session import materialize
 
 
@@ -53,10 +52,8 @@ def describe_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def _moments_and_quartiles(rows: DataFrame, by: str, groups: DataFrame) -> DataFrame:
-    """A row per group, NULL group included. The rows are read once, into counted values."""
-    counted = counted_values(rows, [by], "value")
-    moments = weighted_moments(counted, [by], "value")
-    found = null_safe_join(moments, counted_quantiles(counted, [by], "value", QUARTILES), [by])
+    """A row per group, NULL group included. The rows are read twice, and no row is written."""
+    found = moments_and_quantiles(rows, [by], "value", QUARTILES)
     out = null_safe_join(groups.select(by), found, [by], "left")
     return out.withColumn("n", F.coalesce("n", F.lit(0)))
 

@@ -7,7 +7,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from rareflow.operators.ordering import HashOrder, exact_quantiles, running_before
+from rareflow.operators.ordering import (
+    HashOrder, counted_values, exact_quantiles, moments_and_quantiles, running_before)
 
 
 def token(key, seed):
@@ -159,3 +160,64 @@ def test_many_copies_are_cut_into_pieces(spark):
     assert sorted(r["times"] for r in pieces) == [1, 50_001, 100_000, 100_000]
     assert ordering.repeated(rows, "times").groupBy("v").count().orderBy("v").collect() == [
         ("x", 250_001), ("z", 1)]
+
+
+@pytest.fixture()
+def shapes(spark):
+    """Groups with ties, heavy tails, one value, one row, extremes, and a NULL group."""
+    rng = np.random.default_rng(7)
+    parts = {"ties": rng.integers(0, 4, 3001).astype(float),
+             "hot": np.concatenate([np.zeros(2000), rng.normal(size=999)]),
+             "tails": 10.0 ** rng.uniform(-250, 250, 2000), "one": np.array([2.5]),
+             "same": np.full(700, -1.0), None: rng.normal(size=1503),
+             "ends": np.concatenate([rng.normal(size=300), [-1.7e308, 1.7e308]])}
+    rows = [(g, float(x)) for g, v in parts.items() for x in v] + [("ties", None), ("empty", None)]
+    return spark.createDataFrame(rows, "g string, v double").repartition(5), parts
+
+
+@pytest.mark.parametrize("accuracy,slices,groups", [
+    (1000, 10 ** 6, 100), (100, 50, 100), (10 ** 6, 10 ** 6, 100), (1000, 10 ** 6, 2)])
+def test_bracketed_quantiles_are_exact(shapes, accuracy, slices, groups):
+    df, parts = shapes
+    probs = {"a": 0.0, "b": 0.01, "c": 0.25, "d": 0.5, "e": 0.502, "f": 0.999, "g1": 1.0}
+    got = {r["g"]: r for r in
+           moments_and_quantiles(df, ["g"], "v", probs, accuracy, slices, groups).collect()}
+    assert set(got) == set(parts)
+    want = {r["g"]: r for r in exact_quantiles(df, ["g"], "v", probs, slices).collect()}
+    for g, v in parts.items():
+        row = got[g]
+        assert (row["n"], row["min"], row["max"]) == (len(v), v.min(), v.max())
+        assert all(row[p] == want[g][p] for p in probs)
+        if g not in ("ends", "tails"):
+            assert row["mean"] == pytest.approx(v.mean(), abs=1e-9)
+            np.testing.assert_allclose([row[p] for p in probs], np.quantile(v, list(probs.values())))
+    assert got["one"]["std"] is None
+    assert got["hot"]["std"] == pytest.approx(parts["hot"].std(ddof=1))
+
+
+def test_a_rank_outside_its_bracket_is_found(shapes, monkeypatch):
+    """Brackets of a wrong place: every group is then ranked whole."""
+    df, _ = shapes
+    wrong = lambda v, at, accuracy: F.array(*[F.min(v)] * len(at))
+    monkeypatch.setattr("rareflow.operators.ordering.F.percentile_approx", wrong)
+    probs = {"a": 0.3, "b": 0.77}
+    got = moments_and_quantiles(df, ["g"], "v", probs).select("g", *probs).collect()
+    assert sized(got) == sized(exact_quantiles(df, ["g"], "v", probs).collect())
+
+
+def test_only_bracketed_values_are_ranked(spark):
+    """Far fewer values than there are: what is written does not grow with the table's width."""
+    df = spark.range(200_000).select(F.lit("x").alias("g"), F.rand(3).alias("v"))
+    from rareflow.operators import ordering
+    sizes, plain = {}, ordering.materialize
+
+    def watched(table, label, *rest):
+        out = plain(table, label, *rest)
+        sizes[label] = out.count()
+        return out
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(ordering, "materialize", watched)
+        moments_and_quantiles(df, ["g"], "v", {"q": 0.25, "m": 0.5, "t": 0.75}).collect()
+    assert sizes["moments"] == 1 and sizes["value-cells"] < 0.02 * 200_000
+    assert counted_values(df, ["g"], "v").count() > 190_000
