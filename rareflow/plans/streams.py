@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rareflow.models import kernel
@@ -53,17 +55,21 @@ def buffered_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.shuffle_stream(stream, KEY).select(KEY, TARGET)
 
 
-GROUPS, GROUP_FILES = 8, 4
+GROUPS, FILE_ROWS = 8, 500_000
 
 
-def ordered_stream(df: DataFrame, label: str) -> DataFrame:
-    """The table in groups by the first digit of the key; a micro-batch reads a group's files."""
+def ordered_stream(df: DataFrame, label: str) -> Callable[[], DataFrame]:
+    """The table in groups by the first digit of the key, as a stream that can be opened again; a micro-batch
+    reads a group's files."""
     spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
-    group = F.floor(F.conv(F.substring(KEY, 1, 1), 16, 10).cast("int") * GROUPS / 16)
+    group = F.floor(F.conv(F.substring(KEY, 1, 1), 16, 10).cast("int") * GROUPS / 16).cast("int")
+    rows = materialize(df.withColumn("group", group), "arriving", ["group"])
+    count = max(1, -(-rows.count() // (GROUPS * FILE_ROWS)))
     for i in range(GROUPS):                      # written one after the other: read in this order
-        (df.where(group == i).repartition(GROUP_FILES).write.mode("append")
-         .option("header", True).csv(path))
-    return streams.read_shards_stream(spark, path, df.schema, GROUP_FILES)
+        part = rows.where(F.col("group") == i).drop("group")
+        (part.repartition(count) if count > 1 else part.coalesce(1)).write.mode("append") \
+            .option("header", True).csv(path)
+    return lambda: streams.read_shards_stream(spark, path, df.schema, count)
 
 
 def buffered_sql(size: int) -> str:
@@ -82,10 +88,9 @@ ARRIVED = LINES + """, arrived AS (SELECT row_key, conversion_target, count(*) O
 @query("shuffle_buffer", with_(ARRIVED, " UNION ALL ".join(map(buffered_sql, (1, 100)))))
 def shuffle_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each row's place behind a buffer of one row (none) and of 100 rows."""
-    df = materialize(lines(spark, sf_dir).select(KEY, TARGET), "arriving")
-    found = []
+    stream, found = ordered_stream(lines(spark, sf_dir).select(KEY, TARGET), "buffer-files"), []
     for size in (1, 100):
-        run = buffers.shuffle_buffer(ordered_stream(df, f"buffer-{size}"), KEY, KEY, size)
+        run = buffers.shuffle_buffer(stream(), KEY, KEY, size)
         found.append(buffers.drained(run).select(F.lit(size).alias("size"), "place", KEY, TARGET))
     return found[0].unionByName(found[1])
 
@@ -94,8 +99,8 @@ def shuffle_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
   WHERE t <= n - n % 128"""))
 def fixed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches of exactly 128 rows, whatever the length of the files."""
-    df = materialize(lines(spark, sf_dir).select(KEY, TARGET), "arriving")
-    run = buffers.fixed_batches(ordered_stream(df, "batch-files"), KEY, KEY, 128)
+    stream = ordered_stream(lines(spark, sf_dir).select(KEY, TARGET), "batch-files")
+    run = buffers.fixed_batches(stream(), KEY, KEY, 128)
     return run.sent().select(F.floor((F.col("place") - 1) / 128).alias("batch"), KEY)
 
 

@@ -5,7 +5,8 @@ from hashlib import md5
 import pytest
 from pyspark.sql import functions as F
 
-from rareflow.streaming.buffers import PROVIDER, drained, fixed_batches, shuffle_buffer, slot_of
+from rareflow.streaming.buffers import (
+    PROVIDER, drained, fixed_batches, places, shuffle_buffer, slot_of)
 from rareflow.streaming.streams import read_shards_stream
 
 
@@ -79,6 +80,50 @@ def test_batches_are_of_one_size(spark, tmp_path, cuts):
         (i, 96 + i) for i in range(4)]
 
 
+def test_a_lane_is_cut_into_slices(spark, tmp_path):
+    """One lane's rows of one micro-batch are numbered by many tasks, equal rows and nulls included."""
+    folder = str(tmp_path / "in")
+    names = spark.range(4000).select((F.col("id") % 50 + F.when(F.col("id") % 9 > 0, 0)).alias("n"),
+                                     F.lit("k").alias("name"))
+    names.coalesce(1).write.option("header", True).csv(folder)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        run = fixed_batches(stream(spark, folder), "name", "n", 128)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert spark.read.parquet(f"{run.folder}/starts").select("slice").distinct().count() > 2
+    got = sorted((r["place"], r["n"]) for r in run.sent().collect())
+    numbers = sorted((r["n"] for r in names.collect()), key=lambda n: (n is None, n))
+    assert got == list(enumerate(numbers[:4000 - 4000 % 128], 1))
+    assert run.counts().collect()[0].asDict() == {"lane": 0, "sent": 3968, "held": 32}
+
+
+def test_a_micro_batch_run_again_replaces_its_rows(spark, tmp_path):
+    """Rows of a micro-batch that was stopped before its end are not read, and none come twice."""
+    folder, state = str(tmp_path / "in"), str(tmp_path / "state")
+    files(spark, folder, [0, 40])
+    run = fixed_batches(stream(spark, folder), "n", "n", 16, folder=state)
+    left = spark.read.parquet(f"{state}/rows/batch=0")
+    left.write.parquet(f"{state}/rows/batch=1")
+    assert run.sent().count() == 32
+    files(spark, folder, [40, 70])
+    run = fixed_batches(stream(spark, folder), "n", "n", 16, folder=state)
+    assert sorted(r["n"] for r in run.sent().collect()) == list(range(64))
+
+
+@pytest.mark.parametrize("size,width", [(1, 4), (7, 5), (7, 64), (90, 30)])
+def test_places_do_not_depend_on_blocks(size, width):
+    total, want = 150, {}
+    for _, place, n in plain(range(total), size, 1, "s"):
+        want[n] = place if place <= total - size else None
+    found = [int(p) for first in range(1, total + 1, width)
+             for p in places("s", 0, first, width, total, size)]
+    assert [p if p > 0 else None for p in found] == [want[n] for n in range(total)]
+    held = [n for n in range(total) if want[n] is None]
+    assert [-found[n] for n in held] == [slot_of("s", 0, n + 1, size) for n in held]
+
+
 def test_sizes_are_checked(spark, tmp_path):
     with pytest.raises(ValueError):
         shuffle_buffer(spark.range(1), "id", "id", 0)
