@@ -50,6 +50,8 @@ class ShuffleBuffer:
     def place(self) -> Column:
         """Of (lane, number, total): the place of a row sent out, from 1, else minus its slot."""
         size, seed, width = self.size, self.seed, max(BLOCK, self.size)
+        if size == 1:                            # each arrival sends out the one before it
+            return F.when(F.col("number") < F.col("total"), F.col("number")).otherwise(F.lit(0))
 
         def work(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
             block = lru_cache(maxsize=4)(
@@ -90,7 +92,7 @@ def places(seed: str, lane: int, first: int, width: int, total: int, size: int)
     upto = min(total, last + 4 * size)
     while True:
         more = range(reach + 1, upto + 1)
-        slots = np.concatenate([slots, np.zeros(len(more), dtype="int64") if size == 1 else np.array(
+        slots = np.concatenate([slots, np.array(
             [slot_of(seed, lane, t, size) for t in more], dtype="int64")])
         order = np.argsort(slots, kind="stable")
         same = slots[order[1:]] == slots[order[:-1]]
