@@ -89,19 +89,28 @@ def caught_up(adam: Adam, upto: int) -> Column:
 def attach(rows: DataFrame, store: DataFrame, shape: Shape, adam: Adam) -> DataFrame:
     """``rows`` (row, features, ...) with ``given``: their stored vectors, one after the other.
 
-    Only codes and vectors move, in one shuffle by code and one by row. The table is broadcast while
+    Only codes and vectors move, in one shuffle by code and one by row; with one stored position the rows
+    move instead, once. The table is broadcast while
     small; beyond, the most frequent codes are, so no task gets all rows of a hot code. A code
     without a row in the table has zeros.
     """
     places = sorted(shape.stored)
     dims = {p: shape.embedding_dim(shape.index_map[p]) for p in places}
     size = sum(shape.index_map[p] * (dims[p] * 8 + 48) for p in places)
+    vectors = store.withColumn("vector", caught_up(adam, adam.steps))
+    if len(places) == 1:                         # a row is its only cell: nothing has to meet again
+        p = places[0]
+        code = F.get("features", F.lit(p)).cast("long")
+        found = dictionary_join(rows.withColumn("__code", code), vectors.where(
+            F.col("position") == p).select(F.col("code").alias("value"), "vector"),
+            "__code", "vector", "given", size)
+        zeros = F.array(*[F.lit(0.0)] * dims[p])
+        return found.withColumn("given", F.coalesce("given", zeros)).drop("__code")
     cells = rows.select("row", F.explode(F.array(*[F.struct(
         F.lit(p).alias("position"), F.get("features", F.lit(p)).cast("long").alias("code"))
         for p in places])).alias("c")).select("row", "c.position", F.concat_ws(
             ":", "c.position", "c.code").alias("cell"))
-    vectors = store.select(F.concat_ws(":", "position", "code").alias("value"),
-                           caught_up(adam, adam.steps).alias("vector"))
+    vectors = vectors.select(F.concat_ws(":", "position", "code").alias("value"), "vector")
     found = dictionary_join(cells, vectors, "cell", "vector", "vector", size)
     zeros = F.create_map(*[x for p in places for x in (F.lit(p), F.array(*[F.lit(0.0)] * dims[p]))])
     found = found.withColumn("vector", F.coalesce("vector", zeros[F.col("position")]))
@@ -184,10 +193,13 @@ def gradient(rows: DataFrame, store: DataFrame, shape: Shape, training: Training
     total = whole[SUMS]
     scale = {LABELLED: 1.0 / total[1], NEGATIVE: 1.0 / max(total[6], 1.0)}
     weight = F.when(F.col("kind") == LABELLED, scale[LABELLED]).otherwise(scale[NEGATIVE])
-    scaled = parts.where(F.col("position") != DENSE).withColumn("weight", weight).withColumn(
-        "values", F.transform("values", lambda g: g * F.col("weight")))
-    sparse = scaled.groupBy("position", "code").agg(vector_to_array(Summarizer.sum(
-        array_to_vector("values"))).alias("gradient"))
+    dims = {p: shape.embedding_dim(shape.index_map[p]) for p in shape.stored}
+    # a column per place: sums of columns are taken in a hash table, vectors would be sorted first
+    sums = [F.sum(F.get("values", F.lit(i)) * weight).alias(f"g{i}") for i in range(max(dims.values()))]
+    length = F.create_map(*[F.lit(x) for item in dims.items() for x in item])[F.col("position")]
+    sparse = parts.where(F.col("position") != DENSE).groupBy("position", "code").agg(*sums).select(
+        "position", "code", F.slice(F.array(*[f"g{i}" for i in range(len(sums))]), 1, length)
+        .alias("gradient"))
     dense = sum(whole[k] * scale[k] for k in (LABELLED, NEGATIVE))
     return dense, sparse, _step_metrics(total, shape, training)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rareflow.models import kernel
 from rareflow.models.dan import Training, full_gradient
 from rareflow.models.kernel import Adam, Shape
-from rareflow.models.stored import fit_stored, initial_store, unmoved
+from rareflow.models.stored import attach, fit_stored, gradient, initial_store, unmoved
 from rareflow.operators import encode
 
 MAP = {1: 6, 3: 40}
@@ -104,3 +104,24 @@ def test_unknown_codes_are_zeros(spark):
     model = fit_stored(df, STORED, Training(epochs=1))
     assert model.store.count() == 40
     assert all(0 < r["score"] < 1 for r in model.score(df).collect())
+
+
+def test_gradients_are_summed_in_a_hash_table(spark):
+    """Vectors of several lengths are summed by column, and a row with one stored code is not joined again."""
+    shape = Shape(4, (5,), None, index_map={1: 6, 3: 40}, stored=(1, 3))
+    rows = data(spark).withColumn("row", F.monotonically_increasing_id())
+    training = Training(dtype="float64", use_disguise=False)
+    store = initial_store(spark, shape)
+    _, found, _ = gradient(rows, store, shape, training, kernel.initial_weights(shape), Adam())
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" not in plan and "SortAggregate" not in plan
+    dims = {p: shape.embedding_dim(n) for p, n in shape.index_map.items()}
+    assert dims[1] != dims[3]
+    got = found.collect()
+    assert {r["position"] for r in got} == {1, 3}
+    assert all(len(r["gradient"]) == dims[r["position"]] for r in got)
+    assert all(v is not None for r in got for v in r["gradient"])
+    one = Shape(4, (5,), None, index_map={3: 40}, stored=(3,))
+    plan = attach(rows, store.where("position = 3"), one, Adam())._jdf.queryExecution() \
+        .executedPlan().toString()
+    assert "collect_list" not in plan
