@@ -134,20 +134,20 @@ def _summed(kind: int, x: np.ndarray, stored: Given) -> Iterator[pa.RecordBatch]
         codes, at = np.unique(x[:, p].astype(np.int64), return_inverse=True)
         sums = np.zeros((len(codes), gradient.shape[1]))
         np.add.at(sums, at, gradient)
-        yield _parts(kind, p, codes, list(sums))
+        ends = np.arange(0, sums.size + 1, sums.shape[1], dtype=np.int32)
+        yield _parts(kind, p, codes, pa.ListArray.from_arrays(ends, sums.ravel()))
 
 
-def _parts(kind: int, position: int, codes: Sequence[int], values: list) -> pa.RecordBatch:
+def _parts(kind: int, position: int, codes: Sequence[int], values: pa.ListArray) -> pa.RecordBatch:
     n = len(codes)
     return pa.RecordBatch.from_arrays(
-        [pa.array([kind] * n, pa.int32()), pa.array([position] * n, pa.int32()),
-         pa.array(codes, pa.int64()), pa.array(values, pa.list_(pa.float64()))],
-        names=["kind", "position", "code", "values"])
+        [pa.array(np.full(n, kind, np.int32)), pa.array(np.full(n, position, np.int32)),
+         pa.array(codes, pa.int64()), values], names=["kind", "position", "code", "values"])
 
 
 def _dense(kind: int, flat: np.ndarray) -> pa.RecordBatch:
     pieces = [flat[i:i + CHUNK].astype("float64") for i in range(0, len(flat), CHUNK)]
-    return _parts(kind, DENSE, range(len(pieces)), pieces)
+    return _parts(kind, DENSE, range(len(pieces)), pa.array(pieces, pa.list_(pa.float64())))
 
 
 def gradient(rows: DataFrame, store: DataFrame, shape: Shape, training: Training,
