@@ -99,3 +99,17 @@ def test_stream_training_stops_early_and_keeps_the_best(spark, numbered, tmp_pat
     assert tags.count("validation auroc") == 2 and tags.count("train auroc") == 2
     best = load_checkpoint(spark, f"{path}/best")
     assert (model.flat == best.flat).all() and best.step == 3
+
+
+def test_a_table_in_many_partitions_is_sharded_as_it_lies(spark, monkeypatch):
+    """No sort and no shuffle before the shards are written; every row comes."""
+    from rareflow.plans import streams as plans
+
+    written, write = [], plans.write_csv
+    monkeypatch.setattr(plans, "write_csv", lambda df, path: written.append(df) or write(df, path))
+    rows = spark.range(0, 4000, 1, 24).selectExpr("id", "id % 2 AS y")
+    found = streams.write_stream(plans.shard_stream(rows, "many"), "many-out")
+    assert "Exchange" not in written[0]._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == [(i, i % 2) for i in range(4000)]
+    few = streams.write_stream(plans.shard_stream(rows.coalesce(2), "few"), "few-out")
+    assert few.count() == 4000
