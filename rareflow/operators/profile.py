@@ -23,11 +23,35 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             .groupBy("column", "value").agg(F.count("*").alias("n")))
 
 
+NUMBERS = {"tinyint": "double", "smallint": "double", "int": "double", "float": "double",
+           "double": "double", "bigint": "bigint"}
+
+
+def cells(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(at, a field per kind of column): a row per cell with its column's place and its value in
+    the field of its kind, the others null; no shuffle.
+
+    Numbers stay numbers: a text costs more to make, and takes more room, than the number.
+    """
+    kinds = {c: NUMBERS.get(kind, "string") for c, kind in df.select(*columns).dtypes}
+    fields = sorted(set(kinds.values()))
+    return df.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("at"),
+                 *[(F.col(c) if k == kinds[c] else F.lit(None)).cast(k).alias(k) for k in fields])
+        for i, c in enumerate(columns)])))
+
+
 def cardinality_profile(df: DataFrame, columns: Sequence[str], approximate: bool = False
                         ) -> DataFrame:
     """Distinct non-null values per column, zero for all-null columns."""
-    count = F.approx_count_distinct("value") if approximate else F.count_distinct("value")
-    return melt(df, columns).groupBy("column").agg(count.alias("cardinality"))
+    if approximate:
+        return melt(df, columns).groupBy("column").agg(
+            F.approx_count_distinct("value").alias("cardinality"))
+    values = cells(df, columns).distinct()
+    known = reduce(lambda a, b: a | b, [F.col(k).isNotNull() for k in values.columns[1:]])
+    name = F.get(F.array(*[F.lit(c) for c in columns]), F.col("at"))
+    return values.groupBy("at").agg(F.count_if(known).alias("cardinality")).select(
+        name.alias("column"), "cardinality")
 
 
 def class_balance(df: DataFrame, target: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 TARGET = "conversion_target"
 KEY = "row_key"
@@ -16,22 +16,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The line-level part of the impression table: no join."""
+def _line_columns() -> list[Column]:
+    """Columns of ``lines`` from those of the lineitem table."""
     key = F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
                       F.floor(F.col("l_extendedprice") * 100 + 0.5))
     text = [F.col(c).cast("string").alias(c) for c in ("l_linenumber", "l_suppkey", "l_partkey")]
-    return table(spark, sf_dir, "lineitem").select(
-        F.md5(key.cast("binary")).alias(KEY), "l_orderkey", "l_returnflag", "l_linestatus", *text,
-        "l_quantity", "l_extendedprice", F.nullif("l_tax", F.lit(0.0)).alias("l_tax"),
-        F.lit(1.0).alias("column_weights"),
-        (F.col("l_discount") >= 0.085).cast("int").alias(TARGET))
+    return [F.md5(key.cast("binary")).alias(KEY), F.col("l_orderkey"), F.col("l_returnflag"),
+            F.col("l_linestatus"), *text, F.col("l_quantity"), F.col("l_extendedprice"),
+            F.nullif("l_tax", F.lit(0.0)).alias("l_tax"), F.lit(1.0).alias("column_weights"),
+            (F.col("l_discount") >= 0.085).cast("int").alias(TARGET)]
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The line-level part of the impression table: no join."""
+    return table(spark, sf_dir, "lineitem").select(*_line_columns())
 
 
 def impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines with order and customer features.
 
-    Orders meet customers first, so the large line table is shuffled only once.
+    Orders meet customers first, so the large line table is shuffled only once. Keys and texts of
+    lines are made behind the join: the table's numbers are half as long.
     """
     orders = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus",
@@ -41,8 +46,9 @@ def impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "c_custkey", "c_mktsegment", F.col("c_nationkey").cast("string").alias("c_nationkey"),
         "c_acctbal")
     placed = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
-    joined = lines(spark, sf_dir).join(placed, F.col("l_orderkey") == F.col("o_orderkey"))
-    return joined.select(KEY, *ONEHOT_AND_INDEX, *CONTINUOUS, *IGNORED, TARGET)
+    joined = table(spark, sf_dir, "lineitem").join(placed, F.col("l_orderkey") == F.col("o_orderkey"))
+    return joined.select(*_line_columns(), *placed.columns).select(
+        KEY, *ONEHOT_AND_INDEX, *CONTINUOUS, *IGNORED, TARGET)
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

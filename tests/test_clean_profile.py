@@ -141,3 +141,22 @@ def test_tags_of_any_length(spark):
     got = spark.createDataFrame([("a/b_c",), (long,), ("",), (None,)], "t string").select(
         tag_to_column(F.col("t"))).collect()
     assert [r[0] for r in got] == ["B c", "X" + long[1:], "", None]
+
+
+def test_cardinality_counts_numbers_as_numbers(spark):
+    """Large integers stay apart, both zeros are one value, and no number becomes text."""
+    rows = [(2**53, 0.0, 1, "a", None), (2**53 + 1, -0.0, 2, "b", None), (2**53 + 1, 1.5, 2, None, None)]
+    df = spark.createDataFrame(rows, "big bigint, x double, n int, s string, none double")
+    found = profile.cardinality_profile(df, df.columns)
+    assert {r["column"]: r["cardinality"] for r in found.collect()} == {
+        "big": 2, "x": 2, "n": 2, "s": 2, "none": 0}
+    assert "as string" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_impressions_join_the_numbers_of_lines(spark):
+    """Keys and texts of lines are not shuffled: they are made behind the join."""
+    from rareflow.sources.tables import impressions
+
+    df = impressions(spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("md5(") < plan.index("Join Inner") and "md5(" not in plan[plan.index("Join Inner"):]
