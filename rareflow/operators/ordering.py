@@ -172,11 +172,14 @@ class HashOrder:
         left_out = repeated(copies.withColumn(WEIGHT, F.lit(n - keep)), WEIGHT)
         return below.unionByName(kept), above.unionByName(left_out)
 
-    def passed(self, ranks: Mapping[object, Sequence[int]], name: str) -> DataFrame:
+    def passed(self, ranks: Mapping[object, Sequence[int]], name: str, piece: str | None = None,
+               piece_rows: int = 0) -> DataFrame:
         """``name``: how many of its group's (rising) ranks lie before a row's 1-based rank.
 
         The ranks are turned into tokens by the histogram, so the column is a projection:
-        no row is shuffled. Only if rows tie at a cutoff are positions needed.
+        no row is shuffled. Only if rows tie at a cutoff are positions needed. ``piece`` names a
+        column to number stretches of about ``piece_rows`` consecutive rows: whole buckets, or
+        by position if one key holds many rows.
         """
         kind = self.rows.schema[GROUP].dataType.simpleString()
         asked = self.rows.sparkSession.createDataFrame(
@@ -196,7 +199,7 @@ class HashOrder:
             "rank > low + inside - n and rank <= low + inside")
         cuts = materialize(cuts.select(GROUP, "i", TOKEN, (
             F.col("rank") < F.col("low") + F.col("inside")).alias("tied")), "order-cuts")
-        if cuts.filter("tied").isEmpty():
+        if cuts.filter("tied").isEmpty() and not (piece and self.is_hot()):
             low = asked.where("rank <= 0").select(GROUP, "i", F.lit("").alias(TOKEN))
             arrays = cuts.drop("tied").unionByName(low).groupBy(GROUP).agg(
                 F.collect_list(TOKEN).alias("__cuts"))
@@ -204,14 +207,21 @@ class HashOrder:
                 arrays = F.broadcast(arrays)
             before = F.size(F.filter(F.coalesce("__cuts", F.array().cast("array<string>")),
                                      lambda c: c < F.col(TOKEN)))
-            return null_safe_join(self.rows, arrays, [GROUP], "left").select(
-                *self.columns, before.alias(name))
+            rows, more = self.rows, []
+            if piece:
+                starts = self._offsets(self.histogram)
+                if len(ranks) == 1:                        # one group has at most 65,536 buckets
+                    starts = F.broadcast(starts)
+                rows, more = _with_offsets(rows, starts), [F.floor(F.col("offset") / piece_rows).alias(piece)]
+            return null_safe_join(rows, arrays, [GROUP], "left").select(
+                *self.columns, before.alias(name), *more)
         arrays = asked.groupBy(GROUP).agg(F.collect_list("rank").alias("__ranks"))
         placed = self.positions("__at").withColumn(GROUP, F.col(self.by) if self.by else F.lit(0))
         before = F.size(F.filter(F.coalesce("__ranks", F.array().cast("array<bigint>")),
                                  lambda k: k <= F.col("__at")))
+        more = [F.floor(F.col("__at") / piece_rows).alias(piece)] if piece else []
         return null_safe_join(placed, arrays, [GROUP], "left").select(
-            *self.columns, before.alias(name))
+            *self.columns, before.alias(name), *more)
 
     # -- global positions --------------------------------------------------
 

@@ -108,8 +108,8 @@ def shard_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("read_shards", with_(f"{LINES}, {shard_sql(20)}",
                             "SELECT row_key, shard FROM sharded WHERE shard IN (0, 1)"))
 def read_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sharded = files.with_shard(lines(spark, sf_dir).select(KEY), KEY, 20, position="place")
-    path = files.write_shards(sharded, scratch_path(spark, "shards"), "place")
+    sharded = files.with_shard(lines(spark, sf_dir).select(KEY), KEY, 20, piece="piece")
+    path = files.write_shards(sharded, scratch_path(spark, "shards"), piece="piece")
     return files.read_shards(spark, path, [0, 1], KEY)
 
 

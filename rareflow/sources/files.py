@@ -97,19 +97,24 @@ def with_split(df: DataFrame, key: Column | str, name: str = "split") -> DataFra
         .otherwise(F.lit("test")))
 
 
+ROWS_PER_FILE = 2_000_000
+
+
 def with_shard(df: DataFrame, key: Column | str, num_shards: int, seed: str = "shard",
-               by: str | None = None, position: str | None = None) -> DataFrame:
+               by: str | None = None, position: str | None = None, piece: str | None = None,
+               rows_per_file: int = ROWS_PER_FILE) -> DataFrame:
     """``shard`` column: consecutive pieces of n // num_shards rows in key order
     within each value of ``by``; the remainder goes to shard ``num_shards``.
 
     With fewer rows than shards every row is remainder. ``position`` names a column
-    to keep the row's place in the order.
+    to keep the row's place in the order, for which all rows are shuffled and ranked; ``piece`` one to
+    number stretches of about ``rows_per_file`` consecutive rows, for which none is.
     """
     order = HashOrder(df, key, seed, by)
     per = {g: n // num_shards for g, n in order.counts().items()}
     if not position:
         return order.passed({g: [size * (s + 1) for s in range(num_shards)]
-                             for g, size in per.items()}, "shard")
+                             for g, size in per.items()}, "shard", piece, rows_per_file)
     sizes = df.sparkSession.createDataFrame(
         list(per.items()), f"__g {order.rows.schema['__group'].dataType.simpleString()}, __size bigint")
     group = F.col(by) if by else F.lit(0)
@@ -142,15 +147,13 @@ def with_ordered_shard(df: DataFrame, order: Sequence[str], num_shards: int) ->
         *df.columns, "shard")
 
 
-ROWS_PER_FILE = 2_000_000
-
-
-def write_shards(df: DataFrame, path: str, position: str, rows_per_file: int = ROWS_PER_FILE
-                 ) -> str:
+def write_shards(df: DataFrame, path: str, position: str | None = None,
+                 rows_per_file: int = ROWS_PER_FILE, piece: str | None = None) -> str:
     """One directory per shard; a shard's files hold consecutive rows, so neither a
-    large shard nor a repeated key ends up in one task."""
-    piece = F.floor(F.col(position) / rows_per_file)
-    df.repartition("shard", piece).drop(position).write.partitionBy("shard").parquet(path)
+    large shard nor a repeated key ends up in one task. The rows are cut by their ``position``
+    or come with the ``piece`` they belong to."""
+    cut = F.col(piece) if piece else F.floor(F.col(position) / rows_per_file)
+    df.repartition("shard", cut).drop(piece or position).write.partitionBy("shard").parquet(path)
     return path
 
 

@@ -72,6 +72,32 @@ def test_shards_written_and_pruned(spark, numbered, tmp_path):
     assert shards == sorted(shards)
 
 
+def test_shards_are_cut_into_files_without_ranking_rows(spark, numbered, tmp_path):
+    """Neither shard nor piece needs a shuffle; shards are those by position, pieces consecutive."""
+    found = files.with_shard(numbered, "row_key", 10, piece="piece", rows_per_file=50)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(row_key" not in plan and "row_number()" not in plan
+    want = files.with_shard(numbered, "row_key", 10, position="at")
+    both = found.join(want.select("row_key", "at", F.col("shard").alias("want")), "row_key").orderBy("at").collect()
+    assert len(both) == 2000 and all(r["shard"] == r["want"] for r in both)
+    pieces = [r["piece"] for r in both]
+    assert pieces == sorted(pieces) and len(set(pieces)) == 40
+    assert max(pieces.count(p) for p in set(pieces)) < 60
+    path = files.write_shards(found, str(tmp_path / "pieces"), piece="piece")
+    assert spark.read.parquet(path).columns == [*numbered.columns, "shard"]
+    assert files.read_shards(spark, path, [2, 3], "row_key").count() == 400
+
+
+def test_a_repeated_key_is_cut_into_several_pieces(spark, monkeypatch):
+    from rareflow.operators import ordering
+
+    monkeypatch.setattr(ordering.HashOrder.__init__, "__defaults__", (None, 100, None))
+    tied = spark.range(2000).selectExpr("if(id < 1500, 'same', cast(id as string)) AS row_key", "id")
+    found = files.with_shard(tied, "row_key", 10, piece="piece", rows_per_file=50)
+    sizes = [r["count"] for r in found.groupBy("shard", "piece").count().collect()]
+    assert sum(sizes) == 2000 and max(sizes) == 50
+
+
 def test_union_common_columns(spark):
     a = spark.createDataFrame([(1, 2, 3)], "a int, b int, c int")
     b = spark.createDataFrame([(4, 5)], "c int, a int")
