@@ -11,7 +11,7 @@ from rareflow.operators.clean import FeatureSpec
 from rareflow.plans.profiling import ordered_lines, union
 from rareflow.plans.registry import IMPRESSIONS, LINES, SPLIT, query, r, rounded, with_
 from rareflow.session import materialize, scratch_path
-from rareflow.sources.files import with_split
+from rareflow.sources.files import with_split, write_each
 from rareflow.sources.tables import (
     CONTINUOUS, IGNORED, KEY, ONEHOT_AND_INDEX, TARGET, impressions, lines)
 
@@ -146,9 +146,8 @@ def feature_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
              for c, n in LEVELS.items() for i in range(n))} FROM coded, stats GROUP BY 1"""))
 def write_processed(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, model = encoder_model(spark, sf_dir)
-    path = scratch_path(spark, "processed")
-    model.transform(df).write.partitionBy("split").parquet(path)
-    read = spark.read.parquet(path)
+    read = spark.read.parquet(write_each(df, "split", ["train", "validation", "test"], model.transform,
+                                         scratch_path(spark, "processed")))
     whole = [c for c in model.output_columns if c not in CONTINUOUS]
     return read.groupBy("split").agg(
         F.count("*").alias("n"), F.sum(TARGET).alias("positives"),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
@@ -36,6 +36,22 @@ def write_csv(df: DataFrame, path: str, compression: str = "none",
     return path
 
 
+def write_each(df: DataFrame, column: str, values: Sequence[str],
+               work: Callable[[DataFrame], DataFrame], path: str) -> str:
+    """The rows of each value, worked on, as a Parquet folder ``column=value``, one after the other.
+
+    A partitioned write of all of them sorts a task's finished rows by the column first, which takes
+    memory for all of a task's rows; here they are written as they come. Other values are an error.
+    """
+    other = df.filter(~F.coalesce(F.col(column).isin(list(values)), F.lit(False))).limit(1)
+    if not other.isEmpty():
+        raise ValueError(f"{column} has values other than {list(values)}")
+    for value in values:
+        rows = work(df.filter(F.col(column) == value))
+        rows.drop(column).write.parquet(f"{path}/{column}={value}")
+    return path
+
+
 def with_path_class(df: DataFrame, name: str = "path_class") -> DataFrame:
     """Class named in the file path: ``positive``, ``negative`` or NULL."""
     path = F.col("_metadata.file_path")

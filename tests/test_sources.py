@@ -168,3 +168,20 @@ def test_scratch_is_cleared(spark):
     clear_scratch(spark)
     import os
     assert not os.path.exists(name.removeprefix("file://"))
+
+
+def test_splits_are_written_without_a_sort(spark, numbered, tmp_path, monkeypatch):
+    """Each split is written as its rows come; all rows come, and no other value is lost."""
+    rows = files.with_split(numbered, "row_key")
+    written, write = [], type(rows.write).parquet
+    monkeypatch.setattr(type(rows.write), "parquet", lambda self, path, **more: (
+        written.append(self._df), write(self, path, **more))[1])
+    path = files.write_each(rows, "split", ["train", "validation", "test"],
+                            lambda df: df.withColumn("twice", F.col("id") * 2), str(tmp_path / "each"))
+    assert len(written) == 3
+    assert not any("Sort" in df._jdf.queryExecution().executedPlan().toString() for df in written)
+    found = spark.read.parquet(path)
+    want = rows.withColumn("twice", F.col("id") * 2)
+    assert found.select(*want.columns).exceptAll(want).isEmpty() and found.count() == 2000
+    with pytest.raises(ValueError):
+        files.write_each(rows, "split", ["train", "test"], lambda df: df, str(tmp_path / "two"))
