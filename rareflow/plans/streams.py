@@ -44,8 +44,8 @@ ENCODE_SQL = "SELECT row_key, " + ", ".join(
 @query("stream_encode", with_(
     f"{TRAIN_STATS}, {train_codes('l_returnflag')}, {train_codes('l_suppkey')}", ENCODE_SQL))
 def stream_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = materialize(with_split(lines(spark, sf_dir).select(KEY, *SPARSE_COLUMNS, *SCALED), KEY),
-                     "stream-rows")
+    # read anew for vocabulary, statistics and shards: two hashes a row cost less than a written copy
+    df = with_split(lines(spark, sf_dir).select(KEY, *SPARSE_COLUMNS, *SCALED), KEY)
     vocabulary = materialize(
         profile.build_vocabulary(df.filter("split = 'train'"), SPARSE_COLUMNS), "stream-vocab")
     sizes, stats = encode.dictionary_sizes(vocabulary), train_stats(df)

@@ -113,3 +113,13 @@ def test_a_table_in_many_partitions_is_sharded_as_it_lies(spark, monkeypatch):
     assert sorted(map(tuple, found.collect())) == [(i, i % 2) for i in range(4000)]
     few = streams.write_stream(plans.shard_stream(rows.coalesce(2), "few"), "few-out")
     assert few.count() == 4000
+
+
+def test_stream_encode_writes_no_copy_of_its_rows(spark, monkeypatch):
+    """Only the vocabulary and the shards are written before the stream runs."""
+    from rareflow.plans import streams as plans
+
+    kept, write = [], plans.materialize
+    monkeypatch.setattr(plans, "materialize", lambda df, label, *a: kept.append(df.columns) or write(df, label, *a))
+    assert plans.stream_encode(spark, "/root/testdata/sf0.001").count() == 6000
+    assert kept == [["column", "value", "n", "idx"]]
