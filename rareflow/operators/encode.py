@@ -6,6 +6,7 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml import Estimator, Model
 from pyspark.ml.feature import OneHotEncoder, VectorAssembler
@@ -13,12 +14,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rareflow.functions.clean import MISSING_CATEGORY, MISSING_NUMBER
 from rareflow.operators.clean import FeatureSpec, impute, order_columns
-from rareflow.operators.profile import build_vocabulary, numeric_stats
+from rareflow.operators.profile import (
+    numeric_stats, ranked_values, value_counts, whole_columns)
 
 BROADCAST_BYTES = 64 << 20   # dictionaries up to this measured size are broadcast
 LEVEL_LIMIT = 1_000          # levels a one-hot projection may have
 HEAVY_VALUES = 1_000         # most frequent values coded by broadcast in a big lookup
 SALTS = 1_024
+MOST_PARTITIONS = 1 << 30
 
 
 @dataclass(frozen=True)
@@ -77,14 +80,19 @@ def encode_codes(df: DataFrame, vocabulary: DataFrame, columns: Sequence[str],
     the last one, ``missing`` gives -1.
     """
     sizes = sizes or dictionary_sizes(vocabulary)
+    whole = whole_columns(df, columns) if dict(vocabulary.dtypes)["value"] == "string" else []
     for column in columns:
         size = sizes.get(column, Size())
         dictionary = vocabulary.filter(F.col("column") == column).drop("column")
+        if column in whole:   # numbers are looked up as numbers; a text that is none matches nothing
+            number = F.col("value").try_cast("bigint")
+            dictionary = dictionary.filter(number.cast("string") == F.col("value")).withColumn(
+                "value", number)
         df = dictionary_join(df, dictionary, column, "idx", "__code", size.bytes,
                              broadcast_bytes)
         if unseen == "error":
             message = F.concat(F.lit(f"unseen value in column {column}: "),
-                               F.coalesce(F.col(column), F.lit("NULL")))
+                               F.coalesce(F.col(column).cast("string"), F.lit("NULL")))
             fallback = F.raise_error(message).cast("bigint")
         elif unseen == "oov":
             fallback = F.lit(size.entries).cast("bigint")
@@ -119,24 +127,39 @@ def column_levels(vocabulary: DataFrame, columns: Sequence[str], limit: int = LE
     return {c: [r["value"] for r in rows if r["column"] == c] for c in columns}
 
 
-def onehot_columns(levels: Mapping[str, Sequence[str]], unseen: str = "error") -> list[Column]:
-    """Indicator columns ``<feature>_<i>``, i = rank of the level."""
-    out = []
+def with_levels(df: DataFrame, levels: Mapping[str, Sequence[str]], unseen: str = "error"
+                ) -> DataFrame:
+    """The place (from 1) of each value among its column's levels, in place of the value; 0 if it
+    is none of them, or an error. A value is looked up once, not compared once per indicator."""
+    places = {}
     for column, values in levels.items():
-        for i, value in enumerate(values):
-            hit = (F.col(column) == F.lit(value)).cast("int")
-            if unseen == "error" and i == 0:
-                known = F.coalesce(F.col(column).isin(list(values)), F.lit(False))
-                hit = F.when(known, hit).otherwise(
-                    F.raise_error(f"unseen value in column {column}").cast("int"))
-            out.append(F.coalesce(hit, F.lit(0)).alias(f"{column}_{i}"))
-    return out
+        if not values:
+            continue
+        place = F.array_position(F.array(*[F.lit(v) for v in values]), F.col(column).cast("string"))
+        if unseen == "error":
+            place = F.when(place > 0, place).otherwise(F.raise_error(
+                f"unseen value in column {column}").cast("bigint"))
+        places[column] = F.coalesce(place, F.lit(0)).cast("int")
+    return df.withColumns(places)
+
+
+def onehot_columns(levels: Mapping[str, Sequence[str]]) -> list[Column]:
+    """Indicator columns ``<feature>_<i>``, i = rank of the level, behind ``with_levels``."""
+    return [(F.col(column) == i + 1).cast("int").alias(f"{column}_{i}")
+            for column, values in levels.items() for i in range(len(values))]
 
 
 def onehot_expand(df: DataFrame, levels: Mapping[str, Sequence[str]], unseen: str = "error"
                   ) -> DataFrame:
     keep = [c for c in df.columns if c not in levels]
-    return df.select(*keep, *onehot_columns(levels, unseen))
+    return with_levels(df, levels, unseen).select(*keep, *onehot_columns(levels))
+
+
+def categories(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Missing category -> -1; whole numbers stay numbers, other categories become text."""
+    whole = whole_columns(df, columns)
+    return impute(df, [c for c in columns if c not in whole]).withColumns(
+        {c: F.coalesce(F.col(c).cast("bigint"), F.lit(int(MISSING_CATEGORY))) for c in whole})
 
 
 def stats_map(stats: DataFrame) -> dict[str, tuple[float, float]]:
@@ -214,8 +237,12 @@ class FeatureEncoder(Estimator):
         spec = self.spec
         train = dataset.filter(F.expr(self.train))
         source = dataset if self.unseen == "error" else train
-        filled = impute(source.select(*spec.categorical), spec.categorical)
-        vocabulary = build_vocabulary(filled, spec.categorical)
+        filled = categories(source.select(*spec.categorical), spec.categorical)
+        whole = whole_columns(filled, spec.categorical)
+        text = [c for c in spec.categorical if c not in whole]
+        # a pass over the numbers and one over the texts: each reads only its columns
+        counts = [value_counts(filled, columns) for columns in (whole, text) if columns]
+        vocabulary = ranked_values(reduce(DataFrame.unionByName, counts))
         stats = stats_map(numeric_stats(train, spec.continuous)) if spec.continuous else {}
         levels = column_levels(vocabulary, spec.onehot, self.level_limit)
         return FeatureEncoderModel(spec, vocabulary, levels, stats, self.unseen, self.keep)
@@ -238,12 +265,15 @@ class FeatureEncoderModel(Model):
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         spec = self.spec
-        coded = impute(dataset, spec.categorical)
+        coded = categories(dataset, spec.categorical)
         coded = encode_codes(coded, self.vocabulary, spec.index, self.unseen, sizes=self.sizes)
+        # the indicators are a step of their own: Spark makes one Java method of all steps in a row, and
+        # one beyond 8,000 bytes is never compiled; as many partitions as before come out of this
+        coded = with_levels(coded, self.levels, self.unseen).coalesce(MOST_PARTITIONS)
         numbers = [F.coalesce(scaled(c, self.stats), F.lit(MISSING_NUMBER)).alias(c)
                    for c in spec.continuous]
         wide = coded.select(*self.keep, *spec.index, *numbers,
-                            *onehot_columns(self.levels, self.unseen),
+                            *onehot_columns(self.levels),
                             *([spec.target] if spec.target in dataset.columns else []))
         if spec.target not in wide.columns:
             return wide.select(*self.keep, *self.output_columns)

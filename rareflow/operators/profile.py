@@ -17,10 +17,22 @@ def melt(df: DataFrame, columns: Sequence[str], cast: str = "string") -> DataFra
             .unpivot([], list(columns), "column", "value"))
 
 
+WHOLE = ("tinyint", "smallint", "int", "bigint")
+
+
+def whole_columns(df: DataFrame, columns: Sequence[str]) -> list[str]:
+    """Those of the columns that hold whole numbers."""
+    kinds = dict(df.dtypes)
+    return [c for c in columns if kinds[c] in WHOLE]
+
+
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, value, n) of the non-null values; hot values shrink map-side."""
-    return (melt(df, columns).filter("value is not null")
-            .groupBy("column", "value").agg(F.count("*").alias("n")))
+    """(column, value, n) of the non-null values; hot values shrink map-side. If all columns hold
+    whole numbers, these are counted as numbers and a text is made per value, not per row."""
+    whole = columns and len(whole_columns(df, columns)) == len(columns)
+    counts = (melt(df, columns, "bigint" if whole else "string").filter("value is not null")
+              .groupBy("column", "value").agg(F.count("*").alias("n")))
+    return counts.withColumn("value", F.col("value").cast("string")) if whole else counts
 
 
 NUMBERS = {"tinyint": "double", "smallint": "double", "int": "double", "float": "double",
@@ -94,7 +106,12 @@ def null_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def build_vocabulary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, value, n, idx): idx is the rank in lexicographic order. Written once: it is
     read per column and per use."""
-    counted = materialize(value_counts(df, columns).withColumn("one", F.lit(1)), "vocabulary")
+    return ranked_values(value_counts(df, columns))
+
+
+def ranked_values(counts: DataFrame) -> DataFrame:
+    """The vocabulary of counted values (column, value, n)."""
+    counted = materialize(counts.withColumn("one", F.lit(1)), "vocabulary")
     ranked = running_before(counted, ["column"], "value", ["one"])
     return materialize(ranked.select("column", "value", "n", F.col("one_before").cast("bigint")
                                      .alias("idx")), "vocabulary")

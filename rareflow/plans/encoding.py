@@ -13,7 +13,8 @@ from rareflow.plans.registry import IMPRESSIONS, LINES, SPLIT, query, r, rounded
 from rareflow.session import materialize, scratch_path
 from rareflow.sources.files import with_split, write_each
 from rareflow.sources.tables import (
-    CONTINUOUS, IGNORED, KEY, ONEHOT_AND_INDEX, TARGET, impressions, lines)
+    CONTINUOUS, IGNORED, KEY, ONEHOT_AND_INDEX, TARGET, as_impressions, impressions, joined_lines,
+    line_key, lines)
 
 # Roles at the default threshold of 20 on the test tables from sf0.01 upwards.
 ONEHOT = ["c_mktsegment", "l_linenumber", "l_linestatus", "l_returnflag", "o_orderpriority",
@@ -123,9 +124,11 @@ ENCODED_COLUMNS = ", ".join(
 
 
 def encoder_model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, encode.FeatureEncoderModel]:
-    # written once: the join would run again for vocabularies, statistics and encoding
-    df = materialize(with_split(clean.normalize_missing(impressions(spark, sf_dir)), KEY),
-                     "impressions")
+    # written once: the join would run again for vocabularies, statistics and encoding; written as the
+    # tables hold it: a key is twice as long as all numbers it is made of
+    joined = with_split(joined_lines(spark, sf_dir), line_key(F.col("cents")))
+    df = as_impressions(materialize(clean.normalize_missing(joined), "impressions"), "split",
+                        text=False)
     encoder = encode.FeatureEncoder(SPEC, "split = 'train'", keep=[KEY, "split"])
     return df, encoder.fit(df)
 

@@ -107,10 +107,13 @@ def union_common(frames: Sequence[DataFrame]) -> DataFrame:
 def with_split(df: DataFrame, key: Column | str, name: str = "split") -> DataFrame:
     """80/10/10 train, validation, test by the first byte of a keyed hash."""
     key = F.col(key) if isinstance(key, str) else key
-    byte = F.substring(F.md5(F.concat(F.lit("split:"), key).cast("binary")), 1, 2)
-    return df.withColumn(
+    # a column of its own: within the cases the hash, and the key, would be made anew for each
+    byte = F.col("__byte")
+    hashed = df.withColumn(
+        "__byte", F.substring(F.md5(F.concat(F.lit("split:"), key).cast("binary")), 1, 2))
+    return hashed.withColumn(
         name, F.when(byte <= "cc", F.lit("train")).when(byte <= "e5", F.lit("validation"))
-        .otherwise(F.lit("test")))
+        .otherwise(F.lit("test"))).drop("__byte")
 
 
 ROWS_PER_FILE = 2_000_000

@@ -16,39 +16,61 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _line_columns() -> list[Column]:
-    """Columns of ``lines`` from those of the lineitem table."""
-    key = F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
-                      F.floor(F.col("l_extendedprice") * 100 + 0.5))
-    text = [F.col(c).cast("string").alias(c) for c in ("l_linenumber", "l_suppkey", "l_partkey")]
-    return [F.md5(key.cast("binary")).alias(KEY), F.col("l_orderkey"), F.col("l_returnflag"),
-            F.col("l_linestatus"), *text, F.col("l_quantity"), F.col("l_extendedprice"),
-            F.nullif("l_tax", F.lit(0.0)).alias("l_tax"), F.lit(1.0).alias("column_weights"),
-            (F.col("l_discount") >= 0.085).cast("int").alias(TARGET)]
+def _cents() -> Column:
+    return F.floor(F.col("l_extendedprice") * 100 + 0.5)
+
+
+def _target() -> Column:
+    return (F.col("l_discount") >= 0.085).cast("int").alias(TARGET)
+
+
+def _tax() -> Column:
+    return F.nullif("l_tax", F.lit(0.0)).alias("l_tax")
+
+
+def line_key(cents: Column) -> Column:
+    """``row_key`` from a line's numbers and its price in cents."""
+    key = F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", cents)
+    return F.md5(key.cast("binary")).alias(KEY)
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The line-level part of the impression table: no join."""
-    return table(spark, sf_dir, "lineitem").select(*_line_columns())
+    text = [F.col(c).cast("string").alias(c) for c in ("l_linenumber", "l_suppkey", "l_partkey")]
+    return table(spark, sf_dir, "lineitem").select(
+        line_key(_cents()), "l_orderkey", "l_returnflag", "l_linestatus", *text, "l_quantity",
+        "l_extendedprice", _tax(), F.lit(1.0).alias("column_weights"), _target())
 
 
-def impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines with order and customer features.
+def joined_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with order and customer features; keys and categories are still the tables' numbers.
 
-    Orders meet customers first, so the large line table is shuffled only once. Keys and texts of
-    lines are made behind the join: the table's numbers are half as long.
+    Orders meet customers first, so the large line table is shuffled only once.
     """
     orders = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus",
         F.nullif("o_orderpriority", F.lit("4-NOT SPECIFIED")).alias("o_orderpriority"),
         "o_totalprice")
     customer = table(spark, sf_dir, "customer").select(
-        "c_custkey", "c_mktsegment", F.col("c_nationkey").cast("string").alias("c_nationkey"),
-        "c_acctbal")
+        "c_custkey", "c_mktsegment", "c_nationkey", "c_acctbal")
     placed = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
     joined = table(spark, sf_dir, "lineitem").join(placed, F.col("l_orderkey") == F.col("o_orderkey"))
-    return joined.select(*_line_columns(), *placed.columns).select(
-        KEY, *ONEHOT_AND_INDEX, *CONTINUOUS, *IGNORED, TARGET)
+    return joined.select("l_orderkey", _cents().alias("cents"), *ONEHOT_AND_INDEX,
+                         *[_tax() if c == "l_tax" else c for c in CONTINUOUS], _target())
+
+
+def as_impressions(joined: DataFrame, *more: str, text: bool = True) -> DataFrame:
+    """The impression table from ``joined_lines``; ``more`` of its columns go along. Without ``text``
+    categories that are numbers in the tables stay numbers."""
+    categories = [F.col(c).cast("string").alias(c) if text else c for c in ONEHOT_AND_INDEX]
+    return joined.select(line_key(F.col("cents")), *categories, *CONTINUOUS,
+                         *[F.lit(1.0).alias(c) for c in IGNORED], TARGET, *more)
+
+
+def impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with order and customer features. Keys and texts of lines are made behind the join:
+    the table's numbers are half as long."""
+    return as_impressions(joined_lines(spark, sf_dir))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Encoders: codes, levels, scaling, the whole preparation, embeddings."""
 
+import re
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -131,3 +133,60 @@ def test_sparse_rows(spark, table):
     vector = out.first()["features"]
     assert vector.size == 4 + 41 + 1
     assert out.select("features").distinct().count() > 1
+
+
+def test_whole_numbers_are_coded_as_numbers(spark):
+    """Codes, missing values and errors are those of the numbers' texts, but no row's number is made one."""
+    rows = [(f"k{i}", v, "ab"[i % 2], float(i), i % 2)
+            for i, v in enumerate([10, 9, -1, None, 2**53 + 1, 2**53, 9, 100])]
+    numbers = spark.createDataFrame(
+        rows, "row_key string, site bigint, kind string, x double, conversion_target int")
+    texts = numbers.withColumn("site", F.col("site").cast("string"))
+    spec = FeatureSpec([], ["x"], ["kind"], ["site"])
+    fitted = FeatureEncoder(spec, keep=["row_key"]).fit(numbers)
+    plain = FeatureEncoder(spec, keep=["row_key"]).fit(texts)
+    assert sorted(fitted.vocabulary.collect()) == sorted(plain.vocabulary.collect())
+    out = fitted.transform(numbers)
+    assert sorted(out.collect()) == sorted(plain.transform(texts).collect())
+    assert sorted(out.collect()) == sorted(fitted.transform(texts).collect())
+    plan = out.select("site")._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"BroadcastHashJoin \[site#\d+L\], \[__value#\d+L\]", plan)
+    other = spark.createDataFrame([("k", 7, "a", 0.0, 1)], numbers.schema)
+    with pytest.raises(PySparkException, match="unseen value in column site: 7"):
+        fitted.transform(other).collect()
+    odd = spark.createDataFrame([("site", "007", 1, 0), ("site", "x", 1, 1), ("site", "7", 1, 2)],
+                                "column string, value string, n bigint, idx bigint")
+    assert encode.encode_codes(other, odd, ["site"]).first()["site"] == 2
+
+
+def test_encoder_writes_numbers_and_compiles(spark):
+    """Neither keys nor texts of numbers are written, and no generated method is too long to compile."""
+    from rareflow.plans import encoding
+
+    df, model = encoding.encoder_model(spark, "/root/testdata/sf0.001")
+    written = dict(spark.read.parquet(df.inputFiles()[0]).dtypes)
+    assert "row_key" not in written and written["l_partkey"] == "bigint"
+    out = encoding.rounded(model.transform(df), encoding.CONTINUOUS)
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        code = spark._jvm.PythonSQLUtils.explainString(
+            out.select("*")._jdf.queryExecution(), "codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)]
+    assert sizes and max(sizes) < 6_500   # HotSpot compiles none above 8,000
+
+
+def test_rounding_without_decimals_is_the_same(spark):
+    from rareflow.plans.registry import rounded
+
+    values = [0.0, -0.0, 0.5e-6, 1.5e-6, -2.5e-6, 1.00000049, 1.0000005, 1.00000051, 2.675, -2.675, 1e9 + 0.1,
+              123456.7890125, 1e13 + 0.123, 1e300, -1e-300, float("nan"), float("inf"), float("-inf"), None]
+    df = spark.createDataFrame([(v,) for v in values], "x double").unionByName(
+        spark.range(20000).select(((F.rand(3) - 0.5) * F.pow(F.lit(10.0), F.col("id") % 12)).alias("x")))
+    for digits in (0, 2, 6):
+        both = rounded(df.withColumn("y", F.round("x", digits) + F.lit(0.0)), ["x"], digits)
+        assert both.filter(~F.col("x").eqNullSafe(F.col("y"))).count() == 0
+    plan = rounded(df, ["x"])._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "rint(" in plan and rounded(df, ["x"]).columns == ["x"]
